@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bit_packing, html_main, language_id, piece_counts, spot_signatures
+from . import bit_packing, html_main, language_id, line_runs, piece_counts, raking, spot_signatures
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,14 +32,23 @@ def op4_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512).drop("n_parts")
 
 
+def op6_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_runs.digest(line_runs.dedup_lines(table(spark, sf_dir, "documents"), run=2))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.identify(docs, language_id.learn(docs))
 
 
+def op8_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = raking.standard_mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "mix_source", "mix_lang", "mix_topic", "mix_tokens", F.floor(F.col("mix_p") * 1e6 + 0.5137).cast("long").alias("p_micro"), F.col("mix_kept").alias("kept"))
+
+
 def op10_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_spot_signatures, op3_bit_packing, op4_piece_counts, op7_language_id, op10_html_main)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_spot_signatures, op3_bit_packing, op4_piece_counts, op6_line_runs, op7_language_id, op8_raking, op10_html_main)}
+ORACLES: dict[str, str] = {"op6_line_runs": line_runs.SQL, "op8_raking": raking.standard_sql()}
