@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bit_packing, html_main, language_id, line_runs, piece_counts, raking, spot_signatures
+from . import bit_packing, html_main, language_id, line_runs, piece_counts, probminhash, raking, spot_signatures
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probminhash.classes(table(spark, sf_dir, "documents"), least=0.8)
+
+
 def op2_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spot_signatures.fingerprint_pairs(table(spark, sf_dir, "documents"))
 
@@ -50,5 +54,5 @@ def op10_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_spot_signatures, op3_bit_packing, op4_piece_counts, op6_line_runs, op7_language_id, op8_raking, op10_html_main)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_probminhash, op2_spot_signatures, op3_bit_packing, op4_piece_counts, op6_line_runs, op7_language_id, op8_raking, op10_html_main)}
 ORACLES: dict[str, str] = {"op6_line_runs": line_runs.SQL, "op8_raking": raking.standard_sql()}
