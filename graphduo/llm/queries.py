@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bit_packing, html_main, language_id, line_runs, piece_counts, probminhash, raking, spot_signatures
+from . import bit_packing, html_main, language_id, line_runs, piece_counts, probminhash, raking, spot_signatures, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op4_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512).drop("n_parts")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_runs.digest(line_runs.dedup_lines(table(spark, sf_dir, "documents"), run=2))
 
@@ -54,5 +58,5 @@ def op10_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_probminhash, op2_spot_signatures, op3_bit_packing, op4_piece_counts, op6_line_runs, op7_language_id, op8_raking, op10_html_main)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_probminhash, op2_spot_signatures, op3_bit_packing, op4_piece_counts, op5_suffix_dedup, op6_line_runs, op7_language_id, op8_raking, op10_html_main)}
 ORACLES: dict[str, str] = {"op6_line_runs": line_runs.SQL, "op8_raking": raking.standard_sql()}
