@@ -102,7 +102,6 @@ def write_packed(docs: DataFrame, tokenizer: str, path: str | None = None, end_i
                     if held >= CHUNK_IDS:
                         yield image()
                         chunk, first, ids, lens, data, held = chunk + 1, first + held, [], [], [], 0
-            table.forget_long()
         if ids:
             yield image()
 

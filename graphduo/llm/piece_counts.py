@@ -28,7 +28,6 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str
                 parts = [table.parts(t) if t else [] for _, t in some]
                 table.learn(parts)
                 out += [(i, len(t.encode()), table.whole(t) if p is None else sum(map(table.__getitem__, p)), len(p or ())) for (i, t), p in zip(some, parts, strict=True)]
-            table.forget_long()
             i, b, n, p = zip(*out, strict=True) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_()), pa.array(p, pa.int64())], names=["doc_id", "n_bytes", "n_tokens", "over_limit", "n_parts"])
 

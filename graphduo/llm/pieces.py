@@ -12,9 +12,9 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Callable
 
-import numpy as np
 
 #: White space that is not one space or line feed between two other characters.
 ODD_SPACE = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
@@ -35,12 +35,24 @@ def load(path: str):
     return tok
 
 
+#: A part that is a word of Latin letters, and signs behind it: both are pre-tokens of their own.
+WORD_TAIL = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?:;#%$*&]*)")
+
+
 class Pieces(dict):
-    """part -> what `of` makes of its ids. Every distinct part is encoded once while it is kept; at most `most` are."""
+    """part -> what `of` makes of its ids.
+
+    The first `most` parts are kept for good, so the frequent ones are; later ones only for the
+    group of texts at hand. Signs behind a word are looked up apart from it, and words in lower
+    case if the tokenizer lowers them, so fewer distinct parts reach the library.
+    """
 
     def __init__(self, path: str, of: Callable[[list[int]], object], spaced: bool, most: int = 600_000):
         super().__init__()
         self.tok, self.of, self.spaced, self.most = load(path), of, spaced, most
+        self.lowers = self.tok.normalizer is not None and self.tok.normalizer.normalize_str("AÉ") == "aé"
+        self.passing: list[str] = []
+        self.extra = most // 2  # words with signs that are kept besides
 
     def whole(self, text: str):
         return self.of(self.tok.encode(text, add_special_tokens=False).ids)
@@ -64,18 +76,40 @@ class Pieces(dict):
         return out
 
     def learn(self, rows: list[list[str] | None]) -> None:
-        """Encode the parts not yet known, in one call."""
-        if len(self) > self.most:
-            self.clear()
-        new = list({p for r in rows if r for p in r if p not in self})
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
+        """Encode the parts not yet known; forget those that only the group before needed."""
+        for p in self.passing:
+            del self[p]
+        new: set[str] = set()
+        for r in rows:
+            if r:
+                new.update(r)
+        new = {p for p in new if p not in self}
+        cut, ask = {}, set()
+        for p in new:
+            if m := WORD_TAIL.fullmatch(p):
+                word, tail = m.groups()
+                word = word.lower() if self.lowers else word
+                if tail or word != p:
+                    cut[p] = word, tail
+                if word not in self:
+                    ask.add(word)
+                if tail and tail not in self:
+                    ask.add(tail)
+            else:
+                ask.add(p)
+        asked, room = list(ask), self.most + self.most // 2 - len(self)
+        for k in range(0, len(asked), 4096):
+            some = asked[k : k + 4096]
             for p, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 self[p] = self.of(e.ids)
-
-    def forget_long(self) -> None:
-        for p in [p for p in self if len(p) > KEEP_CHARS]:
-            del self[p]
+        for p, (word, tail) in cut.items():
+            self[p] = self[word] + self[tail] if tail else self[word]
+        if self.extra > 0:
+            self.extra -= len(cut)
+            self.passing = []
+        else:
+            self.passing = [p for p in cut if p not in ask]
+        self.passing += asked if room < len(asked) else [p for p in asked if len(p) > KEEP_CHARS]
 
 
 _kept: dict[tuple, Pieces] = {}
@@ -84,7 +118,7 @@ _kept: dict[tuple, Pieces] = {}
 def kept(path: str, kind: str, spaced: bool) -> Pieces:
     """This worker's cache, which its later tasks go on using."""
     if (key := (path, kind, spaced)) not in _kept:
-        _kept[key] = Pieces(path, len if kind == "count" else (lambda ids: np.array(ids, "<u4").tobytes()), spaced)
+        _kept[key] = Pieces(path, len if kind == "count" else (lambda ids: array("I", ids).tobytes()), spaced)
     return _kept[key]
 
 
