@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bit_packing, html_main, language_id, line_runs, piece_counts, probminhash, raking, spot_signatures, suffix_dedup
+from . import bit_packing, decontamination, html_main, language_id, line_runs, piece_counts, probminhash, raking, spot_signatures, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,9 +54,19 @@ def op8_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "mix_source", "mix_lang", "mix_topic", "mix_tokens", F.floor(F.col("mix_p") * 1e6 + 0.5137).cast("long").alias("p_micro"), F.col("mix_kept").alias("kept"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_probminhash, op2_spot_signatures, op3_bit_packing, op4_piece_counts, op5_suffix_dedup, op6_line_runs, op7_language_id, op8_raking, op10_html_main)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_probminhash, op2_spot_signatures, op3_bit_packing, op4_piece_counts, op5_suffix_dedup, op6_line_runs, op7_language_id, op8_raking, op9_decontamination, op10_html_main, pipeline)}
 ORACLES: dict[str, str] = {"op6_line_runs": line_runs.SQL, "op8_raking": raking.standard_sql()}
