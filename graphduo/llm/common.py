@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import shutil
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -44,9 +44,15 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def cut(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     """df written once to the shared folder and read again: later stages neither recompute it nor lose it with an executor."""
-    path = new_path(df.sparkSession, what)
+    path, shape = new_path(df.sparkSession, what), df.schema
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(shape).parquet(path)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Have the shuffle files of finished steps deleted now: Spark does so once the driver has collected its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -95,7 +101,3 @@ def batches_of_rows(it: Iterator, *names: str) -> Iterator[tuple]:
 
 def schema(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)
-
-
-def forget_local(path: str) -> None:
-    shutil.rmtree(path, ignore_errors=True)

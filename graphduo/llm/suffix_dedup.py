@@ -21,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free_shuffles
 from .probminhash import distinct_texts, mix64
 
 SPAN = 50
 HALF = SPAN // 2
-#: Bytes of text whose positions a task holds at a time, and bytes hashed at a time.
-GROUP, SLICE = 24_000_000, 1 << 18
+#: Bytes of text whose positions a task holds at a time, bytes of text to a bucket, and bytes hashed at a time.
+#: A task of either step needs about 20 times its share; a group sends a packed array to each bucket, so both should
+#: grow together (with the executors) as the corpus does: 100 TB want some 256 MB each.
+GROUP, BUCKET, SLICE = 8_000_000, 32_000_000, 1 << 18
 G = np.uint64(0xD1342543DE82EF95)
 TABLE = mix64(np.arange(1, 257, dtype="<u8") * np.uint64(0x9E3779B97F4A7C15))
 
@@ -341,9 +343,12 @@ def changes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     spark = docs.sparkSession
     ids, distinct = distinct_texts(docs, id_col, text_col)
     total = ids.where("doc_id is not null").agg(F.sum("n_bytes")).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // 200_000_000) + 1)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // BUCKET) + 1)
+    free_shuffles(spark)
     tied = cut(tied_positions(distinct, buckets), "tied")
+    free_shuffles(spark)
     spans = cut(repeated_spans(distinct, tied, buckets), "spans")
+    free_shuffles(spark)
     found = spans.groupBy("uid").agg(F.collect_list("found").alias("founds"))
 
     def last(it):
