@@ -1,4 +1,376 @@
-"""All queries over the driver's tables by name, and their SQL."""
+"""All queries over the driver's tables by name, and their SQL. Every query reads its tables whole."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.exprs import micro
+from .model import GraphSet
+from .operators import estimate, external, gram, mmd, tangent, walks, wl
+from .plans import oracles as o
+from .plans.lineage import cut
+from .plans.two_sample import two_sample_test
+from .sources import tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+B, SEED = 50, 7
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def brands(spark, sf_dir) -> GraphSet:
+    return tables.co_purchase(spark, sf_dir).stored()
+
+
+def days(spark, sf_dir) -> GraphSet:
+    return tables.event_transitions(spark, sf_dir).stored()
+
+
+def undirected_days(spark, sf_dir) -> GraphSet:
+    """Events without direction: weights of both directions added."""
+    gs = tables.event_transitions(spark, sf_dir)
+    e = gs.edges.groupBy("graph_id", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum("weight").alias("weight")).withColumn("edge_label", F.lit(None).cast("string"))
+    return GraphSet(gs.graphs.withColumn("directed", F.lit(False)), gs.nodes, e).stored()
+
+
+def first_digit(gs: GraphSet) -> GraphSet:
+    return GraphSet(gs.graphs, gs.nodes.withColumn("label", F.substring("label", 7, 1)), gs.edges)
+
+
+def in_micro(df: DataFrame, col: str = "k", to: str = "k_micro") -> DataFrame:
+    return df.withColumn(to, micro(F.col(col))).drop(col)
+
+
+def gram_sql(ctes: list[str], how: str = "k", unit: str = o.MICRO, name: str = "k_micro") -> str:
+    return o.sql(ctes, f"SELECT i, j, {unit.format(how)} AS {name} FROM gram")
+
+
+WL2 = [*o.CO_PURCHASE, *o.refined(2)]
+WL_GRAM = [*WL2, o.WL_FREQ, *o.dot()]
+
+# --- sources ------------------------------------------------------------------------------------------
+
+
+@query(o.sql(o.CO_PURCHASE, "SELECT graph_id, src, dst, weight, edge_label FROM edges"))
+def source_co_purchase_edges(spark, sf_dir):
+    return tables.co_purchase(spark, sf_dir).edges
+
+
+@query(o.sql([*o.CO_PURCHASE, o.POOLED], f"SELECT n.graph_id, sample, ord, node_id, label, {o.MICRO.format('d')} AS attr_micro FROM nodes n JOIN pooled USING (graph_id)"))
+def source_co_purchase_nodes(spark, sf_dir):
+    gs = brands(spark, sf_dir)
+    return gs.nodes.join(gs.pooled().select("graph_id", "sample", "ord"), "graph_id").select("graph_id", "sample", "ord", "node_id", "label", micro(F.col("attr")[0]).alias("attr_micro"))
+
+
+@query(o.sql(o.EVENTS, "SELECT graph_id, src, dst, weight FROM edges"))
+def source_event_transitions(spark, sf_dir):
+    return tables.event_transitions(spark, sf_dir).edges.drop("edge_label")
+
+
+@query(o.sql([*o.CO_PURCHASE, o.DEGREES], "SELECT graph_id, node_id, CAST(degree AS VARCHAR) AS label FROM degrees"))
+def degree_labels(spark, sf_dir):
+    return brands(spark, sf_dir).with_degree_labels().nodes.select("graph_id", "node_id", "label")
+
+
+@query(o.sql(o.CO_PURCHASE, "SELECT graph_id, src, dst, weight, edge_label FROM arcs"))
+def symmetrised_arcs(spark, sf_dir):
+    return brands(spark, sf_dir).arcs()
+
+
+# --- labels, histograms, their kernels ----------------------------------------------------------------
+
+
+@query(o.sql(WL2, "SELECT graph_id, node_id, it, label FROM wl"))
+def wl_labels(spark, sf_dir):
+    return wl.refinement(brands(spark, sf_dir), 2)
+
+
+@query(o.sql([*WL2, o.WL_FREQ], f"SELECT graph_id, feature, {o.MICRO.format('v')} AS v_micro FROM feat"))
+def wl_frequencies(spark, sf_dir):
+    return in_micro(wl.frequencies(brands(spark, sf_dir), 2), "v", "v_micro")
+
+
+@query(gram_sql(WL_GRAM))
+def gram_dk_wl(spark, sf_dir):
+    return in_micro(wl.deep_wl(brands(spark, sf_dir), 2))
+
+
+@query(o.sql(WL_GRAM, f"SELECT g.i, g.j, {o.MICRO.format('CASE WHEN a.k > 0 AND b.k > 0 THEN g.k / sqrt(a.k * b.k) ELSE 0 END')} AS k_micro FROM gram g JOIN gram a ON a.i = g.i AND a.j = g.i JOIN gram b ON b.i = g.j AND b.j = g.j"))
+def gram_dk_wl_normalised(spark, sf_dir):
+    return in_micro(gram.normalised(cut(wl.deep_wl(brands(spark, sf_dir), 2))))
+
+
+@query(gram_sql([*WL2, o.WL_COUNT, *o.dot()], unit="CAST({0} AS BIGINT)", name="k"))
+def gram_wl_vertex_histogram(spark, sf_dir):
+    return wl.vertex_histogram(brands(spark, sf_dir), 2).select("i", "j", F.col("k").cast("long").alias("k"))
+
+
+@query(gram_sql([*WL2, o.WL_FREQ_IT, *o.dot("least(a.v, b.v)")], "1 - k / 3"))
+def distance_wwl(spark, sf_dir):
+    return in_micro(wl.wasserstein_distance(brands(spark, sf_dir), 2))
+
+
+@query(gram_sql([*WL2, o.WL_FREQ_IT, *o.dot("least(a.v, b.v)")], "exp(-2.0 * (1 - k / 3))"))
+def gram_wwl(spark, sf_dir):
+    return in_micro(wl.wasserstein(brands(spark, sf_dir), 2.0, 2))
+
+
+DEG_WL = [*o.CO_PURCHASE, o.DEGREES, "dl AS (SELECT graph_id, node_id, CAST(degree AS VARCHAR) AS label FROM degrees)", *o.refined(1, nodes="dl"), o.WL_FREQ_IT, *o.dot("least(a.v, b.v)")]
+
+
+@query(gram_sql(DEG_WL, "exp(-0.5 * (1 - k / 2))"))
+def gram_wwl_degree(spark, sf_dir):
+    return in_micro(wl.wasserstein(brands(spark, sf_dir).with_degree_labels().stored(), 0.5, 1))
+
+
+SP = [
+    *o.CO_PURCHASE, "RECURSIVE_PLACEHOLDER", "dist AS MATERIALIZED (SELECT graph_id, a, b, min(d) AS d FROM bfs GROUP BY ALL)",
+    "sf AS (SELECT d.graph_id, concat_ws('_', least(x.label, y.label), greatest(x.label, y.label), CAST(d.d AS VARCHAR)) AS feature FROM dist d JOIN nodes x ON x.graph_id = d.graph_id AND x.node_id = d.a JOIN nodes y ON y.graph_id = d.graph_id AND y.node_id = d.b)",
+    "feat AS MATERIALIZED (SELECT graph_id, feature, count(*) / sum(count(*)) OVER (PARTITION BY graph_id) AS v FROM sf GROUP BY graph_id, feature)",
+]
+
+
+def recursive(ctes: list[str], last: str) -> str:
+    bfs = "bfs AS (SELECT graph_id, node_id AS a, node_id AS b, 0 AS d FROM nodes UNION SELECT s.graph_id, s.a, e.dst, s.d + 1 FROM bfs s JOIN arcs e ON e.graph_id = s.graph_id AND e.src = s.b WHERE s.d < 25)"
+    return "WITH RECURSIVE " + ",\n".join(bfs if c == "RECURSIVE_PLACEHOLDER" else c for c in ctes) + "\n" + last
+
+
+@query(recursive(SP, f"SELECT graph_id, feature, {o.MICRO.format('v')} AS v_micro FROM feat"))
+def sp_frequencies(spark, sf_dir):
+    return in_micro(wl.shortest_path_features(brands(spark, sf_dir)), "v", "v_micro")
+
+
+@query(recursive([*SP, *o.dot()], f"SELECT i, j, {o.MICRO.format('k')} AS k_micro FROM gram"))
+def gram_dk_sp(spark, sf_dir):
+    return in_micro(wl.deep_sp(brands(spark, sf_dir)))
+
+
+# --- random walks -------------------------------------------------------------------------------------
+
+
+@query(gram_sql([*o.CO_PURCHASE, *o.simple_walk(1e-3, 4, "arcs")]))
+def gram_rw_arku_plus(spark, sf_dir):
+    return in_micro(walks.series(brands(spark, sf_dir), "RW_ARKU_plus", 1e-3, 4))
+
+
+OUT = "sarcs AS MATERIALIZED (SELECT x.graph_id, x.dst AS src, x.src AS dst, x.weight * coalesce(1.0 / d.n, 0.0) AS weight FROM arcs x LEFT JOIN (SELECT graph_id, src, count(*) AS n FROM edges GROUP BY ALL) d ON d.graph_id = x.graph_id AND d.src = x.dst)"
+
+
+@query(gram_sql([*o.EVENTS, OUT, *o.simple_walk(1e-4, 4, "sarcs")]))
+def gram_rw_arku(spark, sf_dir):
+    return in_micro(walks.series(days(spark, sf_dir), "RW_ARKU", 1e-4, 4))
+
+
+@query(gram_sql([*o.CO_PURCHASE, *o.edge_walk(1e-3, 4)]))
+def gram_rw_arku_edge(spark, sf_dir):
+    return in_micro(walks.series(brands(spark, sf_dir), "RW_ARKU_edge", 1e-3, 4))
+
+
+@query(gram_sql([*o.CO_PURCHASE, *o.label_walk(1e-3, 3)]))
+def gram_rw_arkl(spark, sf_dir):
+    return in_micro(walks.series(first_digit(brands(spark, sf_dir)), "RW_ARKL", 1e-3, 3))
+
+
+@query()
+def gram_rw_arku_plus_rank(spark, sf_dir):
+    return walks.spectral(brands(spark, sf_dir).unweighted(), "RW_ARKU_plus", 1e-3, 5)
+
+
+@query()
+def gram_rw_arku_rank(spark, sf_dir):
+    return walks.spectral(days(spark, sf_dir).unweighted(), "RW_ARKU", 1e-2, 3)
+
+
+@query()
+def gram_rw_arku_edge_rank(spark, sf_dir):
+    return walks.spectral(brands(spark, sf_dir).unweighted(), "RW_ARKU_edge", 1e-3, 4, labels=["S", "D"])
+
+
+@query()
+def gram_rw_arkl_rank(spark, sf_dir):
+    return walks.spectral(first_digit(brands(spark, sf_dir).unweighted()), "RW_ARKL", 1e-4, 3)
+
+
+# --- neural tangent kernel ----------------------------------------------------------------------------
+
+
+@query(o.sql([*o.CO_PURCHASE, *o.tangent(2, "uniform", "degree")], f"SELECT i, j, {o.MILLI.format('2 * (sum(t) + coalesce(any_value(raw), 0))')} AS k_milli FROM t2 LEFT JOIN raw USING (i, j) GROUP BY i, j"))
+def gram_gntk(spark, sf_dir):
+    k = tangent.two_layers(brands(spark, sf_dir), 2, True, "uniform")
+    return k.select("i", "j", F.floor(F.col("k") * 1e3 + 0.5137).cast("long").alias("k_milli"))
+
+
+@query(o.sql([*o.CO_PURCHASE, *o.tangent(1, "degree", "attr")], f"SELECT i, j, {o.MILLI.format('2 * sum(t)')} AS k_milli FROM t1 GROUP BY i, j"))
+def gram_gntk_attributes(spark, sf_dir):
+    k = tangent.two_layers(brands(spark, sf_dir), 1, False, "degree", use_attr=True)
+    return k.select("i", "j", F.floor(F.col("k") * 1e3 + 0.5137).cast("long").alias("k_milli"))
+
+
+@query()
+def gram_gntk_deep(spark, sf_dir):
+    return tangent.deep(days(spark, sf_dir), 3, 2, True, "degree")
+
+
+# --- estimators, resampling, tests --------------------------------------------------------------------
+
+
+def statistic_sql(name: str) -> str:
+    return o.sql([*WL_GRAM, *o.OBSERVED], f"SELECT '{'MMD_b' if name == 'compat' else name}' AS estimator, {o.MICRO.format(o.FORMULA[name])} AS statistic_micro, CAST(n1 AS INTEGER) AS n1, CAST(n2 AS INTEGER) AS n2 FROM os, sizes")
+
+
+def wl_gram(spark, sf_dir):
+    gs = brands(spark, sf_dir)
+    return cut(wl.deep_wl(gs, 2)), cut(gs.pooled())
+
+
+@query(statistic_sql("MMD_u"))
+def mmd_u(spark, sf_dir):
+    return in_micro(mmd.estimate(*wl_gram(spark, sf_dir), "MMD_u"), "statistic", "statistic_micro")
+
+
+@query(statistic_sql("MMD_b"))
+def mmd_b(spark, sf_dir):
+    return in_micro(mmd.estimate(*wl_gram(spark, sf_dir), "MMD_b"), "statistic", "statistic_micro")
+
+
+@query(statistic_sql("compat"))
+def mmd_b_compat(spark, sf_dir):
+    return in_micro(mmd.estimate(*wl_gram(spark, sf_dir), "MMD_b", compat=True), "statistic", "statistic_micro")
+
+
+EVENT_WALK = [*o.EVENTS, OUT, *o.simple_walk(1e-4, 4, "sarcs")]
+
+
+@query(o.sql([*EVENT_WALK, "sides AS (SELECT k, x.sample = y.sample AS same FROM gram JOIN pooled x ON x.ord = i JOIN pooled y ON y.ord = j WHERE x.pos <> y.pos AND x.pos // 2 = y.pos // 2 AND x.pos < 14 AND y.pos < 14)"], f"SELECT 'MMD_l' AS estimator, {o.MICRO.format('sum(CASE WHEN same THEN k ELSE -k END) / 7')} AS statistic_micro, 15 AS n1, 15 AS n2 FROM sides"))
+def mmd_l(spark, sf_dir):
+    gs = days(spark, sf_dir)
+    return in_micro(mmd.estimate(cut(walks.series(gs, "RW_ARKU", 1e-4, 4)), gs.pooled(), "MMD_l"), "statistic", "statistic_micro")
+
+
+@query(o.sql([*WL_GRAM, *o.OBSERVED, *o.permuted(B, SEED)], f"SELECT round AS b, {o.MICRO.format(o.FORMULA['MMD_u'])} AS statistic_micro FROM ns, sizes"))
+def null_permutations(spark, sf_dir):
+    return in_micro(mmd.null_distribution(*wl_gram(spark, sf_dir), "MMD_u", B, SEED), "statistic", "statistic_micro")
+
+
+@query(o.sql([*WL_GRAM, *o.OBSERVED, *o.booted(B, SEED)], f"SELECT round AS b, {o.MICRO.format(o.FORMULA['MMD_u'])} AS statistic_micro FROM ns, sizes"))
+def null_bootstraps(spark, sf_dir):
+    return in_micro(mmd.null_distribution(*wl_gram(spark, sf_dir), "MMD_u", B, SEED, "bootstrap"), "statistic", "statistic_micro")
+
+
+def test_sql(ctes: list[str], formula: str) -> str:
+    f = o.MICRO.format(o.FORMULA[formula])
+    return o.sql([*ctes, *o.OBSERVED, *o.permuted(B, SEED), f"nm AS (SELECT {f} AS s FROM ns, sizes)", f"om AS (SELECT {f} AS s FROM os, sizes)"], f"SELECT (SELECT s FROM om) AS statistic_micro, avg(CASE WHEN nm.s >= om.s THEN 1.0 ELSE 0.0 END) AS p_value, CAST({B} AS INTEGER) AS B FROM nm, om")
+
+
+def relational_test(k: DataFrame, pooled: DataFrame, estimator: str) -> DataFrame:
+    seen = cut(mmd.estimate(k, pooled, estimator))
+    p = mmd.p_value(mmd.null_distribution(k, pooled, estimator, B, SEED), seen)
+    return seen.select(micro(F.col("statistic")).alias("statistic_micro")).join(F.broadcast(p)).withColumn("B", F.lit(B))  # one row each
+
+
+@query(test_sql(WL_GRAM, "MMD_u"))
+def test_wl_mmd_u(spark, sf_dir):
+    return relational_test(*wl_gram(spark, sf_dir), "MMD_u")
+
+
+@query(test_sql([*WL2, o.WL_FREQ_IT, *o.dot("least(a.v, b.v)")[:-1], "gram AS MATERIALIZED (SELECT i, j, exp(-2.0 * (1 - coalesce(k, 0.0) / 3)) AS k FROM pairs LEFT JOIN prod USING (i, j))"], "MMD_b"))
+def test_wwl_mmd_b(spark, sf_dir):
+    gs = brands(spark, sf_dir)
+    return relational_test(cut(wl.wasserstein(gs, 2.0, 2)), cut(gs.pooled()), "MMD_b")
+
+
+@query(test_sql(EVENT_WALK, "MMD_u"))
+def test_rw_events_mmd_u(spark, sf_dir):
+    gs = days(spark, sf_dir)
+    return relational_test(cut(walks.series(gs, "RW_ARKU", 1e-4, 4)), cut(gs.pooled()), "MMD_u")
+
+
+@query()
+def test_all_estimators(spark, sf_dir):
+    return two_sample_test(days(spark, sf_dir), "RW_ARKU", ["MMD_u", "MMD_b", "MMD_l", "MONK_EST"], B=200, Q=3, r=None, c=1e-4)
+
+
+@query()
+def test_precomputed(spark, sf_dir):
+    k, pooled = wl_gram(spark, sf_dir)
+    return two_sample_test(None, gram.dense(k), "MMD_u", B=500, n1=pooled.where("sample = 1").count(), bootstrap_method="BootstrapScheme")
+
+
+@query()
+def null_permutations_dense(spark, sf_dir):
+    k, pooled = wl_gram(spark, sf_dir)
+    return mmd.fast_permutation_null(spark, gram.dense(k), pooled.where("sample = 1").count(), 1000, SEED)
+
+
+# --- kernels that have no SQL -------------------------------------------------------------------------
+
+
+@query()
+def gram_wwl_sinkhorn(spark, sf_dir):
+    return wl.wasserstein(days(spark, sf_dir), 1.0, 2, sinkhorn=True, sinkhorn_lambda=0.1)
+
+
+@query()
+def gram_dk_word2vec(spark, sf_dir):
+    return wl.deep_word2vec(brands(spark, sf_dir), "wl", 2, 4, 2, 0)
+
+
+@query()
+def gram_propagation(spark, sf_dir):
+    return external.propagation(brands(spark, sf_dir), 3, 0.01, "TV")
+
+
+@query()
+def gram_pyramid_match(spark, sf_dir):
+    return external.pyramid_match(days(spark, sf_dir).unweighted(), 6, 6, False)
+
+
+# --- graphs from matrices -----------------------------------------------------------------------------
+
+
+@query(o.sql(o.OBS, "SELECT sample, win, col, CAST(count(*) AS BIGINT) AS n, " + o.MICRO.format("avg(x)") + " AS mean_micro, " + o.MICRO.format("sqrt(var_pop(x))") + " AS sd_micro FROM cells GROUP BY ALL"))
+def matrix_windows(spark, sf_dir):
+    v = estimate.long_form(estimate.windows(tables.embedding_matrix(spark, sf_dir), 25))
+    return v.groupBy("sample", "win", "col").agg(F.count("*").alias("n"), micro(F.avg("x")).alias("mean_micro"), micro(F.sqrt(F.var_pop("x"))).alias("sd_micro"))
+
+
+@query(o.sql(o.OBS, "SELECT sample, win, row_idx, col, CAST(2 * (rank() OVER (PARTITION BY sample, win, col ORDER BY x) + (count(*) OVER (PARTITION BY sample, win, col, x) - 1) / 2.0) AS BIGINT) AS rank_x2 FROM cells"))
+def matrix_ranks(spark, sf_dir):
+    r = estimate.average_ranks(estimate.long_form(estimate.windows(tables.embedding_matrix(spark, sf_dir), 25)))
+    return r.select("sample", "win", "row_idx", "col", (2 * F.col("r")).cast("long").alias("rank_x2"))
+
+
+@query()
+def matrix_nonparanormal(spark, sf_dir):
+    return estimate.nonparanormal(estimate.long_form(estimate.windows(tables.embedding_matrix(spark, sf_dir), 25)))
+
+
+@query(o.sql([*o.OBS, "c2 AS (SELECT sample, win, var_pop(x[1]) AS aa, var_pop(x[2]) AS bb, covar_pop(x[1], x[2]) AS ab FROM win GROUP BY ALL)", "w2 AS (SELECT *, sign(ab) * greatest(abs(ab) - 0.0005, 0.0) AS w FROM c2)"], f"SELECT sample, win, {o.MICRO.format('-w / (aa * bb - w * w)')} AS weight_micro FROM w2"))
+def matrix_glasso_two_columns(spark, sf_dir):
+    return in_micro(estimate.two_column_precision(tables.embedding_matrix(spark, sf_dir), 25, 5e-4), "weight", "weight_micro")
+
+
+@query()
+def matrix_graphs(spark, sf_dir):
+    alphas = [float(a) for a in np.exp(np.linspace(-9, -6, 8))]
+    gs = estimate.estimate_graphs(tables.embedding_matrix(spark, sf_dir, dims=6), 25, alphas, 0.0, nonparanormal=True, set_labels="degree", set_attributes=lambda x: x.mean(axis=0)[:, None])
+    return gs.edges.select("graph_id", "src", "dst", "weight")
+
+
+@query()
+def matrix_test(spark, sf_dir):
+    gs = estimate.estimate_graphs(tables.embedding_matrix(spark, sf_dir, dims=6), 25, [3e-4, 1e-3, 3e-3], 0.0, set_labels="degree").stored()
+    return two_sample_test(gs, "RW_ARKU_plus", ["MMD_u", "MMD_b"], B=200, r=4, c=1e-7, check_psd=True)

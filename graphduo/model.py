@@ -73,3 +73,9 @@ class GraphSet:
         if undirected and self.graphs.where("directed").limit(1).count():
             raise ValueError("this kernel needs undirected graphs (a symmetric adjacency)")
         return self
+
+    def stored(self) -> GraphSet:
+        """The three tables computed once and kept in the shared checkpoint folder: kernels read them several times."""
+        from .plans.lineage import cut
+
+        return GraphSet(cut(self.graphs), cut(self.nodes), cut(self.edges))
