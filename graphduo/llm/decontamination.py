@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ SENTENCE = re.compile(r"(?<=[.!?])\s+")
 #: Latent dimensions, extra random columns, power iterations.
 RANK, EXTRA, POWER = 64, 8, 2
 STRIDE = 32
+#: Terms in more items than this (or a hundredth of the items) are not looked up, but taken as present.
+WIDE_TERM = 32
 #: Characters of benchmark text in a block of queries.
 BLOCK_CHARS = 8_000_000
 
@@ -43,6 +46,16 @@ class Items:
         """Smoothed inverse document frequency; df and n_docs count the whole table."""
         self.idf = (np.log((1 + n_docs) / (1 + df)) + 0.1).astype(np.float32)
         self.mass = np.array([self.idf[w].sum() for w in self.words], np.float32)
+        # for each term that few items hold: those items, with what the term weighs in them; the others weigh `common` together
+        held = [np.unique(w, return_counts=True) for w in self.words]
+        t, n = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+        k = np.repeat(np.arange(len(held)), [len(h[0]) for h in held])
+        wide = np.bincount(t, minlength=len(self.term)) > max(WIDE_TERM, len(held) // 100)
+        self.common = np.bincount(k, np.where(wide[t], n * self.idf[t], 0.0), len(held))
+        t, n, k = t[~wide[t]], n[~wide[t]], k[~wide[t]]
+        order = np.argsort(t, kind="stable")
+        self.of_item, self.of_weight = k[order], (n * self.idf[t])[order]
+        self.of_start = np.searchsorted(t[order], np.arange(len(self.term) + 1))
         # length classes: passages of a class are as long as its longest item and one stride
         size = np.array([len(w) for w in self.words])
         self.classes = []
@@ -53,6 +66,14 @@ class Items:
                 self.classes.append((int(size[own].max()) + STRIDE, own))
             top *= 2
 
+    def possible(self, term: np.ndarray, share: float) -> np.ndarray:
+        """Items of which a text with these terms can hold `share` of the weight: the weight of the terms they have in common bounds every common subsequence."""
+        here = np.unique(term)
+        size = self.of_start[here + 1] - self.of_start[here]
+        at = np.repeat(self.of_start[here] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        got = np.bincount(self.of_item[at], self.of_weight[at], len(self.ids))
+        return np.flatnonzero(got + self.common >= share * self.mass - 1e-3)
+
     def rotate(self, basis: np.ndarray) -> None:
         """Take the terms' latent basis and place the items in it."""
         self.latent = (self.idf[:, None] * basis).astype(np.float32)
@@ -83,7 +104,7 @@ def hits_of(docs: DataFrame, items: Items, id_col: str, text_col: str) -> DataFr
             ids, n, pos, terms = [], [], [], []
             for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 words = WORD.findall(t.lower())
-                got = np.array([get(w, -1) for w in words], np.int32)
+                got = np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
                 at = np.flatnonzero(got >= 0).astype(np.int32)
                 if len(at):
                     ids.append(i)
@@ -211,25 +232,29 @@ def weighted_lcs(item: np.ndarray, text: np.ndarray, idf: np.ndarray) -> float:
 
 def leaks(items: Items, pos: np.ndarray, term: np.ndarray, n_words: int, least_cos: float, least_lcs: float, para_lcs: float, answer: float) -> list[tuple[int, float, float, float]]:
     """(item, cosine, LCS share, answer share) of the items that a document holds."""
+    maybe = items.possible(term, para_lcs)
+    if not len(maybe):
+        return []
     weight = items.idf[term]
     mass = np.concatenate([[0.0], np.cumsum(weight, dtype=np.float64)])
     out: dict[int, tuple[float, float, float]] = {}
     for span, own in items.classes:
+        own = np.intersect1d(own, maybe, assume_unique=True)
+        if not len(own):
+            continue
         starts = np.arange(0, max(1, n_words - span + STRIDE), STRIDE)
         a, b = np.searchsorted(pos, starts), np.searchsorted(pos, starts + span)
-        # a passage needs this much weight of benchmark words for any item of the class: nothing else can pass
-        near = np.flatnonzero(mass[b] - mass[a] >= para_lcs * items.mass[own].min() - 1e-3)
-        if not len(near):
-            continue
         need = para_lcs * items.mass[own] - 1e-3
-        for w in near:
-            vec = items.latent[term[a[w] : b[w]]].sum(axis=0)
+        # a passage needs this much weight of benchmark words for any item: nothing else can pass
+        for w in np.flatnonzero(mass[b] - mass[a] >= need.min()):
+            text = term[a[w] : b[w]]
+            vec = items.latent[text].sum(axis=0)
             cos = items.query[own] @ (vec / max(float(np.linalg.norm(vec)), 1e-12))
             for c in np.flatnonzero((cos >= least_cos) & (mass[b[w]] - mass[a[w]] >= need)):
                 k = int(own[c])
-                if k in out and out[k][1] >= least_lcs:
+                words = items.words[k]
+                if k in out and out[k][1] >= least_lcs or items.idf[words[np.isin(words, text)]].sum() < need[c]:
                     continue
-                words, text = items.words[k], term[a[w] : b[w]]
                 share = weighted_lcs(words, text, items.idf) / float(items.mass[k])
                 if share < para_lcs:
                     continue
