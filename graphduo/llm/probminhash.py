@@ -10,14 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, free_shuffles
 
 WORD = re.compile(r"\w+")
 SHINGLE = 5
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
-#: A pair inside an unresolved bucket is verified if its registers agree this much: 0.8 less 4.2 standard deviations of 125 registers.
-LEAST_AGREED = 0.65
+#: Texts of unresolved buckets are drawn again with so many registers; a pair is verified if its registers agree
+#: to the threshold less 3.5 standard deviations (at 0.8: 0.756).
+WIDE = 1024
 #: Rows of a bucket on one side of a block of comparisons.
 BLOCK = 256
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -116,7 +117,7 @@ def band_codes(regs: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketches(distinct: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(uid, regs binary, codes array<long>) of each text that has a word; regs keeps 16 bits of each register."""
+    """(uid, codes array<long>) of each text that has a word: one code for each band of registers."""
 
     def run(it):
         codes = WordCodes()
@@ -137,10 +138,9 @@ def sketches(distinct: DataFrame, bands: int, rows: int) -> DataFrame:
     def done(uid, sets):
         regs = registers(sets, bands * rows)
         code = band_codes(regs, bands, rows).view("<i8")
-        short = regs.astype("<u2")
-        return pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array([r.tobytes() for r in short], pa.binary()), pa.array(code.tolist(), pa.list_(pa.int64()))], names=["uid", "regs", "codes"])
+        return pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(code.tolist(), pa.list_(pa.int64()))], names=["uid", "codes"])
 
-    return distinct.select("uid", "text").mapInArrow(run, "uid long, regs binary, codes array<long>")
+    return distinct.select("uid", "text").mapInArrow(run, "uid long, codes array<long>")
 
 
 def verified(pairs: DataFrame, distinct: DataFrame, least: float) -> DataFrame:
@@ -163,7 +163,30 @@ def verified(pairs: DataFrame, distinct: DataFrame, least: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, similarity double")
 
 
-def rest_of_buckets(members: DataFrame, least: float, m: int) -> DataFrame:
+def wide_registers(distinct: DataFrame) -> DataFrame:
+    """(uid, regs binary): WIDE registers of 16 bits of each text that has a word."""
+
+    def run(it):
+        codes = WordCodes()
+        for batch in it:
+            uid, regs, some, n = [], [], [], 0
+            for u, t in zip(batch.column("uid").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                s = shingles(t, codes)
+                if len(s[0]):
+                    uid.append(u)
+                    some.append(s)
+                    n += WIDE + len(s[0])
+                if n > 100_000:
+                    regs += [r.tobytes() for r in registers(some, WIDE).astype("<u2")]
+                    some, n = [], 0
+            if some:
+                regs += [r.tobytes() for r in registers(some, WIDE).astype("<u2")]
+            yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(regs, pa.binary())], names=["uid", "regs"])
+
+    return distinct.select("uid", "text").mapInArrow(run, "uid long, regs binary")
+
+
+def rest_of_buckets(members: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) still to verify: members (bucket, code, uid, comp, n, lead) of buckets that hold two components or more.
 
     Rows of a bucket are dealt to blocks of about 256; every pair of blocks of a bucket is a
@@ -239,10 +262,9 @@ def classes(docs: DataFrame, least: float = 0.8, bands: int = BANDS, rows: int =
     class_id null. An empty table gives no rows.
     """
     ids, distinct = distinct_texts(docs, id_col, text_col)
-    links = near_links(distinct, least, bands, rows)
-    nodes = cut(components(links), "nodes")
+    links, nodes = near_links(distinct, least, bands, rows)
     degree = links.select(F.explode(F.array("a", "b")).alias("uid")).groupBy("uid").agg(F.count("*").alias("links"))
-    comp = distinct.select("uid", "doc_id", "sha").join(nodes.withColumnRenamed("node", "uid"), "uid", "left").join(degree, "uid", "left")
+    comp = distinct.select("uid", "doc_id", "sha").join(nodes, "uid", "left").join(degree, "uid", "left")
     comp = comp.select("sha", "doc_id", F.coalesce("comp", "uid").alias("comp"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
     least_id = comp.groupBy("comp").agg(F.min("doc_id").alias("class_id"))
     label = comp.join(least_id, "comp").select("sha", "comp", "class_id", "links")
@@ -251,22 +273,35 @@ def classes(docs: DataFrame, least: float = 0.8, bands: int = BANDS, rows: int =
     return rows_.join(sizes, "comp").select("doc_id", "class_id", "class_size", "links")
 
 
-def near_links(distinct: DataFrame, least: float, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(a, b, similarity) between uids of distinct (uid, text): enough of the verified links to give all classes."""
+def near_links(distinct: DataFrame, least: float, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+    """(links, nodes): links (a, b, similarity) between uids of distinct (uid, text), enough of all verified ones to give all classes; nodes (uid, comp), their components."""
+    spark = distinct.sparkSession
     drawn = cut(sketches(distinct, bands, rows), "sketches")
     places = drawn.select("uid", F.posexplode("codes").alias("band", "code"))
     buckets = cut(places.groupBy("band", "code").agg(F.min("uid").alias("lead"), F.count("*").alias("n")).where("n > 1"), "buckets")
     inside = places.join(buckets, ["band", "code"])
     star = cut(inside.where("uid <> lead").select(F.col("uid").alias("a"), F.col("lead").alias("b")).distinct(), "pairs")
     links = cut(verified(star, distinct, least), "links")
-    found = components(links).withColumnRenamed("node", "uid")
+    free_shuffles(spark)
+    found = cut(components(links).withColumnRenamed("node", "uid"), "nodes")
     # buckets of three or more in which not all are one component: pairs without the leader are still open
     placed = cut(inside.where("n > 2").join(found, "uid", "left").select("band", "code", "uid", "lead", "n", F.coalesce("comp", "uid").alias("comp")), "members")
     open_ = placed.groupBy("band", "code").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "code")
-    members = placed.join(open_, ["band", "code"], "left_semi").join(drawn.select("uid", "regs"), "uid")
-    more = cut(rest_of_buckets(members, LEAST_AGREED, bands * rows), "pairs")
-    later = cut(verified(more.join(star, ["a", "b"], "left_anti"), distinct, least), "links")
-    return links.unionAll(later)
+    members = cut(placed.join(open_, ["band", "code"], "left_semi"), "members")
+    wide = cut(wide_registers(distinct.join(members.select("uid").distinct(), "uid", "left_semi")), "wide")
+    agreed = least - 3.5 * (least * (1 - least) / WIDE) ** 0.5
+    more = cut(rest_of_buckets(members.join(wide, "uid"), agreed).join(star, ["a", "b"], "left_anti"), "pairs")
+    later = cut(verified(more, distinct, least), "links")
+    free_shuffles(spark)
+    if not later.limit(1).count():
+        return links, found
+    # the later links join components of the first
+    names = found.select(F.col("uid").alias("x"), "comp")
+    joined = later.join(names, later["a"] == names["x"], "left").select(F.coalesce("comp", "a").alias("a"), "b").join(names, F.col("b") == F.col("x"), "left").select("a", F.coalesce("comp", "b").alias("b"))
+    merged = cut(components(joined).select(F.col("node").alias("comp"), F.col("comp").alias("whole")), "merged")
+    ends = found.select("uid", "comp").unionAll(later.select(F.explode(F.array("a", "b")).alias("uid")).distinct().join(found, "uid", "left_anti").select("uid", F.col("uid").alias("comp")))
+    nodes = cut(ends.join(merged, "comp", "left").select("uid", F.coalesce("whole", "comp").alias("comp")), "nodes")
+    return links.unionAll(later), nodes
 
 
 def keep_one(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
