@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Bits of a language's phrase count in a packed sum.
 COUNT = 48
 UNKNOWN = "und"
+PREDICTION = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
 
 def automaton(text: str) -> dict:
@@ -94,7 +95,7 @@ class Model:
 class Counts(dict):
     """word -> its phrases in every language, packed into one integer; a bounded cache."""
 
-    def __init__(self, roots: list[dict], most: int = 500_000):
+    def __init__(self, roots: list[dict], most: int = 250_000):
         super().__init__()
         self.roots, self.most = roots, most
 
@@ -114,7 +115,7 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
-def learn(docs: DataFrame, per_lang: int = 400, doc_chars: int = 4000, lang_chars: int = 60_000, max_langs: int = 64, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def learn(docs: DataFrame, per_lang: int = 400, doc_chars: int = 4000, lang_chars: int = 40_000, max_langs: int = 64, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """The model of a bounded sample of the labelled documents outside the held-out fold.
 
     For each of at most max_langs languages (the most frequent), about per_lang documents (at
@@ -156,18 +157,14 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     without letters, or an empty model: ('und', 0). A null id counts as not held out. Repeated
     rows each give a row; an empty table gives none.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # bounded by learn(): max_langs * lang_chars symbols
-    fields = [docs.schema[c] for c in keep]
-    rows = docs.select(docs[id_col].cast("long").alias("__id"), docs[text_col].alias("__text"), *[docs[c].alias(f"__k{k}") for k, c in enumerate(keep)])
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by learn(): max_langs * lang_chars symbols
 
-    def run(it):
+    @F.pandas_udf(PREDICTION)
+    def predict(text: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        for batch in it:
-            got = [m.predict(t) for t in batch.column("__text").to_pylist()]
-            more = [batch.column(f"__k{k}") for k in range(len(fields))]
-            yield pa.RecordBatch.from_arrays([batch.column("__id"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), *more], names=["__id", "lang_pred", "score", *[f"__k{k}" for k in range(len(fields))]])
-
-    ddl = "__id long, lang_pred string, score double" + "".join(f", __k{k} {f.dataType.simpleString()}" for k, f in enumerate(fields))
-    out = rows.mapInArrow(run, ddl)
-    return out.select(F.col("__id").alias("doc_id"), F.coalesce(held_out(F.col("__id")), F.lit(False)).alias("held_out"), "lang_pred", "score", *[F.col(f"__k{k}").alias(c) for k, c in enumerate(keep)])
+        for some in text:  # only the text goes to Python, and only the prediction comes back
+            yield pd.DataFrame([m.predict(t) for t in some], columns=["lang_pred", "score"])
+
+    doc_id = docs[id_col].cast("long")
+    out = docs.select(doc_id.alias("doc_id"), F.coalesce(held_out(doc_id), F.lit(False)).alias("held_out"), predict(docs[text_col]).alias("told"), *[docs[c] for c in keep])
+    return out.select("doc_id", "held_out", "told.lang_pred", "told.score", *keep)

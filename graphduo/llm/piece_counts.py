@@ -14,7 +14,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str
 
     tokenizer: path of a .json file of the tokenizers library; special strings inside a text
     count as that library reads them. The table "distinct pre-token -> pieces" lives in each
-    worker, holds at most 600,000 entries and is joined there to the documents' pre-tokens; a
+    worker, holds at most 300,000 words (and half as many with signs behind them) and is joined there to the documents' pre-tokens; a
     global table would need a shuffle larger than the texts. No exchange at all: cost is linear,
     a lost executor repeats its own tasks only. A null text counts as empty: 0 tokens. A null
     doc_id stays null. Repeated rows each give a row; an empty table gives none.

@@ -47,7 +47,7 @@ class Pieces(dict):
     case if the tokenizer lowers them, so fewer distinct parts reach the library.
     """
 
-    def __init__(self, path: str, of: Callable[[list[int]], object], spaced: bool, most: int = 600_000):
+    def __init__(self, path: str, of: Callable[[list[int]], object], spaced: bool, most: int = 300_000):
         super().__init__()
         self.tok, self.of, self.spaced, self.most = load(path), of, spaced, most
         self.lowers = self.tok.normalizer is not None and self.tok.normalizer.normalize_str("AÉ") == "aé"

@@ -34,7 +34,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordCodes(dict):
     """word -> 64-bit code; a bounded cache."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 300_000):
         super().__init__()
         self.most = most
 

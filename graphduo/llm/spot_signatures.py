@@ -6,9 +6,11 @@ import hashlib
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from .common import cut, id_ranges, texts
 
@@ -30,7 +32,7 @@ def word_code(word: str) -> int:
 class Codes(dict):
     """word -> 64-bit code whose lowest bit says if the word is an anchor; a bounded cache."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 300_000):
         super().__init__()
         self.most = most
 
@@ -87,6 +89,20 @@ def printed(sig: np.ndarray, size: int = 64) -> str:
     return f"{len(sig)}:" + (sig[:size] >> np.uint64(32)).astype(">u4").tobytes().hex() if len(sig) else ""
 
 
+def range_of(spark, splits: list[int]):
+    """The number of split points at or below the column `key`; beyond 1000 of them by a vectorised search on that column alone."""
+    if len(splits) <= 1000:
+        bounds = F.array(*[F.lit(x).cast("long") for x in splits]) if splits else F.array().cast("array<long>")
+        return F.size(F.filter(bounds, lambda x: x <= F.col("key")))
+    shared = spark.sparkContext.broadcast(np.array(splits, np.int64))
+
+    @F.pandas_udf(IntegerType())
+    def search(key: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(shared.value, key.to_numpy(), side="right").astype("int32"))
+
+    return search("key")
+
+
 def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text, of its edit and of the next document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_signatures.
 
@@ -103,15 +119,13 @@ def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     keyed = rows.select(key.alias("key"), "doc_id", "text")
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     splits = id_ranges(keyed.select("key"), "key", parts)
-    bounds = F.array(*[F.lit(x).cast("long") for x in splits]) if splits else F.array().cast("array<long>")
-    where = F.size(F.filter(bounds, lambda x: x <= F.col("key")))
+    where = range_of(spark, splits)
     tops = keyed.select(where.alias("range"), "key").groupBy("range").agg(F.max("key").alias("top")).orderBy("range").collect()  # one row for each range
     halo = {tops[k]["top"]: tops[(k + 1) % len(tops)]["range"] for k in range(len(tops))}  # the top row of a range is next for the range above; that of the highest, for the lowest
     dealt = keyed.select(where.alias("range"), F.lit(0).alias("role"), "key", "doc_id", "text")
     if halo:
-        to = F.create_map(*[F.lit(x) for k, v in halo.items() for x in (k, v)])
-        extra = keyed.where(F.col("key").isin(list(halo))).select(F.element_at(to, F.col("key")).cast("int").alias("range"), F.lit(1).alias("role"), "key", "doc_id", "text")
-        dealt = dealt.unionAll(extra)
+        to = spark.createDataFrame(list(halo.items()), "key long, range int")  # one row for each range
+        dealt = dealt.unionAll(keyed.join(F.broadcast(to), "key").select("range", F.lit(1).alias("role"), "key", "doc_id", "text"))
     dealt = dealt.repartition(parts, "range").sortWithinPartitions("range", "role", F.desc("key"), F.desc("text"))
 
     def run(it):

@@ -31,6 +31,13 @@ def test_fingerprints_of_texts_edits_and_neighbours(spark):
     assert len(same) == 2 and len(set(same)) == 1
 
 
+def test_ranges_by_expression_and_by_search(spark):
+    rows = spark.range(0, 3000).select(F.col("id").alias("key"))
+    for splits in ([], [5, 9], list(range(0, 2400, 2))):
+        got = {r["key"]: r["r"] for r in rows.select("key", spot_signatures.range_of(spark, splits).alias("r")).collect()}
+        assert all(got[k] == sum(x <= k for x in splits) for k in (0, 4, 5, 9, 10, 2399, 2999))
+
+
 def test_fingerprints_of_odd_tables(spark):
     assert spot_signatures.fingerprint_pairs(empty(spark)).count() == 0
     one = spot_signatures.fingerprint_pairs(documents(spark, ["the river walks in green"], [4])).collect()
