@@ -105,8 +105,12 @@ def two_sample_test(gs: GraphSet | None, kernel, estimators: str | list[str] | d
         else:
             raise ValueError(f"estimator must be one of {mmd.ESTIMATORS}, not {name!r}")
     log.info("kernel %s, estimators %s, options %s", kernel if isinstance(kernel, str) else type(kernel).__name__, list(stats), options)
+    context = gs.graphs.sparkSession.sparkContext if gs is not None else None
+    if context:
+        context.setJobDescription(f"kernel matrix: {kernel if isinstance(kernel, str) else 'given'}")  # progress in the UI
     table = kernel_matrix(gs, kernel, **options)
     k = gram.dense(table)
+    table.sparkSession.sparkContext.setJobDescription(f"null distribution: {B} resamples")
     if gs is not None:
         n1 = gs.sizes()[0]
     if n1 is None or not 0 < n1 < len(k):
@@ -119,6 +123,7 @@ def two_sample_test(gs: GraphSet | None, kernel, estimators: str | list[str] | d
     spark = table.sparkSession
     observed = {name: float(f(k, n1, np.random.default_rng([seed, 0]))) for name, f in stats.items()}
     null = mmd.dense_null(spark, k, n1, stats, B, seed, scheme).toPandas()  # B numbers per estimator
+    spark.sparkContext.setJobDescription(None)
     rows = []
     for name, value in observed.items():
         at = np.floor(null.loc[null["estimator"] == name, "statistic"].to_numpy() * 1e6 + 0.5137)
