@@ -111,8 +111,10 @@ def unpack(data: bytes) -> list[np.ndarray]:
 
 
 def deal(key: np.ndarray, doc: np.ndarray, uids: np.ndarray, ids: np.ndarray, buckets: int, *cols: np.ndarray):
-    """(bucket, packed rows) for rows in order of doc (an index into uids and ids)."""
-    bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    """(bucket, packed rows) for rows in order of doc (an index into uids and ids). Keys are mixed first: minimizers are small numbers."""
+    with np.errstate(over="ignore"):
+        mixed = mix64(key * G)
+    bucket = ((mixed >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
     for k in np.flatnonzero(ends[1:] > ends[:-1]):
