@@ -287,6 +287,8 @@ def contaminated(docs: DataFrame, bench: DataFrame, least_cos: float = 0.3, leas
         items.weigh(document_frequency(hits, len(items.term)), n_docs)
         items.rotate(latent_basis(hits, items))
         shared = spark.sparkContext.broadcast(items)
+        # the table of hits is small for the work it makes: more tasks than its files give
+        tasks = max(4 * hits.rdd.getNumPartitions(), 4 * spark.sparkContext.defaultParallelism)
 
         def run(it, shared=shared):
             got = shared.value
@@ -295,7 +297,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, least_cos: float = 0.3, leas
                 cols = list(zip(*rows, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()), strict=True)], names=["doc_id", "item_id", "cosine", "lcs_share", "answer_share"])
 
-        out = out.unionAll(hits.mapInArrow(run, shape))
+        out = out.unionAll(hits.repartition(tasks).mapInArrow(run, shape))
     return out
 
 

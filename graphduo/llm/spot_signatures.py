@@ -118,7 +118,7 @@ def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
     keyed = rows.select(key.alias("key"), "doc_id", "text")
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    splits = id_ranges(keyed.select("key"), "key", parts)
+    splits = id_ranges(keyed.select("key"), "key", 4 * parts)  # several ranges to a partition even out
     where = range_of(spark, splits)
     tops = keyed.select(where.alias("range"), "key").groupBy("range").agg(F.max("key").alias("top")).orderBy("range").collect()  # one row for each range
     halo = {tops[k]["top"]: tops[(k + 1) % len(tops)]["range"] for k in range(len(tops))}  # the top row of a range is next for the range above; that of the highest, for the lowest
