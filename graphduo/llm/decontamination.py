@@ -118,7 +118,7 @@ def hits_of(docs: DataFrame, items: Items, id_col: str, text_col: str) -> DataFr
 
 
 def summed(parts: DataFrame, n: int, shape: tuple[int, ...]) -> np.ndarray:
-    """The sum of partial arrays (part int, data binary: float64), one row per task, in a tree with 32 branches: the driver gets at most 32 rows."""
+    """The sum of partial arrays (part int, data binary: float64), one row per task, in a tree with 8 branches: the driver gets at most 8 rows."""
 
     def run(it):
         total, key = None, 0
@@ -129,11 +129,11 @@ def summed(parts: DataFrame, n: int, shape: tuple[int, ...]) -> np.ndarray:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "data"])
 
-    while n > 32:
-        n = -(-n // 32)
+    while n > 8:
+        n = -(-n // 8)
         parts = parts.withColumn("part", F.pmod("part", F.lit(n))).repartition(n, "part").mapInArrow(run, "part int, data binary")
     out = np.zeros(int(np.prod(shape)))
-    for r in parts.select("data").toLocalIterator():
+    for r in parts.select("data").collect():
         out += np.frombuffer(r["data"], np.float64)
     return out.reshape(shape)
 
