@@ -235,8 +235,7 @@ def leaks(items: Items, pos: np.ndarray, term: np.ndarray, n_words: int, least_c
     maybe = items.possible(term, para_lcs)
     if not len(maybe):
         return []
-    weight = items.idf[term]
-    mass = np.concatenate([[0.0], np.cumsum(weight, dtype=np.float64)])
+    weight, member = items.idf[term], np.zeros(len(items.idf), bool)
     out: dict[int, tuple[float, float, float]] = {}
     for span, own in items.classes:
         own = np.intersect1d(own, maybe, assume_unique=True)
@@ -244,16 +243,17 @@ def leaks(items: Items, pos: np.ndarray, term: np.ndarray, n_words: int, least_c
             continue
         starts = np.arange(0, max(1, n_words - span + STRIDE), STRIDE)
         a, b = np.searchsorted(pos, starts), np.searchsorted(pos, starts + span)
-        need = para_lcs * items.mass[own] - 1e-3
-        # a passage needs this much weight of benchmark words for any item: nothing else can pass
-        for w in np.flatnonzero(mass[b] - mass[a] >= need.min()):
-            text = term[a[w] : b[w]]
-            vec = items.latent[text].sum(axis=0)
-            cos = items.query[own] @ (vec / max(float(np.linalg.norm(vec)), 1e-12))
-            for c in np.flatnonzero((cos >= least_cos) & (mass[b[w]] - mass[a[w]] >= need)):
-                k = int(own[c])
-                words = items.words[k]
-                if k in out and out[k][1] >= least_lcs or items.idf[words[np.isin(words, text)]].sum() < need[c]:
+        for k in map(int, own):
+            # a passage's weight of the item's words bounds their common subsequence: nothing lighter can pass
+            words, need = items.words[k], para_lcs * items.mass[k] - 1e-3
+            member[words] = True
+            mass = np.concatenate([[0.0], np.cumsum(np.where(member[term], weight, 0), dtype=np.float64)])
+            member[words] = False
+            for w in np.flatnonzero(mass[b] - mass[a] >= need):
+                text = term[a[w] : b[w]]
+                vec = items.latent[text].sum(axis=0)
+                cos = float(items.query[k] @ vec) / max(float(np.linalg.norm(vec)), 1e-12)
+                if cos < least_cos or items.idf[words[np.isin(words, text)]].sum() < need:
                     continue
                 share = weighted_lcs(words, text, items.idf) / float(items.mass[k])
                 if share < para_lcs:
@@ -261,7 +261,7 @@ def leaks(items: Items, pos: np.ndarray, term: np.ndarray, n_words: int, least_c
                 tail = words[len(words) - items.answers[k] :]
                 told = weighted_lcs(tail, text, items.idf) / float(items.idf[tail].sum())
                 if share >= least_lcs or told >= answer:
-                    out[k] = max(out.get(k, (0.0, 0.0, 0.0)), (float(cos[c]), share, told), key=lambda x: x[1])
+                    out[k] = max(out.get(k, (0.0, 0.0, 0.0)), (cos, share, told), key=lambda x: x[1])
     return [(items.ids[k], *v) for k, v in sorted(out.items())]
 
 
