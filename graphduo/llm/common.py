@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -51,8 +52,10 @@ def cut(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Have the shuffle files of finished steps deleted now: Spark does so once the driver has collected its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round frees lets the second find the rest; the files go in the background
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
