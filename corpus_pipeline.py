@@ -14,15 +14,22 @@ from graphduo.llm.common import cut
 from graphduo.llm.queries import vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Score from which a prediction outweighs a label.
+CLEAR = 0.1
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a letter, with lang the predicted language where it had none."""
+    """Documents whose text has a letter, with lang the predicted language.
+
+    A label stays where the prediction contradicts it by a score under CLEAR (a short or mixed
+    text), or where the model has not learned the label's language and cannot judge it.
+    """
     from pyspark.sql import functions as F
 
     model = language_id.learn(docs)
     told = language_id.identify(docs, model, keep=COLUMNS[1:]).where(F.col("lang_pred") != language_id.UNKNOWN)
-    return told.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+    stays = F.col("lang").isNotNull() & ((F.col("score") < CLEAR) | ~F.col("lang").isin(model.langs))
+    return told.withColumn("lang", F.when(stays, F.col("lang")).otherwise(F.col("lang_pred"))).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
