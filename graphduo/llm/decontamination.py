@@ -1,4 +1,4 @@
-"""Benchmark passages in documents: latent semantic retrieval over TF-IDF passages, then longest common subsequences and answers."""
+"""Benchmark passages in documents: bounds on the common weight, longest common subsequences and answers; cosines in a latent space of TF-IDF passages."""
 
 from __future__ import annotations
 
@@ -230,8 +230,13 @@ def weighted_lcs(item: np.ndarray, text: np.ndarray, idf: np.ndarray) -> float:
     return float(best[-1])
 
 
-def leaks(items: Items, pos: np.ndarray, term: np.ndarray, n_words: int, least_cos: float, least_lcs: float, para_lcs: float, answer: float) -> list[tuple[int, float, float, float]]:
-    """(item, cosine, LCS share, answer share) of the items that a document holds."""
+def leaks(items: Items, pos: np.ndarray, term: np.ndarray, n_words: int, least_lcs: float, para_lcs: float, answer: float) -> list[tuple[int, float, float, float]]:
+    """(item, cosine, LCS share, answer share) of the items that a document holds.
+
+    A passage is passed over only by bounds on the common subsequence, so none that holds an item is missed;
+    the cosine is measured for those found. In a space of fixed rank, with a short item in a long
+    passage, it falls under any threshold for some verbatim copies.
+    """
     maybe = items.possible(term, para_lcs)
     if not len(maybe):
         return []
@@ -251,9 +256,7 @@ def leaks(items: Items, pos: np.ndarray, term: np.ndarray, n_words: int, least_c
             member[words] = False
             for w in np.flatnonzero(mass[b] - mass[a] >= need):
                 text = term[a[w] : b[w]]
-                vec = items.latent[text].sum(axis=0)
-                cos = float(items.query[k] @ vec) / max(float(np.linalg.norm(vec)), 1e-12)
-                if cos < least_cos or items.idf[words[np.isin(words, text)]].sum() < need:
+                if items.idf[words[np.isin(words, text)]].sum() < need:
                     continue
                 share = weighted_lcs(words, text, items.idf) / float(items.mass[k])
                 if share < para_lcs:
@@ -261,17 +264,19 @@ def leaks(items: Items, pos: np.ndarray, term: np.ndarray, n_words: int, least_c
                 tail = words[len(words) - items.answers[k] :]
                 told = weighted_lcs(tail, text, items.idf) / float(items.idf[tail].sum())
                 if share >= least_lcs or told >= answer:
+                    vec = items.latent[text].sum(axis=0)
+                    cos = float(items.query[k] @ vec) / max(float(np.linalg.norm(vec)), 1e-12)
                     out[k] = max(out.get(k, (0.0, 0.0, 0.0)), (cos, share, told), key=lambda x: x[1])
     return [(items.ids[k], *v) for k, v in sorted(out.items())]
 
 
-def contaminated(docs: DataFrame, bench: DataFrame, least_cos: float = 0.3, least_lcs: float = 0.75, para_lcs: float = 0.5, answer: float = 0.75, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, bench: DataFrame, least_lcs: float = 0.75, para_lcs: float = 0.5, answer: float = 0.75, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Pairs (doc_id, item_id, cosine, lcs_share, answer_share): the document holds the benchmark item.
 
-    A document's passages (as long as the items of a length class and one stride of 32 words) are
-    placed in the latent space; an item is a candidate if the cosine is least_cos or more. It is held if
+    A document's passages are as long as the items of a length class and one stride of 32 words. An
+    item is a candidate in every passage whose words in common with it weigh para_lcs of the item; it is held if
     their common subsequence has least_lcs of the item's word weight, or, for a paraphrase,
-    para_lcs of it and `answer` of the item's answer (its last sentence). Words weigh by their
+    para_lcs of it and `answer` of the item's answer (its last sentence). The cosine is that of item and passage in the latent space; it vetoes nothing. Words weigh by their
     inverse document frequency in all documents. Documents and items that are null, empty or without a word
     match nothing; repeated rows each give their pairs, null ids give pairs with a null id. The benchmark is
     the query set, taken in blocks of bounded size against all documents.
@@ -293,7 +298,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, least_cos: float = 0.3, leas
         def run(it, shared=shared):
             got = shared.value
             for batch in it:
-                rows = [(i, *x) for i, n, p, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_words", "pos", "term")), strict=True) for x in leaks(got, np.frombuffer(p, np.int32), np.frombuffer(t, np.int32), n, least_cos, least_lcs, para_lcs, answer)]
+                rows = [(i, *x) for i, n, p, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_words", "pos", "term")), strict=True) for x in leaks(got, np.frombuffer(p, np.int32), np.frombuffer(t, np.int32), n, least_lcs, para_lcs, answer)]
                 cols = list(zip(*rows, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()), strict=True)], names=["doc_id", "item_id", "cosine", "lcs_share", "answer_share"])
 

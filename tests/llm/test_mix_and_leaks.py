@@ -80,6 +80,43 @@ def test_leaks_and_paraphrases(spark):
     assert {r["doc_id"] for r in kept.collect()} == set(range(len(texts))) - {d for d, _ in want}
 
 
+def test_recall_by_item_length(spark):
+    rng = random.Random(12)
+    vocab = ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(4000)]
+    some = lambda n: [rng.choice(vocab) for _ in range(n)]
+    items = [some(rng.randint(5, 63)) for _ in range(600)]
+    texts, plants = [], []
+    for d in range(120):
+        words = some(30)
+        for k in range(5 * d, 5 * d + 5):
+            words += items[k] + some(40)
+            plants.append((d, k))
+        texts.append(words)
+    bench = spark.createDataFrame([(k, " ".join(w), "x") for k, w in enumerate(items)], BENCH)
+    docs = documents(spark, [" ".join(w) for w in texts], list(range(len(texts))))
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, bench).collect()}
+    for low, high in ((5, 10), (10, 20), (20, 30), (30, 64)):
+        own = [p for p in plants if low <= len(items[p[1]]) < high]
+        assert len(own) > 30 and all(p in got for p in own), (low, high, sum(p in got for p in own), len(own))
+    # every item against every passage of a few documents
+    of = {w: k for k, w in enumerate(dict.fromkeys(w for i in items for w in i))}
+    df = np.zeros(len(of))
+    for t in texts:
+        df[[of[w] for w in set(t) if w in of]] += 1
+    idf = (np.log((1 + len(texts)) / (1 + df)) + 0.1).astype(np.float32)
+    span = max(map(len, items)) + decontamination.STRIDE
+    for d in (0, 1):
+        text = np.array([of.get(w, -1) for w in texts[d]])
+        spans = [text[a : a + span] for a in range(0, max(1, len(text) - span + decontamination.STRIDE), decontamination.STRIDE)]
+        want = set()
+        for k, i in enumerate(items):
+            i = np.array([of[w] for w in i])
+            best = max((x for x in spans if idf[i[np.isin(i, x)]].sum() >= 0.5 * idf[i].sum()), key=lambda x: decontamination.weighted_lcs(i, x, idf), default=None)
+            if best is not None and decontamination.weighted_lcs(i, best, idf) >= 0.75 * idf[i].sum():
+                want.add((d, k))
+        assert want <= {g for g in got if g[0] == d}
+
+
 def test_common_subsequences():
     idf = np.array([1, 2, 3, 4], np.float32)
 
