@@ -20,28 +20,36 @@ HOLDS = frozenset(("article", "main"))
 #: Words in class, id or role that name menus, headers, sidebars, notices, adverts, forms and comments (fixed values).
 CHROME = frozenset("ad ads adv advert advertisement advertising alert banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies consent dialog disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted recommended related reply replies replylist search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split())
 SITE_HEADER = frozenset("header pageheader siteheader topbar".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements of running text: next to content in the same element they are content too.
+PROSE = HEADINGS | frozenset("blockquote dl ol p pre table ul".split())
 NAME = re.compile(r"[a-z]+")
 SIGMA = 1.0
 
 
 class Box:
-    """An open element; `hides`: its text is not the article's; `held`: the article or main it lies in."""
+    """An open element; `hides`: its text is not the article's; `held`: the article or main it lies in; `link`: it is or lies in a link;
+    `block`: the innermost element that ends lines, itself or around it; `home`: the one around that (a paragraph left open holds no other)."""
 
-    __slots__ = ("tag", "hides", "held", "ended")
+    __slots__ = ("tag", "hides", "held", "ended", "link", "block", "home")
 
-    def __init__(self, tag: str, hides: "Box | None", held: "Box | None"):
+    def __init__(self, tag: str, hides: "Box | None", held: "Box | None", parent: "Box | None"):
         self.tag, self.hides, self.held, self.ended = tag, hides, held, False
+        self.link = tag == "a" or parent is not None and parent.link
+        outer = parent and parent.block
+        self.block = self if tag in BLOCK else outer
+        self.home = outer.home if outer and (tag not in BLOCK or tag == outer.tag == "p") else outer
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, hiding element, holding element, heading?) for each line, event by event."""
+    """Collects (text, tags, hiding element, holding element, innermost element, only links?) for each line, event by event."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[Box] = []
-        self.lines: list[tuple[str, int, Box | None, Box | None]] = []
+        self.lines: list[tuple[str, int, Box | None, Box | None, Box | None, bool]] = []
         self.text: list[str] = []
-        self.tags = 0
+        self.tags, self.links = 0, True
 
     def end_line(self) -> None:
         if self.text:
@@ -49,8 +57,8 @@ class Lines(HTMLParser):
             self.text = []
             if words:
                 top = self.open[-1] if self.open else None
-                self.lines.append((words, self.tags, top and top.hides, top and top.held))
-                self.tags = 0
+                self.lines.append((words, self.tags, top and top.hides, top and top.held, top, self.links))
+                self.tags, self.links = 0, True
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK:
@@ -59,7 +67,7 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         top = self.open[-1] if self.open else None
-        box = Box(tag, top and top.hides, top and top.held)
+        box = Box(tag, top and top.hides, top and top.held, top)
         if tag in HOLDS and not box.held:
             box.held = box
         hides = tag in NEVER or tag == "header" and not box.held or tag == "article" and box.held is not box and box.held.tag == "article"
@@ -91,6 +99,8 @@ class Lines(HTMLParser):
                 return  # a stray end inside a container closes nothing outside it
 
     def handle_data(self, data):
+        if self.links and not (self.open and self.open[-1].link) and data.strip():
+            self.links = False
         self.text.append(data)
 
     def close(self):
@@ -126,7 +136,7 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
     article that opens in it. Of the rest, lines whose smoothed ratio passes the threshold
     are content. If they lie in an article or main, that container is the region, whole (and
     others with a quarter of its content); else the region runs from the first to the last
-    content line, with a heading just before it.
+    content line, with the paragraphs of the same element next to it and the headings just before it.
     """
     if not html:
         return ""
@@ -136,19 +146,50 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
     free = [x for x in p.lines if x[2] is None or x[3] is not None and not x[2].ended and x[2] is not x[3] and not x[2].held]
     if not free:
         return ""
-    ratio = np.array([len(t) / max(1, n) for t, n, _, _ in free], float)
+    ratio = np.array([len(t) / max(1, n) for t, n, *_ in free], float)
     soft = smoothed(ratio, sigma)
     content = soft >= threshold(soft)
     mass: dict[int, float] = {}
-    for (t, _, _, held), c in zip(free, content, strict=True):
+    for (t, _, _, held, *_), c in zip(free, content, strict=True):
         if held is not None:
             mass[id(held)] = mass.get(id(held), 0.0) + (len(t) if c else 0)
-    outside = sum(len(t) for (t, _, _, held), c in zip(free, content, strict=True) if c and held is None)
+    outside = sum(len(t) for (t, _, _, held, *_), c in zip(free, content, strict=True) if c and held is None)
     if mass and max(mass.values()) >= 0.25 * outside:
         least = 0.25 * max(mass.values())
-        return " ".join(t for t, _, _, held in free if held is not None and mass[id(held)] >= least)
+        return " ".join(t for t, _, _, held, *_ in free if held is not None and mass[id(held)] >= least)
     at = np.flatnonzero(content)
-    return " ".join(t for t, *_ in free[at[0] : at[-1] + 1]) if len(at) else ""
+    if not len(at):
+        return ""
+    first, last = region([(x[4], x[5]) for x in free], int(at[0]), int(at[-1]))
+    return " ".join(t for t, *_ in free[first : last + 1])
+
+
+def region(lines: list[tuple[Box | None, bool]], first: int, last: int) -> tuple[int, int]:
+    """First and last line of the region, from those of its content: on by running text of the same element that is more than links, and back by headings."""
+    blocks = [b and b.block for b, _ in lines]
+
+    def grown(edge: int, step: int) -> int:
+        """The last line, from `edge` by `step`, of running text in the element around the edge's block."""
+        here, top, k = blocks[edge], {}, edge
+        while here is not None and 0 <= k + step < len(lines) and not lines[k + step][1]:
+            b, path = blocks[k + step], []
+            while b is not None and b not in top and b.home is not here.home:  # the block of that element the line lies in
+                path.append(b)
+                b = b.home
+            b = top.get(b, b)
+            top.update(dict.fromkeys(path, b))
+            if b is None or b.tag not in PROSE and b is not here:
+                break
+            k += step
+        return k
+
+    tail = last
+    first, last = grown(first, -1), grown(last, 1)
+    while last > tail and blocks[last].tag in HEADINGS:  # a heading of what is left out
+        last -= 1
+    while first and blocks[first - 1] is not None and blocks[first - 1].tag in HEADINGS:
+        first -= 1
+    return first, last
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

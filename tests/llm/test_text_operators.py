@@ -148,6 +148,22 @@ def test_density_where_there_is_no_container():
     assert got.count("word") == 240 and "l5" not in got
 
 
+def test_whole_texts_where_there_is_no_container():
+    links = "".join(f"<div><a href='/{k}'>l{k}</a></div>" for k in range(12))
+    long_ = [("x" * 19 + " ") * 10 + str(k) for k in range(6)]
+    short = ["Closing words that end it, number %d." % k for k in range(4)]
+    p = lambda ts: "".join(f"<p>{t}</p>" for t in ts)
+    want = " ".join(["Head", *long_, *short])
+    assert html_main.main_text(f"<body>{links}<h1>Head</h1>{p(long_)}{links}</body>") == " ".join(["Head", *long_])
+    assert html_main.main_text(f"<body>{links}<h1>Head</h1>{p(long_)}{p(short)}{links}</body>") == want
+    assert html_main.main_text(f"<body>{links}<div><h1>Head</h1></div><div>{p(long_)}{p(short)}</div>{links}</body>") == want
+    assert html_main.main_text(f"<body>{links}<div><h1>Head</h1>{p(long_)}<h2>End</h2>{p(short)}<h2>More</h2>{links}</div></body>") == " ".join(["Head", *long_, "End", *short])
+    assert html_main.main_text(f"<body>{links}<h1>Head</h1>{'<p>'.join(['', *long_, *short])}{links}</body>") == want
+    linked = "".join(f"<p><a href='/{k}'>l{k}</a></p>" for k in range(12))
+    assert html_main.main_text(f"<body>{linked}<h1>Head</h1>{p(long_)}{p(short)}{linked}</body>") == want
+    assert html_main.main_text(f"<body>{links}<h1>Head</h1><p class='ad'>Buy</p>{p(long_)}<p>By <b>one</b> hand.</p>{links}</body>") == " ".join(["Head", *long_, "By one hand."])
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 3), (None, None, None, 3), (2, "v", "<article>" + "<p>x y</p>" * 20000, 3), (2, "v", "", 3)], "page_id long, url string, html string, text int")
     got = sorted(html_main.extract(pages).collect(), key=str)
