@@ -343,13 +343,13 @@ def gram_pyramid_match(spark, sf_dir):
 
 @query(o.sql(o.OBS, "SELECT sample, win, col, CAST(count(*) AS BIGINT) AS n, " + o.MICRO.format("avg(x)") + " AS mean_micro, " + o.MICRO.format("sqrt(var_pop(x))") + " AS sd_micro FROM cells GROUP BY ALL"))
 def matrix_windows(spark, sf_dir):
-    v = estimate.long_form(estimate.windows(tables.embedding_matrix(spark, sf_dir), 25))
+    v = estimate.long_form(estimate.windows(tables.embedding_matrix(spark, sf_dir, dims=4), 25))
     return v.groupBy("sample", "win", "col").agg(F.count("*").alias("n"), micro(F.avg("x")).alias("mean_micro"), micro(F.sqrt(F.var_pop("x"))).alias("sd_micro"))
 
 
 @query(o.sql(o.OBS, "SELECT sample, win, row_idx, col, CAST(2 * (rank() OVER (PARTITION BY sample, win, col ORDER BY x) + (count(*) OVER (PARTITION BY sample, win, col, x) - 1) / 2.0) AS BIGINT) AS rank_x2 FROM cells"))
 def matrix_ranks(spark, sf_dir):
-    r = estimate.average_ranks(estimate.long_form(estimate.windows(tables.embedding_matrix(spark, sf_dir), 25)))
+    r = estimate.average_ranks(estimate.long_form(estimate.windows(tables.embedding_matrix(spark, sf_dir, dims=4), 25)))
     return r.select("sample", "win", "row_idx", "col", (2 * F.col("r")).cast("long").alias("rank_x2"))
 
 
@@ -360,17 +360,17 @@ def matrix_nonparanormal(spark, sf_dir):
 
 @query(o.sql([*o.OBS, "c2 AS (SELECT sample, win, var_pop(x[1]) AS aa, var_pop(x[2]) AS bb, covar_pop(x[1], x[2]) AS ab FROM win GROUP BY ALL)", "w2 AS (SELECT *, sign(ab) * greatest(abs(ab) - 0.0005, 0.0) AS w FROM c2)"], f"SELECT sample, win, {o.MICRO.format('-w / (aa * bb - w * w)')} AS weight_micro FROM w2"))
 def matrix_glasso_two_columns(spark, sf_dir):
-    return in_micro(estimate.two_column_precision(tables.embedding_matrix(spark, sf_dir), 25, 5e-4), "weight", "weight_micro")
+    return in_micro(estimate.two_column_precision(tables.embedding_matrix(spark, sf_dir, dims=4), 25, 5e-4), "weight", "weight_micro")
 
 
 @query()
 def matrix_graphs(spark, sf_dir):
     alphas = [float(a) for a in np.exp(np.linspace(-9, -6, 8))]
-    gs = estimate.estimate_graphs(tables.embedding_matrix(spark, sf_dir, dims=6), 25, alphas, 0.0, nonparanormal=True, set_labels="degree", set_attributes=lambda x: x.mean(axis=0)[:, None])
+    gs = estimate.estimate_graphs(tables.embedding_matrix(spark, sf_dir), 25, alphas, 0.0, nonparanormal=True, set_labels="degree", set_attributes=lambda x: x.mean(axis=0)[:, None])
     return gs.edges.select("graph_id", "src", "dst", "weight")
 
 
 @query()
 def matrix_test(spark, sf_dir):
-    gs = estimate.estimate_graphs(tables.embedding_matrix(spark, sf_dir, dims=6), 25, [3e-4, 1e-3, 3e-3], 0.0, set_labels="degree").stored()
+    gs = estimate.estimate_graphs(tables.embedding_matrix(spark, sf_dir), 25, [3e-4, 1e-3, 3e-3], 0.0, set_labels="degree").stored()
     return two_sample_test(gs, "RW_ARKU_plus", ["MMD_u", "MMD_b"], B=200, r=4, c=1e-7, check_psd=True)

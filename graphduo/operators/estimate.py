@@ -61,14 +61,18 @@ def gaussian_scores(x: np.ndarray) -> np.ndarray:
 
 def lasso_row(w: np.ndarray, s: np.ndarray, alpha: float, beta: np.ndarray, rounds: int = 500, tol: float = 1e-8) -> np.ndarray:
     """argmin of b'Wb/2 - s'b + alpha |b|_1 by coordinate descent."""
+    left, diag, b = s - w @ beta, w.diagonal().tolist(), beta.tolist()
     for _ in range(rounds):
         moved = 0.0
-        for k in range(len(s)):
-            g = s[k] - w[k] @ beta + w[k, k] * beta[k]
-            new = np.sign(g) * max(abs(g) - alpha, 0.0) / w[k, k]
-            moved, beta[k] = max(moved, abs(new - beta[k])), new
+        for k, d in enumerate(diag):
+            g = float(left[k]) + d * b[k]
+            new = (g - alpha if g > alpha else g + alpha if g < -alpha else 0.0) / d
+            if new != b[k]:
+                left -= (new - b[k]) * w[k]
+                moved, b[k] = max(moved, abs(new - b[k])), new
         if moved < tol:
             break
+    beta[:] = b
     return beta
 
 

@@ -103,7 +103,7 @@ def event_transitions(spark: SparkSession, sf_dir: str) -> GraphSet:
     return GraphSet(graphs, nodes, e.select("graph_id", "src", "dst", "weight", F.lit(None).cast("string").alias("edge_label")))
 
 
-def embedding_matrix(spark: SparkSession, sf_dir: str, dims: int = 4, window: int = 25) -> DataFrame:
-    """OBS from the embeddings: successive windows of vec_id go to the samples in turn."""
+def embedding_matrix(spark: SparkSession, sf_dir: str, dims: int | None = None, window: int = 25) -> DataFrame:
+    """OBS from the embeddings, all their columns or the first dims: successive windows of vec_id go to the samples in turn."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return e.select((1 + F.floor(F.col("vec_id") / window) % 2).cast("int").alias("sample"), F.col("vec_id").alias("row_idx"), F.slice("embedding", 1, dims).cast("array<double>").alias("x"))
+    return e.select((1 + F.floor(F.col("vec_id") / window) % 2).cast("int").alias("sample"), F.col("vec_id").alias("row_idx"), (F.col("embedding") if dims is None else F.slice("embedding", 1, dims)).cast("array<double>").alias("x"))

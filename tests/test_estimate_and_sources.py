@@ -144,3 +144,22 @@ def test_missing_labels_are_reported(spark):
     gs = graph_set(spark, random_set(spark, 2, seed=1))
     with pytest.raises(ValueError):
         type(gs)(gs.graphs, gs.nodes.selectExpr("graph_id", "node_id", "cast(null as string) label", "attr"), gs.edges).validate(label=True)
+
+
+def test_queries_read_every_column(spark, tmp_path):
+    from graphduo import catalog
+
+    x = 0.15 * np.concatenate([correlated(50, 9), correlated(50, 9, 1)]).astype(np.float32)
+    spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    x = x.astype(float)
+    scores, graphs = {}, {}
+    for r in catalog.QUERIES["matrix_nonparanormal"](spark, str(tmp_path)).collect():
+        scores[r["row_idx"], r["col"]] = r["x"]
+    for r in catalog.QUERIES["matrix_graphs"](spark, str(tmp_path)).collect():
+        graphs.setdefault(r["graph_id"], {})[r["src"], r["dst"]] = r["weight"]
+    want = np.concatenate([estimate.gaussian_scores(x[k : k + 25]) for k in range(0, 100, 25)])
+    assert np.allclose([[scores[i, j] for j in range(9)] for i in range(100)], want, atol=1e-6)
+    for k in range(4):
+        theta = estimate.fit_window(x[25 * k : 25 * k + 25], [float(a) for a in np.exp(np.linspace(-9, -6, 8))], 0.0, True)[0]
+        got = graphs[2 * k + k % 2]  # graph_id = 2 win + sample - 1
+        assert got == {(int(i), int(j)): pytest.approx(theta[i, j], rel=1e-6) for i, j in np.argwhere(np.triu(theta, 1) != 0)} and max(j for _, j in got) == 8
