@@ -251,7 +251,7 @@ def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def classes(docs: DataFrame, least: float = 0.8, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, class_id (least doc_id of its class), class_size, links (verified links of its text).
+    """One row per input row: doc_id, class_id (least doc_id of its class), class_size, joining_links (those of its text's verified links that joined the class: with a bucket's least member, or between components; not all that it has).
 
     Classes are the components of links between texts whose probability Jaccard over 5-word
     shingles is at least `least`, and of equal texts (one node each). Candidates share a band
@@ -263,14 +263,14 @@ def classes(docs: DataFrame, least: float = 0.8, bands: int = BANDS, rows: int =
     """
     ids, distinct = distinct_texts(docs, id_col, text_col)
     links, nodes = near_links(distinct, least, bands, rows)
-    degree = links.select(F.explode(F.array("a", "b")).alias("uid")).groupBy("uid").agg(F.count("*").alias("links"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("uid")).groupBy("uid").agg(F.count("*").alias("joining_links"))
     comp = distinct.select("uid", "doc_id", "sha").join(nodes, "uid", "left").join(degree, "uid", "left")
-    comp = comp.select("sha", "doc_id", F.coalesce("comp", "uid").alias("comp"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    comp = comp.select("sha", "doc_id", F.coalesce("comp", "uid").alias("comp"), F.coalesce("joining_links", F.lit(0)).cast("long").alias("joining_links"))
     least_id = comp.groupBy("comp").agg(F.min("doc_id").alias("class_id"))
-    label = comp.join(least_id, "comp").select("sha", "comp", "class_id", "links")
-    rows_ = cut(ids.join(label, "sha").select("doc_id", "comp", "class_id", "links"), "labels")
+    label = comp.join(least_id, "comp").select("sha", "comp", "class_id", "joining_links")
+    rows_ = cut(ids.join(label, "sha").select("doc_id", "comp", "class_id", "joining_links"), "labels")
     sizes = rows_.groupBy("comp").agg(F.count("*").alias("class_size"))
-    return rows_.join(sizes, "comp").select("doc_id", "class_id", "class_size", "links")
+    return rows_.join(sizes, "comp").select("doc_id", "class_id", "class_size", "joining_links")
 
 
 def near_links(distinct: DataFrame, least: float, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:

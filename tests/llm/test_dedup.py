@@ -84,6 +84,10 @@ def test_links_that_miss_the_least_member_are_found(spark):
     assert got == {(b, a) for a in range(1, 700) for b in range(a + 1, 700) if a % 251 == b % 251}
 
 
+def test_columns_of_classes(spark):
+    assert probminhash.classes(documents(spark, ["a b c"], [3])).columns == ["doc_id", "class_id", "class_size", "joining_links"]
+
+
 def test_classes_of_odd_tables(spark):
     assert probminhash.classes(empty(spark)).count() == 0
     rows = probminhash.classes(documents(spark, ["a b c", "a b c", "a b c", "x y"], [3, 3, None, None])).collect()
