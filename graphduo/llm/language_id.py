@@ -118,16 +118,19 @@ def held_out(doc_id):
 def learn(docs: DataFrame, per_lang: int = 400, doc_chars: int = 4000, lang_chars: int = 40_000, max_langs: int = 64, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """The model of a bounded sample of the labelled documents outside the held-out fold.
 
-    For each of at most max_langs languages (the most frequent), about per_lang documents (at
-    most twice as many), chosen by a hash of the id, give their first doc_chars characters; their
-    distinct words, the most frequent first, go into the automaton up to lang_chars characters.
-    So what reaches the driver is at most max_langs * 2 * per_lang * doc_chars characters,
+    Of every language, about per_lang documents (at most twice as many), chosen by a hash of the
+    id, give their first doc_chars characters; their distinct words, the most frequent first, go
+    into the automaton up to lang_chars characters. Beyond max_langs languages all share the room
+    of so many: each has fewer documents and characters, one document and one word at least. So
+    what reaches the driver is about max_langs * 2 * per_lang * doc_chars characters at most,
     whatever the size of the table. Rows with a null id, text or label teach nothing.
     """
     rows = docs.select(docs[id_col].alias("i"), docs[text_col].alias("t"), docs[lang_col].alias("l")).where("i is not null and l is not null and t is not null").where(~held_out(F.col("i")))
-    sizes = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_langs).collect()
+    sizes = rows.groupBy("l").count().orderBy("l").collect()
     if not sizes:
         return Model({})
+    room = min(1.0, max_langs / len(sizes))
+    per_lang, lang_chars = max(1, round(per_lang * room)), round(lang_chars * room)
     u = F.pmod(F.xxhash64(F.col("i"), F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["l"], min(1.0, per_lang / r["count"]))])
     some = rows.where(u < F.element_at(share, F.col("l"))).select("l", F.substring("t", 1, doc_chars).alias("t"), u.alias("u")).orderBy("u", "l", "t").limit(2 * per_lang * len(sizes)).collect()
@@ -140,7 +143,7 @@ def learn(docs: DataFrame, per_lang: int = 400, doc_chars: int = 4000, lang_char
     for lang, counts in words.items():
         taken, n = [], 0
         for w in sorted(counts, key=lambda w: (-counts[w], w)):
-            if n + len(w) + 1 > lang_chars:
+            if taken and n + len(w) + 1 > lang_chars:
                 break
             taken.append(w)
             n += len(w) + 1

@@ -108,6 +108,14 @@ def test_labels_of_the_held_out_fold_are_not_learned(spark):
     assert language_id.learn(docs).langs == ["en", "fr"]
 
 
+def test_every_label_is_learned(spark):
+    rng = random.Random(8)
+    word = lambda k: "".join(rng.choice(f"{chr(0x4E00 + 9 * k)}{chr(0x4E03 + 9 * k)}{chr(0x4E06 + 9 * k)}") for _ in range(6))
+    docs = spark.createDataFrame([(100 * k + i, " ".join(word(k) for _ in range(20)), f"l{k:02}", "s", 0, "u", 1) for k in range(70) for i in range(8)], documents(spark, []).schema)
+    model = language_id.learn(docs)
+    assert len(model.langs) == 70 and all(r["lang"] == r["lang_pred"] for r in language_id.identify(docs, model, keep=("lang",)).collect())
+
+
 def test_odd_languages(spark):
     model = language_id.learn(labelled(spark))
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(documents(spark), model).collect()}
