@@ -172,7 +172,8 @@ def similar_pairs(docs: DataFrame, tau: float = 0.8, id_col: str = "doc_id", tex
 
     Equal sets are one class first, so copies make no pairs. Sets are partitioned by length:
     part p holds lengths in [tau^-p, tau^-(p+1)), and a set can only match its own part and the
-    neighbours. Within it the rarest signatures (floor((1 - tau) * n) + 1 of them, by frequency
+    neighbours: the join's key is part and signature, and a set meets the shorter ones of its part and the part before.
+    Within it the rarest signatures (floor((1 - tau) * n) + 1 of them, by frequency
     in all sets) meet in a join, and the exact coefficient prunes. Empty sets match nothing.
     """
     sets = signature_sets(docs, id_col, text_col).where("n > 0 and doc_id is not null")
@@ -180,8 +181,9 @@ def similar_pairs(docs: DataFrame, tau: float = 0.8, id_col: str = "doc_id", tex
     freq = classes.select(F.explode("sigs").alias("s")).groupBy("s").agg(F.count("*").alias("f"))
     ranked = classes.select("id", "n", F.explode("sigs").alias("s")).join(freq, "s")
     prefix = ranked.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("r")).select("id", "n", F.explode(F.expr(f"transform(slice(r, 1, cast(floor((1 - {tau}) * n + 1e-9) as int) + 1), x -> x.s)")).alias("s"))
-    a, b = prefix.alias("a"), prefix.alias("b")
-    near = a.join(b, F.expr(f"a.s = b.s and (a.n < b.n or (a.n = b.n and a.id < b.id)) and a.n >= {tau} * b.n - 1e-9")).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
+    parted = prefix.withColumn("part", F.expr(f"cast(floor(ln(n) / -ln({tau}) + 1e-9) as int)")) if 0 < tau < 1 else prefix.withColumn("part", F.when(F.lit(tau == 1), F.col("n")).otherwise(0))
+    a, b = parted.alias("a"), parted.withColumn("part", F.explode(F.array("part", F.col("part") - 1))).alias("b")
+    near = a.join(b, F.expr(f"a.part = b.part and a.s = b.s and (a.n < b.n or (a.n = b.n and a.id < b.id)) and a.n >= {tau} * b.n - 1e-9")).select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct()
     x, y = classes.select(F.col("id").alias("x"), F.col("sigs").alias("sx")), classes.select(F.col("id").alias("y"), F.col("sigs").alias("sy"))
     both = near.join(x, "x").join(y, "y").withColumn("i", F.size(F.array_intersect("sx", "sy")))
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), (F.col("i") / (F.size("sx") + F.size("sy") - F.col("i"))).alias("likeness")).where(F.col("likeness") >= tau)

@@ -63,6 +63,11 @@ def test_similar_sets_against_all_pairs(spark):
     assert got == want and want
 
 
+def test_similar_sets_meet_by_length_part(spark):
+    plan = spot_signatures.similar_pairs(documents(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert any("Join" in x and x.count("part#") == 2 for x in plan.splitlines())
+
+
 # --- language -----------------------------------------------------------------------------------------
 
 WORDS = {"en": ["the", "thing", "that", "when", "weather", "house", "together"], "fr": ["le", "eau", "oiseau", "quelque", "maison", "toujours", "beaucoup"]}
