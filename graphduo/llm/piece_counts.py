@@ -2,33 +2,33 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from . import pieces
-from .common import batches_of_rows, texts
+from .common import texts
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit), n_parts (pre-token occurrences).
 
     tokenizer: path of a .json file of the tokenizers library; special strings inside a text
-    count as that library reads them. The table "distinct pre-token -> pieces" lives in each
-    worker, holds at most 300,000 words (and half as many with signs behind them) and is joined there to the documents' pre-tokens; a
-    global table would need a shuffle larger than the texts. No exchange at all: cost is linear,
-    a lost executor repeats its own tasks only. A null text counts as empty: 0 tokens. A null
-    doc_id stays null. Repeated rows each give a row; an empty table gives none.
+    count as that library reads them. Every group of about 16 MB of texts has its table "distinct
+    pre-token -> pieces", which is joined by index to the documents' pre-tokens; a table for
+    all of the corpus would need a shuffle larger than the texts. No exchange at all: cost
+    is linear, a lost executor repeats its own tasks only. A null text counts as empty: 0 tokens.
+    A null doc_id stays null. Repeated rows each give a row; an empty table gives none.
     """
 
     def run(it):
-        table = pieces.kept(tokenizer, "count", spaced=True)
-        for rows in batches_of_rows(it, "doc_id", "text"):
-            out = []
-            for some in pieces.groups(rows):
-                parts = [table.parts(t) if t else [] for _, t in some]
-                table.learn(parts)
-                out += [(i, len(t.encode()), table.whole(t) if p is None else sum(map(table.__getitem__, p)), len(p or ())) for (i, t), p in zip(some, parts, strict=True)]
-            i, b, n, p = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_()), pa.array(p, pa.int64())], names=["doc_id", "n_bytes", "n_tokens", "over_limit", "n_parts"])
+        table = pieces.loaded(tokenizer)
+        for batch in it:
+            ids, text = batch.column("doc_id"), batch.column("text")
+            n_bytes = pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64)
+            for lo, hi in pieces.runs(n_bytes):
+                _, n, parts = table.encode(text.slice(lo, hi - lo), counts_only=True)
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(n_bytes[lo:hi]), pa.array(n), pa.array(n > limit), pa.array(np.where(n_bytes[lo:hi] > 0, parts, 0))], names=["doc_id", "n_bytes", "n_tokens", "over_limit", "n_parts"])
 
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, n_parts long")

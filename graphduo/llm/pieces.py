@@ -1,27 +1,37 @@
-"""Piece ids and piece counts by the `tokenizers` library, one call for each distinct pre-token.
-
-A text is cut at single spaces (and line feeds) between two characters that are not white
-space. No pre-token of the byte-level or word-level patterns reaches across such a cut (a
-token may start with one space and never ends with one), and neither tokenizer's normaliser
-looks across it, so encoding the parts alone and joining is what the library gives for the
-whole; the tests hold it against the library on random texts. A text with any other white
-space goes to the library whole.
+"""Pieces of texts by the `tokenizers` library, asked once for each distinct pre-token of a group of texts.
+
+A group of texts is cut, factorised and summed as Arrow and NumPy columns:
+
+1. texts are cut where a pre-token surely ends: before a space or line feed that follows a letter,
+   digit or plain sign, between a letter and a sign behind it, and behind a lone line feed. Neither
+   tokenizer's pattern reaches across such a place (a token may start with one space, none goes on
+   after a letter with a sign or a space), and neither normaliser looks across it;
+2. the parts are dictionary-encoded: a table of distinct pre-tokens and an index per occurrence;
+3. the library encodes each distinct pre-token once. Plain words go in long strings, in which the
+   ids themselves tell where a word starts or ends; all others by themselves;
+4. occurrences take their pieces by index, so a document costs a gather and a sum.
+
+Nothing is kept from one group to the next: memory is that of a group, whatever the vocabulary. A
+text with the cut mark in it (a null character) goes to the library whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import re
-from array import array
-from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: White space that is not one space or line feed between two other characters.
-ODD_SPACE = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
-#: For a tokenizer that drops white space: white space on which Python and the library may differ.
-RARE_SPACE = re.compile(r"[^\S \t\n\r]")
-#: Longer parts are encoded but not kept.
-KEEP_CHARS = 64
+LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: Signs that stand in no contraction and no special string.
+SIGN = r'.,!?:;%$#*&()"/=+@\-'
+MARK = "\x00"
+#: Places of a cut (fixed patterns of the method): the text before and after it.
+CUTS = ((rf"([{LETTER}0-9{SIGN}])([ \n])", rf"\1{MARK}\2"), (rf"([{LETTER}])([{SIGN}])", rf"\1{MARK}\2"), (rf"({MARK}\n)([{LETTER}])", rf"\1{MARK}\2"))
+#: Bytes of text in a group, words to a call.
+GROUP, CALL = 16_000_000, 4096
 
 
 def load(path: str):
@@ -35,101 +45,119 @@ def load(path: str):
     return tok
 
 
-#: A part that is a word of Latin letters, and signs behind it: both are pre-tokens of their own.
-WORD_TAIL = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?:;#%$*&]*)")
-
+def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The indices start[k], start[k] + 1, ... (size[k] of them) for each k in turn."""
+    ends = np.cumsum(size)
+    return np.repeat(start - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)
 
-class Pieces(dict):
-    """part -> what `of` makes of its ids.
 
-    The first `most` parts are kept for good, so the frequent ones are; later ones only for the
-    group of texts at hand. Signs behind a word are looked up apart from it, and words in lower
-    case if the tokenizer lowers them, so fewer distinct parts reach the library.
-    """
+class Pieces:
+    """A tokenizer's pieces for groups of texts. bounds: for each id, if a word's first (spaced) or last piece has it."""
 
-    def __init__(self, path: str, of: Callable[[list[int]], object], spaced: bool, most: int = 300_000):
-        super().__init__()
-        self.tok, self.of, self.spaced, self.most = load(path), of, spaced, most
+    def __init__(self, path: str):
+        self.tok = load(path)
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        end = model.get("end_of_word_suffix")
+        self.spaced = not end  # words carry the space before them; else their last piece is marked, and white space is dropped
         self.lowers = self.tok.normalizer is not None and self.tok.normalizer.normalize_str("AÉ") == "aé"
-        self.passing: list[str] = []
-        self.extra = most // 2  # words with signs that are kept besides
-
-    def whole(self, text: str):
-        return self.of(self.tok.encode(text, add_special_tokens=False).ids)
-
-    def parts(self, text: str) -> list[str] | None:
-        """The parts of a text, or None if it must go to the library whole. Spaced tokenizers keep the space that leads a part."""
-        if not self.spaced:
-            return None if RARE_SPACE.search(text) else text.split()
-        if ODD_SPACE.search(text):
-            return None
-        if "\n" not in text:
-            first, *rest = text.split(" ")
-            return [first, *map(" ".__add__, rest)]
-        out: list[str] = []
-        for k, line in enumerate(text.split("\n")):
-            if k:
-                out.append("\n")
-            first, *rest = line.split(" ")
-            out.append(first)
-            out.extend(map(" ".__add__, rest))
-        return out
-
-    def learn(self, rows: list[list[str] | None]) -> None:
-        """Encode the parts not yet known; forget those that only the group before needed."""
-        for p in self.passing:
-            del self[p]
-        new: set[str] = set()
-        for r in rows:
-            if r:
-                new.update(r)
-        new = {p for p in new if p not in self}
-        cut, ask = {}, set()
-        for p in new:
-            if m := WORD_TAIL.fullmatch(p):
-                word, tail = m.groups()
-                word = word.lower() if self.lowers else word
-                if tail or word != p:
-                    cut[p] = word, tail
-                if word not in self:
-                    ask.add(word)
-                if tail and tail not in self:
-                    ask.add(tail)
-            else:
-                ask.add(p)
-        asked, room = list(ask), self.most + self.most // 2 - len(self)
-        for k in range(0, len(asked), 4096):
-            some = asked[k : k + 4096]
-            for p, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self[p] = self.of(e.ids)
-        for p, (word, tail) in cut.items():
-            self[p] = self[word] + self[tail] if tail else self[word]
-        if self.extra > 0:
-            self.extra -= len(cut)
-            self.passing = []
-        else:
-            self.passing = [p for p in cut if p not in ask]
-        self.passing += asked if room < len(asked) else [p for p in asked if len(p) > KEEP_CHARS]
-
-
-_kept: dict[tuple, Pieces] = {}
-
-
-def kept(path: str, kind: str, spaced: bool) -> Pieces:
-    """This worker's cache, which its later tasks go on using."""
-    if (key := (path, kind, spaced)) not in _kept:
-        _kept[key] = Pieces(path, len if kind == "count" else (lambda ids: array("I", ids).tobytes()), spaced)
-    return _kept[key]
-
-
-def groups(rows: list, chars: int = 4_000_000):
-    """Rows whose last value is a text, in runs of about `chars` characters: what is held at a time stays bounded."""
-    some, n = [], 0
-    for r in rows:
-        some.append(r)
-        n += len(r[-1])
-        if n >= chars:
-            yield some
-            some, n = [], 0
-    if some:
-        yield some
+        self.bounds = np.zeros(self.tok.get_vocab_size(with_added_tokens=True), bool)
+        for piece, i in model["vocab"].items():
+            self.bounds[i] = piece.startswith("Ġ") if self.spaced else piece.endswith(end)
+        self.line_feed = self.tok.encode("\n", add_special_tokens=False).ids[0] if self.spaced else None
+        self.words = [rf"^ [{LETTER}]+$", rf"^[{LETTER}]+$"] if self.spaced else [rf"^[{LETTER}]+$"]
+
+    def of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many for each) of plain words, all with the space before them or all without."""
+        ids, sizes = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        bare = self.spaced and len(words) > 0 and not words[0].as_py().startswith(" ")  # one word to a line, then
+        for lo in range(0, len(words), CALL):
+            some = words.slice(lo, CALL).to_pylist()
+            text = "\n" + "\n".join(some) if bare else ("" if self.spaced else " ").join(some)
+            got = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            at = np.flatnonzero(got == self.line_feed if bare else self.bounds[got])
+            if len(at) != len(some):
+                raise ValueError("a word was not encoded as one pre-token")
+            ids.append(np.delete(got, at) if bare else got)
+            sizes.append(np.diff(np.append(at, len(got))) - bare if self.spaced else np.diff(np.append(-1, at)))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def of_others(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, sizes = [np.zeros(0, "<u4")], [0] * len(parts)
+        for lo in range(0, len(parts), CALL):
+            for k, e in enumerate(self.tok.encode_batch_fast(parts[lo : lo + CALL], add_special_tokens=False), lo):
+                got = np.array(e.ids, "<u4")
+                sizes[k] = len(got)
+                ids.append(got)
+        return np.concatenate(ids), np.array(sizes, np.int64)
+
+    def distinct(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start, size): the pieces of each distinct part."""
+        again = None
+        if not self.spaced:  # white space is dropped, so parts that differ in it alone are one
+            parts = pc.utf8_trim(parts, " \n")
+            if self.lowers:
+                parts = pc.if_else(pc.match_substring_regex(parts, self.words[0]), pc.utf8_lower(parts), parts)
+            coded = parts.dictionary_encode()
+            again, parts = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+        start, size = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64)
+        ids, held, rest = [], 0, np.ones(len(parts), bool)
+        for pattern in [*self.words, None]:
+            own = rest if pattern is None else pc.match_substring_regex(parts, pattern).to_numpy(zero_copy_only=False).astype(bool)
+            some = parts.filter(pa.array(own))
+            got, n = self.of_others(some.to_pylist()) if pattern is None else self.of_words(some)
+            start[own], size[own] = held + np.cumsum(n) - n, n
+            ids.append(got)
+            held, rest = held + len(got), rest & ~own
+        ids = np.concatenate(ids)
+        return (ids, start, size) if again is None else (ids, start[again], size[again])
+
+    def encode(self, texts: pa.Array, counts_only: bool = False) -> tuple[np.ndarray | None, np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, how many each has, pre-token occurrences of each). With counts_only no text's ids are formed."""
+        if len(texts) == 0:
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        marked = pc.match_substring(texts, MARK).to_numpy(zero_copy_only=False).astype(bool)
+        if marked.any():
+            return self._with_whole(texts, marked, counts_only)
+        for pattern, to in CUTS:
+            texts = pc.replace_substring_regex(texts, pattern, to)
+        split = pc.split_pattern(texts, MARK)
+        coded = split.flatten().dictionary_encode()
+        at, offsets = coded.indices.to_numpy(zero_copy_only=False), split.offsets.to_numpy()
+        ids, start, size = self.distinct(coded.dictionary)
+        each = size[at]
+        total = np.append(0, np.cumsum(each))
+        lens = total[offsets[1:] - offsets[0]] - total[offsets[:-1] - offsets[0]]
+        return None if counts_only else ids[ragged(start[at], each)], lens, np.diff(offsets).astype(np.int64)
+
+    def _with_whole(self, texts: pa.Array, marked: np.ndarray, counts_only: bool):
+        some, some_lens, some_parts = self.encode(texts.filter(pa.array(~marked)), counts_only)
+        whole, whole_lens = self.of_others(texts.filter(pa.array(marked)).to_pylist())
+        lens, parts = np.zeros(len(texts), np.int64), np.ones(len(texts), np.int64)
+        lens[~marked], lens[marked], parts[~marked] = some_lens, whole_lens, some_parts
+        if counts_only:
+            return None, lens, parts
+        start = np.zeros(len(texts), np.int64)
+        start[~marked], start[marked] = np.cumsum(some_lens) - some_lens, len(some) + np.cumsum(whole_lens) - whole_lens
+        return np.concatenate([some, whole])[ragged(start, lens)], lens, parts
+
+
+_loaded: dict[str, Pieces] = {}
+
+
+def loaded(path: str) -> Pieces:
+    """This worker's tokenizer of a file: of fixed size, so it is kept for later tasks."""
+    if path not in _loaded:
+        _loaded[path] = Pieces(path)
+    return _loaded[path]
+
+
+def runs(n_bytes: np.ndarray, most: int = GROUP) -> list[tuple[int, int]]:
+    """Successive rows lo .. hi - 1 of about `most` bytes (one row, if that is longer)."""
+    out, lo, held = [], 0, 0
+    for k, n in enumerate(n_bytes.tolist()):
+        held += n
+        if held >= most:
+            out.append((lo, k + 1))
+            lo, held = k + 1, 0
+    return [*out, (lo, len(n_bytes))] if lo < len(n_bytes) else out

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -36,14 +37,28 @@ def test_parts_give_what_the_library_gives(path, spaced):
     rng = random.Random(3)
     alpha = ["a", "B", "é", "ß", "Σ", "İ", "'s", "'", "1", " ", "  ", "\n", "\t", "\x1c", "\x85", ".", "<|endoftext|>", "|>", "中", "é", "🙂", "#", " the", "The,"]
     texts = [t or "" for t in odd_texts()] + ["".join(rng.choice(alpha) for _ in range(rng.randint(0, 25))) for _ in range(1500)]
-    tok, mine = pieces.load(path), pieces.Pieces(path, tuple, spaced, most=300)
+    tok, mine = pieces.load(path), pieces.Pieces(path)
+    assert mine.spaced == spaced
     for k in range(0, len(texts), 100):
-        group = texts[k : k + 100]
-        parts = [mine.parts(t) if t else [] for t in group]
-        mine.learn(parts)
-        for t, p in zip(group, parts, strict=True):
-            got = mine.whole(t) if p is None else sum((mine[x] for x in p), ())
-            assert got == tuple(tok.encode(t, add_special_tokens=False).ids), t
+        group = pa.array(texts[k : k + 100])
+        ids, n, _ = mine.encode(group)
+        want = [e.ids for e in tok.encode_batch(group.to_pylist(), add_special_tokens=False)]
+        assert n.tolist() == [len(w) for w in want] == mine.encode(group, counts_only=True)[1].tolist()
+        assert ids.tolist() == [i for w in want for i in w]
+
+
+def test_distinct_pre_tokens_are_encoded_once(monkeypatch):
+    mine, asked = pieces.Pieces(BYTE), []
+    monkeypatch.setattr(mine, "of_words", lambda words: asked.extend(words.to_pylist()) or (np.zeros(len(words), "<u4"), np.ones(len(words), np.int64)))
+    monkeypatch.setattr(mine, "of_others", lambda parts: asked.extend(parts) or (np.zeros(len(parts), "<u4"), np.ones(len(parts), np.int64)))
+    mine.encode(pa.array(["the river and the river, and the river", "the river 12 and", ""]))
+    assert len(asked) == len(set(asked)) and " river" in asked and "," in asked
+
+
+def test_documents_of_an_image():
+    image = bit_packing.encode_image(np.arange(9, dtype="<u4"), 4, 4, [7, None, -3], [2, 3, 4], 11)
+    first, ids, ends = bit_packing.documents_of(image)
+    assert (first, ids, ends.tolist()) == (11, [7, None, -3], [2, 5, 9])
 
 
 def test_counts(spark):
