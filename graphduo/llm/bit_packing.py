@@ -91,12 +91,12 @@ def documents_of(image: bytes) -> tuple[int, list[int | None], np.ndarray]:
     return first, [None if x else i for i, x in zip(ids.tolist(), null.tolist(), strict=True)], ends.astype(np.int64)
 
 
-def write_packed(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> str:
+def write_packed(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", chunk_ids: int = CHUNK_IDS) -> str:
     """Encode every text, append end_id, write the ids in ascending doc_id order; returns the path of the table.
 
     Rows are dealt by ranges of doc_id and sorted within a range, so shard order is document
     order; null ids come first, rows with the same id go by text. A null text is empty and gives
-    the end id alone. A task holds one chunk of about 2^18 ids, or one document if that is longer.
+    the end id alone. A task holds one chunk of about chunk_ids ids, or one document if that is longer, and a group of texts.
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "packed")
@@ -116,12 +116,13 @@ def write_packed(docs: DataFrame, tokenizer: str, path: str | None = None, end_i
                 got, n, _ = table.encode(text.slice(lo, hi - lo))
                 ends = np.cumsum(n + 1)
                 own = np.insert(got, np.cumsum(n), end_id)
-                cuts = chunks(ends, sum(lens))
+                cuts = chunks(ends, sum(lens), chunk_ids)
                 for a, b in zip([0, *cuts], [*cuts, hi - lo], strict=True):
-                    if a < b:
-                        ids += doc_ids[lo + a : lo + b]
-                        lens += (n[a:b] + 1).tolist()
-                        data.append(own[ends[a - 1] if a else 0 : ends[b - 1]])
+                    if a == b:  # the last chunk ended with the group
+                        continue
+                    ids += doc_ids[lo + a : lo + b]
+                    lens += (n[a:b] + 1).tolist()
+                    data.append(own[ends[a - 1] if a else 0 : ends[b - 1]])
                     if b in cuts:
                         out, held = image()
                         yield out
@@ -136,11 +137,11 @@ def write_packed(docs: DataFrame, tokenizer: str, path: str | None = None, end_i
     return path
 
 
-def chunks(ends: np.ndarray, held: int) -> list[int]:
+def chunks(ends: np.ndarray, held: int, chunk_ids: int = CHUNK_IDS) -> list[int]:
     """After how many documents a chunk is full, given where they end and the ids it holds already."""
     out, base = [], -held
     while len(ends):
-        k = int(np.searchsorted(ends, base + CHUNK_IDS, side="left"))
+        k = int(np.searchsorted(ends, base + chunk_ids, side="left"))
         if k >= len(ends):
             break
         out.append(k + 1)

@@ -73,7 +73,19 @@ def test_counts(spark):
     assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in twice) == [("1", 2), ("1", 2), ("None", 1)]
 
 
-def test_packed_corpus(spark):
+def test_chunks_end_with_the_document_that_fills_them():
+    for lens, held in (([4, 4, 4, 30, 1], 0), ([10], 0), ([2, 3], 5), ([3], 0), ([], 4), ([5, 5, 5, 5], 0)):
+        want, n = [], held
+        for k, x in enumerate(lens):
+            n += x
+            if n >= 10:
+                want.append(k + 1)
+                n = 0
+        assert bit_packing.chunks(np.cumsum(lens, dtype=np.int64), held, 10) == want
+
+
+@pytest.mark.parametrize("chunk", [1, 40, 1 << 18])
+def test_packed_corpus(spark, chunk):
     texts = odd_texts()
     ids = list(range(len(texts)))
     random.Random(1).shuffle(ids)
@@ -84,7 +96,7 @@ def test_packed_corpus(spark):
         want[i] = (at, len(e), zlib.crc32(np.array(e, "<u4").tobytes()))
         all_ids += e
         at += len(e)
-    path = bit_packing.write_packed(docs, WORD)
+    path = bit_packing.write_packed(docs, WORD, chunk_ids=chunk)
     got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in bit_packing.read_documents(spark, path).collect()}
     assert got == want
     for lo, hi in ((0, 5), (7, 4000), (at - 3, at + 9), (0, at), (5, 5)):
