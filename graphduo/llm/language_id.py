@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Bits of a language's phrase count in a packed sum.
-COUNT = 48
 UNKNOWN = "und"
 PREDICTION = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
 
+def letters(text: str) -> str:
+    """The words of a text in lower case with a space around each; '' if it has no letter."""
+    words = LETTERS.findall(text.lower())
+    return f" {' '.join(words)} " if words else ""
+
+
 def automaton(text: str) -> dict:
     """The root of the suffix automaton of a text (Blumer et al. 1985). A state is the dict of its transitions: character -> state."""
     root: dict = {}
@@ -51,12 +55,12 @@ def automaton(text: str) -> dict:
     return root
 
 
-def phrases(word: str, root: dict) -> int:
-    """Longest matches into which a word (with its ends as spaces) is cut from the left; a character never seen is one of its own."""
+def phrases(text: str, root: dict) -> int:
+    """Longest matches into which a text is cut from the left; a character never seen is one of its own. An empty text has none."""
     n, state = 0, root
-    for c in f" {word} ":
+    for c in text:
         nxt = state.get(c)
-        if nxt is None:
+        if nxt is None:  # the match ends here, and the next begins with this character
             n += state is not root
             nxt = root.get(c)
             if nxt is None:
@@ -67,47 +71,27 @@ def phrases(word: str, root: dict) -> int:
 
 
 class Model:
-    """Languages with their words; weight: log2 of the learned length, as longer texts give longer matches (Ziv and Merhav 1993)."""
+    """Languages with their labelled text; weight: log2 of its length, as longer texts give longer matches (Ziv and Merhav 1993)."""
 
-    def __init__(self, words: dict[str, list[str]]):
-        self.langs = sorted(words)
-        self.learned = [" " + " ".join(words[lang]) + " " for lang in self.langs]
+    def __init__(self, learned: dict[str, str]):
+        self.langs = sorted(learned)
+        self.learned = [learned[lang] for lang in self.langs]
         self.weight = [math.log2(len(t) + 1) for t in self.learned]
-        self.kept = None
+        self.roots = None
 
     def __getstate__(self):
         """Automata are built where they are used: once in each worker."""
-        return self.__dict__ | {"kept": None}
+        return self.__dict__ | {"roots": None}
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, 1 - least cost / next), or (und, 0) for no letter or no language. Ties go to the first name."""
-        if self.kept is None:
-            self.kept = Counts([automaton(t) for t in self.learned])
-        words = LETTERS.findall(text.lower()) if text else []
-        if not words or not self.langs:
+        own = letters(text) if text else ""
+        if not own or not self.langs:
             return UNKNOWN, 0.0
-        total = sum(map(self.kept.__getitem__, words))
-        cost = [((total >> (COUNT * k)) & ((1 << COUNT) - 1)) * w for k, w in enumerate(self.weight)]
-        order = sorted(range(len(cost)), key=lambda k: (cost[k], self.langs[k]))
-        return self.langs[order[0]], 1 - cost[order[0]] / cost[order[1]] if len(order) > 1 else 1.0
-
-
-class Counts(dict):
-    """word -> its phrases in every language, packed into one integer; a bounded cache."""
-
-    def __init__(self, roots: list[dict], most: int = 250_000):
-        super().__init__()
-        self.roots, self.most = roots, most
-
-    def __missing__(self, word: str) -> int:
-        got = 0
-        for k, t in enumerate(self.roots):
-            got |= phrases(word, t) << (COUNT * k)
-        if len(word) <= 40:
-            if len(self) >= self.most:
-                self.clear()
-            self[word] = got
-        return got
+        if self.roots is None:
+            self.roots = [automaton(t) for t in self.learned]
+        cost = sorted((phrases(own, root) * w, lang) for root, w, lang in zip(self.roots, self.weight, self.langs, strict=True))
+        return cost[0][1], 1 - cost[0][0] / cost[1][0] if len(cost) > 1 else 1.0
 
 
 def held_out(doc_id):
@@ -115,52 +99,41 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
-def learn(docs: DataFrame, per_lang: int = 400, doc_chars: int = 4000, lang_chars: int = 40_000, max_langs: int = 64, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """The model of a bounded sample of the labelled documents outside the held-out fold.
+def learn(docs: DataFrame, lang_chars: int = 20_000, passage: int = 1000, all_chars: int = 500_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """The model of a bounded sample of the labelled rows outside the held-out fold.
 
-    Of every language, about per_lang documents (at most twice as many), chosen by a hash of the
-    id, give their first doc_chars characters; their distinct words, the most frequent first, go
-    into the automaton up to lang_chars characters. Beyond max_langs languages all share the room
-    of so many: each has fewer documents and characters, one document and one word at least. So
-    what reaches the driver is about max_langs * 2 * per_lang * doc_chars characters at most,
-    whatever the size of the table. Rows with a null id, text or label teach nothing.
+    Of every label, rows chosen by a hash of the id give one passage of at most `passage`
+    characters each, at a place that the hash chooses too, until there are lang_chars of them;
+    the automaton is of these passages, one behind the other. No label is left out: if there
+    are more than all_chars / lang_chars, they share all_chars. About twice the characters wanted reach
+    the driver, whatever the size of the table. Rows with a null id, text or label teach nothing.
     """
     rows = docs.select(docs[id_col].alias("i"), docs[text_col].alias("t"), docs[lang_col].alias("l")).where("i is not null and l is not null and t is not null").where(~held_out(F.col("i")))
-    sizes = rows.groupBy("l").count().orderBy("l").collect()
+    # mean length of a passage by label: how many rows give the characters wanted
+    sizes = rows.groupBy("l").agg(F.count("*").alias("n"), F.avg(F.least(F.length("t"), F.lit(passage))).alias("chars")).where("chars > 0").orderBy("l").collect()  # one row for each label
     if not sizes:
         return Model({})
-    room = min(1.0, max_langs / len(sizes))
-    per_lang, lang_chars = max(1, round(per_lang * room)), round(lang_chars * room)
+    lang_chars = max(1, min(lang_chars, all_chars // len(sizes)))
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["l"], min(1.0, (2 * lang_chars / r["chars"] + 8) / r["n"]))])
     u = F.pmod(F.xxhash64(F.col("i"), F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["l"], min(1.0, per_lang / r["count"]))])
-    some = rows.where(u < F.element_at(share, F.col("l"))).select("l", F.substring("t", 1, doc_chars).alias("t"), u.alias("u")).orderBy("u", "l", "t").limit(2 * per_lang * len(sizes)).collect()
-    words: dict[str, dict[str, int]] = {}
+    at = F.pmod(F.xxhash64(F.col("i"), F.lit(8)), F.greatest(F.length("t") - passage, F.lit(0)) + 1).cast("int") + 1
+    some = rows.where(u < F.element_at(share, F.col("l"))).select("l", F.substring("t", at, F.lit(passage)).alias("t"), u.alias("u")).orderBy("u", "l", "t").collect()
+    out: dict[str, str] = {}
     for r in some:
-        mine = words.setdefault(r["l"], {})
-        for w in LETTERS.findall(r["t"].lower()):
-            mine[w] = mine.get(w, 0) + 1
-    out = {}
-    for lang, counts in words.items():
-        taken, n = [], 0
-        for w in sorted(counts, key=lambda w: (-counts[w], w)):
-            if taken and n + len(w) + 1 > lang_chars:
-                break
-            taken.append(w)
-            n += len(w) + 1
-        if taken:
-            out[lang] = taken
+        if len(out.get(r["l"], "")) < lang_chars and (own := letters(r["t"])):
+            out[r["l"]] = (out.get(r["l"], "") + own)[: max(lang_chars, len(own))]
     return Model(out)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per input row: doc_id, held_out, lang_pred, score (0 to 1), and the columns in `keep`.
 
-    Only the text is looked at. Words are runs of letters in lower case; a phrase does not cross
-    a word's end, so a distinct word is parsed once while a worker keeps it. Text null, empty or
+    Only the text is looked at, all of it: its words in lower case are parsed from the first to the last
+    character, matches running across words, against the automaton of every language. Text null, empty or
     without letters, or an empty model: ('und', 0). A null id counts as not held out. Repeated
     rows each give a row; an empty table gives none.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by learn(): max_langs * lang_chars symbols
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by learn(): all_chars characters, or one for each label
 
     @F.pandas_udf(PREDICTION)
     def predict(text: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -168,6 +141,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         for some in text:  # only the text goes to Python, and only the prediction comes back
             yield pd.DataFrame([m.predict(t) for t in some], columns=["lang_pred", "score"])
 
+    predict = predict.asNondeterministic()  # a filter on the prediction must not have it made twice
     doc_id = docs[id_col].cast("long")
     out = docs.select(doc_id.alias("doc_id"), F.coalesce(held_out(doc_id), F.lit(False)).alias("held_out"), predict(docs[text_col]).alias("told"), *[docs[c] for c in keep])
     return out.select("doc_id", "held_out", "told.lang_pred", "told.score", *keep)

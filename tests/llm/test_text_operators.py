@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import zlib
 
@@ -82,8 +83,8 @@ def labelled(spark, n=120):
     return spark.createDataFrame(rows, documents(spark, []).schema)
 
 
-def longest_matches(word, learned):
-    n, at, text = 0, 0, f" {word} "
+def longest_matches(text, learned):
+    n, at = 0, 0
     while at < len(text):
         k = 1
         while at + k < len(text) and text[at : at + k + 1] in learned:
@@ -95,10 +96,39 @@ def longest_matches(word, learned):
 def test_phrases_are_greedy_longest_matches():
     learned = " the thing that weather "
     root = language_id.automaton(learned)
-    for w in ("the", "thin", "wether", "zzz", "thatthing", "x", "e"):
+    for w in ("the", "thin", "wether", "zzz", "thatthing", "x", "e", "", " the thing", "thing that the weather zz z", learned):
         assert language_id.phrases(w, root) == longest_matches(w, learned)
 
 
+def test_predictions_against_plain_parsing(spark):
+    docs = labelled(spark)
+    model = language_id.learn(docs, lang_chars=400)
+    rows = {r["doc_id"]: r for r in language_id.identify(docs, model, keep=("text",)).collect()}
+    for r in rows.values():
+        own = " " + " ".join("".join(c if c.isalpha() else " " for c in r["text"].lower()).split()) + " "
+        cost = sorted((longest_matches(own, t) * math.log2(len(t) + 1), lang) for lang, t in zip(model.langs, model.learned, strict=True))
+        assert r["lang_pred"] == cost[0][1] and r["score"] == pytest.approx(1 - cost[0][0] / cost[1][0])
+
+
+def test_what_is_learned_are_passages_of_the_other_folds(spark):
+    docs = labelled(spark)
+    own = {"en": "", "fr": ""}
+    for r in docs.where(~language_id.held_out(F.col("doc_id"))).collect():
+        own[r["lang"]] += "|" + language_id.letters(r["text"])
+    model = language_id.learn(docs, lang_chars=600, passage=50)
+    for lang, t in zip(model.langs, model.learned, strict=True):
+        words = t.split()
+        assert 600 <= len(t) + 60 and len(t) <= 600 and " ".join(words[1:3]) in own[lang]
+    shares = language_id.learn(docs, lang_chars=600, all_chars=300)
+    assert shares.langs == ["en", "fr"] and all(len(t) <= 300 for t in shares.learned)
+
+
+def test_held_out_accuracy_on_the_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = language_id.identify(docs, language_id.learn(docs), keep=("lang",)).where("held_out").collect()
+    assert len(rows) > 300 and sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.99 * len(rows)
+
+
 def test_languages_held_out(spark):
     docs = labelled(spark)
     model = language_id.learn(docs)
