@@ -7,8 +7,8 @@ shuffle, so the first round ranks one position out of each window of 26: the one
 name hashes least (a minimizer). Equal 50-byte strings hold equal windows, hence the same
 minimizer at the same offset, so dropping positions whose minimizer is unique loses nothing. The
 second round joins, for the positions left, the name of the 25 bytes with up to 25 bytes on both
-sides: exactly the 50-byte strings that hold it. All comparisons of strings are of 64-bit hashes on top of
-64-bit keys.
+sides: exactly the 50-byte strings that hold it. Strings are compared by
+two 64-bit hashes: that of the name with half of its context, and that of the whole string.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ HALF = SPAN // 2
 #: A task of either step needs about 20 times its share; a group sends a packed array to each bucket, so both should
 #: grow together (with the executors) as the corpus does: 100 TB want some 256 MB each.
 GROUP, BUCKET, SLICE = 8_000_000, 32_000_000, 1 << 18
+#: Tied positions with their context that a task holds at a time; texts (2 to this power) whose finds travel together.
+TIED, RANGE = 200_000, 9
 G = np.uint64(0xD1342543DE82EF95)
 TABLE = mix64(np.arange(1, 257, dtype="<u8") * np.uint64(0x9E3779B97F4A7C15))
 
@@ -149,22 +151,53 @@ def by_bucket(batches, work):
         yield work(blobs)
 
 
-def per_uid(uid: np.ndarray, *cols: np.ndarray) -> pa.RecordBatch:
-    """One row for each uid, with its values of the columns packed."""
+def per_range(uid: np.ndarray, *cols: np.ndarray) -> pa.RecordBatch:
+    """One row for each range of uids, with the uids and their values of the columns packed."""
     order = np.argsort(uid, kind="stable")
     uid = uid[order]
-    starts = np.flatnonzero(np.append(True, uid[1:] != uid[:-1])) if len(uid) else np.zeros(0, int)
+    place = uid >> RANGE
+    starts = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(uid) else np.zeros(0, int)
     ends = np.append(starts[1:], len(uid)) if len(uid) else starts
-    cols = [c[order] for c in cols]
-    return pa.RecordBatch.from_arrays([pa.array(uid[starts], pa.int64()), pa.array([pack(*(c[a:b] for c in cols)) for a, b in zip(starts, ends, strict=True)], pa.binary())], names=["uid", "found"])
+    cols = [uid, *(c[order] for c in cols)]
+    return pa.RecordBatch.from_arrays([pa.array(place[starts], pa.int64()), pa.array([pack(*(c[a:b] for c in cols)) for a, b in zip(starts, ends, strict=True)], pa.binary())], names=["range", "found"])
 
 
-def grouped(batches, *more: str):
-    """Runs of documents (uid, doc_id, bytes, more...) of about GROUP bytes."""
+FOUND = "range long, found binary"
+
+
+def beside(distinct: DataFrame, found: DataFrame, parts: int) -> DataFrame:
+    """The texts (uid, doc_id, sha, text) dealt by ranges of uid, each range behind what was found in it (uid is null)."""
+    place = F.shiftright("uid", RANGE).alias("range")
+    texts = distinct.where("doc_id is not null").select(place, "uid", "doc_id", "sha", "text", F.lit(None).cast("binary").alias("found"))
+    finds = found.select("range", *[F.lit(None).cast(t).alias(c) for c, t in (("uid", "long"), ("doc_id", "long"), ("sha", "binary"), ("text", "string"))], "found")
+    return texts.unionAll(finds).repartition(parts, "range").sortWithinPartitions("range", F.asc_nulls_first("uid"))
+
+
+def with_finds(batches):
+    """(uid, doc_id, sha, bytes, columns found) of each text in which something was found, from the rows of `beside`."""
+    place, blobs, cols = None, [], None
+    for batch in batches:
+        for at, uid, doc_id, sha, text, found in zip(*(batch.column(c).to_pylist() for c in ("range", "uid", "doc_id", "sha", "text", "found")), strict=True):
+            if at != place:
+                place, blobs, cols = at, [], None
+            if uid is None:
+                blobs.append(found)
+                continue
+            if cols is None:
+                parts = [np.concatenate(c) for c in zip(*map(unpack, blobs), strict=True)] if blobs else [np.zeros(0, np.int64)]
+                order = np.argsort(parts[0], kind="stable")
+                cols, blobs = [c[order] for c in parts], []
+            lo, hi = np.searchsorted(cols[0], uid), np.searchsorted(cols[0], uid, side="right")
+            if lo < hi:
+                yield uid, doc_id, sha, text.encode(), [c[lo:hi] for c in cols[1:]]
+
+
+def grouped(batches):
+    """Runs of documents (uid, doc_id, bytes) of about GROUP bytes."""
     some, n = [], 0
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("uid", "doc_id", "text", *more)), strict=True):
-            some.append((row[0], row[1], row[2].encode(), *row[3:]))
+        for row in zip(*(batch.column(c).to_pylist() for c in ("uid", "doc_id", "text")), strict=True):
+            some.append((row[0], row[1], row[2].encode()))
             n += len(some[-1][2])
             if n >= GROUP:
                 yield some
@@ -173,14 +206,31 @@ def grouped(batches, *more: str):
         yield some
 
 
+def tied_groups(batches):
+    """Runs of (uid, doc_id, bytes, tied positions) of about TIED positions, a longer text in several pieces."""
+    some, n = [], 0
+    for uid, doc_id, _, raw, (pos,) in with_finds(batches):
+        pos = np.unique(pos).astype(np.int64)
+        for lo in range(0, len(pos), TIED):
+            some.append((uid, doc_id, raw, pos[lo : lo + TIED]))
+            n += len(some[-1][3])
+            if n >= TIED:
+                yield some
+                some, n = [], 0
+    if some:
+        yield some
+
+
 def rows_of(bucket_blobs) -> pa.RecordBatch:
     bucket, blob = zip(*bucket_blobs, strict=True) if bucket_blobs else ((), ())
     return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(blob, pa.binary())], names=["bucket", "blob"])
 
 
-def several_docs(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For rows sorted by key: group of each row, least id of its group, and if the group has several ids."""
+def several_docs(key: np.ndarray, ids: np.ndarray, outer: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows sorted by key (or by outer and key): group of each row, least id of its group, and if the group has several ids."""
     head = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
+    if outer is not None and len(key):
+        head[1:] |= outer[1:] != outer[:-1]
     group = np.cumsum(head) - 1
     at = np.flatnonzero(head)
     low = np.minimum.reduceat(ids, at) if len(at) else ids
@@ -189,7 +239,7 @@ def several_docs(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def tied_positions(distinct: DataFrame, buckets: int) -> DataFrame:
-    """Round one: (uid, found): minimizers of each text whose 25-byte name occurs in another document too.
+    """Round one: (range, found): minimizers of each text whose 25-byte name occurs in another document too, packed by ranges of uid.
 
     A task sends one row per name and group of texts. Where a group itself holds a name in two
     documents, its rows are tied already and go on without meeting the others, so a line
@@ -226,18 +276,16 @@ def tied_positions(distinct: DataFrame, buckets: int) -> DataFrame:
             return [uid[out], pos[out]]
 
         for uid, pos in by_bucket(it, work):
-            yield per_uid(uid, pos)
+            yield per_range(uid, pos)
 
     dealt = distinct.where("doc_id is not null").select("uid", "doc_id", "text").mapInArrow(first, "bucket int, blob binary")
-    return dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(second, "uid long, found binary")
+    return dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(second, FOUND)
 
 
 def sides(b: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The HALF bytes before (nearest first) and after the names at pos, zero beyond the text's ends, and how many there are."""
-    padded = np.concatenate([np.zeros(HALF, np.uint8), b, np.zeros(SPAN, np.uint8)])
-    left = padded[pos[:, None] + np.arange(HALF - 1, -1, -1)]
-    right = padded[pos[:, None] + 2 * HALF + np.arange(HALF)]
-    return left, right, np.minimum(pos, HALF), np.minimum(len(b) - pos - HALF, HALF)
+    runs = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(HALF, np.uint8), b, np.zeros(SPAN, np.uint8)]), HALF)
+    return runs[pos][:, ::-1], runs[pos + 2 * HALF], np.minimum(pos, HALF), np.minimum(len(b) - pos - HALF, HALF)
 
 
 def folded(start: np.ndarray, side: np.ndarray) -> np.ndarray:
@@ -248,7 +296,7 @@ def folded(start: np.ndarray, side: np.ndarray) -> np.ndarray:
 
 
 def repeated_spans(distinct: DataFrame, tied: DataFrame, buckets: int) -> DataFrame:
-    """Round two: (uid, found): byte ranges, starts and ends, covered by a SPAN-byte string that also starts in a smaller doc_id.
+    """Round two: (range, found): byte ranges, starts and ends, covered by a SPAN-byte string that also starts in a smaller doc_id.
 
     A string that holds a name at offset o has o bytes of the left side and HALF - o of the right.
     Those with o < 13 hold 13 bytes of the right side, the others 13 of the left; keys take them in, so a
@@ -258,13 +306,12 @@ def repeated_spans(distinct: DataFrame, tied: DataFrame, buckets: int) -> DataFr
     near = HALF // 2 + 1
 
     def first(it):
-        for some in grouped(it, "founds"):
+        for some in tied_groups(it):
             uids, ids = np.array([r[0] for r in some]), np.array([r[1] for r in some])
             parts = []
-            for k, (_, _, raw, founds) in enumerate(some):
+            for k, (_, _, raw, pos) in enumerate(some):
                 b = np.frombuffer(raw, np.uint8)
-                pos = np.unique(np.concatenate([unpack(f)[0] for f in founds])).astype(np.int64)
-                name = folded(np.full(len(pos), G), b[pos[:, None] + np.arange(HALF)])
+                name = folded(np.full(len(pos), G), np.lib.stride_tricks.sliding_window_view(b, HALF)[pos])
                 parts.append((np.full(len(pos), k), pos, name, *sides(b, pos)))
             doc, pos, name, left, right, nl, nr = (np.concatenate(c) for c in zip(*parts, strict=True))
             spans = []
@@ -301,6 +348,7 @@ def repeated_spans(distinct: DataFrame, tied: DataFrame, buckets: int) -> DataFr
             key, uid, ids, pos, which, n_one, n_other, rest = key[rows], uid[rows], ids[rows], pos[rows].astype(np.int64), which[rows], n_one[rows].astype(int), n_other[rows].astype(int), rest[rows]
             most, least = np.full(len(rows), -1), np.full(len(rows), SPAN)  # covered counts of bytes of `other`
             with np.errstate(over="ignore"):
+                whose = np.cumsum(np.append(0, key[1:] != key[:-1])) if len(key) else key  # rows are in order of key
                 ones = [key]
                 for j in range(HALF - near):
                     ones.append(ones[-1] * G + TABLE[rest[:, j]])
@@ -312,8 +360,8 @@ def repeated_spans(distinct: DataFrame, tied: DataFrame, buckets: int) -> DataFr
                     if not len(ok):
                         continue
                     string = mix64(ones[HALF - near - o][ok] + mix64(tail[ok] + np.uint64(o)))
-                    by = np.argsort(string, kind="stable")
-                    _, low, _ = several_docs(string[by], ids[ok[by]])
+                    by = np.lexsort((string, whose[ok]))
+                    _, low, _ = several_docs(string[by], ids[ok[by]], whose[ok[by]])
                     hit = ok[by][ids[ok[by]] > low]
                     most[hit] = np.maximum(most[hit], o)
                     least[hit] = np.minimum(least[hit], o)
@@ -324,16 +372,15 @@ def repeated_spans(distinct: DataFrame, tied: DataFrame, buckets: int) -> DataFr
             return [uid[got], lo.astype("<u4"), hi.astype("<u4")]
 
         for uid, lo, hi in by_bucket(it, work):
-            yield per_uid(uid, lo, hi)
+            yield per_range(uid, lo, hi)
 
-    founds = tied.groupBy("uid").agg(F.collect_list("found").alias("founds"))  # a document's own
-    dealt = distinct.join(founds, "uid").select("uid", "doc_id", "text", "founds").mapInArrow(first, "bucket int, blob binary")
-    return dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(second, "uid long, found binary")
+    dealt = beside(distinct, tied, buckets).mapInArrow(first, "bucket int, blob binary")
+    return dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(second, FOUND)
 
 
-def merged(founds: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The union of ranges as maximal runs (touching ranges are one run)."""
-    lo, hi = (np.concatenate(c).astype(np.int64) for c in zip(*map(unpack, founds), strict=True))
+    lo, hi = lo.astype(np.int64), hi.astype(np.int64)
     order = np.argsort(lo, kind="stable")
     lo, hi = lo[order], np.maximum.accumulate(hi[order])
     head = np.append(True, lo[1:] > hi[:-1])
@@ -351,21 +398,26 @@ def changes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     free_shuffles(spark)
     spans = cut(repeated_spans(distinct, tied, buckets), "spans")
     free_shuffles(spark)
-    found = spans.groupBy("uid").agg(F.collect_list("found").alias("founds"))
 
     def last(it):
-        for batch in it:
-            out = []
-            for i, sha, text, founds in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "sha", "text", "founds")), strict=True):
-                raw = text.encode()
-                lo, hi = merged(founds)
-                ends = np.append(0, hi), np.append(lo, len(raw))
-                kept = b"".join(raw[a:b] for a, b in zip(*ends, strict=True))
-                out.append((i, sha, int((hi - lo).sum()), len(lo), kept, hashlib.sha256(kept).hexdigest()))
-            cols = list(zip(*out, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.string()), strict=True)], names=["id", "sha", "gone", "runs", "kept", "kept_sha"])
-
-    changed = distinct.join(found, "uid").select("doc_id", "sha", "text", "founds").mapInArrow(last, "id long, sha binary, gone long, runs long, kept binary, kept_sha string")
+        out, held = [], 0
+        for _, i, sha, raw, found in with_finds(it):
+            lo, hi = merged(*found)
+            ends = np.append(0, hi), np.append(lo, len(raw))
+            kept = b"".join(raw[a:b] for a, b in zip(*ends, strict=True))
+            out.append((i, sha, int((hi - lo).sum()), len(lo), kept, hashlib.sha256(kept).hexdigest()))
+            held += len(kept)
+            if held >= GROUP:
+                yield changed_rows(out)
+                out, held = [], 0
+        if out:
+            yield changed_rows(out)
+
+    def changed_rows(out):
+        cols = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.string()), strict=True)], names=["id", "sha", "gone", "runs", "kept", "kept_sha"])
+
+    changed = beside(distinct, spans, buckets).mapInArrow(last, "id long, sha binary, gone long, runs long, kept binary, kept_sha string")
     return ids, distinct, changed
 
 
