@@ -11,16 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, free_shuffles
+from .pieces import ragged
 
 WORD = re.compile(r"\w+")
 SHINGLE = 5
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
-#: Texts of unresolved buckets are drawn again with so many registers; a pair is verified if its registers agree
-#: to the threshold less 3.5 standard deviations (at 0.8: 0.756).
-WIDE = 1024
-#: Rows of a bucket on one side of a block of comparisons.
-BLOCK = 256
+#: Rows and bytes of text of a bucket on one side of a block of comparisons.
+BLOCK, BLOCK_BYTES = 1024, 16_000_000
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -163,74 +161,109 @@ def verified(pairs: DataFrame, distinct: DataFrame, least: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, similarity double")
 
 
-def wide_registers(distinct: DataFrame) -> DataFrame:
-    """(uid, regs binary): WIDE registers of 16 bits of each text that has a word."""
+def shingle_sets(distinct: DataFrame) -> DataFrame:
+    """(uid, elements binary, counts binary): the weighted shingles of each text that has a word."""
 
     def run(it):
         codes = WordCodes()
         for batch in it:
-            uid, regs, some, n = [], [], [], 0
+            out, held = [], 0
             for u, t in zip(batch.column("uid").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                s = shingles(t, codes)
-                if len(s[0]):
-                    uid.append(u)
-                    some.append(s)
-                    n += WIDE + len(s[0])
-                if n > 100_000:
-                    regs += [r.tobytes() for r in registers(some, WIDE).astype("<u2")]
-                    some, n = [], 0
-            if some:
-                regs += [r.tobytes() for r in registers(some, WIDE).astype("<u2")]
-            yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(regs, pa.binary())], names=["uid", "regs"])
+                e, c = shingles(t, codes)
+                if len(e):
+                    out.append((u, e.tobytes(), c.astype("<u4").tobytes()))
+                    held += 12 * len(e)
+                if held >= BLOCK_BYTES:
+                    yield rows(out)
+                    out, held = [], 0
+            yield rows(out)
+
+    def rows(out):
+        cols = list(zip(*out, strict=True)) or [[]] * 3
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["uid", "elements", "counts"])
 
-    return distinct.select("uid", "text").mapInArrow(run, "uid long, regs binary")
+    return distinct.select("uid", "text").mapInArrow(run, "uid long, elements binary, counts binary")
+
+
+def block_links(i: int, j: int, band: int, own: np.ndarray, uid: np.ndarray, comp: np.ndarray, lead: np.ndarray, codes: np.ndarray, sets: list[tuple[np.ndarray, np.ndarray]], least: float):
+    """Verified links (a, b, similarity) between two blocks i, j of a bucket, at most one for each merge of components.
+
+    Compared are pairs of different components (as merged so far, here) of which neither is the
+    bucket's leader and which share no earlier band. Of two distributions the sum s of the lesser probabilities bounds
+    the probability Jaccard from above (no coupling meets more often); pairs with s >= least are computed exactly.
+    """
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while (up := root.get(c, c)) != c:
+            root[c] = c = root.get(up, up)
+        return c
+
+    sizes = np.array([len(e) for e, _ in sets])
+    starts = np.cumsum(sizes) - sizes
+    _, word = np.unique(np.concatenate([e for e, _ in sets]), return_inverse=True)
+    share = np.concatenate([c / c.sum() for _, c in sets])
+    dense = np.zeros(int(word.max()) + 1)
+    now = comp.copy()  # components as merged here
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    right = right[uid[right] != lead[right]]
+    for x in left[uid[left] != lead[left]]:
+        ys = right[now[right] != now[x]]
+        if i == j:
+            ys = ys[uid[ys] > uid[x]]
+        if len(ys):
+            ys = ys[~(codes[ys, :band] == codes[x, :band]).any(axis=1)]
+        if not len(ys):
+            continue
+        own_x = slice(starts[x], starts[x] + sizes[x])
+        dense[word[own_x]] = share[own_x]
+        at = ragged(starts[ys], sizes[ys])
+        most = np.add.reduceat(np.minimum(dense[word[at]], share[at]), np.cumsum(sizes[ys]) - sizes[ys])
+        dense[word[own_x]] = 0
+        for y in ys[most >= least - 1e-9]:
+            cx, cy = find(int(comp[x])), find(int(comp[y]))
+            if cx != cy and (s := probability_jaccard(sets[x], sets[y])) >= least - 1e-9:
+                root[max(cx, cy)] = min(cx, cy)
+                now[now == max(cx, cy)] = min(cx, cy)
+                yield int(max(uid[x], uid[y])), int(min(uid[x], uid[y])), s
 
 
 def rest_of_buckets(members: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) still to verify: members (bucket, code, uid, comp, n, lead) of buckets that hold two components or more.
+    """Verified links (a, b, similarity) that members (band, code, uid, comp, lead, blocks, codes, elements, counts) of open buckets still need.
 
-    Rows of a bucket are dealt to blocks of about 256; every pair of blocks of a bucket is a
-    group of its own, so a bucket with any number of rows is spread over tasks. In a group the registers of
-    the two blocks are compared as matrices, and only pairs of different components that agree in
-    `least` of them come out; pairs with the leader were verified before.
+    Rows of a bucket are dealt to `blocks` blocks; every pair of blocks of a bucket is a
+    group of its own, so a bucket with any number of rows is spread over tasks, each of which holds two blocks. A group
+    gives no more links than it merges components.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("band", "code", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "uid", "comp", "lead", "regs")
+    dealt = members.withColumn("own", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    names = ("band", "code", "i", "j", "own", "uid", "comp", "lead", "codes", "elements", "counts")
+    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).select(*names)
     dealt = dealt.repartition("band", "code", "i", "j").sortWithinPartitions("band", "code", "i", "j")
 
     def compare(group):
-        _, j, own, uid, comp, lead, regs = zip(*group, strict=True)
-        own, uid, comp, lead, regs = np.array(own), np.array(uid), np.array(comp), np.array(lead), np.array(regs)
-        i, j = group[0][0], j[0]
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        for x in left:
-            ys = right[(comp[right] != comp[x]) & (uid[right] != lead[right]) & (uid[right] > uid[x] if i == j else True)] if uid[x] != lead[x] else right[:0]
-            if len(ys):
-                ys = ys[(regs[ys] == regs[x]).mean(axis=1) >= least]
-                for y in ys:
-                    yield int(max(uid[x], uid[y])), int(min(uid[x], uid[y]))
+        band, _, i, j, own, uid, comp, lead, codes, elements, counts = zip(*group, strict=True)
+        sets = [(np.frombuffer(e, "<u8"), np.frombuffer(c, "<u4").astype(np.int64)) for e, c in zip(elements, counts, strict=True)]
+        return block_links(i[0], j[0], band[0], np.array(own), np.array(uid), np.array(comp), np.array(lead), np.array(codes), sets, least)
 
     def run(it):
         key, group = None, []
         for batch in it:
             out = []
-            for band, code, i, j, own, uid, comp, lead, regs in zip(*(batch.column(n).to_pylist() for n in ("band", "code", "i", "j", "own", "uid", "comp", "lead", "regs")), strict=True):
-                if key != (band, code, i, j):
+            for row in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
+                if key != row[:4]:
                     if len(group) > 1:
                         out += compare(group)
-                    key, group = (band, code, i, j), []
-                group.append((i, j, own, uid, comp, lead, np.frombuffer(regs, "<u2")))
-            yield pairs(out)
+                    key, group = row[:4], []
+                group.append(row)
+            yield links(out)
         if len(group) > 1:
-            yield pairs(list(compare(group)))
+            yield links(list(compare(group)))
 
-    def pairs(out):
-        a, b = zip(*out, strict=True) if out else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    def links(out):
+        a, b, s = zip(*out, strict=True) if out else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long, similarity double").dropDuplicates(["a", "b"])
 
 
 def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -257,7 +290,7 @@ def classes(docs: DataFrame, least: float = 0.8, bands: int = BANDS, rows: int =
     shingles is at least `least`, and of equal texts (one node each). Candidates share a band
     of registers (a pair at 0.8 is missed with probability 5e-5). Of each bucket, all members are first
     verified against its least; buckets that still hold several components are then compared in
-    blocks, without a cap, so a link that misses the least member is found too. Texts without a
+    blocks, exactly and without a cap, so a link that misses the least member is found too. Texts without a
     word are alike only if equal; null and empty texts are one text. A class of null ids only has
     class_id null. An empty table gives no rows.
     """
@@ -288,10 +321,11 @@ def near_links(distinct: DataFrame, least: float, bands: int = BANDS, rows: int
     placed = cut(inside.where("n > 2").join(found, "uid", "left").select("band", "code", "uid", "lead", "n", F.coalesce("comp", "uid").alias("comp")), "members")
     open_ = placed.groupBy("band", "code").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "code")
     members = cut(placed.join(open_, ["band", "code"], "left_semi"), "members")
-    wide = cut(wide_registers(distinct.join(members.select("uid").distinct(), "uid", "left_semi")), "wide")
-    agreed = least - 3.5 * (least * (1 - least) / WIDE) ** 0.5
-    more = cut(rest_of_buckets(members.join(wide, "uid"), agreed).join(star, ["a", "b"], "left_anti"), "pairs")
-    later = cut(verified(more, distinct, least), "links")
+    # every text of an open bucket once, with its shingles; blocks by rows and by bytes
+    sets = cut(shingle_sets(distinct.join(members.select("uid").distinct(), "uid", "left_semi")).join(drawn, "uid"), "sets")
+    sized = members.join(sets.select("uid", F.length("elements").alias("bytes")), "uid").groupBy("band", "code").agg(F.count("*").alias("rows"), F.sum("bytes").alias("bytes"))
+    blocks = sized.select("band", "code", F.greatest(F.ceil(F.col("rows") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    later = cut(rest_of_buckets(members.join(blocks, ["band", "code"]).join(sets, "uid"), least), "links")
     free_shuffles(spark)
     if not later.limit(1).count():
         return links, found
