@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.exprs import micro
+from .functions.exprs import micro, nano
 from .model import GraphSet
 from .operators import estimate, external, gram, mmd, tangent, walks, wl
 from .plans import oracles as o
@@ -18,7 +18,7 @@ from .sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-B, SEED = 50, 7
+B, SEED = 1000, 7
 
 
 def query(sql: str | None = None):
@@ -209,13 +209,13 @@ def gram_rw_arkl_rank(spark, sf_dir):
 
 @query(o.sql([*o.CO_PURCHASE, *o.tangent(2, "uniform", "degree")], f"SELECT i, j, {o.MILLI.format('2 * (sum(t) + coalesce(any_value(raw), 0))')} AS k_milli FROM t2 LEFT JOIN raw USING (i, j) GROUP BY i, j"))
 def gram_gntk(spark, sf_dir):
-    k = tangent.two_layers(brands(spark, sf_dir), 2, True, "uniform")
+    k = tangent.kernel(brands(spark, sf_dir), 2, 2, True, "uniform")
     return k.select("i", "j", F.floor(F.col("k") * 1e3 + 0.5137).cast("long").alias("k_milli"))
 
 
 @query(o.sql([*o.CO_PURCHASE, *o.tangent(1, "degree", "attr")], f"SELECT i, j, {o.MILLI.format('2 * sum(t)')} AS k_milli FROM t1 GROUP BY i, j"))
 def gram_gntk_attributes(spark, sf_dir):
-    k = tangent.two_layers(brands(spark, sf_dir), 1, False, "degree", use_attr=True)
+    k = tangent.kernel(brands(spark, sf_dir), 2, 1, False, "degree", use_attr=True)
     return k.select("i", "j", F.floor(F.col("k") * 1e3 + 0.5137).cast("long").alias("k_milli"))
 
 
@@ -271,14 +271,17 @@ def null_bootstraps(spark, sf_dir):
 
 
 def test_sql(ctes: list[str], formula: str) -> str:
-    f = o.MICRO.format(o.FORMULA[formula])
-    return o.sql([*ctes, *o.OBSERVED, *o.permuted(B, SEED), f"nm AS (SELECT {f} AS s FROM ns, sizes)", f"om AS (SELECT {f} AS s FROM os, sizes)"], f"SELECT (SELECT s FROM om) AS statistic_micro, avg(CASE WHEN nm.s >= om.s THEN 1.0 ELSE 0.0 END) AS p_value, CAST({B} AS INTEGER) AS B FROM nm, om")
+    f = o.FORMULA[formula]
+    return o.sql(
+        [*ctes, *o.OBSERVED, *o.permuted(B, SEED), f"nm AS MATERIALIZED (SELECT {f} AS s FROM ns, sizes)", f"om AS (SELECT {f} AS s FROM os, sizes)", f"lim AS (SELECT s, s - {mmd.TIE!r} * greatest(abs(s), (SELECT max(abs(s)) FROM nm)) AS least FROM om)"],
+        f"SELECT {o.NANO.format('(SELECT s FROM lim)')} AS statistic_nano, avg(CASE WHEN nm.s >= lim.least THEN 1.0 ELSE 0.0 END) AS p_value, CAST({B} AS INTEGER) AS B FROM nm, lim",
+    )
 
 
 def relational_test(k: DataFrame, pooled: DataFrame, estimator: str) -> DataFrame:
     seen = cut(mmd.estimate(k, pooled, estimator))
     p = mmd.p_value(mmd.null_distribution(k, pooled, estimator, B, SEED), seen)
-    return seen.select(micro(F.col("statistic")).alias("statistic_micro")).join(F.broadcast(p)).withColumn("B", F.lit(B))  # one row each
+    return seen.select(nano(F.col("statistic")).alias("statistic_nano")).join(F.broadcast(p)).withColumn("B", F.lit(B))  # one row each
 
 
 @query(test_sql(WL_GRAM, "MMD_u"))
@@ -343,19 +346,19 @@ def gram_pyramid_match(spark, sf_dir):
 
 @query(o.sql(o.OBS, "SELECT sample, win, col, CAST(count(*) AS BIGINT) AS n, " + o.MICRO.format("avg(x)") + " AS mean_micro, " + o.MICRO.format("sqrt(var_pop(x))") + " AS sd_micro FROM cells GROUP BY ALL"))
 def matrix_windows(spark, sf_dir):
-    v = estimate.long_form(estimate.windows(tables.embedding_matrix(spark, sf_dir, dims=4), 25))
+    v = estimate.long_form(estimate.windows(tables.embedding_matrix(spark, sf_dir), 25))
     return v.groupBy("sample", "win", "col").agg(F.count("*").alias("n"), micro(F.avg("x")).alias("mean_micro"), micro(F.sqrt(F.var_pop("x"))).alias("sd_micro"))
 
 
 @query(o.sql(o.OBS, "SELECT sample, win, row_idx, col, CAST(2 * (rank() OVER (PARTITION BY sample, win, col ORDER BY x) + (count(*) OVER (PARTITION BY sample, win, col, x) - 1) / 2.0) AS BIGINT) AS rank_x2 FROM cells"))
 def matrix_ranks(spark, sf_dir):
-    r = estimate.average_ranks(estimate.long_form(estimate.windows(tables.embedding_matrix(spark, sf_dir, dims=4), 25)))
+    r = estimate.average_ranks(estimate.long_form(estimate.windows(tables.embedding_matrix(spark, sf_dir), 25)))
     return r.select("sample", "win", "row_idx", "col", (2 * F.col("r")).cast("long").alias("rank_x2"))
 
 
-@query()
+@query(o.sql(o.RANKED, "SELECT sample, win, row_idx, col, " + o.MICRO.format("mean + sd * z") + " AS x_micro FROM scored"))
 def matrix_nonparanormal(spark, sf_dir):
-    return estimate.nonparanormal(estimate.long_form(estimate.windows(tables.embedding_matrix(spark, sf_dir), 25)))
+    return in_micro(estimate.nonparanormal(estimate.long_form(estimate.windows(tables.embedding_matrix(spark, sf_dir), 25))), "x", "x_micro")
 
 
 @query(o.sql([*o.OBS, "c2 AS (SELECT sample, win, var_pop(x[1]) AS aa, var_pop(x[2]) AS bb, covar_pop(x[1], x[2]) AS ab FROM win GROUP BY ALL)", "w2 AS (SELECT *, sign(ab) * greatest(abs(ab) - 0.0005, 0.0) AS w FROM c2)"], f"SELECT sample, win, {o.MICRO.format('-w / (aa * bb - w * w)')} AS weight_micro FROM w2"))

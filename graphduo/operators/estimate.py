@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Callable
-from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import normal_quantile, truncation
+from ..functions.exprs import normal_quantile, normal_quantiles, truncation
 from ..model import GraphSet
 
 #: Entries of a precision matrix below this are zero.
@@ -55,8 +54,7 @@ def gaussian_scores(x: np.ndarray) -> np.ndarray:
     n = len(x)
     ranks = pd.DataFrame(x).rank(method="average").to_numpy() / n
     d = 1 / (4 * n**0.25 * np.sqrt(np.pi * np.log(n)))
-    inv = np.vectorize(NormalDist().inv_cdf)
-    return x.mean(axis=0) + x.std(axis=0) * inv(np.clip(ranks, d, 1 - d))
+    return x.mean(axis=0) + x.std(axis=0) * normal_quantiles(np.clip(ranks, d, 1 - d))
 
 
 def lasso_row(w: np.ndarray, s: np.ndarray, alpha: float, beta: np.ndarray, rounds: int = 500, tol: float = 1e-8) -> np.ndarray:

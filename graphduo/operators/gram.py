@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Graphs in a block of the pair grid.
-BLOCK = 64
+#: Graphs in a block of the pair grid; for kernels that hold all node pairs of two blocks at a time, fewer.
+BLOCK, SMALL_BLOCK = 64, 16
 
 
 def all_pairs(pooled: DataFrame) -> DataFrame:
@@ -63,12 +63,12 @@ def check_psd(gram: DataFrame, least: float = -1e-11) -> DataFrame:
     return gram
 
 
-def by_blocks(rows: DataFrame, fn, block: int = BLOCK, prep=None) -> DataFrame:
+def by_blocks(rows: DataFrame, fn, block: int = BLOCK, prep=None, whole: bool = False) -> DataFrame:
     """Gram entries by a Python function of two graphs' rows, over a grid of blocks.
 
     rows: (ord, columns...), one row per graph. Every row goes to the pairs of blocks it takes part in,
     and a task holds two blocks; fn(a, b) gets dicts of the rows' columns, or what `prep` made of each
-    of them, once per block.
+    of them, once per block. With `whole`, fn gets the lists of both blocks and returns the matrix of their values.
     """
     n = rows.agg(F.max("ord")).first()[0]
     if n is None:
@@ -83,7 +83,11 @@ def by_blocks(rows: DataFrame, fn, block: int = BLOCK, prep=None) -> DataFrame:
         recs = pdf.sort_values("ord").to_dict("records")
         made = [(r["ord"], r["own"], prep(r) if prep else r) for r in recs]
         left, right = [m for m in made if m[1] == p], [m for m in made if m[1] == q]
-        out = [(i, j, fn(a, b)) for i, _, a in left for j, _, b in right if i <= j]
+        if whole:
+            k = fn([x for _, _, x in left], [x for _, _, x in right])
+            out = [(i, j, k[a, b]) for a, (i, _, _) in enumerate(left) for b, (j, _, _) in enumerate(right) if i <= j]
+        else:
+            out = [(i, j, fn(a, b)) for i, _, a in left for j, _, b in right if i <= j]
         return pd.DataFrame(out, columns=["i", "j", "k"]).astype({"i": "int32", "j": "int32", "k": "float64"})
 
     return dealt.groupBy("p", "q").applyInPandas(run, "i int, j int, k double")

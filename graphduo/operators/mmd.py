@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import micro
 from . import gram
 
 ESTIMATORS = ("MMD_u", "MMD_b", "MMD_l", "MONK_EST")
+#: Graphs up to which a Gram matrix is sent to the workers whole (32 MB); beyond, resampling goes by joins.
+MATRIX = 2000
+#: Statistics that differ by less than this share of the largest tie: rounding, not a difference.
+TIE = 1e-9
 
 
 def pair_sums(pairs: DataFrame, by: list[str]) -> DataFrame:
@@ -26,9 +29,9 @@ def pair_sums(pairs: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def formula(estimator: str, n1: int, n2: int, compat: bool = False) -> Column:
-    """The estimate from pair_sums. MMD_b is the V-statistic; compat keeps a published variant whose denominators differ when n1 is not n2."""
-    xx, yy, dx, dy, xy = (F.col(c) for c in ("xx", "yy", "dx", "dy", "xy"))
+def formula(estimator: str, n1: int, n2: int, compat: bool = False, sums: Sequence | None = None) -> Column:
+    """The estimate from the columns of pair_sums, or from such sums as numbers or arrays. MMD_b is the V-statistic; compat keeps a published variant whose denominators differ when n1 is not n2."""
+    xx, yy, dx, dy, xy = sums or [F.col(c) for c in ("xx", "yy", "dx", "dy", "xy")]
     if estimator == "MMD_u":
         return (xx - dx) / (n1 * (n1 - 1)) + (yy - dy) / (n2 * (n2 - 1)) - 2 * xy / (n1 * n2)
     if estimator == "MMD_b":
@@ -82,28 +85,59 @@ def bootstraps(pooled: DataFrame, b: int, seed: int) -> DataFrame:
     return slots.select("b", "slot", draw.cast("int").alias("ord"), F.when(F.col("slot") < n1, 1).otherwise(2).alias("a"))
 
 
-def null_distribution(k: DataFrame, pooled: DataFrame, estimator: str, b: int, seed: int, scheme: str = "permutation", compat: bool = False) -> DataFrame:
-    """(b, statistic): the estimate for each of b resamples, by joins; the Gram table is read once per resample."""
-    n1 = pooled.where("sample = 1").count()
-    n2 = pooled.count() - n1
+def null_distribution(k: DataFrame, pooled: DataFrame, estimator: str, b: int, seed: int, scheme: str = "permutation", compat: bool = False, most: int = MATRIX) -> DataFrame:
+    """(b, statistic): the estimate for each of b resamples, which are dealt by hashes.
+
+    Up to `most` graphs the Gram matrix goes to the workers and a resample costs two products with it; beyond, by
+    joins, with the Gram table read once per resample.
+    """
+    if scheme not in ("permutation", "bootstrap"):
+        raise ValueError("scheme must be 'permutation' or 'bootstrap'")
+    n, n1 = pooled.count(), pooled.where("sample = 1").count()
+    n2 = n - n1
+    d = permutations(pooled, b, seed) if scheme == "permutation" else bootstraps(pooled, b, seed)
+    if n <= most:
+        return _null_by_matrix(k, d, n, lambda sums: formula(estimator, n1, n2, compat, sums))
     if scheme == "permutation":
-        d = permutations(pooled, b, seed)
         one, two = d.select("b", F.col("ord").alias("i"), "a"), d.select("b", F.col("ord").alias("j"), F.col("a").alias("b2"))
         pairs = k.join(one, "i").join(two, ["b", "j"]).select("b", "k", "a", F.col("b2"), (F.col("i") == F.col("j")).alias("same"))
-    elif scheme == "bootstrap":
-        d = bootstraps(pooled, b, seed)
+    else:
         one, two = d.select("b", F.col("ord").alias("i"), F.col("slot").alias("s"), "a"), d.select("b", F.col("ord").alias("j"), F.col("slot").alias("t"), F.col("a").alias("b2"))
         pairs = gram.symmetrised(k).join(one, "i").join(two, ["b", "j"]).where("s <= t").select("b", "k", "a", F.col("b2"), (F.col("s") == F.col("t")).alias("same"))
-    else:
-        raise ValueError("scheme must be 'permutation' or 'bootstrap'")
     pairs = pairs.withColumnRenamed("b", "round").withColumnRenamed("b2", "b")
     return pair_sums(pairs, ["round"]).select(F.col("round").alias("b"), formula(estimator, n1, n2, compat).alias("statistic"))
 
 
+def _null_by_matrix(k: DataFrame, dealt: DataFrame, n: int, of_sums: Callable) -> DataFrame:
+    """(b, statistic) for draws (b, ord, a): with c the counts of each graph in a sample, sums of pairs are c' K c."""
+    shared = k.sparkSession.sparkContext.broadcast(gram.dense(k))  # n x n, at most MATRIX on a side
+
+    def run(it):
+        kk = shared.value
+        for pdf in it:
+            c1, c2 = (np.stack([np.bincount(x, minlength=n) for x in pdf[c]]).astype(float) for c in ("first", "second"))
+            k1 = c1 @ kk
+            sums = ((k1 * c1).sum(axis=1), ((c2 @ kk) * c2).sum(axis=1), c1 @ np.diag(kk), c2 @ np.diag(kk), (k1 * c2).sum(axis=1))
+            yield pd.DataFrame({"b": pdf["b"], "statistic": of_sums(sums)})
+
+    side = lambda s: F.collect_list(F.when(F.col("a") == s, F.col("ord")))
+    return dealt.groupBy("b").agg(side(1).alias("first"), side(2).alias("second")).mapInPandas(run, "b int, statistic double")
+
+
 def p_value(null: DataFrame, observed: DataFrame) -> DataFrame:
-    """(p_value): the share of the null at or above the observed value, both in millionths, so that a resample that repeats the split ties exactly."""
-    at = observed.select(micro(F.col("statistic")).alias("o"))
-    return null.select(micro(F.col("statistic")).alias("s")).join(F.broadcast(at)).agg(F.avg((F.col("s") >= F.col("o")).cast("double")).alias("p_value"))
+    """(p_value): the share of the null at or above the observed value.
+
+    A resample that repeats the split must tie though its sums were added in another order: values within TIE of the largest
+    absolute value do. The bound goes with the scale of the kernel, so p does not depend on that.
+    """
+    at = observed.select(F.col("statistic").alias("o"))
+    least = null.agg(F.max(F.abs("statistic")).alias("top")).join(F.broadcast(at)).select((F.col("o") - TIE * F.greatest(F.abs("o"), F.coalesce("top", F.lit(0.0)))).alias("least"))  # one row each
+    return null.select("statistic").join(F.broadcast(least)).agg(F.avg((F.col("statistic") >= F.col("least")).cast("double")).alias("p_value"))
+
+
+def share_at_or_above(null: np.ndarray, observed: float) -> float:
+    """p_value of arrays."""
+    return float((null >= observed - TIE * max(abs(observed), np.abs(null).max(initial=0.0))).mean())
 
 
 # --- the same on a dense matrix: one matmul per batch of resamples -----------------------------------

@@ -1,4 +1,4 @@
-"""Graph neural tangent kernel (Du et al. 2019): joins for two layers, NumPy in pair blocks for any depth."""
+"""Graph neural tangent kernel (Du et al. 2019): matrix products in blocks of graph pairs, and the same by joins for two layers."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import arc_cosine
+from ..functions.exprs import NEAR, arc_cosine
 from ..model import GraphSet
 from . import gram, walks
 
@@ -23,15 +23,15 @@ def node_features(gs: GraphSet, degree_as_tag: bool, use_attr: bool) -> DataFram
 
 
 def neighbourhoods(gs: GraphSet) -> DataFrame:
-    """(graph_id, node_id, other): the rows of A + A' + I, with their multiplicities; edge weights do not count."""
+    """(graph_id, node_id, other): the rows of A + A' + I, A holding each edge once; edge weights do not count.
+
+    A neighbour counts once where edges have no direction, twice where arcs go both ways; a node
+    counts once for itself and twice more for a self-loop.
+    """
     e = gs.edges.select("graph_id", "src", "dst").distinct()
-    d = gs.graphs.select("graph_id", "directed")
-    e = e.join(d, "graph_id")
-    there = e.select("graph_id", F.col("src").alias("node_id"), F.col("dst").alias("other"), "directed")
-    back = e.select("graph_id", F.col("dst").alias("node_id"), F.col("src").alias("other"), "directed")
-    both = there.unionAll(back).select("graph_id", "node_id", "other", F.when(F.col("directed") | (F.col("node_id") == F.col("other")), 1).otherwise(2).alias("m"))
-    own = gs.nodes.select("graph_id", "node_id", F.col("node_id").alias("other"), F.lit(1).alias("m"))
-    return both.unionAll(own).select("graph_id", "node_id", "other", F.explode(F.array_repeat(F.lit(1), F.col("m"))).alias("one")).drop("one")
+    there = e.select("graph_id", F.col("src").alias("node_id"), F.col("dst").alias("other"))
+    back = e.select("graph_id", F.col("dst").alias("node_id"), F.col("src").alias("other"))
+    return there.unionAll(back).unionAll(gs.nodes.select("graph_id", "node_id", F.col("node_id").alias("other")))
 
 
 def two_layers(gs: GraphSet, num_mlp_layers: int = 2, jk: bool = True, scale: str = "uniform", degree_as_tag: bool = True, use_attr: bool = False) -> DataFrame:
@@ -66,8 +66,19 @@ def two_layers(gs: GraphSet, num_mlp_layers: int = 2, jk: bool = True, scale: st
     return k.select("i", "j", (2 * F.col("t")).alias("k"))
 
 
+def arc_step(s: np.ndarray, d1: np.ndarray, d2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The arc-cosine step of covariances s with standard deviations d1, d2: new covariances and their slopes; 0 where a deviation is 0."""
+    grid = np.outer(d1, d2)
+    ok = grid > 0
+    r = np.divide(s, grid, out=np.zeros_like(s), where=ok)
+    r = np.where(np.abs(r) > 1 - NEAR, np.sign(r), r)
+    rest = np.pi - np.arccos(r)
+    return np.where(ok, (r * rest + np.sqrt(1 - r * r)) / np.pi * grid, 0.0), np.where(ok, rest / np.pi, 0.0)
+
+
 def deep(gs: GraphSet, num_layers: int, num_mlp_layers: int | None = None, jk: bool = True, scale: str = "uniform", degree_as_tag: bool = True, use_attr: bool = False) -> DataFrame:
-    """Any depth, in pair blocks: neighbour sums are A S B on the node-pair matrix, never a Kronecker product."""
+    """Any depth, a block of graph pairs at a time: with the graphs of a block as one graph of several parts, neighbour sums are A S B on the
+    matrix of all their node pairs, and a kernel value is the sum over its part; never a Kronecker product."""
     if scale not in ("uniform", "degree"):
         raise ValueError("scale must be 'uniform' or 'degree'")
     if not use_attr and not degree_as_tag:
@@ -78,21 +89,17 @@ def deep(gs: GraphSet, num_layers: int, num_mlp_layers: int | None = None, jk: b
     gs_rows = walks.graph_rows(gs)
 
     def gather(s, x, y):
-        out = x["a"] @ s @ y["a"].T
-        return out / np.outer(x["size"], y["size"]) if scale == "degree" else out
+        return np.outer(x["scale"], y["scale"]) * (x["a"] @ s @ y["a"].T)
 
-    def step(s, d1, d2):
-        grid = np.outer(d1, d2)
-        ok = grid > 0
-        r = np.clip(np.divide(s, grid, out=np.zeros_like(s), where=ok), -1, 1)
-        rest = np.pi - np.arccos(r)
-        return np.where(ok, (r * rest + np.sqrt(1 - r * r)) / np.pi * grid, 0.0), np.where(ok, rest / np.pi, 0.0)
+    def product(x, y):
+        return x["f"] @ y["f"].T if use_attr else (x["f"][:, None] == y["f"][None, :]).astype(float)
 
     def prep(row):
         m = (walks.adjacency({**row, "arcs": [{**dict(e if isinstance(e, dict) else e.asDict()), "weight": 1.0} for e in (row["arcs"] if row["arcs"] is not None else ())]}) != 0).astype(float)
-        x = {"a": m + m.T + np.eye(len(m)), "f": None}
-        x["size"] = x["a"].sum(axis=1)
-        deg = m.sum(axis=1) + np.diag(m) if not row["directed"] else m.sum(axis=1) + m.sum(axis=0)
+        loops = np.diag(np.diag(m))
+        x = {"a": (m + m.T if row["directed"] else m + loops) + np.eye(len(m))}
+        x["scale"] = 1 / x["a"].sum(axis=1) if scale == "degree" else np.ones(len(m))
+        deg = m.sum(axis=1) + (m.sum(axis=0) if row["directed"] else np.diag(m))
         x["f"] = np.array([list(v["attr"]) for v in row["nodes"]]) if use_attr else deg
         # standard deviations of every step, from the graph against itself
         s, x["diag"] = gather(product(x, x), x, x), []
@@ -100,33 +107,41 @@ def deep(gs: GraphSet, num_layers: int, num_mlp_layers: int | None = None, jk: b
             for _ in range(mlps):
                 d = np.sqrt(np.maximum(np.diag(s), 0))
                 x["diag"].append(d)
-                s = step(s, d, d)[0]
+                s = arc_step(s, d, d)[0]
             if layer < num_layers - 1:
                 s = gather(s, x, x)
         return x
 
-    def product(x, y):
-        return x["f"] @ y["f"].T if use_attr else (x["f"][:, None] == y["f"][None, :]).astype(float)
+    def together(xs):
+        """Several graphs as one: their neighbourhoods as blocks of a matrix, the other arrays in a row."""
+        n = [len(x["scale"]) for x in xs]
+        out = {"a": np.zeros((sum(n), sum(n))), "scale": np.concatenate([x["scale"] for x in xs]), "f": np.concatenate([x["f"] for x in xs]), "at": np.cumsum([0, *n[:-1]])}
+        for x, k, m in zip(xs, out["at"], n, strict=True):
+            out["a"][k : k + m, k : k + m] = x["a"]
+        out["diag"] = [np.concatenate(d) for d in zip(*(x["diag"] for x in xs), strict=True)]
+        return out
 
-    def pair(x, y):
+    def sums(t, x, y):
+        return np.add.reduceat(np.add.reduceat(t, x["at"], axis=0), y["at"], axis=1)
+
+    def block(xs, ys):
+        x, y = together(xs), together(ys)
         raw = product(x, y)
         s = gather(raw, x, y)
-        t, total, at = s.copy(), raw.sum(), 0
+        t, total, at = s.copy(), sums(raw, x, y), 0
         for layer in range(1, num_layers):
             for _ in range(mlps):
-                s, slope = step(s, x["diag"][at], y["diag"][at])
+                s, slope = arc_step(s, x["diag"][at], y["diag"][at])
                 t, at = t * slope + s, at + 1
-            total += t.sum()
+            if jk:
+                total += sums(t, x, y)
             if layer < num_layers - 1:
                 s, t = gather(s, x, y), gather(t, x, y)
-        return float(2 * (total if jk else t.sum()))
+        return 2 * (total if jk else sums(t, x, y))
 
-    return gram.by_blocks(gs_rows, pair, prep=prep)
+    return gram.by_blocks(gs_rows, block, block=gram.SMALL_BLOCK, prep=prep, whole=True)
 
 
 def kernel(gs: GraphSet, num_layers: int, num_mlp_layers: int | None = None, jk: bool = True, scale: str = "uniform", degree_as_tag: bool = True, use_attr: bool = False) -> DataFrame:
-    """two_layers at depth two, else deep. The number of perceptron layers defaults to num_layers."""
-    mlps = num_layers if num_mlp_layers is None else num_mlp_layers
-    if num_layers == 2:
-        return two_layers(gs, mlps, jk, scale, degree_as_tag, use_attr)
-    return deep(gs, num_layers, mlps, jk, scale, degree_as_tag, use_attr)
+    """deep, which costs a matrix product per pair of blocks where two_layers shuffles every node pair. The number of perceptron layers defaults to num_layers."""
+    return deep(gs, num_layers, num_layers if num_mlp_layers is None else num_mlp_layers, jk, scale, degree_as_tag, use_attr)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from ..functions.exprs import FAR, MEDIAN, NEAR, TAIL
+
 MICRO = "CAST(floor(({0}) * 1e6 + 0.5137) AS BIGINT)"
 MILLI = "CAST(floor(({0}) * 1e3 + 0.5137) AS BIGINT)"
+NANO = "CAST(floor(({0}) * 1e9 + 0.5137) AS BIGINT)"
 
 
 def sql(ctes: list[str], last: str) -> str:
@@ -107,7 +110,7 @@ def tangent(mlps: int, scale: str, feature: str) -> list[str]:
     f = "SELECT graph_id, node_id, degree AS dim, CAST(1 AS DOUBLE) AS v FROM degrees" if feature == "degree" else "SELECT graph_id, node_id, 0 AS dim, d AS v FROM nodes"
     out = [
         DEGREES, POOLED, PAIRS, f"f AS MATERIALIZED ({f})",
-        "nb AS MATERIALIZED (SELECT graph_id, src AS node_id, dst AS other, CASE WHEN src = dst THEN 1 ELSE 2 END AS m FROM arcs UNION ALL SELECT graph_id, node_id, node_id, 1 FROM nodes)",
+        "nb AS MATERIALIZED (SELECT graph_id, src AS node_id, dst AS other, 1 AS m FROM edges UNION ALL SELECT graph_id, dst, src, 1 FROM edges UNION ALL SELECT graph_id, node_id, node_id, 1 FROM nodes)",
         "size AS (SELECT graph_id, node_id, sum(m) AS m FROM nb GROUP BY ALL)",
         f"h AS MATERIALIZED (SELECT p.ord, nb.node_id, f.dim, sum(nb.m * f.v){' / any_value(size.m)' if scale == 'degree' else ''} AS v FROM nb JOIN f ON f.graph_id = nb.graph_id AND f.node_id = nb.other JOIN size ON size.graph_id = nb.graph_id AND size.node_id = nb.node_id JOIN pooled p ON p.graph_id = nb.graph_id GROUP BY p.ord, nb.node_id, f.dim)",
         "dg AS MATERIALIZED (SELECT ord, node_id, sqrt(sum(v * v)) AS d FROM h GROUP BY ALL)",
@@ -115,7 +118,7 @@ def tangent(mlps: int, scale: str, feature: str) -> list[str]:
         "t0 AS (SELECT i, j, u, w, d1, d2, coalesce(s, 0.0) AS s, coalesce(s, 0.0) AS t FROM (SELECT a.ord AS i, b.ord AS j, a.node_id AS u, b.node_id AS w, a.d AS d1, b.d AS d2 FROM dg a JOIN dg b ON a.ord <= b.ord) LEFT JOIN s USING (i, j, u, w))",
     ]
     for k in range(mlps):
-        r = "greatest(-1.0, least(1.0, s / d1 / d2))"
+        r = f"(CASE WHEN abs(s / d1 / d2) > {1 - NEAR!r} THEN sign(s) ELSE s / d1 / d2 END)"
         out.append(f"t{k + 1} AS (SELECT i, j, u, w, d1, d2, n AS s, t * ds + n AS t FROM (SELECT *, CASE WHEN d1 > 0 AND d2 > 0 THEN ({r} * (pi() - acos({r})) + sqrt(greatest(1 - {r} * {r}, 0.0))) / pi() * d1 * d2 ELSE 0.0 END AS n, CASE WHEN d1 > 0 AND d2 > 0 THEN (pi() - acos({r})) / pi() ELSE 0.0 END AS ds FROM t{k}))")
     return [
         *out, "g AS (SELECT p.ord, dim, sum(v) AS v FROM f JOIN pooled p USING (graph_id) GROUP BY ALL)",
@@ -153,7 +156,27 @@ def booted(b: int, seed: int) -> list[str]:
 
 
 OBS = [
-    "obs AS (SELECT CAST(1 + (vec_id // 25) % 2 AS INTEGER) AS sample, vec_id AS row_idx, CAST(embedding[1:4] AS DOUBLE[]) AS x FROM embeddings)",
+    "obs AS (SELECT CAST(1 + (vec_id // 25) % 2 AS INTEGER) AS sample, vec_id AS row_idx, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)",
     "win AS (SELECT *, row_idx // 25 AS win FROM obs QUALIFY count(*) OVER (PARTITION BY sample, row_idx // 25) = 25)",
-    "cells AS (SELECT sample, win, row_idx, CAST(c - 1 AS INTEGER) AS col, x[c] AS x FROM win, (SELECT unnest(range(1, 5)) AS c))",
+    "cells AS (SELECT sample, win, row_idx, CAST(c - 1 AS INTEGER) AS col, x[c] AS x FROM win, (SELECT unnest(range(1, 65)) AS c))",
+]
+
+
+def horner(of: tuple[tuple[float, ...], tuple[float, ...]], x: str) -> str:
+    """exprs.ratio in SQL, in doubles."""
+
+    def poly(cs):
+        out = f"CAST({cs[-1]!r} AS DOUBLE)"
+        for c in reversed(cs[:-1]):
+            out = f"({out} * ({x}) + CAST({c!r} AS DOUBLE))"
+        return out
+
+    return f"({poly(of[0])} / {poly(of[1])})"
+
+
+RANKED = [
+    *OBS,
+    "ranked AS (SELECT *, rank() OVER (PARTITION BY sample, win, col ORDER BY x) + (count(*) OVER (PARTITION BY sample, win, col, x) - 1) / 2.0 AS r, CAST(count(*) OVER w AS DOUBLE) AS n, avg(x) OVER w AS mean, sqrt(var_pop(x) OVER w) AS sd FROM cells WINDOW w AS (PARTITION BY sample, win, col))",
+    "clipped AS (SELECT *, greatest(d, least(1 - d, r / n)) AS p FROM (SELECT *, 1 / (4 * pow(n, 0.25) * sqrt(pi() * ln(n))) AS d FROM ranked))",
+    f"scored AS (SELECT *, CASE WHEN abs(p - 0.5) <= 0.425 THEN (p - 0.5) * {horner(MEDIAN, '0.180625 - (p - 0.5) * (p - 0.5)')} WHEN t <= 5 THEN sign(p - 0.5) * {horner(TAIL, 't - 1.6')} ELSE sign(p - 0.5) * {horner(FAR, 't - 5')} END AS z FROM (SELECT *, sqrt(-ln(least(p, 1 - p))) AS t FROM clipped))",
 ]

@@ -126,6 +126,6 @@ def two_sample_test(gs: GraphSet | None, kernel, estimators: str | list[str] | d
     spark.sparkContext.setJobDescription(None)
     rows = []
     for name, value in observed.items():
-        at = np.floor(null.loc[null["estimator"] == name, "statistic"].to_numpy() * 1e6 + 0.5137)
-        rows.append((name, value, float((at >= np.floor(value * 1e6 + 0.5137)).mean()), n1, len(k) - n1, B))
+        p = mmd.share_at_or_above(null.loc[null["estimator"] == name, "statistic"].to_numpy(), value)
+        rows.append((name, value, p, n1, len(k) - n1, B))
     return spark.createDataFrame(rows, "estimator string, statistic double, p_value double, n1 int, n2 int, B int")

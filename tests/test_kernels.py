@@ -109,7 +109,7 @@ def test_tangent_kernel_by_joins_and_by_kronecker(spark, scale):
     a, b = gram.dense(tangent.two_layers(gs, 2, True, scale)), gram.dense(tangent.deep(gs, 2, 2, True, scale))
     assert np.allclose(a, b, rtol=1e-6)
     m = [(adjacency(g) != 0).astype(float) for g in graphs[:2]]
-    big = [x + x.T + np.eye(4) for x in m]
+    big = [x + np.eye(4) for x in m]
     deg = [x.sum(axis=1) for x in m]
 
     def cov(x, y):
@@ -125,6 +125,51 @@ def test_tangent_kernel_by_joins_and_by_kronecker(spark, scale):
     assert a[0, 1] == pytest.approx(2 * (total + t.sum()), rel=1e-9)
 
 
+def test_tangent_kernel_of_one_edge_and_of_a_loop_by_hand(spark):
+    edge = graph_set(spark, [(1, ["a", "a"], None, plain([(0, 1)])), (2, ["a", "a"], None, plain([(0, 1)]))])
+    # one edge: A + A' + I is all ones, so every covariance is 4 = 2 * 2 and stays it (the correlation is 1, the slope 1):
+    # t = 4, 8, 12; 4 node pairs of it, and the 4 raw products: 2 * (4 + 4 * 12)
+    for k in (tangent.two_layers(edge), tangent.deep(edge, 2)):
+        assert np.allclose(gram.dense(k), 104)
+    rows = sorted(tuple(r) for r in tangent.neighbourhoods(edge).where("graph_id = 0").collect())
+    assert rows == [(0, 0, 0), (0, 0, 1), (0, 1, 0), (0, 1, 1)]
+    # a loop: A + A' + I is 3, a covariance 9 = 3 * 3: 2 * (1 + 27)
+    loop = graph_set(spark, [(1, ["a"], None, plain([(0, 0)])), (2, ["a"], None, plain([(0, 0)]))])
+    for k in (tangent.two_layers(loop), tangent.deep(loop, 2)):
+        assert np.allclose(gram.dense(k), 56)
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_tangent_kernel_of_deeper_networks_pair_by_pair(spark, directed):
+    graphs = random_set(spark, 10, seed=10, nodes=5, p=(0.4, 0.7), directed=directed)
+    gs = graph_set(spark, graphs, directed)
+    got = gram.dense(tangent.deep(gs, 3, 2, True, "degree", use_attr=True))  # 20 graphs: two blocks
+    m = [(adjacency(g, directed) != 0).astype(float) for g in graphs]
+    big = [(x + x.T if directed else x) + np.eye(5) for x in m]
+    feat = [np.array(g[2]) for g in graphs]
+
+    def one(x, y, diag):
+        mean = lambda s: big[x] @ s @ big[y].T / np.outer(big[x].sum(1), big[y].sum(1))
+        s = mean(feat[x] @ feat[y].T)
+        t, total, out, k = s.copy(), (feat[x] @ feat[y].T).sum(), [], 0
+        for layer in range(2):
+            for _ in range(2):
+                d = (np.sqrt(np.diag(s)), np.sqrt(np.diag(s))) if diag is None else (diag[x][k], diag[y][k])
+                out.append(d[0])
+                k += 1
+                r = np.clip(s / np.outer(*d), -1, 1)
+                s, slope = (r * (np.pi - np.arccos(r)) + np.sqrt(1 - r * r)) / np.pi * np.outer(*d), (np.pi - np.arccos(r)) / np.pi
+                t = t * slope + s
+            total += t.sum()
+            if layer == 0:
+                s, t = mean(s), mean(t)
+        return out if diag is None else 2 * total
+
+    diag = [one(x, x, None) for x in range(20)]
+    for x, y in ((0, 0), (0, 1), (3, 17), (16, 19), (19, 19)):
+        assert got[x, y] == pytest.approx(one(x, y, diag), rel=1e-9)
+
+
 def test_tangent_kernel_options(spark):
     gs = graph_set(spark, random_set(spark, 2, seed=7, nodes=3))
     a, b = gram.dense(tangent.two_layers(gs, 1, False, "uniform", use_attr=True)), gram.dense(tangent.deep(gs, 2, 1, False, "uniform", use_attr=True))
