@@ -1,4 +1,4 @@
-"""Benchmark passages in documents: bounds on the common weight, longest common subsequences and answers; cosines in a latent space of TF-IDF passages."""
+"""Benchmark passages in documents: cosine search in a latent space of TF-IDF passages, then longest common subsequences and answers."""
 
 from __future__ import annotations
 
@@ -16,17 +16,57 @@ from .common import cut
 
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
-#: Latent dimensions, extra random columns, power iterations.
+#: Leading directions of the passages that the latent space takes in, extra random columns, power iterations.
 RANK, EXTRA, POWER = 64, 8, 2
-STRIDE = 32
-#: Terms in more items than this (or a hundredth of the items) are not looked up, but taken as present.
-WIDE_TERM = 32
-#: Characters of benchmark text in a block of queries.
-BLOCK_CHARS = 8_000_000
+#: Words of a passage of the matrix.
+PASSAGE = 64
+#: Items that share a latent space; characters of benchmark text in a block of queries (some 1000 items, under 50,000 terms).
+SPACE_ITEMS, BLOCK_CHARS = 256, 250_000
+#: A term in more than this share of the documents has no weight in the latent space (it has in the subsequences).
+COMMON = 0.1
+#: Least cosine of a candidate.
+LEAST_COS = 0.3
+#: Words, and windows of one document, that are searched at a time.
+CHUNK_WORDS, CHUNK_BLOCKS = 8192, 512
+
+
+class Space:
+    """Up to SPACE_ITEMS items as vectors: their span and the leading directions of all passages, so that no item loses weight by projection.
+
+    For an item q and a passage p, q . P(p) = q . p, and P(p) is no longer than p: the cosine in the space is at
+    least that of the TF-IDF vectors. What the items and the leading directions cannot express of a passage does not count.
+    """
+
+    def __init__(self, own: np.ndarray, words: list[np.ndarray], weight: np.ndarray, leading: np.ndarray):
+        self.own = own
+        self.terms = np.unique(np.concatenate(words))
+        w = weight[self.terms]
+        rows = np.zeros((len(words), len(self.terms)), np.float64)
+        for k, x in enumerate(words):
+            np.add.at(rows[k], np.searchsorted(self.terms, x), 1.0)
+        rows *= w
+        rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+        u, size, _ = np.linalg.svd(np.concatenate([rows, 1e-3 * leading[self.terms].T]).T, full_matrices=False)
+        basis = u[:, size > 1e-9]
+        self.latent = (w[:, None] * basis).astype(np.float32)
+        self.query = (rows @ basis).astype(np.float32)
+        sizes = np.array([len(x) for x in words])
+        #: (words of a step, steps of a window, items): every run of as many words as an item of the class has lies in a window.
+        self.classes = []
+        top = 8
+        while (sizes > (top // 2 if top > 8 else 0)).any():
+            if len(at := np.flatnonzero((sizes <= top) & (sizes > (top // 2 if top > 8 else 0)))):
+                step = 8 if top == 8 else max(16, top // 2)
+                self.classes.append((step, top // step + 1, at))
+            top *= 2
+        self.base = min(step for step, _, _ in self.classes)
+        self.most = max(step for step, _, _ in self.classes) // self.base
+        #: blocks of silence behind a text, so that no window reaches into the next
+        self.gap = max((n - 1) * step for step, n, _ in self.classes) // self.base
 
 
 class Items:
-    """A block of benchmark items: their words as term numbers, the terms' weights, and their latent vectors."""
+    """A block of benchmark items: their words as term numbers, the terms' weights, and their latent spaces."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.ids, self.words, self.answers, self.term = [], [], [], {}
@@ -40,45 +80,25 @@ class Items:
             self.words.append(np.array(words, np.int32))
             self.answers.append(n)
         self.idf = np.zeros(len(self.term), np.float32)
-        self.latent = np.zeros((len(self.term), 0), np.float32)
+        self.weight, self.spaces = self.idf, []
 
     def weigh(self, df: np.ndarray, n_docs: int) -> None:
-        """Smoothed inverse document frequency; df and n_docs count the whole table."""
+        """Smoothed inverse document frequency; df and n_docs count the whole table. weight: the same, 0 for common terms.
+
+        An item that would lose two thirds of its weight keeps all its terms.
+        """
         self.idf = (np.log((1 + n_docs) / (1 + df)) + 0.1).astype(np.float32)
         self.mass = np.array([self.idf[w].sum() for w in self.words], np.float32)
-        # for each term that few items hold: those items, with what the term weighs in them; the others weigh `common` together
-        held = [np.unique(w, return_counts=True) for w in self.words]
-        t, n = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-        k = np.repeat(np.arange(len(held)), [len(h[0]) for h in held])
-        wide = np.bincount(t, minlength=len(self.term)) > max(WIDE_TERM, len(held) // 100)
-        self.common = np.bincount(k, np.where(wide[t], n * self.idf[t], 0.0), len(held))
-        t, n, k = t[~wide[t]], n[~wide[t]], k[~wide[t]]
-        order = np.argsort(t, kind="stable")
-        self.of_item, self.of_weight = k[order], (n * self.idf[t])[order]
-        self.of_start = np.searchsorted(t[order], np.arange(len(self.term) + 1))
-        # length classes: passages of a class are as long as its longest item and one stride
-        size = np.array([len(w) for w in self.words])
-        self.classes = []
-        top = 64
-        while len(size) and (size > top // 2 if top > 64 else size > 0).any():
-            own = np.flatnonzero((size <= top) & (size > (top // 2 if top > 64 else 0)))
-            if len(own):
-                self.classes.append((int(size[own].max()) + STRIDE, own))
-            top *= 2
-
-    def possible(self, term: np.ndarray, share: float) -> np.ndarray:
-        """Items of which a text with these terms can hold `share` of the weight: the weight of the terms they have in common bounds every common subsequence."""
-        here = np.unique(term)
-        size = self.of_start[here + 1] - self.of_start[here]
-        at = np.repeat(self.of_start[here] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        got = np.bincount(self.of_item[at], self.of_weight[at], len(self.ids))
-        return np.flatnonzero(got + self.common >= share * self.mass - 1e-3)
+        keep = df <= COMMON * n_docs
+        for w, mass in zip(self.words, self.mass, strict=True):
+            if self.idf[w][keep[w]].sum() < mass / 3:
+                keep[w] = True
+        self.weight = np.where(keep, self.idf, 0).astype(np.float32)
 
-    def rotate(self, basis: np.ndarray) -> None:
-        """Take the terms' latent basis and place the items in it."""
-        self.latent = (self.idf[:, None] * basis).astype(np.float32)
-        q = np.stack([self.latent[w].sum(axis=0) for w in self.words])
-        self.query = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
+    def place(self, leading: np.ndarray) -> None:
+        """The latent spaces of successive items of like length, given the leading directions of all passages."""
+        order = np.argsort([len(w) for w in self.words], kind="stable")
+        self.spaces = [Space(order[k : k + SPACE_ITEMS], [self.words[i] for i in order[k : k + SPACE_ITEMS]], self.weight, leading) for k in range(0, len(order), SPACE_ITEMS)]
 
 
 def blocks_of(bench: DataFrame, id_col: str, text_col: str) -> Iterator[Items]:
@@ -96,7 +116,7 @@ def blocks_of(bench: DataFrame, id_col: str, text_col: str) -> Iterator[Items]:
 
 def hits_of(docs: DataFrame, items: Items, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, n_words, pos binary, term binary): where the words of the whole text are words of the items. All that follows needs no more of a text."""
-    term = docs.sparkSession.sparkContext.broadcast(items.term)  # words of BLOCK_CHARS characters at most
+    term = docs.sparkSession.sparkContext.broadcast(items.term)  # words of BLOCK_CHARS characters, or of one item if that is longer
 
     def run(it):
         get = term.value.get
@@ -118,7 +138,7 @@ def hits_of(docs: DataFrame, items: Items, id_col: str, text_col: str) -> DataFr
 
 
 def summed(parts: DataFrame, n: int, shape: tuple[int, ...]) -> np.ndarray:
-    """The sum of partial arrays (part int, data binary: float64), one row per task, in a tree with 8 branches: the driver gets at most 8 rows."""
+    """The sum of partial arrays (part int, data binary: float64), one row per task, in a tree with 8 branches: the driver gets at most 8 rows, each with RANK + EXTRA numbers for a term of the block (under 30 MB)."""
 
     def run(it):
         total, key = None, 0
@@ -158,64 +178,56 @@ def document_frequency(hits: DataFrame, terms: int) -> np.ndarray:
     return summed(per_task(hits, lambda: np.zeros(terms), add), hits.rdd.getNumPartitions(), (terms,))
 
 
-def latent_basis(hits: DataFrame, items: Items, seed: int = 11) -> np.ndarray:
-    """The first RANK right singular vectors of the TF-IDF matrix of all passages and the items: randomised subspace iteration (Halko, Martinsson and Tropp 2011).
+def product(total: np.ndarray, term: np.ndarray, row: np.ndarray, weight: np.ndarray, basis: np.ndarray) -> None:
+    """total += A' (A basis), A's rows given as (row, term) occurrences in order of row, scaled to length 1 as if no term came twice."""
+    heads = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+    w = weight[term]
+    size = np.diff(np.append(heads, len(row)))
+    w = w / np.sqrt(np.repeat(np.add.reduceat(w * w, heads), size))
+    y = np.add.reduceat(w[:, None] * basis[term], heads)
+    order = np.argsort(term.astype(np.uint16) if len(weight) < 1 << 16 else term, kind="stable")  # 16 bits are sorted by digits
+    own = np.repeat(np.arange(len(heads)), size)[order]
+    t = term[order]
+    heads = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+    total[t[heads]] += np.add.reduceat(w[order][:, None] * y[own], heads)
+
 
-    Passages are the documents' successive runs of 64 words, rows of length 1; the items are rows
-    too, each as heavy as the mean passage times the ratio of both counts, so that half of the energy is theirs and their
-    directions are among the first. Every iteration is one pass that forms A'(A V) per task, a table of
-    (terms of the benchmark) x 72 numbers, and sums these in a tree.
+def leading_directions(hits: DataFrame, items: Items, seed: int = 11) -> np.ndarray:
+    """The first RANK right singular vectors of the TF-IDF matrix of all passages: randomised subspace iteration (Halko, Martinsson and Tropp 2011).
+
+    Passages are the documents' successive runs of PASSAGE words. Every iteration is one pass that forms A'(A V) per task, a table of
+    (terms of the block) x 72 numbers, and sums these in a tree.
     """
-    d, width = len(items.term), min(RANK + EXTRA, len(items.term))
-    idf = items.idf.astype(np.float64)
-    rng = np.random.default_rng(seed)
-    basis = np.linalg.qr(rng.standard_normal((d, width)))[0]
-    sc = hits.sparkSession.sparkContext
-    own = np.concatenate(items.words)
-    row = np.repeat(np.arange(len(items.words)), [len(w) for w in items.words])
-
-    def product(total, term, row, idf, basis, heavy=1.0):
-        """total += heavy * A' (A basis) for rows given as (row, term) occurrences."""
-        n = int(row[-1]) + 1
-        key = row.astype(np.int64) * len(idf) + term
-        cell, tf = np.unique(key, return_counts=True)
-        r, t = cell // len(idf), cell % len(idf)
-        w = tf * idf[t]
-        norm = np.sqrt(np.bincount(r, w * w, n))
-        w = w / np.maximum(norm[r], 1e-12)
-        y = np.zeros((n, basis.shape[1]))
-        heads = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
-        y[r[heads]] = np.add.reduceat(w[:, None] * basis[t], heads)
-        order = np.argsort(t, kind="stable")
-        t, r, w = t[order], r[order], w[order]
-        heads = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
-        total[t[heads]] += heavy * np.add.reduceat(w[:, None] * y[r], heads)
-
-    passages = max(1, hits.agg(F.sum(F.floor((F.col("n_words") + 63) / 64))).first()[0] or 1)
+    d = len(items.term)
+    width = min(RANK + EXTRA, d)
+    basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, width)))[0]
     for _ in range(POWER):
-        shared = sc.broadcast((idf.astype(np.float32), basis.astype(np.float32)))  # terms of a block x 72 numbers
+        shared = hits.sparkSession.sparkContext.broadcast((items.weight, basis.astype(np.float32)))  # terms of a block x 72 numbers
 
-        def run(it):
-            i, b = shared.value
+        def run(it, shared=shared):
+            weight, b = shared.value
             total = np.zeros(b.shape, np.float64)
             for batch in it:
                 rows, terms, at, n = [], [], 0, 0
                 for p, t in zip(batch.column("pos").to_pylist(), batch.column("term").to_pylist(), strict=True):
-                    p = np.frombuffer(p, np.int32)
-                    rows.append(p // 64 + at)
-                    terms.append(np.frombuffer(t, np.int32))
+                    p, t = np.frombuffer(p, np.int32), np.frombuffer(t, np.int32)
+                    some = np.flatnonzero(weight[t] > 0)
+                    if not len(some):
+                        continue
+                    rows.append(p[some] // PASSAGE + at)
+                    terms.append(t[some])
                     at = int(rows[-1][-1]) + 1
-                    n += len(p)
-                    if n > 100_000:
-                        product(total, np.concatenate(terms), np.concatenate(rows), i, b)
+                    n += len(some)
+                    if n > 20_000:
+                        product(total, np.concatenate(terms), np.concatenate(rows), weight, b)
                         rows, terms, at, n = [], [], 0, 0
                 if rows:
-                    product(total, np.concatenate(terms), np.concatenate(rows), i, b)
+                    product(total, np.concatenate(terms), np.concatenate(rows), weight, b)
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "data"])
 
         z = summed(hits.select("pos", "term").mapInArrow(run, "part int, data binary"), hits.rdd.getNumPartitions(), basis.shape)
-        product(z, own, row, idf, basis, passages / len(items.words))
         basis = np.linalg.qr(z)[0]
+        shared.unpersist()
     return basis[:, :RANK]
 
 
@@ -230,33 +242,73 @@ def weighted_lcs(item: np.ndarray, text: np.ndarray, idf: np.ndarray) -> float:
     return float(best[-1])
 
 
-def leaks(items: Items, pos: np.ndarray, term: np.ndarray, n_words: int, least_lcs: float, para_lcs: float, answer: float) -> list[tuple[int, float, float, float]]:
-    """(item, cosine, LCS share, answer share) of the items that a document holds.
+def candidates(space: Space, local: np.ndarray, docs: list[tuple[int, np.ndarray, np.ndarray, int, int]], least_cos: float) -> Iterator[tuple[int, int, float, int, int]]:
+    """(document, item, cosine, first word, end) of every window whose cosine with an item of its length class is least_cos or more.
 
-    A passage is passed over only by bounds on the common subsequence, so none that holds an item is missed;
-    the cosine is measured for those found. In a space of fixed rank, with a short item in a long
-    passage, it falls under any threshold for some verbatim copies.
+    docs: (number, positions, terms, first block, end of the blocks that windows may start in) of pieces of documents;
+    local: a term's number in the space, or -1. Steps are summed once, windows are sums of successive steps, and a class is one matrix product.
     """
-    maybe = items.possible(term, para_lcs)
-    if not len(maybe):
-        return []
-    weight, member = items.idf[term], np.zeros(len(items.idf), bool)
-    out: dict[int, tuple[float, float, float]] = {}
-    for span, own in items.classes:
-        own = np.intersect1d(own, maybe, assume_unique=True)
-        if not len(own):
-            continue
-        starts = np.arange(0, max(1, n_words - span + STRIDE), STRIDE)
-        a, b = np.searchsorted(pos, starts), np.searchsorted(pos, starts + span)
-        for k in map(int, own):
-            # a passage's weight of the item's words bounds their common subsequence: nothing lighter can pass
-            words, need = items.words[k], para_lcs * items.mass[k] - 1e-3
-            member[words] = True
-            mass = np.concatenate([[0.0], np.cumsum(np.where(member[term], weight, 0), dtype=np.float64)])
-            member[words] = False
-            for w in np.flatnonzero(mass[b] - mass[a] >= need):
-                text = term[a[w] : b[w]]
-                if items.idf[words[np.isin(words, text)]].sum() < need:
+    block, term, starts, at = [], [], [], 0
+    for _, pos, t, first, _ in docs:
+        here = local[t]
+        some = np.flatnonzero(here >= 0)
+        block.append(pos[some] // space.base - first + at)
+        term.append(here[some])
+        starts.append(at)
+        at += (int(pos[-1]) // space.base - first) // space.most * space.most + space.most + -(-space.gap // space.most) * space.most
+    block, term = np.concatenate(block), np.concatenate(term)
+    if not len(block):
+        return
+    steps = np.zeros((at, space.latent.shape[1]), np.float32)
+    heads = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+    steps[block[heads]] = np.add.reduceat(space.latent[term], heads)
+    starts = np.array(starts)
+    for step, n, items in space.classes:
+        ratio = step // space.base
+        own = steps if ratio == 1 else steps.reshape(-1, ratio, steps.shape[1]).sum(axis=1)
+        windows = own[: len(own) - n + 1].copy()
+        for k in range(1, n):
+            windows += own[k : len(own) - n + 1 + k]
+        norm = np.sqrt(np.einsum("ij,ij->i", windows, windows))
+        cos = windows @ space.query[items].T
+        for w, k in zip(*np.nonzero(cos >= least_cos * np.maximum(norm, 1e-9)[:, None]), strict=True):
+            doc = int(np.searchsorted(starts, w * ratio, side="right")) - 1
+            number, _, _, first, end = docs[doc]
+            if (at := int(w) * ratio - int(starts[doc]) + first) < end:
+                yield number, int(space.own[items[k]]), float(cos[w, k] / norm[w]), at * space.base, at * space.base + n * step
+
+
+def pieces_of(space: Space, docs: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[list[tuple[int, np.ndarray, np.ndarray, int, int]]]:
+    """Documents (positions, terms) in lists of about CHUNK_WORDS words for `candidates`; a longer one in pieces of CHUNK_BLOCKS steps that overlap by a window."""
+    some, words = [], 0
+    size = max(CHUNK_BLOCKS // space.most, 1) * space.most
+    more = -(-space.gap // space.most) * space.most
+    for k, (pos, term) in enumerate(docs):
+        for first in range(0, int(pos[-1]) // space.base + 1, size):
+            a, b = np.searchsorted(pos, (first * space.base, (first + size + more) * space.base))
+            if a < b:
+                some.append((k, pos[a:b], term[a:b], first, first + size))
+                words += int(pos[b - 1]) - first * space.base + 1
+            if words >= CHUNK_WORDS:
+                yield some
+                some, words = [], 0
+    if some:
+        yield some
+
+
+def leaks(items: Items, docs: list[tuple[np.ndarray, np.ndarray]], least_lcs: float, para_lcs: float, answer: float, least_cos: float = LEAST_COS) -> list[tuple[int, int, float, float, float]]:
+    """(document, item, cosine, LCS share, answer share) of the items that documents (positions, terms) hold: candidates of the cosine search that the subsequences confirm."""
+    out: dict[tuple[int, int], tuple[float, float, float]] = {}
+    for space in items.spaces:
+        local = np.full(len(items.idf), -1, np.int32)
+        local[space.terms] = np.arange(len(space.terms), dtype=np.int32)
+        local[items.weight == 0] = -1
+        for some in pieces_of(space, docs):
+            for doc, k, cos, lo, hi in candidates(space, local, some, least_cos):
+                pos, term = docs[doc]
+                a, b = np.searchsorted(pos, (lo, hi))
+                text, words, need = term[a:b], items.words[k], para_lcs * float(items.mass[k]) - 1e-3
+                if items.idf[words[np.isin(words, text)]].sum() < need:  # words in common bound the common subsequence
                     continue
                 share = weighted_lcs(words, text, items.idf) / float(items.mass[k])
                 if share < para_lcs:
@@ -264,22 +316,20 @@ def leaks(items: Items, pos: np.ndarray, term: np.ndarray, n_words: int, least_l
                 tail = words[len(words) - items.answers[k] :]
                 told = weighted_lcs(tail, text, items.idf) / float(items.idf[tail].sum())
                 if share >= least_lcs or told >= answer:
-                    vec = items.latent[text].sum(axis=0)
-                    cos = float(items.query[k] @ vec) / max(float(np.linalg.norm(vec)), 1e-12)
-                    out[k] = max(out.get(k, (0.0, 0.0, 0.0)), (cos, share, told), key=lambda x: x[1])
-    return [(items.ids[k], *v) for k, v in sorted(out.items())]
+                    out[doc, k] = max(out.get((doc, k), (0.0, 0.0, 0.0)), (cos, share, told), key=lambda x: x[1])
+    return [(doc, items.ids[k], *v) for (doc, k), v in sorted(out.items())]
 
 
-def contaminated(docs: DataFrame, bench: DataFrame, least_lcs: float = 0.75, para_lcs: float = 0.5, answer: float = 0.75, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, bench: DataFrame, least_lcs: float = 0.75, para_lcs: float = 0.5, answer: float = 0.75, least_cos: float = LEAST_COS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Pairs (doc_id, item_id, cosine, lcs_share, answer_share): the document holds the benchmark item.
 
-    A document's passages are as long as the items of a length class and one stride of 32 words. An
-    item is a candidate in every passage whose words in common with it weigh para_lcs of the item; it is held if
-    their common subsequence has least_lcs of the item's word weight, or, for a paraphrase,
-    para_lcs of it and `answer` of the item's answer (its last sentence). The cosine is that of item and passage in the latent space; it vetoes nothing. Words weigh by their
+    An item is a candidate in every window whose cosine with it in the latent space is least_cos; windows are at most
+    three times as long as the items of a length class (one of up to 8 words: 16 words), at steps of half their length. A candidate is held if
+    item and window have a common subsequence of least_lcs of the item's word weight, or, for a paraphrase,
+    para_lcs of it and `answer` of the item's answer (its last sentence). Words weigh by their
     inverse document frequency in all documents. Documents and items that are null, empty or without a word
     match nothing; repeated rows each give their pairs, null ids give pairs with a null id. The benchmark is
-    the query set, taken in blocks of bounded size against all documents.
+    the query set, taken in blocks of bounded size; for each, the documents are read once.
     """
     spark = docs.sparkSession
     shape = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double"
@@ -290,19 +340,21 @@ def contaminated(docs: DataFrame, bench: DataFrame, least_lcs: float = 0.75, par
             continue
         hits = cut(hits_of(docs, items, id_col, text_col), "hits")
         items.weigh(document_frequency(hits, len(items.term)), n_docs)
-        items.rotate(latent_basis(hits, items))
-        shared = spark.sparkContext.broadcast(items)
+        items.place(leading_directions(hits, items))
+        shared = spark.sparkContext.broadcast(items)  # BLOCK_CHARS characters: four spaces of some 10,000 terms x 320 numbers
         # the table of hits is small for the work it makes: more tasks than its files give
         tasks = max(4 * hits.rdd.getNumPartitions(), 4 * spark.sparkContext.defaultParallelism)
 
         def run(it, shared=shared):
             got = shared.value
             for batch in it:
-                rows = [(i, *x) for i, n, p, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_words", "pos", "term")), strict=True) for x in leaks(got, np.frombuffer(p, np.int32), np.frombuffer(t, np.int32), n, least_lcs, para_lcs, answer)]
+                ids = batch.column("doc_id").to_pylist()
+                texts = [(np.frombuffer(p, np.int32), np.frombuffer(t, np.int32)) for p, t in zip(batch.column("pos").to_pylist(), batch.column("term").to_pylist(), strict=True)]
+                rows = [(ids[k], *x) for k, *x in leaks(got, texts, least_lcs, para_lcs, answer, least_cos)]
                 cols = list(zip(*rows, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()), strict=True)], names=["doc_id", "item_id", "cosine", "lcs_share", "answer_share"])
 
-        out = out.unionAll(hits.repartition(tasks).mapInArrow(run, shape))
+        out = out.unionAll(hits.select("doc_id", "pos", "term").repartition(tasks).mapInArrow(run, shape))
     return out
 
 

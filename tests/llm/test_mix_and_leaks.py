@@ -98,23 +98,90 @@ def test_recall_by_item_length(spark):
     for low, high in ((5, 10), (10, 20), (20, 30), (30, 64)):
         own = [p for p in plants if low <= len(items[p[1]]) < high]
         assert len(own) > 30 and all(p in got for p in own), (low, high, sum(p in got for p in own), len(own))
-    # every item against every passage of a few documents
+    # every item against every window of a few documents
     of = {w: k for k, w in enumerate(dict.fromkeys(w for i in items for w in i))}
+    idf = weights_of(of, texts)
+    for d in (0, 1):
+        want = held(texts[d], [[of[w] for w in i] for i in items], of, idf)
+        own = {k for e, k in got if e == d}
+        assert own <= want and len(own) >= 0.9 * len(want) and len(want) >= 5
+
+
+def weights_of(of, texts):
     df = np.zeros(len(of))
     for t in texts:
         df[[of[w] for w in set(t) if w in of]] += 1
-    idf = (np.log((1 + len(texts)) / (1 + df)) + 0.1).astype(np.float32)
-    span = max(map(len, items)) + decontamination.STRIDE
-    for d in (0, 1):
-        text = np.array([of.get(w, -1) for w in texts[d]])
-        spans = [text[a : a + span] for a in range(0, max(1, len(text) - span + decontamination.STRIDE), decontamination.STRIDE)]
-        want = set()
-        for k, i in enumerate(items):
-            i = np.array([of[w] for w in i])
-            best = max((x for x in spans if idf[i[np.isin(i, x)]].sum() >= 0.5 * idf[i].sum()), key=lambda x: decontamination.weighted_lcs(i, x, idf), default=None)
-            if best is not None and decontamination.weighted_lcs(i, best, idf) >= 0.75 * idf[i].sum():
-                want.add((d, k))
-        assert want <= {g for g in got if g[0] == d}
+    return (np.log((1 + len(texts)) / (1 + df)) + 0.1).astype(np.float32)
+
+
+def held(words, items, of, idf):
+    """Items whose common subsequence with some window of the text is long enough, without the cosine search."""
+    text, out = np.array([of.get(w, -1) for w in words]), set()
+    for k, i in enumerate(items):
+        i = np.array(i)
+        top = max(8, 1 << (len(i) - 1).bit_length())
+        step = 8 if top == 8 else max(16, top // 2)
+        for a in range(0, len(text), step):
+            x = text[a : a + top + step]
+            if idf[i[np.isin(i, x)]].sum() >= 0.5 * idf[i].sum() and (share := decontamination.weighted_lcs(i, x, idf) / idf[i].sum()) >= 0.5:
+                tail = i[-3:]  # one sentence of no marks: the last three words at least, all of them here
+                if share >= 0.75 or decontamination.weighted_lcs(i, x, idf) / idf[i].sum() >= 0.75 and len(tail):
+                    out.add(k)
+    return out
+
+
+def test_recall_of_damaged_copies(spark):
+    """Copies with every k-th word another, against all windows: 0.9 or more of those that the subsequences accept are found by the cosine."""
+    rng = random.Random(13)
+    vocab = ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(6000)]
+    items = [[rng.choice(vocab) for _ in range(rng.randint(5, 120))] for _ in range(300)]
+    texts = []
+    for d in range(100):
+        words = [rng.choice(vocab) for _ in range(50)]
+        for k in range(3 * d, 3 * d + 3):
+            every = rng.choice([5, 6, 8, 11])
+            words += [w if (j + 1) % every else rng.choice(vocab) for j, w in enumerate(items[k])] + [rng.choice(vocab) for _ in range(60)]
+        texts.append(words)
+    bench = spark.createDataFrame([(k, " ".join(w), "x") for k, w in enumerate(items)], BENCH)
+    found = decontamination.contaminated(documents(spark, [" ".join(w) for w in texts], list(range(100))), bench).collect()
+    of = {w: k for k, w in enumerate(dict.fromkeys(w for i in items for w in i))}
+    idf = weights_of(of, texts)
+    want = {(d, k) for d in range(0, 100, 4) for k in held(texts[d], [[of[w] for w in i] for i in items], of, idf)}
+    got = {(r["doc_id"], r["item_id"]) for r in found if r["doc_id"] % 4 == 0}
+    assert got <= want and len(want) > 50 and len(got) >= 0.9 * len(want)
+
+
+def test_windows_do_not_depend_on_pieces(monkeypatch):
+    rng = np.random.default_rng(4)
+    vocab = [f"w{k}" for k in range(300)]
+    items = decontamination.Items([(k, " ".join(rng.choice(vocab, n))) for k, n in enumerate((4, 12, 30, 30, 60, 130))])
+    items.weigh(np.ones(len(items.term)), 1000)
+    items.place(np.eye(len(items.term))[:, :5])
+    docs = []
+    for n in (700, 3, 90, 2500):
+        t = rng.integers(0, len(items.term), n)
+        t[: min(n, 30)] = items.words[2][: min(n, 30)]
+        docs.append((np.arange(n, dtype=np.int32), t.astype(np.int32)))
+
+    def found():
+        (space,) = items.spaces
+        local = np.full(len(items.idf), -1, np.int32)
+        local[space.terms] = np.arange(len(space.terms))
+        return sorted((d, k, lo, hi, round(c, 4)) for some in decontamination.pieces_of(space, docs) for d, k, c, lo, hi in decontamination.candidates(space, local, some, 0.4) if lo <= docs[d][0][-1])
+
+    whole = found()
+    monkeypatch.setattr(decontamination, "CHUNK_BLOCKS", 16)
+    monkeypatch.setattr(decontamination, "CHUNK_WORDS", 200)
+    assert set(found()) == set(whole) and whole
+    # the cosines are those of the projected windows, at least the plain ones
+    space = items.spaces[0]
+    for d, k, lo, hi, cos in whole[:40]:
+        x = np.zeros(len(items.term))
+        np.add.at(x, docs[d][1][lo:hi], items.weight[docs[d][1][lo:hi]])
+        q = np.zeros(len(items.term))
+        np.add.at(q, items.words[k], items.weight[items.words[k]])
+        assert cos >= x @ q / np.linalg.norm(x) / np.linalg.norm(q) - 1e-3
+        assert abs(np.linalg.norm(space.query[list(space.own).index(k)]) - 1) < 1e-4
 
 
 def test_common_subsequences():
@@ -141,11 +208,32 @@ def test_leaks_of_odd_tables(spark):
     assert sorted(str(r["doc_id"]) for r in rows) == ["2", "None"]
 
 
-def test_subspace_holds_the_heaviest_directions(spark):
+def test_leading_directions_are_those_of_the_passages(spark):
     rng = random.Random(8)
-    items = decontamination.Items([(k, " ".join(rng.choice("abcdefghij") for _ in range(20))) for k in range(4)])
-    docs = documents(spark, [" ".join(rng.choice("abcdefghijk") for _ in range(100)) for _ in range(30)], list(range(30)))
-    hits = decontamination.hits_of(docs, items, "doc_id", "text")
-    items.weigh(decontamination.document_frequency(hits, len(items.term)), 30)
-    basis = decontamination.latent_basis(hits, items)
-    assert np.allclose(basis.T @ basis, np.eye(basis.shape[1]), atol=1e-8)
+    topics = [[f"t{g}x{k}" for k in range(30)] for g in range(5)]
+    items = decontamination.Items([(g, " ".join(topics[g])) for g in range(5)])
+    texts = [" ".join(rng.choice(topics[d % 5 if d % 7 else 0]) for _ in range(100 + d)) for d in range(60)]
+    hits = decontamination.hits_of(documents(spark, texts, list(range(60))), items, "doc_id", "text").persist()
+    items.weigh(decontamination.document_frequency(hits, len(items.term)), 600)
+    got = decontamination.leading_directions(hits, items)
+    assert np.allclose(got.T @ got, np.eye(got.shape[1]), atol=1e-8)
+    rows = []
+    for t in texts:
+        ws = [items.term[w] for w in t.split()]
+        for lo in range(0, len(ws), decontamination.PASSAGE):
+            w = items.weight[ws[lo : lo + decontamination.PASSAGE]]
+            rows.append(np.bincount(ws[lo : lo + decontamination.PASSAGE], w, len(items.term)) / np.sqrt((w * w).sum()))
+    vt = np.linalg.svd(np.array(rows), full_matrices=False)[2]
+    for v in vt[:5]:  # one for each topic
+        assert np.linalg.norm(got.T @ v) > 0.999
+
+
+def test_a_long_text_with_a_filled_benchmark(spark):
+    rng = random.Random(9)
+    vocab = [f"w{k}" for k in range(900)]
+    items = [" ".join(rng.choice(vocab) for _ in range(40)) for _ in range(30)]
+    words = [rng.choice(vocab) for _ in range(60_000)]
+    words[31_000:31_000], words[59_990:59_990] = items[3].split(), items[7].split()
+    bench = spark.createDataFrame([(k, t, "x") for k, t in enumerate(items)] + [(99, " ".join(words[100:9_000]), "x")], BENCH)
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(documents(spark, [" ".join(words), "short " + items[5], None], [1, 2, 3]), bench).collect()}
+    assert got == {(1, 3), (1, 7), (1, 99), (2, 5)}
