@@ -154,7 +154,7 @@ def test_queries_read_every_column(spark, tmp_path):
     x = x.astype(float)
     scores, graphs = {}, {}
     for r in catalog.QUERIES["matrix_nonparanormal"](spark, str(tmp_path)).collect():
-        scores[r["row_idx"], r["col"]] = r["x"]
+        scores[r["row_idx"], r["col"]] = r["x_micro"] / 1e6
     for r in catalog.QUERIES["matrix_graphs"](spark, str(tmp_path)).collect():
         graphs.setdefault(r["graph_id"], {})[r["src"], r["dst"]] = r["weight"]
     want = np.concatenate([estimate.gaussian_scores(x[k : k + 25]) for k in range(0, 100, 25)])
