@@ -18,15 +18,31 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Containers that hold an article as a whole.
 HOLDS = frozenset(("article", "main"))
 #: Words in class, id or role that name menus, headers, sidebars, notices, adverts, forms and comments (fixed values).
-CHROME = frozenset("ad ads adv advert advertisement advertising alert banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies consent dialog disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted recommended related reply replies replylist search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split())
+CHROME = frozenset("ad ads adv advert advertisement advertising alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies dialog disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted recommended related replies reply replylist search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split())
+#: Words that stand beside these in a name without a meaning of their own (fixed values).
+BESIDE = frozenset("area article articles bar block body bottom box button buttons card cards center col column container content count desktop down drop dropdown email entry extra feed fixed floating footer form global grid header horizontal icon icons info inner item items large layout leaderboard left level links list lists local mail mailing main media mega message messages meta mobile module network news outer overlay page panel placeholder policy post posts primary reader readers rectangle region right row secondary section site skyscraper slot small sticky stories story sub submenu text thread title toggle tool tools top unit user utility vertical visitor wide widget widgets wrap wrapper".split())
 SITE_HEADER = frozenset("header pageheader siteheader topbar".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements of running text: next to content in the same element they are content too.
 PROSE = HEADINGS | frozenset("blockquote dl ol p pre table ul".split())
-NAME = re.compile(r"[a-z]+")
+NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SIGMA = 1.0
 
 
+def parts_of(name: str) -> list[str]:
+    """site-footer, siteFooter or site_footer as site, footer."""
+    return [x.lower() for x in NAME.findall(name)]
+
+
+def names_chrome(value: str) -> bool:
+    """If a whole name in a class, id or role is of CHROME, alone or beside words that add nothing: cookie-notice is, notice-period is not."""
+    return any(parts and not CHROME.isdisjoint(parts) and all(x in CHROME or x in BESIDE for x in parts) for parts in map(parts_of, value.split()))
+
+
+def names_header(value: str) -> bool:
+    return any("".join(parts) in SITE_HEADER for parts in map(parts_of, value.split()))
+
+
 class Box:
     """An open element; `hides`: its text is not the article's; `held`: the article or main it lies in; `link`: it is or lies in a link;
     `block`: the innermost element that ends lines, itself or around it; `home`: the one around that (a paragraph left open holds no other)."""
@@ -42,23 +58,20 @@ class Box:
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, hiding element, holding element, innermost element, only links?) for each line, event by event."""
+    """Collects (pieces of text with the element each stands in, tags) for each line, event by event."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[Box] = []
-        self.lines: list[tuple[str, int, Box | None, Box | None, Box | None, bool]] = []
-        self.text: list[str] = []
-        self.tags, self.links = 0, True
+        self.lines: list[tuple[list[tuple[str, Box | None]], int]] = []
+        self.text: list[tuple[str, Box | None]] = []
+        self.tags = 0
 
     def end_line(self) -> None:
-        if self.text:
-            words = " ".join("".join(self.text).split())
-            self.text = []
-            if words:
-                top = self.open[-1] if self.open else None
-                self.lines.append((words, self.tags, top and top.hides, top and top.held, top, self.links))
-                self.tags, self.links = 0, True
+        if any(not t.isspace() for t, _ in self.text):
+            self.lines.append((self.text, self.tags))
+            self.tags = 0
+        self.text = []
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK:
@@ -73,8 +86,7 @@ class Lines(HTMLParser):
         hides = tag in NEVER or tag == "header" and not box.held or tag == "article" and box.held is not box and box.held.tag == "article"
         for k, v in attrs:
             if k in ("class", "id", "role") and v and tag not in ("html", "body") and tag not in HOLDS:
-                names = NAME.findall(v.lower())
-                hides = hides or not CHROME.isdisjoint(names) or not box.held and (not SITE_HEADER.isdisjoint(names) or "".join(names) in SITE_HEADER)
+                hides = hides or names_chrome(v) or not box.held and names_header(v)
             elif k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and "display:none" in v.replace(" ", "").lower():
                 hides = True
         if hides and not box.hides:
@@ -99,9 +111,7 @@ class Lines(HTMLParser):
                 return  # a stray end inside a container closes nothing outside it
 
     def handle_data(self, data):
-        if self.links and not (self.open and self.open[-1].link) and data.strip():
-            self.links = False
-        self.text.append(data)
+        self.text.append((data, self.open[-1] if self.open else None))
 
     def close(self):
         super().close()
@@ -128,12 +138,29 @@ def threshold(x: np.ndarray) -> float:
     return min((lo + hi) / 2, float(x.std())) if len(x) > 1 else 0.0
 
 
+def shows(box: Box | None) -> bool:
+    """If text of an open element can be the article's, known once the page is read: an element that hides and is never closed hides no article that opens in it."""
+    if box is None or box.hides is None:
+        return True
+    return box.held is not None and not box.hides.ended and box.hides is not box.held and not box.hides.held
+
+
+def free_lines(lines: list[tuple[list[tuple[str, Box | None]], int]]) -> list[tuple[str, int, Box | None, Box | None, bool]]:
+    """(text, tags, holding element, innermost element, only links?) of the lines that have text in elements that do not hide. Other text in a line goes, piece by piece."""
+    out = []
+    for pieces, tags in lines:
+        own = [(t, b) for t, b in pieces if shows(b)]
+        if text := " ".join("".join(t for t, _ in own).split()):
+            said = [b for t, b in own if not t.isspace()]
+            out.append((text, tags, said[0] and said[0].held, said[0], all(b is not None and b.link for b in said)))
+    return out
+
+
 def main_text(html: str | None, sigma: float = SIGMA) -> str:
     """The article's text; '' if there is none.
 
-    Lines that lie in chrome (menus, page headers, footers, sidebars, notices, adverts, forms,
-    scripts, comments) are never content; an element that hides and is never closed hides no
-    article that opens in it. Of the rest, lines whose smoothed ratio passes the threshold
+    Text in chrome (menus, page headers, footers, sidebars, notices, adverts, forms,
+    scripts, comments) is never content, also within a line. Of the rest, lines whose smoothed ratio passes the threshold
     are content. If they lie in an article or main, that container is the region, whole (and
     others with a quarter of its content); else the region runs from the first to the last
     content line, with the paragraphs of the same element next to it and the headings just before it.
@@ -143,24 +170,24 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
     p = Lines()
     p.feed(html)
     p.close()
-    free = [x for x in p.lines if x[2] is None or x[3] is not None and not x[2].ended and x[2] is not x[3] and not x[2].held]
+    free = free_lines(p.lines)
     if not free:
         return ""
     ratio = np.array([len(t) / max(1, n) for t, n, *_ in free], float)
     soft = smoothed(ratio, sigma)
     content = soft >= threshold(soft)
     mass: dict[int, float] = {}
-    for (t, _, _, held, *_), c in zip(free, content, strict=True):
+    for (t, _, held, *_), c in zip(free, content, strict=True):
         if held is not None:
             mass[id(held)] = mass.get(id(held), 0.0) + (len(t) if c else 0)
-    outside = sum(len(t) for (t, _, _, held, *_), c in zip(free, content, strict=True) if c and held is None)
+    outside = sum(len(t) for (t, _, held, *_), c in zip(free, content, strict=True) if c and held is None)
     if mass and max(mass.values()) >= 0.25 * outside:
         least = 0.25 * max(mass.values())
-        return " ".join(t for t, _, _, held, *_ in free if held is not None and mass[id(held)] >= least)
+        return " ".join(t for t, _, held, *_ in free if held is not None and mass[id(held)] >= least)
     at = np.flatnonzero(content)
     if not len(at):
         return ""
-    first, last = region([(x[4], x[5]) for x in free], int(at[0]), int(at[-1]))
+    first, last = region([(x[3], x[4]) for x in free], int(at[0]), int(at[-1]))
     return " ".join(t for t, *_ in free[first : last + 1])
 
 
