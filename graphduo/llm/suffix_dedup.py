@@ -26,12 +26,14 @@ from .probminhash import distinct_texts, mix64
 
 SPAN = 50
 HALF = SPAN // 2
-#: Bytes of text whose positions a task holds at a time, bytes of text to a bucket, and bytes hashed at a time.
+#: Bytes of text whose positions a task holds at a time, bytes of text to a partition, and bytes hashed at a time.
 #: A task of either step needs about 20 times its share; a group sends a packed array to each bucket, so both should
 #: grow together (with the executors) as the corpus does: 100 TB want some 256 MB each.
 GROUP, BUCKET, SLICE = 8_000_000, 32_000_000, 1 << 18
 #: Tied positions with their context that a task holds at a time; texts (2 to this power) whose finds travel together.
 TIED, RANGE = 200_000, 9
+#: Buckets to a partition: several even out.
+EVEN = 4
 G = np.uint64(0xD1342543DE82EF95)
 TABLE = mix64(np.arange(1, 257, dtype="<u8") * np.uint64(0x9E3779B97F4A7C15))
 
@@ -279,7 +281,7 @@ def tied_positions(distinct: DataFrame, buckets: int) -> DataFrame:
             yield per_range(uid, pos)
 
     dealt = distinct.where("doc_id is not null").select("uid", "doc_id", "text").mapInArrow(first, "bucket int, blob binary")
-    return dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(second, FOUND)
+    return dealt.repartition(buckets // EVEN, "bucket").sortWithinPartitions("bucket").mapInArrow(second, FOUND)
 
 
 def sides(b: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -374,8 +376,8 @@ def repeated_spans(distinct: DataFrame, tied: DataFrame, buckets: int) -> DataFr
         for uid, lo, hi in by_bucket(it, work):
             yield per_range(uid, lo, hi)
 
-    dealt = beside(distinct, tied, buckets).mapInArrow(first, "bucket int, blob binary")
-    return dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(second, FOUND)
+    dealt = beside(distinct, tied, buckets // EVEN).mapInArrow(first, "bucket int, blob binary")
+    return dealt.repartition(buckets // EVEN, "bucket").sortWithinPartitions("bucket").mapInArrow(second, FOUND)
 
 
 def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -392,7 +394,8 @@ def changes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     spark = docs.sparkSession
     ids, distinct = distinct_texts(docs, id_col, text_col)
     total = ids.where("doc_id is not null").agg(F.sum("n_bytes")).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // BUCKET) + 1)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // BUCKET) + 1)
+    buckets = EVEN * parts
     free_shuffles(spark)
     tied = cut(tied_positions(distinct, buckets), "tied")
     free_shuffles(spark)
@@ -417,7 +420,7 @@ def changes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
         cols = zip(*out, strict=True)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.string()), strict=True)], names=["id", "sha", "gone", "runs", "kept", "kept_sha"])
 
-    changed = beside(distinct, spans, buckets).mapInArrow(last, "id long, sha binary, gone long, runs long, kept binary, kept_sha string")
+    changed = beside(distinct, spans, parts).mapInArrow(last, "id long, sha binary, gone long, runs long, kept binary, kept_sha string")
     return ids, distinct, changed
 
 
