@@ -21,8 +21,8 @@ def tied(rows: DataFrame) -> DataFrame:
     return rows.join(names.select("name", "first"), "name")
 
 
-def repeated_windows(lines: DataFrame, run: int) -> DataFrame:
-    """(d, th, p) of every window of `run` lines that also starts at a lesser place (d, th, p).
+def repeated_windows(now: DataFrame, run: int) -> DataFrame:
+    """(d, th, p) of every window of `run` lines that also starts at a lesser place (d, th, p), given the tied lines.
 
     Prefix doubling: names of 1, 2, 4, ... lines; each round pairs a place's name with the one
     `length` further on (an offset join on the place), drops the places whose name is unique (no longer
@@ -30,7 +30,7 @@ def repeated_windows(lines: DataFrame, run: int) -> DataFrame:
     power of two. What is left in the last round are the members of LCP intervals of at least
     `run` lines.
     """
-    now, length = tied(lines), 1
+    length = 1
     while length < run:
         step = min(length, run - length)
         after = now.select("d", "th", (F.col("p") - step).alias("p"), F.col("name").alias("tail"))
@@ -40,18 +40,23 @@ def repeated_windows(lines: DataFrame, run: int) -> DataFrame:
     return now.where(F.struct("d", "th", "p") != F.col("first")).select("d", "th", "p")
 
 
-def dedup_lines(docs: DataFrame, run: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, run: int = 2, lone: int | None = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_lines, n_removed, n_runs (maximal removed runs), kept (the lines that stay, joined by line feeds).
 
     Lines are what lies between line feeds (an empty text is one empty line, a null text is
     empty). A line goes if it lies in a window of `run` lines that starts at an earlier place
-    too: in a smaller doc_id, or further up in the same text; rows with the same id come in order
+    too, or if it has `lone` characters or more (None: never) and stands at an earlier place itself: in a smaller
+    doc_id, or further up in the same text; rows with the same id come in order
     of a hash of the text, and rows equal in id and text are one document. Null ids come first.
     Windows never cross documents and are judged on the input. An empty table gives no rows.
     """
     rows = texts(docs, id_col, text_col).withColumn("d", F.coalesce("doc_id", F.lit(NULL_ID))).withColumn("th", F.xxhash64("text"))
-    lines = rows.select("d", "th", F.posexplode(F.split("text", "\n", -1)).alias("p", "line")).select("d", "th", "p", F.unhex(F.md5(F.col("line").cast("binary"))).alias("name")).distinct()
-    hits = repeated_windows(cut(lines, "lines"), run).groupBy("d", "th").agg(F.collect_list("p").alias("starts"))  # a document's own places
+    long_ = F.lit(False) if lone is None else F.length("line") >= lone
+    lines = rows.select("d", "th", F.posexplode(F.split("text", "\n", -1)).alias("p", "line")).select("d", "th", "p", F.unhex(F.md5(F.col("line").cast("binary"))).alias("name"), long_.alias("alone")).distinct()
+    seen = cut(tied(lines), "tied")
+    by_itself = seen.where(F.col("alone") & (F.struct("d", "th", "p") != F.col("first"))).select("d", "th", "p", F.lit(1).alias("n"))
+    windows = repeated_windows(seen, run).select("d", "th", "p", F.lit(run).alias("n"))
+    hits = windows.unionAll(by_itself).groupBy("d", "th").agg(F.collect_list(F.struct("p", "n")).alias("starts"))  # a document's own places
     gone = rows.join(hits, ["d", "th"], "left").select("doc_id", "text", "starts")
 
     def run_docs(it):
@@ -59,10 +64,10 @@ def dedup_lines(docs: DataFrame, run: int = 2, id_col: str = "doc_id", text_col:
             out = []
             for i, text, starts in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "text", "starts")), strict=True):
                 lines, runs, end, kept = text.split("\n"), 0, -1, []
-                for s in sorted(starts or ()):
-                    runs += s > end
-                    kept += lines[max(end, 0) : s] if s > end else []
-                    end = s + run
+                for p, n in sorted((x["p"], x["n"]) for x in starts or ()):
+                    runs += p > end
+                    kept += lines[max(end, 0) : p] if p > end else []
+                    end = max(end, p + n)
                 kept += lines[max(end, 0) :]
                 out.append((i, len(lines), len(lines) - len(kept), runs, "\n".join(kept)))
             cols = list(zip(*out, strict=True)) or [[]] * 5
@@ -79,7 +84,8 @@ SQL = """
 WITH lines AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS p, unnest(l) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
 pairs AS (SELECT doc_id, p, line, lead(line) OVER (PARTITION BY doc_id ORDER BY p) AS tail FROM lines),
 hits AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY line, tail ORDER BY doc_id, p) AS k FROM pairs WHERE tail IS NOT NULL) WHERE k > 1),
-gone AS (SELECT doc_id, p FROM hits UNION SELECT doc_id, p + 1 FROM hits),
+lone AS (SELECT doc_id, p FROM (SELECT doc_id, p, length(line) AS n, row_number() OVER (PARTITION BY line ORDER BY doc_id, p) AS k FROM lines) WHERE k > 1 AND n >= 50),
+gone AS (SELECT doc_id, p FROM hits UNION SELECT doc_id, p + 1 FROM hits UNION SELECT doc_id, p FROM lone),
 marked AS (SELECT l.*, g.p IS NOT NULL AS out FROM lines l LEFT JOIN gone g USING (doc_id, p)),
 runs AS (SELECT *, out AND NOT coalesce(lag(out) OVER (PARTITION BY doc_id ORDER BY p), false) AS head FROM marked)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (out) AS n_removed, count(*) FILTER (head) AS n_runs,

@@ -41,7 +41,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_runs.digest(line_runs.dedup_lines(table(spark, sf_dir, "documents"), run=2))
+    return line_runs.digest(line_runs.dedup_lines(table(spark, sf_dir, "documents"), run=2, lone=50))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

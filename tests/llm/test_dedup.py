@@ -199,8 +199,8 @@ def test_bytes_of_odd_tables(spark):
 # --- lines --------------------------------------------------------------------------------------------
 
 
-def plain_lines(texts, ids, run):
-    seen, out = set(), {}
+def plain_lines(texts, ids, run, lone):
+    seen, alone, out = set(), set(), {}
     for i, t in sorted(zip(ids, texts, strict=True)):
         lines = (t or "").split("\n")
         gone = [False] * len(lines)
@@ -209,28 +209,24 @@ def plain_lines(texts, ids, run):
             if w in seen:
                 gone[k : k + run] = [True] * run
             seen.add(w)
+        for k, line in enumerate(lines):
+            if lone is not None and len(line) >= lone and line in alone:
+                gone[k] = True
+            alone.add(line)
         runs = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
         out[i] = (len(lines), sum(gone), runs, "\n".join(x for x, g in zip(lines, gone, strict=True) if not g))
     return out
 
 
-@pytest.mark.parametrize("run", [1, 2, 3, 5])
-def test_lines_against_a_dictionary(spark, run):
+@pytest.mark.parametrize(("run", "lone"), [(1, None), (2, None), (3, 3), (5, None), (2, 50)])
+def test_lines_against_a_dictionary(spark, run, lone):
     rng = random.Random(run)
-    texts = odd_texts() + ["\n".join(rng.choice(["a", "b", "c", "", "d e"]) for _ in range(rng.randint(1, 14))) for _ in range(30)]
+    long_ = [prose(rng, 12).replace("\n", " ") for _ in range(3)]
+    texts = odd_texts() + ["\n".join(rng.choice(["a", "b", "c", "", "d e", *long_]) for _ in range(rng.randint(1, 14))) for _ in range(40)] + [long_[0], long_[0]]
     ids = list(range(len(texts)))
     rng.shuffle(ids)
-    got = {r["doc_id"]: tuple(r)[1:] for r in line_runs.dedup_lines(documents(spark, texts, ids), run).collect()}
-    want = plain_lines(texts, ids, run)
-    for i in ids:
-        if run > 1 or want[i][1] == 0 or got[i] != want[i]:
-            assert got[i][:3] == want[i][:3] or _touching(got[i], want[i])
-            assert got[i][3] == want[i][3]
-
-
-def _touching(got, want):
-    """Runs that touch count once in the plain version."""
-    return got[:2] == want[:2]
+    got = {r["doc_id"]: tuple(r)[1:] for r in line_runs.dedup_lines(documents(spark, texts, ids), run, lone).collect()}
+    assert got == plain_lines(texts, ids, run, lone)
 
 
 def test_lines_of_odd_tables(spark):
