@@ -23,6 +23,8 @@ ANCHORS = frozenset(
     "al como con del el ella en entre era es esta este fue ha hay las lo los más no o para pero por se si sin sobre su sus también un una y ya".split()
 )
 CHAIN = 2
+#: Bits of a signature: two chains of a pair of texts with some thousand each coincide once in 10^8 pairs.
+BITS = 48
 
 
 def word_code(word: str) -> int:
@@ -53,7 +55,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def signatures(text: str, codes: Codes, chain: int = CHAIN) -> np.ndarray:
-    """The sorted distinct 64-bit signatures of a whole text.
+    """The sorted distinct signatures of a whole text, of BITS bits.
 
     The start of a text is an anchor too, so every text with a word has one; a chain cut off by
     the text's end is shorter. A text that has characters but no word has the one signature of
@@ -61,7 +63,7 @@ def signatures(text: str, codes: Codes, chain: int = CHAIN) -> np.ndarray:
     """
     words = WORD.findall(text.lower())
     if not words:
-        return np.array([word_code("\0" + text)], "<u8") if text else np.zeros(0, "<u8")
+        return np.array([word_code("\0" + text) >> (64 - BITS)], "<u8") if text else np.zeros(0, "<u8")
     code = np.fromiter(map(codes.__getitem__, words), "<u8", len(words))
     anchor = (code & np.uint64(1)).astype(bool)
     content = np.append(code[~anchor], np.zeros(chain, "<u8"))
@@ -73,7 +75,7 @@ def signatures(text: str, codes: Codes, chain: int = CHAIN) -> np.ndarray:
             sig = mix(sig * np.uint64(0x9E3779B97F4A7C15) + content[at + k])
     full = content[at] != 0
     full[0] = True
-    return np.unique(sig[full])
+    return np.unique(sig[full] >> np.uint64(64 - BITS))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -84,9 +86,15 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def printed(sig: np.ndarray, size: int = 64) -> str:
-    """A set as text: how many signatures, then the `size` least of them (all, if there are no more), 8 hex digits each. '' for the empty set."""
-    return f"{len(sig)}:" + (sig[:size] >> np.uint64(32)).astype(">u4").tobytes().hex() if len(sig) else ""
+def printed(sig: np.ndarray) -> str:
+    """A whole set as text: how many signatures, then all of them in order, BITS / 4 hex digits each. '' for the empty set."""
+    return f"{len(sig)}:" + sig.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - BITS // 8 :].tobytes().hex() if len(sig) else ""
+
+
+def read(fingerprint: str) -> np.ndarray:
+    """The set that `printed` wrote."""
+    digits = fingerprint.partition(":")[2]
+    return np.array([int(digits[k : k + BITS // 4], 16) for k in range(0, len(digits), BITS // 4)], "<u8")
 
 
 def range_of(spark, splits: list[int]):

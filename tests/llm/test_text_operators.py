@@ -2,6 +2,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -34,6 +35,33 @@ def test_fingerprints_of_texts_edits_and_neighbours(spark):
     assert len(same) == 2 and len(set(same)) == 1
 
 
+def plain_signatures(text):
+    """(anchor, next two content words) for each anchor and the start of the text, as tuples."""
+    words = re.findall(r"\w+", text.lower())
+    if not words:
+        return {("\0", text)} if text else set()
+    out = set()
+    for k in [-1, *[k for k, w in enumerate(words) if w in spot_signatures.ANCHORS]]:
+        chain = [w for w in words[k + 1 :] if w not in spot_signatures.ANCHORS][:2]
+        if chain or k < 0:
+            out.add((words[k] if k >= 0 else None, *chain))
+    return out
+
+
+def test_fingerprints_hold_the_plain_sets(spark):
+    texts = odd_texts()
+    rows = sorted(zip(range(0, 3 * len(texts), 3), (t or "" for t in texts), strict=True), reverse=True)
+    got = {r["doc_id"]: r for r in spot_signatures.fingerprint_pairs(documents(spark).repartition(3)).collect()}
+    like = lambda a, b: len(a & b) / len(a | b) if a and b else float(a == b)
+    for k, (i, t) in enumerate(rows):
+        nxt = rows[(k + 1) % len(rows)][1]
+        edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        assert got[i]["near_edited"] == pytest.approx(like(plain_signatures(t), plain_signatures(edited)))
+        assert got[i]["near_next"] == pytest.approx(like(plain_signatures(t), plain_signatures(nxt)))
+        own, other = spot_signatures.read(got[i]["fingerprint"]), spot_signatures.read(got[i]["edited_fingerprint"])
+        assert len(own) == len(plain_signatures(t)) == got[i]["n_signatures"] and jaccard(own, other) == got[i]["near_edited"]
+
+
 def test_ranges_by_expression_and_by_search(spark):
     rows = spark.range(0, 3000).select(F.col("id").alias("key"))
     for splits in ([], [5, 9], list(range(0, 2400, 2))):
