@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.exprs import micro, nano
+from .functions.exprs import micro, milli, nano
 from .model import GraphSet
 from .operators import estimate, external, gram, mmd, tangent, walks, wl
 from .plans import oracles as o
@@ -136,16 +136,16 @@ def gram_wwl_degree(spark, sf_dir):
     return in_micro(wl.wasserstein(brands(spark, sf_dir).with_degree_labels().stored(), 0.5, 1))
 
 
+BFS = "bfs AS (SELECT graph_id, node_id AS a, node_id AS b, 0 AS d FROM nodes UNION SELECT s.graph_id, s.a, e.dst, s.d + 1 FROM bfs s JOIN arcs e ON e.graph_id = s.graph_id AND e.src = s.b WHERE s.d < 25)"
 SP = [
-    *o.CO_PURCHASE, "RECURSIVE_PLACEHOLDER", "dist AS MATERIALIZED (SELECT graph_id, a, b, min(d) AS d FROM bfs GROUP BY ALL)",
+    *o.CO_PURCHASE, BFS, "dist AS MATERIALIZED (SELECT graph_id, a, b, min(d) AS d FROM bfs GROUP BY ALL)",
     "sf AS (SELECT d.graph_id, concat_ws('_', least(x.label, y.label), greatest(x.label, y.label), CAST(d.d AS VARCHAR)) AS feature FROM dist d JOIN nodes x ON x.graph_id = d.graph_id AND x.node_id = d.a JOIN nodes y ON y.graph_id = d.graph_id AND y.node_id = d.b)",
     "feat AS MATERIALIZED (SELECT graph_id, feature, count(*) / sum(count(*)) OVER (PARTITION BY graph_id) AS v FROM sf GROUP BY graph_id, feature)",
 ]
 
 
 def recursive(ctes: list[str], last: str) -> str:
-    bfs = "bfs AS (SELECT graph_id, node_id AS a, node_id AS b, 0 AS d FROM nodes UNION SELECT s.graph_id, s.a, e.dst, s.d + 1 FROM bfs s JOIN arcs e ON e.graph_id = s.graph_id AND e.src = s.b WHERE s.d < 25)"
-    return "WITH RECURSIVE " + ",\n".join(bfs if c == "RECURSIVE_PLACEHOLDER" else c for c in ctes) + "\n" + last
+    return o.sql(ctes, last).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 @query(recursive(SP, f"SELECT graph_id, feature, {o.MICRO.format('v')} AS v_micro FROM feat"))
@@ -184,24 +184,37 @@ def gram_rw_arkl(spark, sf_dir):
     return in_micro(walks.series(first_digit(brands(spark, sf_dir)), "RW_ARKL", 1e-3, 3))
 
 
-@query()
+# At a rank that no graph exceeds, a kernel is the limit of its series, which the SQL takes far enough.
+TYPES = ["click", "error", "purchase", "signup", "view"]
+PLUS_RANK = [*o.unweighted(o.UNDIRECTED), *o.simple_walk(1e-3, 8, "arcs")]
+ARKU_RANK = [*o.unweighted(o.EVENTS), OUT, *o.simple_walk(1e-2, 8, "sarcs")]
+EDGE_RANK = [*o.unweighted(o.CO_PURCHASE), *o.edge_walk(1e-4, 8)]
+ARKL_RANK = [*o.unweighted(o.UNDIRECTED), *o.label_walk(1e-3, 8, "label")]
+
+
+@query(gram_sql(PLUS_RANK))
 def gram_rw_arku_plus_rank(spark, sf_dir):
-    return walks.spectral(brands(spark, sf_dir).unweighted(), "RW_ARKU_plus", 1e-3, 5)
+    return in_micro(walks.spectral(undirected_days(spark, sf_dir).unweighted(), "RW_ARKU_plus", 1e-3, 5))
 
 
-@query()
+@query(gram_sql(ARKU_RANK))
 def gram_rw_arku_rank(spark, sf_dir):
-    return walks.spectral(days(spark, sf_dir).unweighted(), "RW_ARKU", 1e-2, 3)
+    return in_micro(walks.spectral(days(spark, sf_dir).unweighted(), "RW_ARKU", 1e-2, 5))
 
 
-@query()
+@query(gram_sql(EDGE_RANK))
 def gram_rw_arku_edge_rank(spark, sf_dir):
-    return walks.spectral(brands(spark, sf_dir).unweighted(), "RW_ARKU_edge", 1e-3, 4, labels=["S", "D"])
+    return in_micro(walks.spectral(brands(spark, sf_dir).unweighted(), "RW_ARKU_edge", 1e-4, 25, labels=["S", "D"]))
 
 
-@query()
+@query(gram_sql(ARKL_RANK))
 def gram_rw_arkl_rank(spark, sf_dir):
-    return walks.spectral(first_digit(brands(spark, sf_dir).unweighted()), "RW_ARKL", 1e-4, 3)
+    return in_micro(walks.spectral(undirected_days(spark, sf_dir).unweighted(), "RW_ARKL", 1e-3, 5, labels=TYPES))
+
+
+@query()
+def gram_rw_arku_plus_low_rank(spark, sf_dir):
+    return walks.spectral(brands(spark, sf_dir).unweighted(), "RW_ARKU_plus", 1e-3, 5)
 
 
 # --- neural tangent kernel ----------------------------------------------------------------------------
@@ -210,18 +223,22 @@ def gram_rw_arkl_rank(spark, sf_dir):
 @query(o.sql([*o.CO_PURCHASE, *o.tangent(2, "uniform", "degree")], f"SELECT i, j, {o.MILLI.format('2 * (sum(t) + coalesce(any_value(raw), 0))')} AS k_milli FROM t2 LEFT JOIN raw USING (i, j) GROUP BY i, j"))
 def gram_gntk(spark, sf_dir):
     k = tangent.kernel(brands(spark, sf_dir), 2, 2, True, "uniform")
-    return k.select("i", "j", F.floor(F.col("k") * 1e3 + 0.5137).cast("long").alias("k_milli"))
+    return k.select("i", "j", milli(F.col("k")).alias("k_milli"))
 
 
 @query(o.sql([*o.CO_PURCHASE, *o.tangent(1, "degree", "attr")], f"SELECT i, j, {o.MILLI.format('2 * sum(t)')} AS k_milli FROM t1 GROUP BY i, j"))
 def gram_gntk_attributes(spark, sf_dir):
     k = tangent.kernel(brands(spark, sf_dir), 2, 1, False, "degree", use_attr=True)
-    return k.select("i", "j", F.floor(F.col("k") * 1e3 + 0.5137).cast("long").alias("k_milli"))
+    return k.select("i", "j", milli(F.col("k")).alias("k_milli"))
 
 
-@query()
+DEEP_SUM = "SELECT i, j, {0} AS k_milli FROM (SELECT i, j, sum(t) AS a FROM t2 GROUP BY i, j) JOIN (SELECT i, j, sum(t) AS b FROM u2 GROUP BY i, j) USING (i, j) LEFT JOIN raw USING (i, j)"
+
+
+@query(o.sql([*o.EVENTS, *o.tangent_deep(2, "degree", "degree")], DEEP_SUM.format(o.MILLI.format("2 * (a + b + coalesce(raw, 0.0))"))))
 def gram_gntk_deep(spark, sf_dir):
-    return tangent.deep(days(spark, sf_dir), 3, 2, True, "degree")
+    k = tangent.deep(days(spark, sf_dir), 3, 2, True, "degree")
+    return k.select("i", "j", milli(F.col("k")).alias("k_milli"))
 
 
 # --- estimators, resampling, tests --------------------------------------------------------------------
@@ -265,6 +282,14 @@ def null_permutations(spark, sf_dir):
     return in_micro(mmd.null_distribution(*wl_gram(spark, sf_dir), "MMD_u", B, SEED), "statistic", "statistic_micro")
 
 
+@query(o.sql([*WL_GRAM, *o.OBSERVED, *o.permuted(B, SEED)], f"SELECT round AS b, {o.MICRO.format(o.FORMULA['MMD_b'])} AS statistic_micro FROM ns, sizes"))
+def null_permutations_dense(spark, sf_dir):
+    k, pooled = wl_gram(spark, sf_dir)
+    ids = [r["graph_id"] for r in pooled.orderBy("ord").collect()]
+    null = mmd.dense_null(spark, gram.dense(k), pooled.where("sample = 1").count(), {"MMD_b": lambda m, n, rng: mmd.dense_stat(m, n, "MMD_b")}, B, SEED, ids=ids)
+    return in_micro(null.select(F.col("b").cast("int").alias("b"), "statistic"), "statistic", "statistic_micro")
+
+
 @query(o.sql([*WL_GRAM, *o.OBSERVED, *o.booted(B, SEED)], f"SELECT round AS b, {o.MICRO.format(o.FORMULA['MMD_u'])} AS statistic_micro FROM ns, sizes"))
 def null_bootstraps(spark, sf_dir):
     return in_micro(mmd.null_distribution(*wl_gram(spark, sf_dir), "MMD_u", B, SEED, "bootstrap"), "statistic", "statistic_micro")
@@ -301,21 +326,105 @@ def test_rw_events_mmd_u(spark, sf_dir):
     return relational_test(cut(walks.series(gs, "RW_ARKU", 1e-4, 4)), cut(gs.pooled()), "MMD_u")
 
 
-@query()
+# --- the test as one call, for every keyword ----------------------------------------------------------
+
+
+def units(df: DataFrame, unit=nano) -> DataFrame:
+    return df.withColumn("statistic_units", unit(F.col("statistic"))).drop("statistic")
+
+
+BOTH = ["MMD_u", "MMD_b"]
+WWL_GRAM = [*WL2, o.WL_FREQ_IT, *o.dot("least(a.v, b.v)")[:-1], "gram AS MATERIALIZED (SELECT i, j, exp(-2.0 * (1 - coalesce(k, 0.0) / 3)) AS k FROM pairs LEFT JOIN prod USING (i, j))"]
+GNTK_GRAM = [*o.CO_PURCHASE, *o.tangent(2, "uniform", "degree"), "gram AS MATERIALIZED (SELECT i, j, 2 * (sum(t) + coalesce(any_value(raw), 0)) AS k FROM t2 LEFT JOIN raw USING (i, j) GROUP BY i, j)"]
+
+
+@query(o.full_test(EVENT_WALK, B, SEED, estimators=("MMD_u", "MMD_b", "MMD_l")))
 def test_all_estimators(spark, sf_dir):
-    return two_sample_test(days(spark, sf_dir), "RW_ARKU", ["MMD_u", "MMD_b", "MMD_l", "MONK_EST"], B=200, Q=3, r=None, c=1e-4)
+    return units(two_sample_test(days(spark, sf_dir), "RW_ARKU", ["MMD_u", "MMD_b", "MMD_l"], B=B, seed=SEED, r=None, c=1e-4, terms=4))
 
 
-@query()
+@query(o.full_test(WL_GRAM, B, SEED, "bootstrap", ("MMD_u",)))
 def test_precomputed(spark, sf_dir):
     k, pooled = wl_gram(spark, sf_dir)
-    return two_sample_test(None, gram.dense(k), "MMD_u", B=500, n1=pooled.where("sample = 1").count(), bootstrap_method="BootstrapScheme")
+    return units(two_sample_test(None, gram.dense(k), "MMD_u", B=B, seed=SEED, n1=pooled.where("sample = 1").count(), bootstrap_method="BootstrapScheme"))
+
+
+@query(o.full_test(WWL_GRAM, B, SEED))
+def test_keyword_wwl(spark, sf_dir):
+    return units(two_sample_test(brands(spark, sf_dir), "WWL", BOTH, B=B, seed=SEED, discount=2.0, h=2))
+
+
+@query(o.full_test(WL_GRAM, B, SEED))
+def test_keyword_dk_wl(spark, sf_dir):
+    return units(two_sample_test(brands(spark, sf_dir), "DK", BOTH, B=B, seed=SEED, type="wl", wl_it=2))
+
+
+@query(o.full_test([*SP, *o.dot()], B, SEED))
+def test_keyword_dk_sp(spark, sf_dir):
+    return units(two_sample_test(brands(spark, sf_dir), "DK", BOTH, B=B, seed=SEED, type="sp"))
+
+
+@query(o.full_test([*o.EVENTS, OUT, *o.simple_walk(1e-5, 6, "sarcs")], B, SEED))
+def test_keyword_rw_arku(spark, sf_dir):
+    return units(two_sample_test(days(spark, sf_dir), "RW_ARKU", BOTH, B=B, seed=SEED, r=5, c=1e-5))
+
+
+@query(o.full_test([*o.UNDIRECTED, *o.simple_walk(1e-8, 6, "arcs")], B, SEED))
+def test_keyword_rw_arku_plus(spark, sf_dir):
+    return units(two_sample_test(undirected_days(spark, sf_dir), "RW_ARKU_plus", BOTH, B=B, seed=SEED, r=5, c=1e-8))
+
+
+@query(o.full_test(EDGE_RANK, B, SEED))
+def test_keyword_rw_arku_edge(spark, sf_dir):
+    return units(two_sample_test(brands(spark, sf_dir), "RW_ARKU_edge", BOTH, B=B, seed=SEED, r=25, c=1e-4, edge_attr=None, unique_edge_labels=["S", "D"]))
+
+
+@query(o.full_test([*o.UNDIRECTED, *o.label_walk(1e-8, 6, "label")], B, SEED))
+def test_keyword_rw_arkl(spark, sf_dir):
+    return units(two_sample_test(undirected_days(spark, sf_dir), "RW_ARKL", BOTH, B=B, seed=SEED, r=5, c=1e-8, unique_node_labels=TYPES))
+
+
+@query(o.full_test(GNTK_GRAM, B, SEED, unit=o.MILLI))
+def test_keyword_gntk(spark, sf_dir):
+    return units(two_sample_test(brands(spark, sf_dir), "GNTK", BOTH, B=B, seed=SEED, num_layers=2, jk=True, scale="uniform"), milli)
+
+
+@query(o.full_test([*WL2, o.WL_COUNT, *o.dot()], B, SEED, unit=o.MICRO))
+def test_keyword_list(spark, sf_dir):
+    return units(two_sample_test(brands(spark, sf_dir), [{"name": "weisfeiler_lehman", "n_iter": 2}, {"name": "vertex_histogram"}], BOTH, B=B, seed=SEED), micro)
 
 
 @query()
-def null_permutations_dense(spark, sf_dir):
-    k, pooled = wl_gram(spark, sf_dir)
-    return mmd.fast_permutation_null(spark, gram.dense(k), pooled.where("sample = 1").count(), 1000, SEED)
+def test_median_of_means(spark, sf_dir):
+    return two_sample_test(days(spark, sf_dir), "RW_ARKU", "MONK_EST", B=200, Q=3, r=None, c=1e-4)
+
+
+# --- kernels of the adapter ---------------------------------------------------------------------------
+
+PATHS = [x.replace("least(x.label, y.label), greatest(x.label, y.label)", "x.label, y.label") for x in SP[:-1]]
+
+
+@query(recursive([*PATHS, "feat AS MATERIALIZED (SELECT graph_id, feature, CAST(count(*) AS DOUBLE) AS v FROM sf WHERE NOT ends_with(feature, '_0') GROUP BY ALL)", *o.dot()], "SELECT i, j, CAST(k AS BIGINT) AS k FROM gram"))
+def gram_shortest_path(spark, sf_dir):
+    return external.by_name(brands(spark, sf_dir), [{"name": "shortest_path"}]).select("i", "j", F.col("k").cast("long").alias("k"))
+
+
+@query(o.sql([*o.CO_PURCHASE, "feat AS MATERIALIZED (SELECT graph_id, edge_label AS feature, CAST(count(*) AS DOUBLE) AS v FROM arcs GROUP BY ALL)", *o.dot()], "SELECT i, j, CAST(k AS BIGINT) AS k FROM gram"))
+def gram_edge_histogram(spark, sf_dir):
+    return external.by_name(brands(spark, sf_dir), [{"name": "edge_histogram"}]).select("i", "j", F.col("k").cast("long").alias("k"))
+
+
+@query(o.sql([*WL2, o.WL_COUNT, *o.dot("least(a.v, b.v)")], "SELECT i, j, CAST(k AS BIGINT) AS k FROM gram"))
+def gram_optimal_assignment(spark, sf_dir):
+    return external.by_name(brands(spark, sf_dir), [{"name": "wl_oa", "n_iter": 2}]).select("i", "j", F.col("k").cast("long").alias("k"))
+
+
+ONES = "p AS MATERIALIZED (SELECT graph_id, node_id, CAST(1 AS DOUBLE) AS v FROM nodes)"
+
+
+@query(gram_sql([*o.unweighted(o.UNDIRECTED), *[ONES if x == o.START else x for x in o.simple_walk(1e-3, 8, "arcs")]]))
+def gram_random_walk(spark, sf_dir):
+    return in_micro(external.by_name(undirected_days(spark, sf_dir), [{"name": "random_walk", "lamda": 1e-3}]))
 
 
 # --- kernels that have no SQL -------------------------------------------------------------------------

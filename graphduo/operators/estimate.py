@@ -58,24 +58,36 @@ def gaussian_scores(x: np.ndarray) -> np.ndarray:
 
 
 def lasso_row(w: np.ndarray, s: np.ndarray, alpha: float, beta: np.ndarray, rounds: int = 500, tol: float = 1e-8) -> np.ndarray:
-    """argmin of b'Wb/2 - s'b + alpha |b|_1 by coordinate descent."""
+    """argmin of b'Wb/2 - s'b + alpha |b|_1 by coordinate descent on the coordinates that are not 0 or whose gradient is over alpha, until no other is."""
     left, diag, b = s - w @ beta, w.diagonal().tolist(), beta.tolist()
     for _ in range(rounds):
-        moved = 0.0
-        for k, d in enumerate(diag):
-            g = float(left[k]) + d * b[k]
-            new = (g - alpha if g > alpha else g + alpha if g < -alpha else 0.0) / d
-            if new != b[k]:
-                left -= (new - b[k]) * w[k]
-                moved, b[k] = max(moved, abs(new - b[k])), new
-        if moved < tol:
+        active = np.flatnonzero((np.abs(left) > alpha) | (np.array(b) != 0)).tolist()
+        settled = False
+        for _ in range(rounds):
+            moved = 0.0
+            for k in active:
+                d = diag[k]
+                g = float(left[k]) + d * b[k]
+                new = (g - alpha if g > alpha else g + alpha if g < -alpha else 0.0) / d
+                if new != b[k]:
+                    left -= (new - b[k]) * w[k]
+                    moved, b[k] = max(moved, abs(new - b[k])), new
+            if moved < tol:
+                settled = True
+                break
+        rest = np.abs(left) > alpha + tol
+        rest[active] = False
+        if settled and not rest.any():
             break
     beta[:] = b
     return beta
 
 
-def graphical_lasso(s: np.ndarray, alpha: float, rounds: int = 100, tol: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
-    """(covariance, precision) of the l1-penalised likelihood, off-diagonal entries penalised (Friedman, Hastie and Tibshirani 2008)."""
+def graphical_lasso(s: np.ndarray, alpha: float, max_iter: int = 100, tol: float = 1e-5, enet_tol: float = 1e-8) -> tuple[np.ndarray, np.ndarray]:
+    """(covariance, precision) of the l1-penalised likelihood, off-diagonal entries penalised (Friedman, Hastie and Tibshirani 2008).
+
+    At most max_iter sweeps, until the covariance moves by less than tol of its mean off-diagonal entry; a row is solved to enet_tol.
+    """
     p = len(s)
     if p == 1:
         return s.copy(), 1 / np.maximum(s, 1e-12)
@@ -85,11 +97,11 @@ def graphical_lasso(s: np.ndarray, alpha: float, rounds: int = 100, tol: float =
     off = ~np.eye(p, dtype=bool)
     w[off] *= 0.95
     betas = np.zeros((p, p - 1))
-    for _ in range(rounds):
+    for _ in range(max_iter):
         before = w.copy()
         for j in range(p):
             rest = np.arange(p) != j
-            betas[j] = lasso_row(w[np.ix_(rest, rest)], s[rest, j], alpha, betas[j])
+            betas[j] = lasso_row(w[np.ix_(rest, rest)], s[rest, j], alpha, betas[j], tol=enet_tol)
             w[rest, j] = w[j, rest] = w[np.ix_(rest, rest)] @ betas[j]
         if np.abs(w - before).mean() < tol * max(np.abs(s[off]).mean(), 1e-12):
             break
@@ -116,18 +128,19 @@ def ebic(x: np.ndarray, mean: np.ndarray, cov: np.ndarray, precision: np.ndarray
     return -2 * log_likelihood(x, mean, cov) + np.log(len(x)) * edges + 4 * edges * beta * np.log(p)
 
 
-def fit_window(x: np.ndarray, alphas: list[float], beta: float, scores: bool = False, scale: str | bool = False) -> tuple[np.ndarray, list[float], int]:
-    """(precision of the best alpha, EBIC of each, its index): the first minimum. scale='zscore' standardises; True is accepted and does nothing."""
+def fit_window(x: np.ndarray, alphas: list[float], beta: float, scores: bool = False, scale: str | bool = False, **solver) -> tuple[np.ndarray, list[float], int]:
+    """(precision of the best alpha, EBIC of each, its index): the first minimum. scale='zscore' standardises; True is accepted and does nothing. solver: as in estimate_graphs."""
     mean = x.mean(axis=0)
     if scores:
         x = gaussian_scores(x)
     if scale == "zscore":
         x = (x - x.mean(axis=0)) / np.maximum(x.std(axis=0), 1e-12)
         mean = x.mean(axis=0)
-    s = np.cov(x.T, bias=True).reshape(x.shape[1], x.shape[1])
+    solver = dict(solver)
+    s = x.T @ x / len(x) if solver.pop("assume_centered", False) else np.cov(x.T, bias=True).reshape(x.shape[1], x.shape[1])
     best, values = None, []
     for k, a in enumerate(alphas):
-        cov, theta = graphical_lasso(s, a)
+        cov, theta = graphical_lasso(s, a, **solver)
         theta = np.where(np.abs(theta) < ZERO, 0.0, theta)
         values.append(ebic(x, mean, cov, theta, beta))
         if best is None or values[-1] < values[best[1]]:
@@ -135,17 +148,19 @@ def fit_window(x: np.ndarray, alphas: list[float], beta: float, scores: bool = F
     return best[0], values, best[1]
 
 
-def estimate_graphs(obs: DataFrame, window_size: int, alpha: float | list[float], beta: float, nonparanormal: bool = False, scale: str | bool = False, set_attributes: Callable | None = None, set_labels: str | Callable | dict | None = None) -> GraphSet:
+def estimate_graphs(obs: DataFrame, window_size: int, alpha: float | list[float], beta: float, nonparanormal: bool = False, scale: str | bool = False, set_attributes: Callable | None = None, set_labels: str | Callable | dict | None = None, **solver) -> GraphSet:
     """A graph for each window: nodes are the columns, edges the off-diagonal entries of the chosen precision matrix, weight = entry.
 
     set_attributes: submatrix -> a vector per node. set_labels: 'degree', a function submatrix ->
-    {node: label}, or {'1': {node: label}, '2': ...}. Windows are independent groups: one
+    {node: label}, or {'1': {node: label}, '2': ...}. solver: max_iter, tol, enet_tol, assume_centered of the lasso. Windows are independent groups: one
     grouped-map task each, of window_size rows.
     """
     if not 0 <= beta <= 1:
         raise ValueError("beta must be between 0 and 1")
     if isinstance(set_labels, str) and set_labels != "degree":
         raise ValueError("set_labels must be 'degree', a function or a dict")
+    if unknown := set(solver) - {"max_iter", "tol", "enet_tol", "assume_centered"}:
+        raise TypeError(f"no such solver option: {', '.join(sorted(unknown))}")
     alphas = [float(a) for a in (alpha if hasattr(alpha, "__len__") else [alpha])]
     shapes = obs.groupBy("sample").agg(F.count("*").alias("n"), F.min(F.size("x")).alias("lo"), F.max(F.size("x")).alias("hi")).collect()
     if len({r["n"] for r in shapes}) > 1:
@@ -156,7 +171,7 @@ def estimate_graphs(obs: DataFrame, window_size: int, alpha: float | list[float]
 
     def run(key, pdf):
         x = np.stack(pdf.sort_values("row_idx")["x"].to_list()).astype(float)
-        theta, _, _ = fit_window(x, alphas, beta, scores, scale)
+        theta, _, _ = fit_window(x, alphas, beta, scores, scale, **solver)
         at = np.argwhere(np.triu(theta, 1) != 0)
         attr = None if set_attributes is None else [[float(v) for v in np.atleast_1d(a)] for a in set_attributes(x)]
         lab = labels(x) if labels else {}

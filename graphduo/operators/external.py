@@ -1,4 +1,4 @@
-"""Kernels that were reached through another library: WL vertex histogram, propagation, pyramid match."""
+"""Kernels that were reached through another library, by their settings: label and edge histograms, shortest paths, random walks, propagation, pyramid match."""
 
 from __future__ import annotations
 
@@ -73,16 +73,64 @@ def pyramid_match(gs: GraphSet, levels: int = 4, dims: int = 6, with_labels: boo
     return gram.by_blocks(walks.graph_rows(gs), pair, prep=prep)
 
 
+def shortest_path(gs: GraphSet, with_labels: bool = True) -> DataFrame:
+    """Shortest-path kernel (Borgwardt and Kriegel 2005): inner products of the counts of (label, label, distance) over ordered pairs of different nodes."""
+    own = gs if with_labels else GraphSet(gs.graphs, gs.nodes.withColumn("label", F.lit("")), gs.edges)
+    f = wl.shortest_path_counts(own, ordered=True)
+    return gram.dot(f.select("graph_id", "feature", F.col("n").cast("double").alias("v")), gs.pooled())
+
+
+def edge_histogram(gs: GraphSet) -> DataFrame:
+    """Inner products of the counts of arcs by edge label."""
+    f = gs.arcs().groupBy("graph_id", F.coalesce("edge_label", F.lit("-1")).alias("feature")).agg(F.count("*").cast("double").alias("v"))
+    return gram.dot(f, gs.pooled())
+
+
+def random_walk(gs: GraphSet, lamda: float = 0.1, p: int | None = None) -> DataFrame:
+    """Random-walk kernel (Gaertner, Flach and Wrobel 2003; Vishwanathan et al. 2010): the sum of all entries of (I - lamda A x B)^-1, or of the first p + 1 terms of its series; edge weights do not count."""
+
+    def prep(row):
+        a = (walks.adjacency(row) != 0).astype(float)
+        return a, np.linalg.eigvals(a).astype(complex)
+
+    def pair(x, y):
+        s = np.ones((len(x[0]), len(y[0])))
+        if p is None:
+            if len(x[1]) and len(y[1]) and lamda * np.abs(x[1]).max() * np.abs(y[1]).max() >= 1:
+                raise ValueError("the walks do not converge; try a lower lamda, or p")
+            n = s.size
+            return float(np.linalg.solve(np.eye(n) - lamda * np.kron(x[0], y[0]), s.ravel()).sum()) if n else 0.0
+        total = s.sum()
+        for _ in range(p):
+            s = lamda * (x[0] @ s @ y[0].T)
+            total += s.sum()
+        return float(total)
+
+    return gram.by_blocks(walks.graph_rows(gs), pair, prep=prep)
+
+
 def by_name(gs: GraphSet, spec: list[dict]) -> DataFrame:
-    """A kernel from a list of settings as the adapter takes them: [{'name': 'weisfeiler_lehman', 'n_iter': 2}, {'name': 'vertex_histogram'}], propagation or pyramid_match."""
-    names = [s["name"].lower() for s in spec]
+    """A kernel from a list of settings as the adapter takes them.
+
+    [{'name': 'weisfeiler_lehman', 'n_iter': 2}, {'name': 'vertex_histogram'}], vertex_histogram, edge_histogram,
+    shortest_path (with_labels), random_walk (lamda, p), weisfeiler_lehman_optimal_assignment (n_iter), propagation or pyramid_match.
+    """
+    names, first = [s["name"].lower() for s in spec], spec[0]
     if names[0] in ("weisfeiler_lehman", "wl") and (len(names) == 1 or names[1] in ("vertex_histogram", "vh", "subtree_wl")):
-        return wl.vertex_histogram(gs, spec[0].get("n_iter", 5))
-    if names[0] in ("vertex_histogram", "vh"):
+        return wl.vertex_histogram(gs, first.get("n_iter", 5))
+    if names[0] in ("weisfeiler_lehman_optimal_assignment", "wl_oa"):
+        return wl.optimal_assignment(gs, first.get("n_iter", 5))
+    if names[0] in ("vertex_histogram", "vh", "subtree_wl"):
         return wl.vertex_histogram(gs, 0)
-    if names[0] == "propagation":
-        use_attr = bool(gs.nodes.where("attr is not null").limit(1).count()) and spec[0].get("M") in ("L1", "L2")
-        return propagation(gs, spec[0].get("t_max", 5), spec[0].get("w", 0.01), spec[0].get("M", "TV"), spec[0].get("random_state", 0), use_attr)
-    if names[0] == "pyramid_match":
-        return pyramid_match(gs, spec[0].get("L", 4), spec[0].get("d", 6), spec[0].get("with_labels", True))
-    raise ValueError(f"no kernel for {names}; there are weisfeiler_lehman with vertex_histogram, vertex_histogram, propagation and pyramid_match")
+    if names[0] in ("edge_histogram", "eh"):
+        return edge_histogram(gs)
+    if names[0] in ("shortest_path", "sp"):
+        return shortest_path(gs, first.get("with_labels", True))
+    if names[0] in ("random_walk", "rw"):
+        return random_walk(gs, first.get("lamda", 0.1), first.get("p"))
+    if names[0] in ("propagation", "pk"):
+        use_attr = bool(gs.nodes.where("attr is not null").limit(1).count()) and first.get("M") in ("L1", "L2")
+        return propagation(gs, first.get("t_max", 5), first.get("w", 0.01), first.get("M", "TV"), first.get("random_state", 0), use_attr)
+    if names[0] in ("pyramid_match", "pm"):
+        return pyramid_match(gs, first.get("L", 4), first.get("d", 6), first.get("with_labels", True))
+    raise ValueError(f"no kernel for {names}; see by_name")

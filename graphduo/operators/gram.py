@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Graphs in a block of the pair grid; for kernels that hold all node pairs of two blocks at a time, fewer.
 BLOCK, SMALL_BLOCK = 64, 16
+#: Graphs of one feature on the left side of a task.
+TOGETHER = 256
 
 
 def all_pairs(pooled: DataFrame) -> DataFrame:
@@ -19,11 +21,23 @@ def all_pairs(pooled: DataFrame) -> DataFrame:
     return rows.select("i", F.explode(F.sequence(F.col("i"), F.lit(n))).alias("j"))
 
 
+def meeting(f: DataFrame, *values: str) -> DataFrame:
+    """(i, j, a, b, values...) for i <= j of all pairs of rows (ord, feature, v, values...) of a feature.
+
+    A feature of n graphs makes n^2 / 2 rows: it is dealt to a task for each TOGETHER graphs on the left
+    side, and the right side goes to all of these, so one that every graph has is no one task's work.
+    """
+    tasks = F.ceil(F.count("*").over(Window.partitionBy("feature")) / TOGETHER).cast("int")
+    spread = f.withColumn("tasks", tasks)
+    a = spread.select(F.col("ord").alias("i"), "feature", F.pmod(F.col("ord"), F.col("tasks")).alias("task"), F.col("v").alias("a"), *values)
+    b = spread.select(F.col("ord").alias("j"), "feature", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.col("v").alias("b"))
+    return a.join(b, ["feature", "task"]).where("i <= j")
+
+
 def dot(features: DataFrame, pooled: DataFrame, how=lambda a, b: F.sum(a * b)) -> DataFrame:
     """Sum over common features of f(v_i, v_j), for features (graph_id, feature, v); pairs without any get 0."""
     f = features.join(pooled.select("graph_id", "ord"), "graph_id").select("ord", "feature", "v")
-    a, b = f.select(F.col("ord").alias("i"), "feature", F.col("v").alias("a")), f.select(F.col("ord").alias("j"), "feature", F.col("v").alias("b"))
-    k = a.join(b, "feature").where("i <= j").groupBy("i", "j").agg(how(F.col("a"), F.col("b")).alias("k"))
+    k = meeting(f).groupBy("i", "j").agg(how(F.col("a"), F.col("b")).alias("k"))
     return all_pairs(pooled).join(k, ["i", "j"], "left").select("i", "j", F.coalesce("k", F.lit(0.0)).alias("k"))
 
 

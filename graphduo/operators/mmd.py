@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -185,48 +186,36 @@ def median_of_means(k: np.ndarray, n1: int, q: int, rng: np.random.Generator, ro
     return gap
 
 
-def dense_null(spark, k: np.ndarray, n1: int, stats: dict[str, Callable[[np.ndarray, int, np.random.Generator], float]], b: int, seed: int, scheme: str | Callable = "permutation", parts: int | None = None) -> DataFrame:
+def hash_order(seed: int, b: int, ids: Sequence) -> np.ndarray:
+    """Resample b of `permutations` as an order of the graphs: the first n1 are sample 1."""
+    key = [hashlib.md5(f"{seed}|{b}|{i}".encode()).hexdigest() for i in ids]
+    return np.array(sorted(range(len(ids)), key=lambda k: (key[k], ids[k])))
+
+
+def hash_draws(seed: int, b: int, n: int) -> np.ndarray:
+    """Resample b of `bootstraps`: the graph of each slot."""
+    return np.array([int(hashlib.md5(f"{seed}|{b}|{k}".encode()).hexdigest()[:8], 16) % n for k in range(n)])
+
+
+def dense_null(spark, k: np.ndarray, n1: int, stats: dict[str, Callable[[np.ndarray, int, np.random.Generator], float]], b: int, seed: int, scheme: str | Callable = "permutation", parts: int | None = None, ids: Sequence | None = None) -> DataFrame:
     """(b, estimator, statistic): any statistics on shared resamples; the matrix goes to each worker once (N x N, which `gram.dense` already held on the driver).
 
-    scheme: 'permutation', 'bootstrap' or a function (n, rng) -> indices. MMD_u and MMD_b of a whole batch of
-    permutations come from one product of indicator vectors with the matrix.
+    scheme: 'permutation', 'bootstrap' (both dealt by hashes, as in null_distribution; ids: the graphs' ids, else their places) or a function (n, rng) -> indices.
     """
     shared = spark.sparkContext.broadcast(np.asarray(k, float))
+    ids = list(range(len(k))) if ids is None else list(ids)
 
     def run(it):
         kk = shared.value
         n = len(kk)
         for pdf in it:
             rows = []
-            for r in pdf["id"]:
-                rng = np.random.default_rng([seed, int(r)])
-                idx = scheme(n, rng) if callable(scheme) else rng.permutation(n) if scheme == "permutation" else rng.integers(0, n, n)
+            for r in map(int, pdf["id"]):
+                rng = np.random.default_rng([seed, r])
+                idx = scheme(n, rng) if callable(scheme) else hash_order(seed, r, ids) if scheme == "permutation" else hash_draws(seed, r, n)
                 sub = kk[np.ix_(idx, idx)]
-                rows += [(int(r), name, float(f(sub, n1, rng))) for name, f in stats.items()]
+                rows += [(r, name, float(f(sub, n1, rng))) for name, f in stats.items()]
             yield pd.DataFrame(rows, columns=["b", "estimator", "statistic"])
 
     parts = parts or spark.sparkContext.defaultParallelism
     return spark.range(1, b + 1, 1, min(parts, b)).mapInPandas(run, "b long, estimator string, statistic double")
-
-
-def fast_permutation_null(spark, k: np.ndarray, n1: int, b: int, seed: int, estimator: str = "MMD_u") -> DataFrame:
-    """(b, statistic) for MMD_u or MMD_b under permutations: z' K z for all resamples of a batch at once."""
-    shared = spark.sparkContext.broadcast(np.asarray(k, float))
-
-    def run(it):
-        kk = shared.value
-        n, diag, total = len(kk), np.diag(kk), kk.sum()
-        n2 = n - n1
-        for pdf in it:
-            z = np.zeros((len(pdf), n))
-            for row, r in enumerate(pdf["id"]):
-                z[row, np.random.default_rng([seed, int(r)]).permutation(n)[:n1]] = 1
-            zk = z @ kk
-            xx = (zk * z).sum(axis=1)
-            xy = zk.sum(axis=1) - xx
-            yy, dx = total - xx - 2 * xy, z @ diag
-            dy = diag.sum() - dx
-            s = (xx - dx) / (n1 * (n1 - 1)) + (yy - dy) / (n2 * (n2 - 1)) - 2 * xy / (n1 * n2) if estimator == "MMD_u" else xx / n1**2 + yy / n2**2 - 2 * xy / (n1 * n2)
-            yield pd.DataFrame({"b": pdf["id"], "statistic": s})
-
-    return spark.range(1, b + 1, 1, min(spark.sparkContext.defaultParallelism, b)).mapInPandas(run, "b long, statistic double")

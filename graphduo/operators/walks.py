@@ -11,6 +11,8 @@ from ..model import GraphSet
 from ..plans.lineage import cut
 from . import gram
 
+#: Edge labels for which the arcs are repeated.
+VOCABULARY = 1000
 KINDS = ("RW_ARKU", "RW_ARKU_plus", "RW_ARKU_edge", "RW_ARKL")
 
 
@@ -57,8 +59,10 @@ def moments(gs: GraphSet, kind: str, terms: int, use_attr: bool = False, labels:
     if kind == "RW_ARKU_edge":
         spark = gs.nodes.sparkSession
         vocab = spark.createDataFrame([(x,) for x in labels], "l string") if labels else gs.edges.select(F.col("edge_label").alias("l")).distinct()
+        if vocab.limit(VOCABULARY + 1).count() > VOCABULARY:
+            raise ValueError(f"more than {VOCABULARY} edge labels: every arc would be repeated for each")
         own = F.col("edge_label").eqNullSafe(F.col("l"))
-        arcs = gs.arcs().crossJoin(F.broadcast(vocab)).where(~own if label_mode == "exclude" else own).select("graph_id", "l", "src", "dst", "weight")  # the vocabulary is a handful of labels
+        arcs = gs.arcs().crossJoin(F.broadcast(vocab)).where(~own if label_mode == "exclude" else own).select("graph_id", "l", "src", "dst", "weight")  # VOCABULARY labels at most
         v = walk(p.crossJoin(F.broadcast(vocab)).withColumn("v0", F.col("p")), arcs, terms, ["graph_id", "l"])
         m = v.groupBy("graph_id", "l").agg(*sums(1))
         return base.unionByName(m.select("graph_id", "l", each(m, 1)).select("graph_id", F.concat_ws(":", F.col("e.power").cast("string"), "l").alias("feature"), "e.power", "e.v"))
@@ -84,9 +88,8 @@ def series(gs: GraphSet, kind: str, c: float, terms: int = 6, use_attr: bool = F
     f = moments(gs, kind, terms, use_attr, labels, label_mode)
     scaled = f.select("graph_id", F.concat_ws("|", F.col("power").cast("string"), "feature").alias("feature"), "v", F.pow(F.lit(float(c)), F.col("power")).alias("w"))
     pooled = gs.pooled()
-    at = scaled.join(pooled.select("graph_id", "ord"), "graph_id")
-    a, b = at.select(F.col("ord").alias("i"), "feature", F.col("v").alias("a"), "w"), at.select(F.col("ord").alias("j"), "feature", F.col("v").alias("b"))
-    k = a.join(b, "feature").where("i <= j").groupBy("i", "j").agg(F.sum(F.col("w") * F.col("a") * F.col("b")).alias("k"))
+    at = scaled.join(pooled.select("graph_id", "ord"), "graph_id").select("ord", "feature", "v", "w")
+    k = gram.meeting(at, "w").groupBy("i", "j").agg(F.sum(F.col("w") * F.col("a") * F.col("b")).alias("k"))
     return gram.all_pairs(pooled).join(k, ["i", "j"], "left").select("i", "j", F.coalesce("k", F.lit(0.0)).alias("k"))
 
 

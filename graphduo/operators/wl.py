@@ -91,25 +91,33 @@ def sinkhorn_distance(gs: GraphSet, h: int, reg: float) -> DataFrame:
     return gram.by_blocks(rows, pair)
 
 
-def shortest_path_features(gs: GraphSet, max_rounds: int = 10_000) -> DataFrame:
-    """(graph_id, feature, v): relative frequencies of (smaller label, larger label, distance) over all ordered reachable pairs, each node with itself at 0.
+def shortest_path_counts(gs: GraphSet, max_rounds: int = 10_000, ordered: bool = False) -> DataFrame:
+    """(graph_id, feature, n): how many ordered reachable pairs have (smaller label, larger label, distance), each node with itself at 0.
 
     Breadth-first frontiers by neighbour joins; a round's frontier is what was not reached before, and
-    rounds stop when there is none.
+    rounds stop when there is none; a path longer than max_rounds is an error. `ordered` keeps the labels in the pair's order and leaves distance 0 out.
     """
     arcs = gs.arcs().select("graph_id", "src", "dst").distinct()
     seen = cut(gs.nodes.select("graph_id", F.col("node_id").alias("a"), F.col("node_id").alias("b"), F.lit(0).alias("dist")))
     front = seen
-    for r in range(1, max_rounds):
+    for r in range(1, max_rounds + 1):
         step = front.join(arcs, (front["graph_id"] == arcs["graph_id"]) & (front["b"] == arcs["src"])).select(front["graph_id"], "a", F.col("dst").alias("b")).distinct()
         front = cut(step.join(seen, ["graph_id", "a", "b"], "left_anti").withColumn("dist", F.lit(r)))
         if not front.limit(1).count():
             break
         seen = seen.unionAll(front)
+    else:
+        raise RuntimeError(f"paths are longer than {max_rounds}")
     lab = gs.nodes.select("graph_id", F.col("node_id").alias("a"), F.col("label").alias("la"))
     lab2 = gs.nodes.select("graph_id", F.col("node_id").alias("b"), F.col("label").alias("lb"))
-    f = seen.join(lab, ["graph_id", "a"]).join(lab2, ["graph_id", "b"]).select("graph_id", F.concat_ws("_", F.least("la", "lb"), F.greatest("la", "lb"), F.col("dist").cast("string")).alias("feature"))
-    c = f.groupBy("graph_id", "feature").agg(F.count("*").alias("n"))
+    pair = ("la", "lb") if ordered else (F.least("la", "lb"), F.greatest("la", "lb"))
+    f = seen.where("dist > 0" if ordered else "true").join(lab, ["graph_id", "a"]).join(lab2, ["graph_id", "b"]).select("graph_id", F.concat_ws("_", *pair, F.col("dist").cast("string")).alias("feature"))
+    return f.groupBy("graph_id", "feature").agg(F.count("*").alias("n"))
+
+
+def shortest_path_features(gs: GraphSet, max_rounds: int = 10_000) -> DataFrame:
+    """(graph_id, feature, v): shortest_path_counts as shares of each graph's."""
+    c = shortest_path_counts(gs, max_rounds)
     total = c.groupBy("graph_id").agg(F.sum("n").alias("all"))
     return c.join(total, "graph_id").select("graph_id", "feature", (F.col("n") / F.col("all")).alias("v"))
 
@@ -118,23 +126,33 @@ def deep_sp(gs: GraphSet) -> DataFrame:
     return gram.dot(shortest_path_features(gs), gs.pooled())
 
 
-def deep_word2vec(gs: GraphSet, kind: str = "wl", wl_it: int = 2, vector_size: int = 2, window: int = 2, min_count: int = 0, seed: int = 1) -> DataFrame:
-    """P M P' with M = V V' for vectors of the features: each graph's frequency-weighted sum of its features' vectors, dotted; the |features| squared matrix is never formed."""
-    from pyspark.ml.feature import Word2Vec
+def deep_word2vec(gs: GraphSet, kind: str = "wl", wl_it: int = 2, vector_size: int = 2, window: int = 2, min_count: int = 0, seed: int = 1, parts: int = 1) -> DataFrame:
+    """P M P' with M = V V' for vectors of the features: each graph's frequency-weighted sum of its features' vectors, dotted; the |features| squared matrix is never formed.
 
-    f = features(gs, kind, wl_it)
-    corpus = f.groupBy("graph_id").agg(F.array_sort(F.collect_list("feature")).alias("words"))
-    model = Word2Vec(vectorSize=vector_size, windowSize=window, minCount=min_count, seed=seed, numPartitions=1, inputCol="words", outputCol="v").fit(corpus)
+    A graph is a sentence of its features, each as often as it counts, in order of name. parts: partitions of the training;
+    with one, the vectors are the same in every run.
+    """
+    from pyspark.ml.feature import Word2Vec
     from pyspark.ml.functions import vector_to_array
 
+    c = cut(counts(gs, kind, wl_it))
+    corpus = c.groupBy("graph_id").agg(F.flatten(F.array_sort(F.collect_list(F.array_repeat("feature", F.col("n").cast("int"))))).alias("words"))
+    model = Word2Vec(vectorSize=vector_size, windowSize=window, minCount=min_count, seed=seed, numPartitions=parts, inputCol="words", outputCol="v").fit(corpus)
+    total = c.groupBy("graph_id").agg(F.sum("n").alias("all"))
     vec = model.getVectors().select(F.col("word").alias("feature"), F.posexplode(vector_to_array("vector")).alias("dim", "x"))
-    place = f.join(vec, "feature").groupBy("graph_id", F.col("dim").cast("string").alias("feature")).agg(F.sum(F.col("v") * F.col("x")).alias("v"))
+    place = c.join(total, "graph_id").join(vec, "feature").groupBy("graph_id", F.col("dim").cast("string").alias("feature")).agg(F.sum(F.col("n") / F.col("all") * F.col("x")).alias("v"))
     return gram.dot(place, gs.pooled())
 
 
-def features(gs: GraphSet, kind: str, wl_it: int = 2) -> DataFrame:
+def counts(gs: GraphSet, kind: str, wl_it: int = 2) -> DataFrame:
+    """(graph_id, feature, n) of label or shortest-path features."""
     if kind == "wl":
-        return frequencies(gs, wl_it)
+        return label_counts(gs, wl_it).select("graph_id", F.concat_ws("+", F.col("it").cast("string"), "label").alias("feature"), "n")
     if kind == "sp":
-        return shortest_path_features(gs)
+        return shortest_path_counts(gs)
     raise ValueError(f"type must be 'wl' or 'sp', not {kind!r}")
+
+
+def optimal_assignment(gs: GraphSet, h: int = 2) -> DataFrame:
+    """The overlap of label histograms over iterations 0 .. h: the best assignment of nodes in the hierarchy of their labels."""
+    return gram.dot(counts(gs, "wl", h).select("graph_id", "feature", F.col("n").cast("double").alias("v")), gs.pooled(), lambda a, b: F.sum(F.least(a, b)))

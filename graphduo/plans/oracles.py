@@ -31,6 +31,19 @@ EVENTS = [
     "graphs AS MATERIALIZED (SELECT DISTINCT graph_id, CASE WHEN graph_id % 100 < 16 THEN 1 ELSE 2 END AS sample FROM nodes)",
     "arcs AS MATERIALIZED (SELECT graph_id, src, dst, weight FROM edges)",
 ]
+#: EVENTS without direction, weights of both directions added.
+UNDIRECTED = [
+    EVENTS[0], EVENTS[1], EVENTS[2].replace("edges AS MATERIALIZED", "directed_edges AS MATERIALIZED"),
+    "edges AS MATERIALIZED (SELECT graph_id, least(src, dst) AS src, greatest(src, dst) AS dst, sum(weight) AS weight FROM directed_edges GROUP BY ALL)", EVENTS[3],
+    "arcs AS MATERIALIZED (SELECT graph_id, src, dst, weight FROM edges UNION ALL SELECT graph_id, dst, src, weight FROM edges WHERE src <> dst)",
+]
+
+
+def unweighted(ctes: list[str]) -> list[str]:
+    """The same graphs, every edge of weight 1."""
+    return [x.replace(" weight", " CAST(1 AS DOUBLE) AS weight") if x.startswith("arcs ") else x for x in ctes]
+
+
 POOLED = "pooled AS MATERIALIZED (SELECT *, CAST(row_number() OVER (ORDER BY sample, graph_id) - 1 AS INTEGER) AS ord, row_number() OVER (PARTITION BY sample ORDER BY graph_id) - 1 AS pos FROM graphs)"
 PAIRS = "pairs AS MATERIALIZED (SELECT a.ord AS i, b.ord AS j FROM pooled a JOIN pooled b ON a.ord <= b.ord)"
 DEGREES = "degrees AS (SELECT n.graph_id, n.node_id, count(e.p) AS degree FROM nodes n LEFT JOIN (SELECT graph_id, src AS p FROM edges UNION ALL SELECT graph_id, dst FROM edges) e ON e.graph_id = n.graph_id AND e.p = n.node_id GROUP BY ALL)"
@@ -97,10 +110,10 @@ def edge_walk(c: float, steps: int) -> list[str]:
     ]
 
 
-def label_walk(c: float, steps: int) -> list[str]:
+def label_walk(c: float, steps: int, label: str = "substr(label, 7, 1)") -> list[str]:
     feat = "SELECT graph_id, '0' AS feature, 0 AS power, sum(v * v) AS v FROM p GROUP BY 1" + "".join(f" UNION ALL SELECT n.graph_id, '{k}:' || n.label || ':' || l, {k}, sum(p.v * v{k}.v) FROM nl n JOIN p ON p.graph_id = n.graph_id AND p.node_id = n.node_id JOIN v{k} ON v{k}.graph_id = n.graph_id AND v{k}.node_id = n.node_id GROUP BY n.graph_id, n.label, l" for k in range(1, steps + 1))
     return [
-        START, "nl AS MATERIALIZED (SELECT graph_id, node_id, substr(label, 7, 1) AS label FROM nodes)", "vocab AS (SELECT DISTINCT graph_id, label AS l FROM nl)",
+        START, f"nl AS MATERIALIZED (SELECT graph_id, node_id, {label} AS label FROM nodes)", "vocab AS (SELECT DISTINCT graph_id, label AS l FROM nl)",
         "lp AS (SELECT p.graph_id, l, p.node_id, CASE WHEN n.label = l THEN p.v ELSE 0.0 END AS v FROM p JOIN nl n USING (graph_id, node_id) JOIN vocab USING (graph_id))",
         *walk(steps, "lp", "arcs", "graph_id, l"), f"feat AS MATERIALIZED ({feat})", *series(c),
     ]
@@ -126,6 +139,22 @@ def tangent(mlps: int, scale: str, feature: str) -> list[str]:
     ]
 
 
+def tangent_deep(mlps: int, scale: str, feature: str) -> list[str]:
+    """Three layers: tangent, then one more aggregation over neighbours of covariances and derivatives, and its perceptrons."""
+    by = " / (any_value(x.m) * any_value(y.m))" if scale == "degree" else ""
+    out = [
+        *tangent(mlps, scale, feature),
+        "nbo AS MATERIALIZED (SELECT p.ord, nb.node_id, nb.other, sum(nb.m) AS c, any_value(size.m) AS m FROM nb JOIN size USING (graph_id, node_id) JOIN pooled p USING (graph_id) GROUP BY ALL)".replace("GROUP BY ALL", "GROUP BY 1, 2, 3"),
+        f"q AS MATERIALIZED (SELECT t.i, t.j, x.node_id AS u, y.node_id AS w, sum(x.c * y.c * t.s){by} AS s, sum(x.c * y.c * t.t){by} AS t FROM t{mlps} t JOIN nbo x ON x.ord = t.i AND x.other = t.u JOIN nbo y ON y.ord = t.j AND y.other = t.w GROUP BY 1, 2, 3, 4)",
+        "dq AS (SELECT i AS ord, u AS node_id, sqrt(greatest(s, 0.0)) AS d FROM q WHERE i = j AND u = w)",
+        "u0 AS (SELECT q.i, q.j, q.u, q.w, a.d AS d1, b.d AS d2, q.s, q.t FROM q JOIN dq a ON a.ord = q.i AND a.node_id = q.u JOIN dq b ON b.ord = q.j AND b.node_id = q.w)",
+    ]
+    step = {x.split(" ")[0]: x for x in out}["t1"]
+    for k in range(mlps):
+        out.append(step.replace("t1 AS", f"u{k + 1} AS").replace("FROM t0", f"FROM u{k}"))
+    return out
+
+
 def sums(by: str, pairs: str) -> str:
     w = "CASE WHEN same THEN k ELSE 2 * k END"
     return f"SELECT {by}sum(CASE WHEN a = 1 AND b = 1 THEN {w} ELSE 0 END) AS xx, sum(CASE WHEN a = 2 AND b = 2 THEN {w} ELSE 0 END) AS yy, sum(CASE WHEN a = 1 AND same THEN k ELSE 0 END) AS dx, sum(CASE WHEN a = 2 AND same THEN k ELSE 0 END) AS dy, sum(CASE WHEN a <> b THEN k ELSE 0 END) AS xy FROM {pairs} GROUP BY ALL"
@@ -143,7 +172,7 @@ FORMULA = {
 def permuted(b: int, seed: int) -> list[str]:
     return [
         f"asg AS MATERIALIZED (SELECT b, ord, CASE WHEN row_number() OVER (PARTITION BY b ORDER BY md5(concat_ws('|', '{seed}', CAST(b AS VARCHAR), CAST(graph_id AS VARCHAR))), graph_id) <= (SELECT n1 FROM sizes) THEN 1 ELSE 2 END AS a FROM pooled, (SELECT unnest(range(1, {b + 1})) AS b))",
-        "np AS (SELECT x.b AS round, k, x.a AS a, y.a AS b, i = j AS same FROM gram JOIN asg x ON x.ord = i JOIN asg y ON y.ord = j AND y.b = x.b)", f"ns AS ({sums('round, ', 'np')})",
+        "np AS (SELECT x.b AS round, k, x.a AS a, y.a AS b, i = j AS same FROM gram JOIN asg x ON x.ord = i JOIN asg y ON y.ord = j AND y.b = x.b)", f"ns AS MATERIALIZED ({sums('round, ', 'np')})",
     ]
 
 
@@ -151,7 +180,7 @@ def booted(b: int, seed: int) -> list[str]:
     return [
         f"asg AS MATERIALIZED (SELECT b, ord AS slot, CAST(CAST('0x' || substr(md5(concat_ws('|', '{seed}', CAST(b AS VARCHAR), CAST(ord AS VARCHAR))), 1, 8) AS BIGINT) % (SELECT count(*) FROM pooled) AS INTEGER) AS ord, CASE WHEN ord < (SELECT n1 FROM sizes) THEN 1 ELSE 2 END AS a FROM pooled, (SELECT unnest(range(1, {b + 1})) AS b))",
         "full_ AS (SELECT i, j, k FROM gram UNION ALL SELECT j, i, k FROM gram WHERE i < j)",
-        "np AS (SELECT x.b AS round, k, x.a AS a, y.a AS b, x.slot = y.slot AS same FROM full_ JOIN asg x ON x.ord = i JOIN asg y ON y.ord = j AND y.b = x.b AND x.slot <= y.slot)", f"ns AS ({sums('round, ', 'np')})",
+        "np AS (SELECT x.b AS round, k, x.a AS a, y.a AS b, x.slot = y.slot AS same FROM full_ JOIN asg x ON x.ord = i JOIN asg y ON y.ord = j AND y.b = x.b AND x.slot <= y.slot)", f"ns AS MATERIALIZED ({sums('round, ', 'np')})",
     ]
 
 
@@ -180,3 +209,31 @@ RANKED = [
     "clipped AS (SELECT *, greatest(d, least(1 - d, r / n)) AS p FROM (SELECT *, 1 / (4 * pow(n, 0.25) * sqrt(pi() * ln(n))) AS d FROM ranked))",
     f"scored AS (SELECT *, CASE WHEN abs(p - 0.5) <= 0.425 THEN (p - 0.5) * {horner(MEDIAN, '0.180625 - (p - 0.5) * (p - 0.5)')} WHEN t <= 5 THEN sign(p - 0.5) * {horner(TAIL, 't - 1.6')} ELSE sign(p - 0.5) * {horner(FAR, 't - 5')} END AS z FROM (SELECT *, sqrt(-ln(least(p, 1 - p))) AS t FROM clipped))",
 ]
+
+
+def compared(estimator: str, unit: str, null: str, observed: str, name: str) -> list[str]:
+    """(estimator, statistic, p_value) as a table `name`, from a statistic over the resamples and the observed one."""
+    return [
+        f"n_{name} AS MATERIALIZED ({null})", f"o_{name} AS MATERIALIZED ({observed})",
+        f"r_{name} AS (SELECT '{estimator}' AS estimator, {unit.format('any_value(o.s)')} AS statistic_units, avg(CASE WHEN n.s >= o.s - 1e-9 * greatest(abs(o.s), top) THEN 1.0 ELSE 0.0 END) AS p_value FROM n_{name} n, o_{name} o, (SELECT max(abs(s)) AS top FROM n_{name}))",
+    ]
+
+
+def full_test(gram: list[str], b: int, seed: int, scheme: str = "permutation", estimators: tuple[str, ...] = ("MMD_u", "MMD_b"), unit: str = NANO) -> str:
+    """two_sample_test in SQL: one row per estimator, on shared resamples."""
+    out = [*gram, *OBSERVED, *(permuted(b, seed) if scheme == "permutation" else booted(b, seed))]
+    for e in estimators:
+        if e == "MMD_l":
+            half = "CAST(n1 - n1 % 2 AS BIGINT)"
+            place = "asgp AS MATERIALIZED (SELECT b, ord, a, row_number() OVER (PARTITION BY b, a ORDER BY md5(concat_ws('|', '{0}', CAST(b AS VARCHAR), CAST(graph_id AS VARCHAR))), graph_id) - 1 AS q FROM asg JOIN pooled USING (ord))".replace("{0}", str(seed))
+            pairs = "FROM gram JOIN {0} x ON x.ord = i JOIN {0} y ON y.ord = j{1}, sizes WHERE x.{2} <> y.{2} AND x.{2} // 2 = y.{2} // 2 AND x.{2} < " + half + " AND y.{2} < " + half
+            total = "sum(CASE WHEN x.{3} = y.{3} THEN k ELSE -k END) / any_value(" + half + " / 2) AS s "
+            out.append(place)
+            null = "SELECT x.b AS b, " + (total + pairs).format("asgp", " AND y.b = x.b", "q", "a") + " GROUP BY x.b"
+            seen = "SELECT " + (total + pairs).format("pooled", "", "pos", "sample")
+            out += compared(e, unit, null, seen, e)
+        else:
+            out += compared(e, unit, f"SELECT {FORMULA[e]} AS s FROM ns, sizes", f"SELECT {FORMULA[e]} AS s FROM os, sizes", e)
+    rows = " UNION ALL ".join(f"SELECT estimator, statistic_units, p_value, CAST(n1 AS INTEGER) AS n1, CAST(n2 AS INTEGER) AS n2, CAST({b} AS INTEGER) AS B FROM r_{e}, sizes" for e in estimators)
+    last = f"SELECT * FROM ({rows})"
+    return "WITH " + ("RECURSIVE " if any(x.startswith("bfs ") for x in out) else "") + ",\n".join(out) + "\n" + last

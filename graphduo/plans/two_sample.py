@@ -6,7 +6,7 @@ import logging
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..model import GraphSet
 from ..operators import external, gram, mmd, tangent, walks, wl
@@ -37,8 +37,6 @@ def kernel_matrix(gs: GraphSet | None, kernel, **o) -> DataFrame:
     if isinstance(kernel, DataFrame):
         return kernel
     if isinstance(kernel, (np.ndarray, tuple)):
-        from pyspark.sql import SparkSession
-
         return gram_from_matrix(SparkSession.active(), kernel)
     gs.validate()
     if isinstance(kernel, list):
@@ -81,6 +79,17 @@ def kernel_matrix(gs: GraphSet | None, kernel, **o) -> DataFrame:
     return k
 
 
+def columns_in_use(gs: GraphSet, kernel, options: dict) -> list[str]:
+    """Of edges and nodes, the columns that a kernel's values depend on."""
+    walk = kernel in RANDOM_WALKS if isinstance(kernel, str) else False
+    out = ["edges.weight"] if walk and options.get("edge_attr", "weight") is not None else []
+    out += ["edges.edge_label"] if isinstance(kernel, str) and kernel == "RW_ARKU_edge" else []
+    labelled = isinstance(kernel, list) or isinstance(kernel, str) and kernel in ("RW_ARKL", "WWL", "DK")
+    out += ["nodes.label"] if labelled else []
+    out += ["nodes.attr"] if options.get("use_attr") else []
+    return out or ["edges.src", "edges.dst"]
+
+
 def two_sample_test(gs: GraphSet | None, kernel, estimators: str | list[str] | dict[str, Callable], B: int = 1000, bootstrap_method: str | Callable = "PermutationScheme", check_symmetry: bool = False, Q: int | None = None, seed: int = 0, n1: int | None = None, compat: bool = False, **options) -> DataFrame:
     """(estimator, statistic, p_value, n1, n2, B): one row per estimator, all on the same resamples.
 
@@ -105,25 +114,27 @@ def two_sample_test(gs: GraphSet | None, kernel, estimators: str | list[str] | d
         else:
             raise ValueError(f"estimator must be one of {mmd.ESTIMATORS}, not {name!r}")
     log.info("kernel %s, estimators %s, options %s", kernel if isinstance(kernel, str) else type(kernel).__name__, list(stats), options)
-    context = gs.graphs.sparkSession.sparkContext if gs is not None else None
-    if context:
-        context.setJobDescription(f"kernel matrix: {kernel if isinstance(kernel, str) else 'given'}")  # progress in the UI
-    table = kernel_matrix(gs, kernel, **options)
-    k = gram.dense(table)
-    table.sparkSession.sparkContext.setJobDescription(f"null distribution: {B} resamples")
+    spark = gs.graphs.sparkSession if gs is not None else SparkSession.active()
     if gs is not None:
-        n1 = gs.sizes()[0]
-    if n1 is None or not 0 < n1 < len(k):
-        raise ValueError("n1 must tell the size of the first sample")
-    if check_symmetry and not np.allclose(k, k.T):
-        raise ValueError("the Gram matrix is not symmetric")
+        log.info("columns in use: %s", ", ".join(columns_in_use(gs, kernel, options)))
     scheme = {"PermutationScheme": "permutation", "BootstrapScheme": "bootstrap"}.get(bootstrap_method, bootstrap_method) if isinstance(bootstrap_method, str) else bootstrap_method
     if isinstance(scheme, str) and scheme not in ("permutation", "bootstrap"):
         raise ValueError(f"no resampling scheme {bootstrap_method!r}")
-    spark = table.sparkSession
-    observed = {name: float(f(k, n1, np.random.default_rng([seed, 0]))) for name, f in stats.items()}
-    null = mmd.dense_null(spark, k, n1, stats, B, seed, scheme).toPandas()  # B numbers per estimator
-    spark.sparkContext.setJobDescription(None)
+    try:  # progress in the UI
+        spark.sparkContext.setJobDescription(f"kernel matrix: {kernel if isinstance(kernel, str) else 'given'}")
+        k = gram.dense(kernel_matrix(gs, kernel, **options))
+        ids = None
+        if gs is not None:
+            n1, ids = gs.sizes()[0], [r["graph_id"] for r in gs.pooled().orderBy("ord").select("graph_id").collect()]  # N ids, beside the N x N matrix
+        if n1 is None or not 0 < n1 < len(k):
+            raise ValueError("n1 must tell the size of the first sample")
+        if check_symmetry and not np.allclose(k, k.T):
+            raise ValueError("the Gram matrix is not symmetric")
+        spark.sparkContext.setJobDescription(f"null distribution: {B} resamples")
+        observed = {name: float(f(k, n1, np.random.default_rng([seed, 0]))) for name, f in stats.items()}
+        null = mmd.dense_null(spark, k, n1, stats, B, seed, scheme, ids=ids).toPandas()  # B numbers per estimator
+    finally:
+        spark.sparkContext.setJobDescription(None)
     rows = []
     for name, value in observed.items():
         p = mmd.share_at_or_above(null.loc[null["estimator"] == name, "statistic"].to_numpy(), value)

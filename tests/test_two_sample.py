@@ -71,12 +71,26 @@ def test_null_is_not_rejected(spark):
     assert got["p_value"] > 0.05
 
 
-def test_fast_null_agrees_with_the_plain_one(spark, far):
+@pytest.mark.parametrize("scheme", ["permutation", "bootstrap"])
+def test_nulls_by_matrix_by_joins_and_one_by_one_agree(spark, far, scheme):
+    table, pooled = wl.deep_wl(far, 1), far.pooled()
+    k, ids = gram.dense(table), [r["graph_id"] for r in pooled.orderBy("ord").collect()]
+    for name in ("MMD_u", "MMD_b"):
+        by = lambda df: np.array([r["statistic"] for r in df.orderBy("b").collect()])
+        one = by(mmd.null_distribution(table, pooled, name, 40, 3, scheme))
+        two = by(mmd.null_distribution(table, pooled, name, 40, 3, scheme, most=0))
+        three = by(mmd.dense_null(spark, k, 12, {name: lambda m, n, rng, e=name: mmd.dense_stat(m, n, e)}, 40, 3, scheme, ids=ids))
+        assert np.allclose(one, two) and np.allclose(one, three) and one.std() > 0
+
+
+def test_p_values_do_not_depend_on_the_kernels_scale(spark, far):
     k = gram.dense(wl.deep_wl(far, 1))
-    one = np.sort([r["statistic"] for r in mmd.fast_permutation_null(spark, k, 12, 200, 3).collect()])
-    f = {"u": lambda m, n, rng: mmd.dense_stat(m, n, "MMD_u")}
-    two = np.sort([r["statistic"] for r in mmd.dense_null(spark, k, 12, f, 200, 3).collect()])
-    assert np.allclose(one, two)
+    for factor in (1.0, 1e-8, 1e8):
+        got = {r["estimator"]: r["p_value"] for r in two_sample_test(None, factor * k, ["MMD_u", "MMD_b"], B=200, n1=12).collect()}
+        first = got if factor == 1.0 else first
+        assert got == first and got["MMD_u"] < 0.05
+    null, seen = spark.createDataFrame([(1, 3e-12), (2, 1e-12), (3, 3e-12 * (1 - 1e-14)), (4, -5e-12)], "b int, statistic double"), spark.createDataFrame([(3e-12,)], "statistic double")
+    assert mmd.p_value(null, seen).first()[0] == 0.5 == mmd.share_at_or_above(np.array([3e-12, 1e-12, 3e-12 * (1 - 1e-14), -5e-12]), 3e-12)
 
 
 def test_kernels_by_name(spark, far):
