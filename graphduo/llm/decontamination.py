@@ -242,8 +242,8 @@ def weighted_lcs(item: np.ndarray, text: np.ndarray, idf: np.ndarray) -> float:
     return float(best[-1])
 
 
-def candidates(space: Space, local: np.ndarray, docs: list[tuple[int, np.ndarray, np.ndarray, int, int]], least_cos: float) -> Iterator[tuple[int, int, float, int, int]]:
-    """(document, item, cosine, first word, end) of every window whose cosine with an item of its length class is least_cos or more.
+def candidates(space: Space, local: np.ndarray, docs: list[tuple[int, np.ndarray, np.ndarray, int, int]], least_cos: float) -> Iterator[tuple[int, int, int, int, float]]:
+    """(document, first word, end, item, cosine) of every window whose cosine with an item of its length class is least_cos or more, window by window.
 
     docs: (number, positions, terms, first block, end of the blocks that windows may start in) of pieces of documents;
     local: a term's number in the space, or -1. Steps are summed once, windows are sums of successive steps, and a class is one matrix product.
@@ -263,19 +263,20 @@ def candidates(space: Space, local: np.ndarray, docs: list[tuple[int, np.ndarray
     heads = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
     steps[block[heads]] = np.add.reduceat(space.latent[term], heads)
     starts = np.array(starts)
+    numbers, firsts, ends = (np.array([d[c] for d in docs]) for c in (0, 3, 4))
     for step, n, items in space.classes:
         ratio = step // space.base
         own = steps if ratio == 1 else steps.reshape(-1, ratio, steps.shape[1]).sum(axis=1)
         windows = own[: len(own) - n + 1].copy()
         for k in range(1, n):
             windows += own[k : len(own) - n + 1 + k]
-        norm = np.sqrt(np.einsum("ij,ij->i", windows, windows))
+        norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", windows, windows)), 1e-9)
         cos = windows @ space.query[items].T
-        for w, k in zip(*np.nonzero(cos >= least_cos * np.maximum(norm, 1e-9)[:, None]), strict=True):
-            doc = int(np.searchsorted(starts, w * ratio, side="right")) - 1
-            number, _, _, first, end = docs[doc]
-            if (at := int(w) * ratio - int(starts[doc]) + first) < end:
-                yield number, int(space.own[items[k]]), float(cos[w, k] / norm[w]), at * space.base, at * space.base + n * step
+        w, k = np.nonzero(cos >= least_cos * norm[:, None])
+        doc = np.searchsorted(starts, w * ratio, side="right") - 1
+        block = w * ratio - starts[doc] + firsts[doc]
+        ok = block < ends[doc]
+        yield from zip(numbers[doc[ok]].tolist(), (block[ok] * space.base).tolist(), (block[ok] * space.base + n * step).tolist(), space.own[items[k[ok]]].tolist(), (cos[w, k] / norm[w])[ok].tolist(), strict=True)
 
 
 def pieces_of(space: Space, docs: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[list[tuple[int, np.ndarray, np.ndarray, int, int]]]:
@@ -299,16 +300,23 @@ def pieces_of(space: Space, docs: list[tuple[np.ndarray, np.ndarray]]) -> Iterat
 def leaks(items: Items, docs: list[tuple[np.ndarray, np.ndarray]], least_lcs: float, para_lcs: float, answer: float, least_cos: float = LEAST_COS) -> list[tuple[int, int, float, float, float]]:
     """(document, item, cosine, LCS share, answer share) of the items that documents (positions, terms) hold: candidates of the cosine search that the subsequences confirm."""
     out: dict[tuple[int, int], tuple[float, float, float]] = {}
+    weights = [items.idf[w] for w in items.words]
+    need = (para_lcs * items.mass - 1e-3).tolist()
+    here = np.zeros(len(items.idf), bool)  # the words of the window at hand
     for space in items.spaces:
         local = np.full(len(items.idf), -1, np.int32)
         local[space.terms] = np.arange(len(space.terms), dtype=np.int32)
         local[items.weight == 0] = -1
         for some in pieces_of(space, docs):
-            for doc, k, cos, lo, hi in candidates(space, local, some, least_cos):
-                pos, term = docs[doc]
-                a, b = np.searchsorted(pos, (lo, hi))
-                text, words, need = term[a:b], items.words[k], para_lcs * float(items.mass[k]) - 1e-3
-                if items.idf[words[np.isin(words, text)]].sum() < need:  # words in common bound the common subsequence
+            last, text = None, np.zeros(0, np.int32)
+            for doc, lo, hi, k, cos in candidates(space, local, some, least_cos):
+                if last != (doc, lo, hi):
+                    last, (pos, term) = (doc, lo, hi), docs[doc]
+                    here[text] = False
+                    text = term[pos.searchsorted(lo) : pos.searchsorted(hi)]
+                    here[text] = True
+                words = items.words[k]
+                if weights[k][here[words]].sum() < need[k]:  # words in common bound the common subsequence
                     continue
                 share = weighted_lcs(words, text, items.idf) / float(items.mass[k])
                 if share < para_lcs:
@@ -317,6 +325,7 @@ def leaks(items: Items, docs: list[tuple[np.ndarray, np.ndarray]], least_lcs: fl
                 told = weighted_lcs(tail, text, items.idf) / float(items.idf[tail].sum())
                 if share >= least_lcs or told >= answer:
                     out[doc, k] = max(out.get((doc, k), (0.0, 0.0, 0.0)), (cos, share, told), key=lambda x: x[1])
+            here[text] = False
     return [(doc, items.ids[k], *v) for (doc, k), v in sorted(out.items())]
 
 

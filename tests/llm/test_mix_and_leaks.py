@@ -167,7 +167,7 @@ def test_windows_do_not_depend_on_pieces(monkeypatch):
         (space,) = items.spaces
         local = np.full(len(items.idf), -1, np.int32)
         local[space.terms] = np.arange(len(space.terms))
-        return sorted((d, k, lo, hi, round(c, 4)) for some in decontamination.pieces_of(space, docs) for d, k, c, lo, hi in decontamination.candidates(space, local, some, 0.4) if lo <= docs[d][0][-1])
+        return sorted((d, k, lo, hi, round(c, 4)) for some in decontamination.pieces_of(space, docs) for d, lo, hi, k, c in decontamination.candidates(space, local, some, 0.4) if lo <= docs[d][0][-1])
 
     whole = found()
     monkeypatch.setattr(decontamination, "CHUNK_BLOCKS", 16)
