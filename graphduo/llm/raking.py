@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from .common import cut
 
 #: Cells up to this many are raked in one task (about 100 bytes each) and broadcast to the documents; more are shuffled.
 SMALL_CELLS = 500_000
+#: Deviation of a level's share of the weights from its goal at which raking ends.
+TOLERANCE = 1e-13
 NULL_LEVEL = "(null)"
 
 
@@ -42,43 +46,53 @@ def target_shares(cells: DataFrame, dim: str, rule: float | dict[str, float]) ->
     return by.join(F.broadcast(total)).select(dim, F.when(F.col("all") > 0, F.col("goal") / F.col("all")).otherwise(F.lit(0.0)).alias("goal"))
 
 
-def rake(cells: DataFrame, targets: dict[str, float | dict[str, float]], rounds: int = 12, every: int = 4) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, float | dict[str, float]], tol: float = TOLERANCE, most: int = 400, every: int = 4) -> DataFrame:
     """cells (dims..., w0) with w: weights that keep w0's interactions and meet the targets' marginals (Deming and Stephan 1940).
 
-    Every round scales the cells of each level of each dimension to its goal. The table of cells
-    is first read from the shared folder and is one partition when small, so that no window
+    Every round scales the cells of each level of each dimension to its goal. After every `every`
+    rounds the marginals are compared with the goals; rounds end when all are met within tol of the whole, or, where targets and
+    empty cells contradict each other, after `most` rounds with the last dimension's goals met. The table of cells
+    is read from the shared folder and is one partition when small, so that no window
     needs an exchange; a larger one is dealt by the level.
     """
-    n = cells.count()
-    small = n <= SMALL_CELLS
+    small = cells.limit(SMALL_CELLS + 1).count() <= SMALL_CELLS
     now = cells
     for d, rule in targets.items():
         goals = target_shares(cells, d, rule)
         now = now.join(F.broadcast(goals) if small else goals, d, "left").withColumnRenamed("goal", f"goal_{d}")
     now = cut(now.withColumn("w", F.col("w0").cast("double")), "cells")
-    for r in range(1, rounds + 1):
+    for r in range(1, most + 1):
         now = now.coalesce(1) if small and r % every == 1 else now
         for d in targets:
             total = F.sum("w").over(Window.partitionBy(d))
             now = now.withColumn("w", F.when(total > 0, F.col("w") * F.col(f"goal_{d}") / total).otherwise(F.lit(0.0)))
-        if r % every == 0 or r == rounds:
+        if r % every == 0 or r == most:
             now = cut(now, "cells")
+            off = [now.groupBy(d).agg(F.abs(F.sum("w") - F.first(f"goal_{d}")).alias("off")) for d in targets]
+            worst = reduce(DataFrame.unionAll, [x.select("off") for x in off]).agg(F.max("off")).first()[0]
+            if worst is None or worst <= tol:
+                break
     return now.drop(*[f"goal_{d}" for d in targets])
 
 
 def sampling_rates(cells: DataFrame, budget: float) -> DataFrame:
-    """cells with p = min(1, c * w / w0), c such that the expected tokens are `budget` of all (or as many as the weights allow)."""
+    """cells with p = min(1, c * w / w0), c such that the expected tokens are `budget` of all (or as many as the weights allow).
+
+    With the cells that are taken whole known, c is what is left of the goal over the weight of the others; more cells
+    may then be whole. c only grows and settles after as many steps as there are such moves, a few.
+    """
     sums = cells.agg(F.sum("w0"), F.sum("w"), F.sum(F.when(F.col("w") > 0, F.col("w0")).otherwise(0))).first()
     total, mass, reach = (float(x or 0) for x in sums)
-    rate = F.when(F.col("w0") > 0, F.col("w") / F.col("w0")).otherwise(F.lit(0.0))
     goal = min(budget * total, reach)
     c = goal / mass if mass else 0.0
-    for _ in range(40):
-        got = float(cells.agg(F.sum(F.col("w0") * F.least(F.lit(1.0), F.lit(c) * rate))).first()[0] or 0)
-        if got <= 0 or got >= goal * (1 - 1e-9):
+    while True:
+        whole = F.lit(c) * F.col("w") >= F.col("w0")
+        held, rest = cells.where("w > 0").agg(F.sum(F.when(whole, F.col("w0")).otherwise(F.lit(0.0))), F.sum(F.when(whole, F.lit(0.0)).otherwise(F.col("w")))).first()
+        new = (goal - float(held or 0)) / float(rest) if rest else c
+        if new <= c * (1 + 1e-14):
             break
-        c *= goal / got
-    return cells.withColumn("p", F.least(F.lit(1.0), F.lit(c) * rate))
+        c = new
+    return cells.withColumn("p", F.when((F.col("w0") > 0) & (F.col("w") > 0), F.least(F.lit(1.0), F.lit(c) * (F.col("w") / F.col("w0")))).otherwise(F.lit(0.0)))
 
 
 def unit(doc_id: Column, seed: int) -> Column:
@@ -86,8 +100,8 @@ def unit(doc_id: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), doc_id.cast("string"))), 1, 12), 16, 10).cast("long") / F.lit(float(1 << 48))
 
 
-def mix(docs: DataFrame, targets: dict[str, float | dict[str, float]], dims: dict[str, Column], budget: float = 0.8, seed: int = 17, rounds: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the columns mix_<dim>, mix_tokens, mix_p (probability) and mix_kept; no row is left out.
+def mix(docs: DataFrame, targets: dict[str, float | dict[str, float]], dims: dict[str, Column], budget: float = 0.8, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the columns mix_<dim>, mix_tokens, mix_p (probability) and mix_kept; no row is left out. Columns of docs that have these names are replaced.
 
     dims: level of a document in each dimension, null counting as the level '(null)'; targets: as
     in target_shares. Documents without tokens, and those of cells with goal 0, have p = 0. Equal
@@ -97,11 +111,11 @@ def mix(docs: DataFrame, targets: dict[str, float | dict[str, float]], dims: dic
     names = {d: f"mix_{d}" for d in dims}
     rows = docs.withColumns({names[d]: F.coalesce(c.cast("string"), F.lit(NULL_LEVEL)) for d, c in dims.items()} | {"mix_tokens": tokens_of(docs[text_col])})
     cells = cut(rows.groupBy(*names.values()).agg(F.sum("mix_tokens").alias("w0")).where("w0 > 0"), "cells")
-    raked = rake(cells, {names[d]: targets[d] for d in dims}, rounds)
+    raked = rake(cells, {names[d]: targets[d] for d in dims})
     rates = sampling_rates(raked, budget).select(*names.values(), F.col("p").alias("mix_p"))
     if cells.count() <= SMALL_CELLS:
         rates = F.broadcast(rates)
-    out = rows.join(rates, list(names.values()), "left").withColumn("mix_p", F.when(F.col("mix_tokens") > 0, F.coalesce("mix_p", F.lit(0.0))).otherwise(F.lit(0.0)))
+    out = rows.drop("mix_p", "mix_kept").join(rates, list(names.values()), "left").withColumn("mix_p", F.when(F.col("mix_tokens") > 0, F.coalesce("mix_p", F.lit(0.0))).otherwise(F.lit(0.0)))
     return out.withColumn("mix_kept", F.coalesce(unit(F.col(id_col), seed) < F.col("mix_p"), F.lit(False)))
 
 
@@ -110,8 +124,8 @@ def standard_mix(docs: DataFrame, budget: float = 0.8) -> DataFrame:
     return mix(docs, {"source": 0.5, "lang": 0.7, "topic": 0.5}, {"source": docs["source"], "lang": docs["lang"], "topic": topic_of(docs["text"])}, budget)
 
 
-def standard_sql(budget: float = 0.8, rounds: int = 12, seed: int = 17) -> str:
-    """The same in SQL, with the rounds written out."""
+def standard_sql(budget: float = 0.8, rounds: int = 40, steps: int = 12, seed: int = 17) -> str:
+    """The same in SQL, with rounds and steps written out, more than it takes."""
     dims = {"mix_source": 0.5, "mix_lang": 0.7, "mix_topic": 0.5}
     parts = [
         f"""rows AS (SELECT doc_id, coalesce(source, '{NULL_LEVEL}') AS mix_source, coalesce(lang, '{NULL_LEVEL}') AS mix_lang,
@@ -129,9 +143,9 @@ def standard_sql(budget: float = 0.8, rounds: int = 12, seed: int = 17) -> str:
             parts.append(f"r{step + 1} AS MATERIALIZED (SELECT * REPLACE (w * g{k} / sum(w) OVER (PARTITION BY {d}) AS w) FROM r{step})")
             step += 1
     parts.append(f"c0 AS MATERIALIZED (SELECT {budget} * sum(w0) / sum(w) AS c, {budget} * sum(w0) AS goal FROM r{step})")
-    for k in range(40):
-        parts.append(f"c{k + 1} AS MATERIALIZED (SELECT CASE WHEN got <= 0 OR got >= goal * (1 - 1e-9) THEN c ELSE c * goal / got END AS c, goal FROM (SELECT any_value(c) AS c, any_value(goal) AS goal, sum(w0 * least(1.0, c * (w / w0))) AS got FROM r{step}, c{k}))")
-    parts.append(f"rates AS (SELECT mix_source, mix_lang, mix_topic, least(1.0, c * (w / w0)) AS p FROM r{step}, c40)")
+    for k in range(steps):
+        parts.append(f"c{k + 1} AS MATERIALIZED (SELECT CASE WHEN rest > 0 THEN greatest(c, (goal - held) / rest) ELSE c END AS c, goal FROM (SELECT any_value(c) AS c, any_value(goal) AS goal, sum(CASE WHEN c * w >= w0 THEN w0 ELSE 0.0 END) AS held, sum(CASE WHEN c * w >= w0 THEN 0.0 ELSE w END) AS rest FROM r{step}, c{k}))")
+    parts.append(f"rates AS (SELECT mix_source, mix_lang, mix_topic, least(1.0, c * (w / w0)) AS p FROM r{step}, c{steps})")
     return (
         "WITH "
         + ",\n".join(parts)

@@ -17,7 +17,7 @@ def sources(spark, n=400):
 
 def test_raked_weights_meet_the_marginals(spark):
     docs = sources(spark)
-    out = raking.mix(docs, {"source": 0.5, "lang": {"en": 0.5, "fr": 0.3, raking.NULL_LEVEL: 0.2}}, {"source": F.col("source"), "lang": F.col("lang")}, budget=0.2, rounds=30)
+    out = raking.mix(docs, {"source": 0.5, "lang": {"en": 0.5, "fr": 0.3, raking.NULL_LEVEL: 0.2}}, {"source": F.col("source"), "lang": F.col("lang")}, budget=0.2)
     cell = out.groupBy("mix_source", "mix_lang").agg(F.sum("mix_tokens").alias("n"), F.first("mix_p").alias("p")).toPandas()
     cell["t"] = cell["n"] * cell["p"]
     share = cell.groupby("mix_lang")["t"].sum() / cell["t"].sum()
@@ -36,6 +36,31 @@ def test_sampling_follows_the_probabilities(spark):
     assert ((out["mix_p"] >= 0) & (out["mix_p"] <= 1)).all()
 
 
+def test_the_scale_takes_cells_whole_until_the_budget_is_met(spark):
+    rows = [(10.0, 50.0), (100.0, 30.0), (400.0, 20.0), (490.0, 1.0), (50.0, 0.0)]
+    for budget in (0.05, 0.3, 0.5, 0.94, 1.0):
+        got = raking.sampling_rates(spark.createDataFrame(rows, "w0 double, w double"), budget).collect()
+        assert sum(r["p"] * r["w0"] for r in got) == pytest.approx(min(budget * 1050, 1000), rel=1e-12)
+        part = [r["p"] * r["w0"] / r["w"] for r in got if 0 < r["p"] < 1]
+        assert all(x == pytest.approx(part[0]) for x in part) and all(r["w"] / r["w0"] * part[0] >= 1 - 1e-12 for r in got if part and r["p"] == 1)
+
+
+def test_raking_ends_when_the_goals_are_met_or_cannot_be(spark):
+    cells = spark.createDataFrame([("a", "x", 5.0), ("a", "y", 1.0), ("b", "x", 1.0), ("b", "y", 90.0)], "d string, e string, w0 double")
+    got = {(r["d"], r["e"]): r["w"] for r in raking.rake(cells, {"d": {"a": 0.7, "b": 0.3}, "e": {"x": 0.5, "y": 0.5}}).collect()}
+    assert got["a", "x"] + got["a", "y"] == pytest.approx(0.7, abs=1e-12) and got["a", "x"] + got["b", "x"] == pytest.approx(0.5, abs=1e-12)
+    assert got["a", "x"] * got["b", "y"] / (got["a", "y"] * got["b", "x"]) == pytest.approx(5 * 90)
+    against = raking.rake(cells.where("d = e or d = 'a' and e = 'x' or d = 'b' and e = 'y'"), {"d": {"a": 0.7, "b": 0.3}, "e": {"x": 0.5, "y": 0.5}}, most=8).collect()
+    assert len(against) == 2 and sum(r["w"] for r in against) == pytest.approx(1)
+
+
+def test_clashing_columns_are_replaced(spark):
+    docs = sources(spark, 60)
+    clash = docs.selectExpr("*", "'q' mix_source", "1 mix_p", "'no' mix_kept", "7 mix_tokens", "1 w0")
+    one, two = (raking.standard_mix(d).select("doc_id", "mix_source", "mix_tokens", "mix_p", "mix_kept") for d in (docs, clash))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+
+
 def test_main_path_is_native(spark):
     plan = raking.standard_mix(sources(spark, 20))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
