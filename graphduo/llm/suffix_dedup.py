@@ -26,14 +26,14 @@ from .probminhash import distinct_texts, mix64
 
 SPAN = 50
 HALF = SPAN // 2
-#: Bytes of text whose positions a task holds at a time, bytes of text to a partition, and bytes hashed at a time.
+#: Bytes of text whose positions a task holds at a time, bytes of text to a bucket, and bytes hashed at a time.
 #: A task of either step needs about 20 times its share; a group sends a packed array to each bucket, so both should
 #: grow together (with the executors) as the corpus does: 100 TB want some 256 MB each.
 GROUP, BUCKET, SLICE = 8_000_000, 32_000_000, 1 << 18
 #: Tied positions with their context that a task holds at a time; texts (2 to this power) whose finds travel together.
 TIED, RANGE = 200_000, 9
-#: Buckets to a partition: several even out.
-EVEN = 4
+#: Marks packed rows that need no bucket's work.
+DONE = b"D"
 G = np.uint64(0xD1342543DE82EF95)
 TABLE = mix64(np.arange(1, 257, dtype="<u8") * np.uint64(0x9E3779B97F4A7C15))
 
@@ -114,8 +114,32 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def deal(key: np.ndarray, doc: np.ndarray, uids: np.ndarray, ids: np.ndarray, buckets: int, *cols: np.ndarray):
+def partition_of(x: np.ndarray, parts: int) -> np.ndarray:
+    """The partition that repartition(parts, column) gives an int column's values: Spark's Murmur3 of an int with seed 42, modulo parts."""
+    with np.errstate(over="ignore"):
+        k = x.astype("<u4") * np.uint32(0xCC9E2D51)
+        k = (k << np.uint32(15) | k >> np.uint32(17)) * np.uint32(0x1B873593)
+        h = np.uint32(42) ^ k
+        h = (h << np.uint32(13) | h >> np.uint32(19)) * np.uint32(5) + np.uint32(0xE6546B64) ^ np.uint32(4)
+        h = (h ^ h >> np.uint32(16)) * np.uint32(0x85EBCA6B)
+        h = (h ^ h >> np.uint32(13)) * np.uint32(0xC2B2AE35)
+    return (h ^ h >> np.uint32(16)).view("<i4").astype(np.int64) % parts
+
+
+def bucket_numbers(parts: int) -> np.ndarray:
+    """For each partition a number that repartition(parts, column) sends there, so that every task gets one bucket."""
+    out, lo, step = np.full(parts, -1, np.int64), 0, 4 * parts + 64
+    while (out < 0).any():
+        x = np.arange(lo, lo + step)
+        at = partition_of(x, parts)
+        out[at[::-1]] = np.where(out[at[::-1]] < 0, x[::-1], out[at[::-1]])
+        lo += step
+    return out
+
+
+def deal(key: np.ndarray, doc: np.ndarray, uids: np.ndarray, ids: np.ndarray, number: np.ndarray, *cols: np.ndarray):
     """(bucket, packed rows) for rows in order of doc (an index into uids and ids). Keys are mixed first: minimizers are small numbers."""
+    buckets = len(number)
     with np.errstate(over="ignore"):
         mixed = mix64(key * G)
     bucket = ((mixed >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
@@ -124,7 +148,7 @@ def deal(key: np.ndarray, doc: np.ndarray, uids: np.ndarray, ids: np.ndarray, bu
     for k in np.flatnonzero(ends[1:] > ends[:-1]):
         rows = order[ends[k] : ends[k + 1]]
         own, at = np.unique(doc[rows], return_inverse=True)
-        yield int(k), pack(key[rows], uids[own], ids[own], np.diff(at, prepend=0).astype("<u4"), *(c[rows] for c in cols))
+        yield int(number[k]), pack(key[rows], uids[own], ids[own], np.diff(at, prepend=0).astype("<u4"), *(c[rows] for c in cols))
 
 
 def collected(blobs: list[bytes]) -> list[np.ndarray]:
@@ -137,12 +161,12 @@ def collected(blobs: list[bytes]) -> list[np.ndarray]:
 
 
 def by_bucket(batches, work):
-    """work(blobs of a bucket) for a partition sorted by bucket; bucket -1 holds finished rows, one blob at a time."""
+    """work(blobs of a bucket) for a partition sorted by bucket; finished rows are marked and go on, one blob at a time."""
     now, blobs = None, []
     for batch in batches:
         for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-            if bucket < 0:
-                yield unpack(blob)
+            if blob[:1] == DONE:
+                yield unpack(blob[1:])
                 continue
             if bucket != now:
                 if blobs:
@@ -248,6 +272,8 @@ def tied_positions(distinct: DataFrame, buckets: int) -> DataFrame:
     that a third of all documents hold is a row per group of texts, not per document.
     """
 
+    number = bucket_numbers(buckets)
+
     def first(it):
         for some in grouped(it):
             uids, ids = np.array([r[0] for r in some]), np.array([r[1] for r in some])
@@ -262,10 +288,10 @@ def tied_positions(distinct: DataFrame, buckets: int) -> DataFrame:
             send = ~tied
             send[order] |= head & many  # one row tells the others
             rows = np.flatnonzero(send)
-            yield rows_of(list(deal(key[rows], doc[rows], uids, ids, buckets, pos[rows], tied[rows].astype("u1"))))
+            yield rows_of(list(deal(key[rows], doc[rows], uids, ids, number, pos[rows], tied[rows].astype("u1"))))
             at = np.flatnonzero(tied)
             if len(at):
-                yield rows_of([(-1 - int(uids[0] % buckets), pack(uids[doc[at]], pos[at]))])
+                yield rows_of([(int(number[uids[0] % buckets]), DONE + pack(uids[doc[at]], pos[at]))])
 
     def second(it):
         def work(blobs):
@@ -281,7 +307,7 @@ def tied_positions(distinct: DataFrame, buckets: int) -> DataFrame:
             yield per_range(uid, pos)
 
     dealt = distinct.where("doc_id is not null").select("uid", "doc_id", "text").mapInArrow(first, "bucket int, blob binary")
-    return dealt.repartition(buckets // EVEN, "bucket").sortWithinPartitions("bucket").mapInArrow(second, FOUND)
+    return dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(second, FOUND)
 
 
 def sides(b: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -305,7 +331,7 @@ def repeated_spans(distinct: DataFrame, tied: DataFrame, buckets: int) -> DataFr
     name that is frequent everywhere is dealt out by what stands beside it. Rows of a
     group of texts that agree in all bytes are answered there if their document is not the least.
     """
-    near = HALF // 2 + 1
+    near, number = HALF // 2 + 1, bucket_numbers(buckets)
 
     def first(it):
         for some in tied_groups(it):
@@ -334,11 +360,11 @@ def repeated_spans(distinct: DataFrame, tied: DataFrame, buckets: int) -> DataFr
                 lo, hi = (pos[done] - b_, pos[done] + HALF + a) if which == 0 else (pos[done] - a, pos[done] + HALF + b_)
                 spans.append((doc[done], lo, hi))
                 rows = np.sort(order[ids[doc[order]] == low])
-                yield rows_of(list(deal(key[rows], doc[rows], uids, ids, buckets, pos[rows].astype("<u4"), np.full(len(rows), which, "u1"), n_one[rows].astype("u1"), n_other[rows].astype("u1"), *rest[rows].T)))
+                yield rows_of(list(deal(key[rows], doc[rows], uids, ids, number, pos[rows].astype("<u4"), np.full(len(rows), which, "u1"), n_one[rows].astype("u1"), n_other[rows].astype("u1"), *rest[rows].T)))
             if spans:
                 doc, lo, hi = (np.concatenate(c) for c in zip(*spans, strict=True))
                 if len(doc):
-                    yield rows_of([(-1 - int(uids[0] % buckets), pack(uids[doc], lo.astype("<u4"), hi.astype("<u4")))])
+                    yield rows_of([(int(number[uids[0] % buckets]), DONE + pack(uids[doc], lo.astype("<u4"), hi.astype("<u4")))])
 
     def second(it):
         def work(blobs):
@@ -376,8 +402,8 @@ def repeated_spans(distinct: DataFrame, tied: DataFrame, buckets: int) -> DataFr
         for uid, lo, hi in by_bucket(it, work):
             yield per_range(uid, lo, hi)
 
-    dealt = beside(distinct, tied, buckets // EVEN).mapInArrow(first, "bucket int, blob binary")
-    return dealt.repartition(buckets // EVEN, "bucket").sortWithinPartitions("bucket").mapInArrow(second, FOUND)
+    dealt = beside(distinct, tied, buckets).mapInArrow(first, "bucket int, blob binary")
+    return dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(second, FOUND)
 
 
 def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -394,8 +420,7 @@ def changes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     spark = docs.sparkSession
     ids, distinct = distinct_texts(docs, id_col, text_col)
     total = ids.where("doc_id is not null").agg(F.sum("n_bytes")).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // BUCKET) + 1)
-    buckets = EVEN * parts
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // BUCKET) + 1)
     free_shuffles(spark)
     tied = cut(tied_positions(distinct, buckets), "tied")
     free_shuffles(spark)
@@ -420,7 +445,7 @@ def changes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
         cols = zip(*out, strict=True)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.string()), strict=True)], names=["id", "sha", "gone", "runs", "kept", "kept_sha"])
 
-    changed = beside(distinct, spans, parts).mapInArrow(last, "id long, sha binary, gone long, runs long, kept binary, kept_sha string")
+    changed = beside(distinct, spans, buckets).mapInArrow(last, "id long, sha binary, gone long, runs long, kept binary, kept_sha string")
     return ids, distinct, changed
 
 

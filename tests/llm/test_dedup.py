@@ -185,6 +185,13 @@ def test_minimizers_do_not_depend_on_slices(monkeypatch):
     assert np.diff(whole[0]).max() <= 26
 
 
+@pytest.mark.parametrize("parts", [1, 7, 211])
+def test_each_bucket_has_a_partition_of_its_own(spark, parts):
+    number = suffix_dedup.bucket_numbers(parts)
+    rows = spark.createDataFrame([(int(x),) for x in number], "bucket int").repartition(parts, "bucket").selectExpr("bucket", "spark_partition_id() p").collect()
+    assert {r["bucket"]: r["p"] for r in rows} == {int(x): k for k, x in enumerate(number)}
+
+
 def test_bytes_of_odd_tables(spark):
     assert suffix_dedup.dedup(empty(spark)).count() == 0
     t = prose(random.Random(5), 30)
