@@ -37,7 +37,8 @@ class Space:
     least that of the TF-IDF vectors. What the items and the leading directions cannot express of a passage does not count.
     """
 
-    def __init__(self, own: np.ndarray, words: list[np.ndarray], weight: np.ndarray, leading: np.ndarray):
+    def __init__(self, own: np.ndarray, words: list[np.ndarray], weight: np.ndarray, leading: np.ndarray, mass: np.ndarray, share: float):
+        """mass: the items' full weight, of which a window must have `share` in common with them."""
         self.own = own
         self.terms = np.unique(np.concatenate(words))
         w = weight[self.terms]
@@ -45,11 +46,21 @@ class Space:
         for k, x in enumerate(words):
             np.add.at(rows[k], np.searchsorted(self.terms, x), 1.0)
         rows *= w
-        rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+        length = np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+        rows /= length
         u, size, _ = np.linalg.svd(np.concatenate([rows, 1e-3 * leading[self.terms].T]).T, full_matrices=False)
         basis = u[:, size > 1e-9]
         self.latent = (w[:, None] * basis).astype(np.float32)
         self.query = (rows @ basis).astype(np.float32)
+        #: the least q . p of a window with so much in common: it has that weight at least in squares, from the lightest words up
+        self.low = np.zeros(len(words), np.float32)
+        for k, x in enumerate(words):
+            own_w = np.sort(weight[x])
+            held = np.cumsum(own_w)
+            need = share * mass[k] - (mass[k] - held[-1])  # common terms, which have no weight here, may be all there
+            j = min(int(np.searchsorted(held, need)), len(x) - 1)
+            if need > 0:
+                self.low[k] = 0.999 * ((own_w[:j] ** 2).sum() + (need - (held[j - 1] if j else 0)) * own_w[j]) / length[k, 0]
         sizes = np.array([len(x) for x in words])
         #: (words of a step, steps of a window, items): every run of as many words as an item of the class has lies in a window.
         self.classes = []
@@ -95,10 +106,10 @@ class Items:
                 keep[w] = True
         self.weight = np.where(keep, self.idf, 0).astype(np.float32)
 
-    def place(self, leading: np.ndarray) -> None:
-        """The latent spaces of successive items of like length, given the leading directions of all passages."""
+    def place(self, leading: np.ndarray, share: float) -> None:
+        """The latent spaces of successive items of like length, given the leading directions of all passages and the share of its weight that a held item has at least."""
         order = np.argsort([len(w) for w in self.words], kind="stable")
-        self.spaces = [Space(order[k : k + SPACE_ITEMS], [self.words[i] for i in order[k : k + SPACE_ITEMS]], self.weight, leading) for k in range(0, len(order), SPACE_ITEMS)]
+        self.spaces = [Space(order[k : k + SPACE_ITEMS], [self.words[i] for i in order[k : k + SPACE_ITEMS]], self.weight, leading, self.mass[order[k : k + SPACE_ITEMS]], share) for k in range(0, len(order), SPACE_ITEMS)]
 
 
 def blocks_of(bench: DataFrame, id_col: str, text_col: str) -> Iterator[Items]:
@@ -243,7 +254,7 @@ def weighted_lcs(item: np.ndarray, text: np.ndarray, idf: np.ndarray) -> float:
 
 
 def candidates(space: Space, local: np.ndarray, docs: list[tuple[int, np.ndarray, np.ndarray, int, int]], least_cos: float) -> Iterator[tuple[int, int, int, int, float]]:
-    """(document, first word, end, item, cosine) of every window whose cosine with an item of its length class is least_cos or more, window by window.
+    """(document, first word, end, item, cosine) of every window whose cosine with an item of its length class is least_cos or more, window by window; windows whose product with the item shows that they have too little in common are left out.
 
     docs: (number, positions, terms, first block, end of the blocks that windows may start in) of pieces of documents;
     local: a term's number in the space, or -1. Steps are summed once, windows are sums of successive steps, and a class is one matrix product.
@@ -272,7 +283,7 @@ def candidates(space: Space, local: np.ndarray, docs: list[tuple[int, np.ndarray
             windows += own[k : len(own) - n + 1 + k]
         norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", windows, windows)), 1e-9)
         cos = windows @ space.query[items].T
-        w, k = np.nonzero(cos >= least_cos * norm[:, None])
+        w, k = np.nonzero((cos >= least_cos * norm[:, None]) & (cos >= space.low[items]))
         doc = np.searchsorted(starts, w * ratio, side="right") - 1
         block = w * ratio - starts[doc] + firsts[doc]
         ok = block < ends[doc]
@@ -349,7 +360,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, least_lcs: float = 0.75, par
             continue
         hits = cut(hits_of(docs, items, id_col, text_col), "hits")
         items.weigh(document_frequency(hits, len(items.term)), n_docs)
-        items.place(leading_directions(hits, items))
+        items.place(leading_directions(hits, items), para_lcs)
         shared = spark.sparkContext.broadcast(items)  # BLOCK_CHARS characters: four spaces of some 10,000 terms x 320 numbers
         # the table of hits is small for the work it makes: more tasks than its files give
         tasks = max(4 * hits.rdd.getNumPartitions(), 4 * spark.sparkContext.defaultParallelism)

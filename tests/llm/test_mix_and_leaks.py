@@ -181,7 +181,7 @@ def test_windows_do_not_depend_on_pieces(monkeypatch):
     vocab = [f"w{k}" for k in range(300)]
     items = decontamination.Items([(k, " ".join(rng.choice(vocab, n))) for k, n in enumerate((4, 12, 30, 30, 60, 130))])
     items.weigh(np.ones(len(items.term)), 1000)
-    items.place(np.eye(len(items.term))[:, :5])
+    items.place(np.eye(len(items.term))[:, :5], 0.0)
     docs = []
     for n in (700, 3, 90, 2500):
         t = rng.integers(0, len(items.term), n)
@@ -209,6 +209,20 @@ def test_windows_do_not_depend_on_pieces(monkeypatch):
         assert abs(np.linalg.norm(space.query[list(space.own).index(k)]) - 1) < 1e-4
 
 
+def test_the_least_product_is_a_bound():
+    rng = np.random.default_rng(6)
+    items = decontamination.Items([(k, " ".join(f"w{j}" for j in rng.integers(0, 60, n))) for k, n in enumerate((5, 20, 40, 40))])
+    items.weigh(rng.integers(1, 400, len(items.term)), 1000)
+    items.place(np.zeros((len(items.term), 2)), 0.5)
+    (space,) = items.spaces
+    for at, k in enumerate(space.own):
+        words, q = items.words[k], np.bincount(items.words[k], items.weight[items.words[k]], len(items.term))
+        for _ in range(300):
+            some = words[rng.random(len(words)) < rng.uniform(0.2, 1)]
+            if items.idf[some].sum() >= 0.5 * items.mass[k]:
+                assert np.bincount(some, items.weight[some], len(items.term)) @ q / np.linalg.norm(q) >= space.low[at]
+
+
 def test_common_subsequences():
     idf = np.array([1, 2, 3, 4], np.float32)
 
