@@ -58,26 +58,17 @@ def gaussian_scores(x: np.ndarray) -> np.ndarray:
 
 
 def lasso_row(w: np.ndarray, s: np.ndarray, alpha: float, beta: np.ndarray, rounds: int = 500, tol: float = 1e-8) -> np.ndarray:
-    """argmin of b'Wb/2 - s'b + alpha |b|_1 by coordinate descent on the coordinates that are not 0 or whose gradient is over alpha, until no other is."""
+    """argmin of b'Wb/2 - s'b + alpha |b|_1 by coordinate descent."""
     left, diag, b = s - w @ beta, w.diagonal().tolist(), beta.tolist()
     for _ in range(rounds):
-        active = np.flatnonzero((np.abs(left) > alpha) | (np.array(b) != 0)).tolist()
-        settled = False
-        for _ in range(rounds):
-            moved = 0.0
-            for k in active:
-                d = diag[k]
-                g = float(left[k]) + d * b[k]
-                new = (g - alpha if g > alpha else g + alpha if g < -alpha else 0.0) / d
-                if new != b[k]:
-                    left -= (new - b[k]) * w[k]
-                    moved, b[k] = max(moved, abs(new - b[k])), new
-            if moved < tol:
-                settled = True
-                break
-        rest = np.abs(left) > alpha + tol
-        rest[active] = False
-        if settled and not rest.any():
+        moved = 0.0
+        for k, d in enumerate(diag):
+            g = float(left[k]) + d * b[k]
+            new = (g - alpha if g > alpha else g + alpha if g < -alpha else 0.0) / d
+            if new != b[k]:
+                left -= (new - b[k]) * w[k]
+                moved, b[k] = max(moved, abs(new - b[k])), new
+        if moved < tol:
             break
     beta[:] = b
     return beta
