@@ -1,4 +1,4 @@
-"""Graphs from a stream of observations: rows are buffered per sample until a window is full, then its graph is estimated."""
+"""Graphs from a stream of observations: rows are buffered per window until it is full, then its graph is estimated."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.estimate import fit_window
@@ -14,28 +15,28 @@ from ..operators.estimate import fit_window
 EDGES = "sample int, win long, src int, dst int, weight double"
 
 
-def estimate_stream(obs: DataFrame, window_size: int, alpha: float | list[float], beta: float) -> DataFrame:
-    """A streaming (sample, win, src, dst, weight) from a streaming OBS: the batch estimate of each full window.
+def estimate_stream(obs: DataFrame, window_size: int, alpha: float | list[float], beta: float, nonparanormal: bool = False, scale: str | bool = False, **solver) -> DataFrame:
+    """A streaming (sample, win, src, dst, weight) from a streaming OBS: the batch estimate of each full window, with the options of estimate_graphs.
 
-    State per sample: the rows of windows that are not yet full, by row_idx, so rows may arrive in any order; a window is
-    emitted once, when all its rows are there, and its rows are forgotten.
+    State per window of a sample: its rows so far, so windows are dealt over all tasks and rows may arrive in any order
+    and twice. A window is emitted when its last row is there, and its state is removed.
     """
     alphas = [float(a) for a in (alpha if hasattr(alpha, "__len__") else [alpha])]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         idx, flat = state.get if state.exists else ([], [])
-        open_ = {int(i): list(v) for i, v in zip(idx, flat, strict=True)}
+        rows = {int(i): list(v) for i, v in zip(idx, flat, strict=True)}
         for pdf in batches:
-            open_.update({int(i): [float(v) for v in x] for i, x in zip(pdf["row_idx"], pdf["x"], strict=True)})
-        wins: dict[int, list[int]] = {}
-        for i in sorted(open_):
-            wins.setdefault(i // window_size, []).append(i)
+            rows.update({int(i): [float(v) for v in x] for i, x in zip(pdf["row_idx"], pdf["x"], strict=True)})
         out = []
-        for w, rows in wins.items():
-            if len(rows) == window_size:
-                theta, _, _ = fit_window(np.array([open_.pop(i) for i in rows]), alphas, beta)
-                out += [(int(key[0]), w, int(i), int(j), float(theta[i, j])) for i, j in np.argwhere(np.triu(theta, 1) != 0)]
-        state.update((list(open_), list(open_.values())))
+        if len(rows) == window_size:
+            theta, _, _ = fit_window(np.array([rows[i] for i in sorted(rows)]), alphas, beta, nonparanormal, scale, **solver)
+            out = [(int(key[0]), int(key[1]), int(i), int(j), float(theta[i, j])) for i, j in np.argwhere(np.triu(theta, 1) != 0)]
+            if state.exists:
+                state.remove()
+        else:
+            state.update((list(rows), list(rows.values())))
         yield pd.DataFrame(out, columns=["sample", "win", "src", "dst", "weight"]).astype({"sample": "int32", "win": "int64", "src": "int32", "dst": "int32", "weight": "float64"})
 
-    return obs.groupBy("sample").applyInPandasWithState(run, EDGES, "idx array<long>, flat array<array<double>>", "append", GroupStateTimeout.NoTimeout)
+    placed = obs.withColumn("win", F.floor(F.col("row_idx") / window_size).cast("long"))
+    return placed.groupBy("sample", "win").applyInPandasWithState(run, EDGES, "idx array<long>, flat array<array<double>>", "append", GroupStateTimeout.NoTimeout)
