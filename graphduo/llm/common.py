@@ -45,9 +45,14 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def cut(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     """df written once to the shared folder and read again: later stages neither recompute it nor lose it with an executor."""
+    return written(df, what, codec)[0]
+
+
+def written(df: DataFrame, what: str, codec: str = "zstd") -> tuple[DataFrame, str]:
+    """cut, and the path of the table, for a caller that removes it once nothing reads it."""
     path, shape = new_path(df.sparkSession, what), df.schema
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(shape).parquet(path)
+    return df.sparkSession.read.schema(shape).parquet(path), path
 
 
 def free_shuffles(spark: SparkSession) -> None:
@@ -68,7 +73,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     spark = edges.sparkSession
     now = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now = cut(now, "edges")
+    now, path = written(now, "edges")
     before = None
     for _ in range(rounds):
         # large star: every neighbour above a node hangs itself on the least of the node's neighbourhood
@@ -78,7 +83,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # small star: every lower neighbour, and the node, hang on the least lower neighbour
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lower, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = cut(small.unionAll(lower.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        last = path
+        now, path = written(small.unionAll(lower.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        remove(spark, last)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if before == mark:
             break
