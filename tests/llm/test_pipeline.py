@@ -1,13 +1,19 @@
 import os
+import random
+import re
 import zlib
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 import corpus_pipeline
-from graphduo.llm import decontamination, language_id, probminhash, queries, raking
+from graphduo.llm import decontamination, language_id, pieces, probminhash, queries, raking
 
 from ..conftest import SF
+from .tables import DOCS, empty, odd_texts, prose
+from .test_dedup import plain_classes
 
 
 @pytest.fixture(scope="module")
@@ -53,6 +59,40 @@ def test_stages_follow_each_other(spark, tmp_path):
     assert whole == {tuple(r) for r in docs.collect()}
 
 
+def test_pipeline_against_plain_versions(spark, tmp_path):
+    rng = random.Random(21)
+    items = [" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(20)) for _ in range(3)]
+    texts = odd_texts() + [prose(rng, 60) + " " + items[k % 3] + " " + prose(rng, 40) for k in range(4)] + [prose(rng, rng.randint(5, 90)) for _ in range(50)]
+    rows = [(2 * k + 1, t, None if k % 9 == 0 else "en", f"s{k % 3}" if k % 5 else None, 0, "u", 1) for k, t in enumerate(texts)]
+    rows += [rows[12], rows[-1], (None, prose(rng, 30), "en", "s0", 0, "u", 1), (None, None, None, None, None, None, None)]
+    spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, t) for k, t in enumerate([*items, None, ""])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = sorted((r["doc_id"] or 0, r["start"], r["n_tokens"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    # only one language can be learned, so every text with a letter has it
+    kept = [(i, t, "en", s, n) for i, t, _, s, n, _, _ in rows if any(c.isalpha() for c in t or "")]
+    classes = plain_classes([t for _, t, *_ in kept], [i for i, *_ in kept])
+    kept = list(dict.fromkeys(r for r, c in zip(kept, classes, strict=True) if r[0] is None or r[0] == c))
+    words = lambda t: " ".join(re.findall(r"\w+", t.lower()))
+    kept = [r for r in kept if not any(words(x) in words(r[1]) for x in items)]
+    con = duckdb.connect()
+    con.register("frame", pd.DataFrame(kept, columns=list(corpus_pipeline.COLUMNS)).astype({"doc_id": "Int64"}))
+    con.sql("create table documents as select * from frame")
+    mixed = {r[0] for r in con.sql(f"select doc_id from ({raking.standard_sql()}) where kept").fetchall()}
+    kept = sorted((r for r in kept if r[0] in mixed), key=lambda r: (r[0] is not None, r[0]))
+    want, at, tok = [], 0, pieces.load(queries.vocabulary("word_bpe_49k.json"))
+    for i, t, *_ in kept:
+        ids = [*tok.encode(t, add_special_tokens=False).ids, 2]
+        want.append((i or 0, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert got == want and len(want) > 40
+
+
+def test_stages_of_empty_tables(spark, tmp_path):
+    empty(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_predictions_correct_wrong_labels(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
     rows = sorted(tuple(r) for r in docs.collect())
