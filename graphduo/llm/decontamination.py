@@ -4,17 +4,17 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
+from .pieces import runs
 
-WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
 #: Leading directions of the passages that the latent space takes in, extra random columns, power iterations.
 RANK, EXTRA, POWER = 64, 8, 2
@@ -30,6 +30,16 @@ LEAST_COS = 0.3
 CHUNK_WORDS, CHUNK_BLOCKS = 8192, 512
 
 
+def words_of(texts: pa.Array) -> pa.ListArray:
+    """The words of texts, runs of letters, digits and underscores in lower case; a text without any has one empty word."""
+    plain = pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\p{L}\p{N}_]+", " ")
+    return pc.split_pattern(pc.utf8_trim(plain, " "), " ")
+
+
+def words(text: str) -> list[str]:
+    return [w for w in words_of(pa.array([text], pa.string()))[0].as_py() if w]
+
+
 class Space:
     """Up to SPACE_ITEMS items as vectors: their span and the leading directions of all passages, so that no item loses weight by projection.
 
@@ -82,13 +92,12 @@ class Items:
     def __init__(self, rows: list[tuple[int, str]]):
         self.ids, self.words, self.answers, self.term = [], [], [], {}
         for i, text in rows:
-            words = [self.term.setdefault(w, len(self.term)) for w in WORD.findall(text.lower())]
-            if not words:
+            own = [self.term.setdefault(w, len(self.term)) for w in words(text)]
+            if not own:
                 continue
-            last = WORD.findall(SENTENCE.split(text.strip())[-1].lower())
-            n = min(max(len(last), 3), len(words))
+            n = min(max(len(words(SENTENCE.split(text.strip())[-1])), 3), len(own))
             self.ids.append(i)
-            self.words.append(np.array(words, np.int32))
+            self.words.append(np.array(own, np.int32))
             self.answers.append(n)
         self.idf = np.zeros(len(self.term), np.float32)
         self.weight, self.spaces = self.idf, []
@@ -127,22 +136,28 @@ def blocks_of(bench: DataFrame, id_col: str, text_col: str) -> Iterator[Items]:
 
 def hits_of(docs: DataFrame, items: Items, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, n_words, pos binary, term binary): where the words of the whole text are words of the items. All that follows needs no more of a text."""
-    term = docs.sparkSession.sparkContext.broadcast(items.term)  # words of BLOCK_CHARS characters, or of one item if that is longer
+    shared = docs.sparkSession.sparkContext.broadcast(list(items.term))  # words of BLOCK_CHARS characters, or of one item if that is longer
+
+    def packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """int32 values as binary rows that end at `ends`."""
+        return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.append(0, 4 * ends).astype("<i4").tobytes()), pa.py_buffer(values.astype("<i4").tobytes())])
 
     def run(it):
-        get = term.value.get
+        terms = pa.array(shared.value, pa.string())
         for batch in it:
-            ids, n, pos, terms = [], [], [], []
-            for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words = WORD.findall(t.lower())
-                got = np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
-                at = np.flatnonzero(got >= 0).astype(np.int32)
-                if len(at):
-                    ids.append(i)
-                    n.append(len(words))
-                    pos.append(at.tobytes())
-                    terms.append(got[at].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.array(pos, pa.binary()), pa.array(terms, pa.binary())], names=["doc_id", "n_words", "pos", "term"])
+            text, ids = batch.column("text"), batch.column("doc_id")
+            for lo, hi in runs(pc.binary_length(text).to_numpy(zero_copy_only=False)):
+                split = words_of(text.slice(lo, hi - lo))
+                coded = split.flatten().dictionary_encode()
+                term = pc.fill_null(pc.index_in(coded.dictionary, terms), -1).to_numpy()[coded.indices.to_numpy(zero_copy_only=False)]
+                starts = split.offsets.to_numpy().astype(np.int64)
+                starts -= starts[0]
+                at = np.flatnonzero(term >= 0)
+                n = np.diff(np.searchsorted(at, starts))
+                some = np.flatnonzero(n)
+                pos = at - np.repeat(starts[:-1], n)
+                ends = np.cumsum(n[some])
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo).take(pa.array(some)), pa.array(np.diff(starts)[some].astype(np.int32)), packed(pos, ends), packed(term[at], ends)], names=["doc_id", "n_words", "pos", "term"])
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).where("text is not null")
     return rows.mapInArrow(run, "doc_id long, n_words int, pos binary, term binary")
