@@ -275,7 +275,7 @@ def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).withColumn("sha", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
     ids = cut(rows.select("doc_id", "sha", F.octet_length("text").cast("long").alias("n_bytes")), "ids")
-    lead = ids.groupBy("sha").agg(F.min("doc_id").alias("doc_id"))
+    lead = cut(ids.groupBy("sha").agg(F.min("doc_id").alias("doc_id")), "leads")
     d = F.coalesce("doc_id", F.lit(-(1 << 63)))
     one = rows.withColumn("d", d).join(lead.select("sha", d.alias("d")), ["sha", "d"])  # copies have other ids: no hot key
     if ids.groupBy("sha", "doc_id").count().where("count > 1").limit(1).count():
@@ -299,10 +299,12 @@ def classes(docs: DataFrame, least: float = 0.8, bands: int = BANDS, rows: int =
     degree = links.select(F.explode(F.array("a", "b")).alias("uid")).groupBy("uid").agg(F.count("*").alias("joining_links"))
     comp = distinct.select("uid", "doc_id", "sha").join(nodes, "uid", "left").join(degree, "uid", "left")
     comp = comp.select("sha", "doc_id", F.coalesce("comp", "uid").alias("comp"), F.coalesce("joining_links", F.lit(0)).cast("long").alias("joining_links"))
-    least_id = comp.groupBy("comp").agg(F.min("doc_id").alias("class_id"))
-    label = comp.join(least_id, "comp").select("sha", "comp", "class_id", "joining_links")
+    # what is joined to a hot key's rows is a table of its own: a join of two plain exchanges is one that adaptive execution splits
+    comp = cut(comp, "comps")
+    least_id = cut(comp.groupBy("comp").agg(F.min("doc_id").alias("class_id")), "least")
+    label = cut(comp.join(least_id, "comp").select("sha", "comp", "class_id", "joining_links"), "label")
     rows_ = cut(ids.join(label, "sha").select("doc_id", "comp", "class_id", "joining_links"), "labels")
-    sizes = rows_.groupBy("comp").agg(F.count("*").alias("class_size"))
+    sizes = cut(rows_.groupBy("comp").agg(F.count("*").alias("class_size")), "sizes")
     return rows_.join(sizes, "comp").select("doc_id", "class_id", "class_size", "joining_links")
 
 

@@ -6,11 +6,9 @@ import hashlib
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from .common import cut, id_ranges, texts
 
@@ -97,18 +95,13 @@ def read(fingerprint: str) -> np.ndarray:
     return np.array([int(digits[k : k + BITS // 4], 16) for k in range(0, len(digits), BITS // 4)], "<u8")
 
 
-def range_of(spark, splits: list[int]):
-    """The number of split points at or below the column `key`; beyond 1000 of them by a vectorised search on that column alone."""
-    if len(splits) <= 1000:
-        bounds = F.array(*[F.lit(x).cast("long") for x in splits]) if splits else F.array().cast("array<long>")
-        return F.size(F.filter(bounds, lambda x: x <= F.col("key")))
-    shared = spark.sparkContext.broadcast(np.array(splits, np.int64))
-
-    @F.pandas_udf(IntegerType())
-    def search(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(shared.value, key.to_numpy(), side="right").astype("int32"))
-
-    return search("key")
+def range_of(splits: list[int]) -> Column:
+    """The number of split points at or below the column `key`: a binary search in the sorted splits, from the highest bit of the answer down."""
+    if not splits:
+        return F.lit(0)
+    bounds = F.split(F.lit(",".join(map(str, splits))), ",").cast("array<bigint>")  # one constant, however many
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(splits).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) <= F.col("key"), at + step).otherwise(at))
 
 
 def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,7 +120,7 @@ def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     keyed = rows.select(key.alias("key"), "doc_id", "text")
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     splits = id_ranges(keyed.select("key"), "key", 4 * parts)  # several ranges to a partition even out
-    where = range_of(spark, splits)
+    where = range_of(splits)
     tops = keyed.select(where.alias("range"), "key").groupBy("range").agg(F.max("key").alias("top")).orderBy("range").collect()  # one row for each range
     halo = {tops[k]["top"]: tops[(k + 1) % len(tops)]["range"] for k in range(len(tops))}  # the top row of a range is next for the range above; that of the highest, for the lowest
     dealt = keyed.select(where.alias("range"), F.lit(0).alias("role"), "key", "doc_id", "text")

@@ -463,9 +463,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def _rows(ids: DataFrame, changed: DataFrame) -> DataFrame:
-    lead = ids.groupBy("sha").agg(F.min("doc_id").alias("least"))
+    lead = cut(ids.groupBy("sha").agg(F.min("doc_id").alias("least")), "leads")  # a table of its own, so that adaptive execution can split a hot text's rows
     copy = F.col("doc_id").isNotNull() & (F.col("doc_id") > F.col("least")) & (F.col("n_bytes") >= SPAN)
-    same = ids.join(lead, "sha").join(changed.withColumnRenamed("id", "doc_id"), ["sha", "doc_id"], "left")
+    same = cut(ids.join(lead, "sha"), "ids").join(changed.withColumnRenamed("id", "doc_id"), ["sha", "doc_id"], "left")
     return same.select(
         "doc_id", "sha", "n_bytes",
         F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("gone", F.lit(0))).cast("long").alias("n_removed"),

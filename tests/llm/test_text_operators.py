@@ -62,10 +62,10 @@ def test_fingerprints_hold_the_plain_sets(spark):
         assert len(own) == len(plain_signatures(t)) == got[i]["n_signatures"] and jaccard(own, other) == got[i]["near_edited"]
 
 
-def test_ranges_by_expression_and_by_search(spark):
+def test_ranges_by_binary_search(spark):
     rows = spark.range(0, 3000).select(F.col("id").alias("key"))
-    for splits in ([], [5, 9], list(range(0, 2400, 2))):
-        got = {r["key"]: r["r"] for r in rows.select("key", spot_signatures.range_of(spark, splits).alias("r")).collect()}
+    for splits in ([], [5], [5, 9], [-7, 0, 4, 5, 9, 10, 11, 5000], list(range(0, 2400, 2))):
+        got = {r["key"]: r["r"] for r in rows.select("key", spot_signatures.range_of(splits).alias("r")).collect()}
         assert all(got[k] == sum(x <= k for x in splits) for k in (0, 4, 5, 9, 10, 2399, 2999))
 
 
