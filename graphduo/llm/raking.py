@@ -13,6 +13,8 @@ from .common import cut
 SMALL_CELLS = 500_000
 #: Deviation of a level's share of the weights from its goal at which raking ends.
 TOLERANCE = 1e-13
+#: Rounds after which raking ends in any case.
+ROUNDS = 100
 NULL_LEVEL = "(null)"
 
 
@@ -46,11 +48,11 @@ def target_shares(cells: DataFrame, dim: str, rule: float | dict[str, float]) ->
     return by.join(F.broadcast(total)).select(dim, F.when(F.col("all") > 0, F.col("goal") / F.col("all")).otherwise(F.lit(0.0)).alias("goal"))
 
 
-def rake(cells: DataFrame, targets: dict[str, float | dict[str, float]], tol: float = TOLERANCE, most: int = 400, every: int = 4) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, float | dict[str, float]], tol: float = TOLERANCE, most: int = ROUNDS, every: int = 4) -> DataFrame:
     """cells (dims..., w0) with w: weights that keep w0's interactions and meet the targets' marginals (Deming and Stephan 1940).
 
-    Every round scales the cells of each level of each dimension to its goal. After every `every`
-    rounds the marginals are compared with the goals; rounds end when all are met within tol of the whole, or, where targets and
+    Every round scales the cells of each level of each dimension to its goal. After `every`
+    rounds, then twice as many and so on up to 16, the marginals are compared with the goals; rounds end when all are met within tol of the whole, or, where targets and
     empty cells contradict each other, after `most` rounds with the last dimension's goals met. The table of cells
     is read from the shared folder and is one partition when small, so that no window
     needs an exchange; a larger one is dealt by the level.
@@ -61,17 +63,19 @@ def rake(cells: DataFrame, targets: dict[str, float | dict[str, float]], tol: fl
         goals = target_shares(cells, d, rule)
         now = now.join(F.broadcast(goals) if small else goals, d, "left").withColumnRenamed("goal", f"goal_{d}")
     now = cut(now.withColumn("w", F.col("w0").cast("double")), "cells")
-    for r in range(1, most + 1):
-        now = now.coalesce(1) if small and r % every == 1 else now
-        for d in targets:
-            total = F.sum("w").over(Window.partitionBy(d))
-            now = now.withColumn("w", F.when(total > 0, F.col("w") * F.col(f"goal_{d}") / total).otherwise(F.lit(0.0)))
-        if r % every == 0 or r == most:
-            now = cut(now, "cells")
-            off = [now.groupBy(d).agg(F.abs(F.sum("w") - F.first(f"goal_{d}")).alias("off")) for d in targets]
-            worst = reduce(DataFrame.unionAll, [x.select("off") for x in off]).agg(F.max("off")).first()[0]
-            if worst is None or worst <= tol:
-                break
+    done = 0
+    while done < most:
+        now = now.coalesce(1) if small else now
+        for _ in range(min(every, most - done)):
+            for d in targets:
+                total = F.sum("w").over(Window.partitionBy(d))
+                now = now.withColumn("w", F.when(total > 0, F.col("w") * F.col(f"goal_{d}") / total).otherwise(F.lit(0.0)))
+        done, every = done + every, min(2 * every, 16)
+        now = cut(now, "cells")
+        off = [now.groupBy(d).agg(F.abs(F.sum("w") - F.first(f"goal_{d}")).alias("off")) for d in targets]
+        worst = reduce(DataFrame.unionAll, [x.select("off") for x in off]).agg(F.max("off")).first()[0]
+        if worst is None or worst <= tol:
+            break
     return now.drop(*[f"goal_{d}" for d in targets])
 
 
@@ -124,8 +128,8 @@ def standard_mix(docs: DataFrame, budget: float = 0.8) -> DataFrame:
     return mix(docs, {"source": 0.5, "lang": 0.7, "topic": 0.5}, {"source": docs["source"], "lang": docs["lang"], "topic": topic_of(docs["text"])}, budget)
 
 
-def standard_sql(budget: float = 0.8, rounds: int = 40, steps: int = 12, seed: int = 17) -> str:
-    """The same in SQL, with rounds and steps written out, more than it takes."""
+def standard_sql(budget: float = 0.8, rounds: int = ROUNDS, steps: int = 12, seed: int = 17) -> str:
+    """The same in SQL: all rounds by recursion, the steps written out, more than it takes."""
     dims = {"mix_source": 0.5, "mix_lang": 0.7, "mix_topic": 0.5}
     parts = [
         f"""rows AS (SELECT doc_id, coalesce(source, '{NULL_LEVEL}') AS mix_source, coalesce(lang, '{NULL_LEVEL}') AS mix_lang,
@@ -137,17 +141,17 @@ def standard_sql(budget: float = 0.8, rounds: int = 40, steps: int = 12, seed: i
     for d, power in dims.items():
         parts.append(f"goal_{d} AS (SELECT {d}, n / sum(n) OVER () AS goal FROM (SELECT {d}, pow(sum(w0), {power}) AS n FROM cells GROUP BY 1))")
     parts.append("r0 AS MATERIALIZED (SELECT c.*, w0 AS w, a.goal AS g0, b.goal AS g1, d.goal AS g2 FROM cells c JOIN goal_mix_source a USING (mix_source) JOIN goal_mix_lang b USING (mix_lang) JOIN goal_mix_topic d USING (mix_topic))")
-    step = 0
-    for _ in range(rounds):
-        for k, d in enumerate(dims):
-            parts.append(f"r{step + 1} AS MATERIALIZED (SELECT * REPLACE (w * g{k} / sum(w) OVER (PARTITION BY {d}) AS w) FROM r{step})")
-            step += 1
-    parts.append(f"c0 AS MATERIALIZED (SELECT {budget} * sum(w0) / sum(w) AS c, {budget} * sum(w0) AS goal FROM r{step})")
+    inner = f"SELECT * FROM turns WHERE k < {rounds}"
+    for k, d in enumerate(dims):
+        inner = f"SELECT * REPLACE (w * g{k} / sum(w) OVER (PARTITION BY {d}) AS w) FROM ({inner})"
+    parts.append(f"turns AS (SELECT *, 0 AS k FROM r0 UNION ALL SELECT * REPLACE (k + 1 AS k) FROM ({inner}))")
+    parts.append(f"raked AS MATERIALIZED (SELECT * FROM turns WHERE k = {rounds})")
+    parts.append(f"c0 AS MATERIALIZED (SELECT {budget} * sum(w0) / sum(w) AS c, {budget} * sum(w0) AS goal FROM raked)")
     for k in range(steps):
-        parts.append(f"c{k + 1} AS MATERIALIZED (SELECT CASE WHEN rest > 0 THEN greatest(c, (goal - held) / rest) ELSE c END AS c, goal FROM (SELECT any_value(c) AS c, any_value(goal) AS goal, sum(CASE WHEN c * w >= w0 THEN w0 ELSE 0.0 END) AS held, sum(CASE WHEN c * w >= w0 THEN 0.0 ELSE w END) AS rest FROM r{step}, c{k}))")
-    parts.append(f"rates AS (SELECT mix_source, mix_lang, mix_topic, least(1.0, c * (w / w0)) AS p FROM r{step}, c{steps})")
+        parts.append(f"c{k + 1} AS MATERIALIZED (SELECT CASE WHEN rest > 0 THEN greatest(c, (goal - held) / rest) ELSE c END AS c, goal FROM (SELECT any_value(c) AS c, any_value(goal) AS goal, sum(CASE WHEN c * w >= w0 THEN w0 ELSE 0.0 END) AS held, sum(CASE WHEN c * w >= w0 THEN 0.0 ELSE w END) AS rest FROM raked, c{k}))")
+    parts.append(f"rates AS (SELECT mix_source, mix_lang, mix_topic, least(1.0, c * (w / w0)) AS p FROM raked, c{steps})")
     return (
-        "WITH "
+        "WITH RECURSIVE "
         + ",\n".join(parts)
         + f""" SELECT doc_id, mix_source, mix_lang, mix_topic, mix_tokens, CAST(floor(p * 1e6 + 0.5137) AS BIGINT) AS p_micro,
   coalesce(CAST('0x' || substr(md5(concat_ws('|', '{seed}', CAST(doc_id AS VARCHAR))), 1, 12) AS BIGINT) / 281474976710656.0 < p, false) AS kept
