@@ -80,7 +80,7 @@ class Model:
         self.roots = None
 
     def __getstate__(self):
-        """Automata are built where they are used: once in each worker."""
+        """Automata are built where they are used, for each task."""
         return self.__dict__ | {"roots": None}
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -138,8 +138,11 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     @F.pandas_udf(PREDICTION)
     def predict(text: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        for some in text:  # only the text goes to Python, and only the prediction comes back
-            yield pd.DataFrame([m.predict(t) for t in some], columns=["lang_pred", "score"])
+        try:
+            for some in text:  # only the text goes to Python, and only the prediction comes back
+                yield pd.DataFrame([m.predict(t) for t in some], columns=["lang_pred", "score"])
+        finally:
+            m.roots = None  # the worker lives on, and keeps the model itself
 
     predict = predict.asNondeterministic()  # a filter on the prediction must not have it made twice
     doc_id = docs[id_col].cast("long")
