@@ -74,7 +74,7 @@ def lasso_row(w: np.ndarray, s: np.ndarray, alpha: float, beta: np.ndarray, roun
     return beta
 
 
-def graphical_lasso(s: np.ndarray, alpha: float, max_iter: int = 100, tol: float = 1e-5, enet_tol: float = 1e-8) -> tuple[np.ndarray, np.ndarray]:
+def graphical_lasso(s: np.ndarray, alpha: float, max_iter: int = 100, tol: float = 1e-5, enet_tol: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
     """(covariance, precision) of the l1-penalised likelihood, off-diagonal entries penalised (Friedman, Hastie and Tibshirani 2008).
 
     At most max_iter sweeps, until the covariance moves by less than tol of its mean off-diagonal entry; a row is solved to enet_tol.
