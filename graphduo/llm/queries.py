@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bit_packing, decontamination, html_main, language_id, line_runs, piece_counts, probminhash, raking, spot_signatures, suffix_dedup
+from . import bit_packing, block_max, decontamination, filter_audit, html_main, language_id, line_runs, piece_counts, probminhash, raking, spot_signatures, suffix_dedup, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,11 +62,23 @@ def op10_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), url_rules.standard_rules(spark))
+
+
+def op12_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_max.search(block_max.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_probminhash, op2_spot_signatures, op3_bit_packing, op4_piece_counts, op5_suffix_dedup, op6_line_runs, op7_language_id, op8_raking, op9_decontamination, op10_html_main, pipeline)}
-ORACLES: dict[str, str] = {"op6_line_runs": line_runs.SQL, "op8_raking": raking.standard_sql()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_probminhash, op2_spot_signatures, op3_bit_packing, op4_piece_counts, op5_suffix_dedup, op6_line_runs, op7_language_id, op8_raking, op9_decontamination, op10_html_main, op11_url_rules, op12_block_max, op13_filter_audit, pipeline)}
+ORACLES: dict[str, str] = {"op6_line_runs": line_runs.SQL, "op8_raking": raking.standard_sql(), "op11_url_rules": url_rules.SQL, "op12_block_max": block_max.SQL, "op13_filter_audit": filter_audit.SQL}
