@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ K = 10
 
 INDEX = "segment long, n_docs int, docs binary, terms binary, counts binary, firsts binary, blocks binary, postings binary"
 DOC = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("m", "<i8")])
-BLOCKS = np.dtype([("last", "<i4"), ("impact", "<i4"), ("at", "<i8"), ("n", "u1"), ("gap", "u1"), ("tf", "u1")])
+BLOCKS = np.dtype([("first", "<i4"), ("last", "<i4"), ("impact", "<i4"), ("at", "<i8"), ("n", "u1"), ("gap", "u1"), ("tf", "u1")])
 WIDTHS = {1: np.dtype("<u1"), 2: np.dtype("<u2"), 4: np.dtype("<u4")}
 
 
@@ -79,12 +80,12 @@ def lengths(docs: DataFrame) -> tuple[int, int]:
 def encode_segment(docs: list[tuple[int | None, str]], n_docs: int, n_terms: int) -> dict | None:
     """The columns of a segment but its number, for (doc_id, text) of its documents; None if no document has a term."""
     docs = sorted(docs, key=lambda d: (d[0] is None, d[0] or 0))
-    vocabulary, kept, term, doc, tf = {}, [], [], [], []
+    vocabulary, kept, term, doc, tf = defaultdict(count().__next__), [], [], [], []  # a new term gets the next number
     for doc_id, text in docs:
         counted = Counter(terms_of(text))
         if not counted:
             continue
-        term += [vocabulary.setdefault(t, len(vocabulary)) for t in counted]
+        term += map(vocabulary.__getitem__, counted)
         tf += counted.values()
         doc += [len(kept)] * len(counted)
         kept.append((doc_id or 0, doc_id is None, 25 + (75 * sum(counted.values()) * n_docs) // n_terms))
@@ -106,18 +107,22 @@ def encode_segment(docs: list[tuple[int | None, str]], n_docs: int, n_terms: int
     gaps = np.diff(doc, prepend=-1)
     gaps[heads] = doc[heads] - np.where(within[heads] == 0, -1, doc[heads - 1])  # a block goes on from the last document of the one before it
     blocks = np.zeros(len(heads), BLOCKS)
-    blocks["last"], blocks["n"] = doc[ends - 1], ends - heads
+    blocks["first"], blocks["last"], blocks["n"] = doc[heads], doc[ends - 1], ends - heads
     blocks["impact"] = np.maximum.reduceat(impact, heads)
     for name, values in (("gap", gaps), ("tf", tf)):
         top = np.maximum.reduceat(values, heads)
         blocks[name] = np.where(top < 1 << 8, 1, np.where(top < 1 << 16, 2, 4))
     size = blocks["n"].astype(np.int64) * (blocks["gap"].astype(np.int64) + blocks["tf"])
     blocks["at"] = np.cumsum(size) - size
-    parts = []
-    for a, b, g, f in zip(heads.tolist(), ends.tolist(), blocks["gap"].tolist(), blocks["tf"].tolist(), strict=True):
-        parts += (gaps[a:b].astype(WIDTHS[g]).tobytes(), tf[a:b].astype(WIDTHS[f]).tobytes())
+    data, block = np.zeros(int(size.sum()), np.uint8), np.repeat(np.arange(len(heads)), ends - heads)
+    at, inside = blocks["at"][block], np.arange(len(doc)) - heads[block]
+    wide, n = blocks["gap"][block].astype(np.int64), blocks["n"][block].astype(np.int64)
+    for values, width, begin in ((gaps, wide, at), (tf, blocks["tf"][block].astype(np.int64), at + n * wide)):
+        for k in range(int(width.max())):  # the k-th lowest byte of every value that has one
+            has = width > k
+            data[(begin + inside * width + k)[has]] = (values[has] >> 8 * k) & 255
     firsts = np.append(0, np.cumsum((counts + BLOCK - 1) // BLOCK)).astype("<i4")
-    return {"n_docs": len(kept), "docs": meta.tobytes(), "terms": b"\n".join(names), "counts": counts.tobytes(), "firsts": firsts.tobytes(), "blocks": blocks.tobytes(), "postings": b"".join(parts)}
+    return {"n_docs": len(kept), "docs": meta.tobytes(), "terms": b"\n".join(names), "counts": counts.tobytes(), "firsts": firsts.tobytes(), "blocks": blocks.tobytes(), "postings": data.tobytes()}
 
 
 class Index:
@@ -188,13 +193,13 @@ class Segment:
         self.docs = np.frombuffer(docs, DOC)
         self.place = {t: k for k, t in enumerate(terms.split(b"\n"))}
         self.firsts, self.blocks, self.postings = np.frombuffer(firsts, "<i4"), np.frombuffer(blocks, BLOCKS), postings
-        self.last, self.impact = self.blocks["last"].astype(np.int64), self.blocks["impact"].astype(np.int64)
+        self.first, self.last, self.impact = (self.blocks[c].astype(np.int64) for c in ("first", "last", "impact"))
         self.open: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def block(self, b: int, first: bool) -> tuple[np.ndarray, np.ndarray]:
         """(documents, impacts) of a block."""
         if b not in self.open:
-            _, _, at, n, gap, tf = self.blocks[b].item()
+            _, _, _, at, n, gap, tf = self.blocks[b].item()
             docs = np.cumsum(np.frombuffer(self.postings, WIDTHS[gap], n, at), dtype=np.int64) + (-1 if first else self.last[b - 1])
             self.open[b] = docs, impacts(np.frombuffer(self.postings, WIDTHS[tf], n, at + n * gap), self.docs["m"][docs])
         return self.open[b]
@@ -202,22 +207,24 @@ class Segment:
     def search(self, query: list[tuple[bytes, int]], k: int, least: int) -> tuple[np.ndarray, np.ndarray]:
         """(documents, scores) of the k highest scores above 0 and not below `least`, equal scores by document; query: (term, weight times repeats).
 
-        The block boundaries of all terms cut the documents into ranges. Within a range every term
-        stays in one block, so the weighted maximum impacts of these blocks, found by moving
-        pointers over the blocks' last documents only, bound each score in it. Ranges go from the
-        highest bound down, a growing number at a time, until the next bound is below the k-th
-        score; only their blocks are decompressed.
+        The first and last documents of all terms' blocks cut the documents into ranges. Within a
+        range every term stays in one block or in none, so the weighted maximum impacts of these blocks, found by moving
+        pointers over the blocks' ends only, bound each score in it. Ranges go from the highest bound
+        down, a growing number at a time, until the next bound is below the k-th score; only their
+        blocks are decompressed.
         """
         lists = [(self.firsts[p], self.firsts[p + 1], w) for t, w in query if w > 0 and (p := self.place.get(t)) is not None]
         nothing = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if not lists:
             return nothing
-        ends = np.unique(np.concatenate([self.last[a:b] for a, b, _ in lists]))
-        pointers = [np.searchsorted(self.last[a:b], ends) + a for a, b, _ in lists]  # shallow moves: the block that reaches each range, b if none does
-        bound = np.zeros(len(ends), np.int64)
-        for (_, b, w), at in zip(lists, pointers, strict=True):
-            alive = at < b
-            bound[alive] += w * self.impact[at[alive]]
+        ends = np.unique(np.concatenate([x for a, b, _ in lists for x in (self.first[a:b] - 1, self.last[a:b])]))
+        bound, pointers = np.zeros(len(ends), np.int64), []
+        for a, b, w in lists:  # shallow moves: the block that holds each range, -1 if none does
+            at = np.searchsorted(self.last[a:b], ends) + a
+            at[at == b] = a
+            at[(self.first[at] > ends) | (self.last[at] < ends)] = -1
+            bound += np.where(at < 0, 0, w * self.impact[at])
+            pointers.append(at)
         order = np.argsort(-bound, kind="stable")
         found, scores, done, step = *nothing, 0, 1
         while done < len(order) and bound[order[done]] >= max(least, 1):
@@ -226,11 +233,10 @@ class Segment:
             take = np.zeros(len(ends) + 1, bool)
             take[chosen] = True
             total = np.zeros(len(self.docs), np.int64)
-            for (a, b, w), at in zip(lists, pointers, strict=True):
-                for block in np.unique(at[chosen]).tolist():
-                    if block < b:
-                        docs, impact = self.block(block, block == a)
-                        total[docs] += w * impact
+            for (a, _, w), at in zip(lists, pointers, strict=True):
+                for block in {*at[chosen].tolist()} - {-1}:
+                    docs, impact = self.block(block, block == a)
+                    total[docs] += w * impact
             hit = np.flatnonzero(total)
             hit = hit[take[np.searchsorted(ends, hit)]]  # outside the ranges sums are not whole
             found, scores = np.append(found, hit), np.append(scores, total[hit])

@@ -81,7 +81,7 @@ def patterns(docs: DataFrame, labels: DataFrame, part_col: str = "source", id_co
     return both.select("part", "x.pattern", "good", "toxic", "x.n").where("n > 0")
 
 
-def audit(docs: DataFrame, labels: DataFrame, part_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def audit(docs: DataFrame, labels: DataFrame, part_col: str = "source", id_col: str = "doc_id", text_col: str = "text", held: int = HELD_PARTS) -> DataFrame:
     """A row for each part, order of the filters and step: part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley.
 
     Filters A (under 200 words), B (under half of the words distinct), C (over 2 % capitals), D (a sign of
@@ -103,30 +103,30 @@ def audit(docs: DataFrame, labels: DataFrame, part_col: str = "source", id_col:
             return pa.RecordBatch.from_arrays(cols, names=["part", *names])
 
         def empty():
-            return {}, {m: np.zeros((HELD_PARTS, CELLS), np.int64) for m in MEASURES} | {"n": np.zeros(HELD_PARTS, np.int64)}
+            return {}, {m: np.zeros((held, CELLS), np.int64) for m in MEASURES} | {"n": np.zeros(held, np.int64)}
 
         parts, sums = empty()
         cell = np.arange(len(ORDERS)) * STEPS
         for batch in it:
             rows = list(zip(*(batch.column(c).to_pylist() for c in ("part", "pattern", "good", "toxic", "n")), strict=True))
-            for lo in range(0, len(rows), HELD_PARTS):
-                some = rows[lo : lo + HELD_PARTS]
-                if len(parts) + len({r[0] for r in some} - parts.keys()) > HELD_PARTS:
+            for lo in range(0, len(rows), held):
+                some = rows[lo : lo + held]
+                if len(parts) + len({r[0] for r in some} - parts.keys()) > held:
                     yield sent(parts, sums)
                     parts, sums = empty()
                 at = np.array([parts.setdefault(r[0], len(parts)) for r in some])
                 pattern, good, toxic, n = (np.array([r[k] for r in some], np.int64) for k in range(1, 5))
                 gone = table[pattern]  # [row, order]: the step
-                where = np.where(gone < STEPS, at[:, None] * CELLS + cell + gone, HELD_PARTS * CELLS)
+                where = np.where(gone < STEPS, at[:, None] * CELLS + cell + gone, held * CELLS)
                 for m, weights in (("removed", n), ("good_lost", n * good), ("toxic_lost", n * toxic)):
-                    sums[m] += binned(where, np.repeat(weights, len(ORDERS)))
+                    sums[m] += binned(where, np.repeat(weights, len(ORDERS)), held)
                 fails = pattern[:, None, None] >> letters & 1 == 1  # [row, order, step]
                 later = fails & (np.arange(STEPS) > gone[:, :, None])
                 alone = pattern[:, None, None] == 1 << letters
                 every = at[:, None] * CELLS + np.arange(CELLS)
                 for m, holds in (("redundant", later), ("unique_fails", alone)):
-                    sums[m] += binned(np.where(holds.reshape(len(some), CELLS), every, HELD_PARTS * CELLS), np.repeat(n, CELLS))
-                sums["n"] += np.bincount(at, weights=n, minlength=HELD_PARTS).astype(np.int64)
+                    sums[m] += binned(np.where(holds.reshape(len(some), CELLS), every, held * CELLS), np.repeat(n, CELLS), held)
+                sums["n"] += np.bincount(at, weights=n, minlength=held).astype(np.int64)
         if parts:
             yield sent(parts, sums)
 
@@ -140,9 +140,9 @@ def audit(docs: DataFrame, labels: DataFrame, part_col: str = "source", id_col:
     return named.select("part", "filter_order", "step", (F.col("n") - so_far).alias("kept"), *MEASURES, of_filter.alias("shapley"))
 
 
-def binned(where: np.ndarray, weights: np.ndarray) -> np.ndarray:
+def binned(where: np.ndarray, weights: np.ndarray, parts: int) -> np.ndarray:
     """Sums of the weights by cell, as [part, cell]; the last bin holds what belongs nowhere. Exact below 2^53 a call."""
-    return np.bincount(where.ravel(), weights=weights, minlength=HELD_PARTS * CELLS + 1)[:-1].astype(np.int64).reshape(HELD_PARTS, CELLS)
+    return np.bincount(where.ravel(), weights=weights, minlength=parts * CELLS + 1)[:-1].astype(np.int64).reshape(parts, CELLS)
 
 
 SQL = r"""
