@@ -475,20 +475,24 @@ def matrix_glasso_two_columns(spark, sf_dir):
     return in_micro(estimate.two_column_precision(tables.embedding_matrix(spark, sf_dir, dims=2), 25, 5e-4), "weight", "weight_micro")
 
 
-# With two columns the lasso has a closed form, so SQL can follow the solver, the EBIC and the choice over the path.
+# With two columns the lasso has a closed form, so SQL can follow the solver, the EBIC and the choice over the path: every pair of neighbouring columns makes windows of its own.
 ALPHAS = [float(f"{a:.3g}") for a in np.exp(np.linspace(-9, -5, 9))]
+APART = 10**9
 CHOSEN = [
-    o.OBS[0], o.OBS[1], "c2 AS (SELECT sample, win, var_pop(x[1]) AS aa, var_pop(x[2]) AS bb, covar_pop(x[1], x[2]) AS ab, avg(x[1]) AS ma, avg(x[2]) AS mb, CAST(count(*) AS DOUBLE) AS n FROM win GROUP BY ALL)",
+    o.OBS[0], o.OBS[1], "cp AS (SELECT sample, win + k * 40000000 AS win, x[2 * k + 1] AS a, x[2 * k + 2] AS b FROM win, (SELECT unnest(range(32)) AS k))",
+    "c2 AS (SELECT sample, win, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, avg(a) AS ma, avg(b) AS mb, CAST(count(*) AS DOUBLE) AS n FROM cp GROUP BY ALL)",
     f"path AS (SELECT unnest([{', '.join(f'CAST({a!r} AS DOUBLE)' for a in ALPHAS)}]) AS alpha, unnest(range({len(ALPHAS)})) AS step)",
     "w2 AS (SELECT *, sign(ab) * greatest(abs(ab) - alpha, 0.0) AS w FROM c2, path)", "d2 AS (SELECT *, aa * bb - w * w AS det, CASE WHEN abs(w / (aa * bb - w * w)) >= 0.001 THEN -w / (aa * bb - w * w) ELSE 0.0 END AS theta FROM w2)",
     "e2 AS (SELECT *, 2 + CASE WHEN theta <> 0 THEN 1 ELSE 0 END AS edges FROM d2)",
-    "b2 AS (SELECT *, n * (2 * ln(2 * pi()) + ln(det)) + n * (2 * aa * bb - 2 * ab * w) / det + ln(n) * edges + 4 * edges * 0.5 * ln(2) AS ebic FROM e2)",
+    "b2 AS (SELECT *, n * (2 * ln(2 * pi()) + ln(det)) + n * (2 * aa * bb - 2 * ab * w) / det + ln(n) * edges + 4 * edges * 0.25 * ln(2) AS ebic FROM e2)",
     "best AS (SELECT * FROM b2 QUALIFY row_number() OVER (PARTITION BY sample, win ORDER BY ebic, step) = 1)",
 ]
 
 
 def two_columns(spark, sf_dir) -> GraphSet:
-    return estimate.estimate_graphs(tables.embedding_matrix(spark, sf_dir, dims=2), 25, ALPHAS, 0.5, set_labels="degree", set_attributes=lambda x: x.mean(axis=0)[:, None], max_iter=200, tol=1e-12)
+    obs = tables.embedding_matrix(spark, sf_dir).select("sample", "row_idx", "x", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("k"))
+    obs = obs.select("sample", (F.col("row_idx") + F.col("k").cast("long") * APART).alias("row_idx"), F.slice("x", 2 * F.col("k") + 1, 2).alias("x"))
+    return estimate.estimate_graphs(obs, 25, ALPHAS, 0.25, set_labels="degree", set_attributes=lambda x: x.mean(axis=0)[:, None], max_iter=200, tol=1e-12)
 
 
 @query(o.sql(CHOSEN, f"SELECT win * 2 + sample - 1 AS graph_id, 0 AS src, 1 AS dst, {o.MICRO.format('theta')} AS weight_micro FROM best WHERE theta <> 0"))
