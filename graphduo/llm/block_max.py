@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import count
@@ -23,7 +24,7 @@ from .common import cut, texts
 #: Postings of a block.
 BLOCK = 128
 #: Bytes of text of a segment, about; a longer document is a segment of its own.
-SEGMENT = 8 << 20
+SEGMENT = 4 << 20
 #: Every so many segments are searched first; their k-th scores are the others' first thresholds.
 LEAD = 16
 #: Characters of items searched in one pass over the index.
@@ -80,14 +81,14 @@ def lengths(docs: DataFrame) -> tuple[int, int]:
 def encode_segment(docs: list[tuple[int | None, str]], n_docs: int, n_terms: int) -> dict | None:
     """The columns of a segment but its number, for (doc_id, text) of its documents; None if no document has a term."""
     docs = sorted(docs, key=lambda d: (d[0] is None, d[0] or 0))
-    vocabulary, kept, term, doc, tf = defaultdict(count().__next__), [], [], [], []  # a new term gets the next number
+    vocabulary, kept, term, doc, tf = defaultdict(count().__next__), [], array("i"), array("i"), array("q")  # a new term gets the next number
     for doc_id, text in docs:
         counted = Counter(terms_of(text))
         if not counted:
             continue
-        term += map(vocabulary.__getitem__, counted)
-        tf += counted.values()
-        doc += [len(kept)] * len(counted)
+        term.extend(map(vocabulary.__getitem__, counted))
+        tf.extend(counted.values())
+        doc.extend([len(kept)] * len(counted))
         kept.append((doc_id or 0, doc_id is None, 25 + (75 * sum(counted.values()) * n_docs) // n_terms))
     if not kept:
         return None
@@ -95,7 +96,7 @@ def encode_segment(docs: list[tuple[int | None, str]], n_docs: int, n_terms: int
     place = np.empty(len(names), np.int64)
     place[[vocabulary[t] for t in names]] = np.arange(len(names))
     meta = np.array(kept, DOC)
-    term, doc, tf = place[np.array(term)], np.array(doc, np.int32), np.array(tf, np.int64)
+    term, doc, tf = place[np.frombuffer(term, np.int32)], np.frombuffer(doc, np.int32), np.frombuffer(tf, np.int64)
     order = np.argsort(term, kind="stable")  # documents stay in order within a term
     term, doc, tf = term[order], doc[order], tf[order]
     counts = np.bincount(term, minlength=len(names)).astype("<i4")
