@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Graphs in a block of the pair grid; for kernels that hold all node pairs of two blocks at a time, fewer.
@@ -77,6 +80,39 @@ def check_psd(gram: DataFrame, least: float = -1e-11) -> DataFrame:
     return gram
 
 
+def grid(rows: DataFrame, block: int) -> tuple[DataFrame, int, int] | None:
+    """(rows with own, their block; block size; blocks), None without rows. Blocks are of `block` graphs or fewer: as small as it takes for the pairs of blocks to fill the cores four times."""
+    n = rows.agg(F.max("ord")).first()[0]
+    if n is None:
+        return None
+    n = int(n) + 1
+    wanted = math.ceil(math.sqrt(8 * rows.sparkSession.sparkContext.defaultParallelism))  # blocks: half their square are pairs
+    size = max(1, min(block, n // wanted or 1))
+    return rows.withColumn("own", F.floor(F.col("ord") / size).cast("int")), size, (n - 1) // size + 1
+
+
+def tasks_of(rows: DataFrame, blocks: int) -> int:
+    """Tasks for the pairs of blocks, by number and not by bytes, which tell nothing about the work: a pair each up to 32 for a core."""
+    return min(blocks * (blocks + 1) // 2, 32 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
+def native_blocks(rows: DataFrame, value: Callable[[str, str], Column], block: int = BLOCK) -> DataFrame:
+    """Gram entries by an expression value(prefix of the first graph's columns, prefix of the second's), one row (ord, columns...) per graph.
+
+    The pair of blocks is the join key: a row goes to as many tasks as there are blocks, not to every other graph.
+    """
+    got = grid(rows, block)
+    if got is None:
+        return rows.sparkSession.createDataFrame([], "i int, j int, k double")
+    own, _, blocks = got
+    left = own.withColumn("q", F.explode(F.sequence(F.col("own"), F.lit(blocks - 1)))).withColumnRenamed("own", "p")
+    right = own.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("own")))).withColumnRenamed("own", "q")
+    n = tasks_of(rows, blocks)
+    name = lambda df, at: df.select("p", "q", *[F.col(c).alias(at + c) for c in rows.columns]).repartition(n, "p", "q")
+    met = name(left, "a_").join(name(right, "b_").hint("shuffle_hash"), ["p", "q"]).where("a_ord <= b_ord")
+    return met.select(F.col("a_ord").alias("i"), F.col("b_ord").alias("j"), value("a_", "b_").alias("k"))
+
+
 def by_blocks(rows: DataFrame, fn, block: int = BLOCK, prep=None, whole: bool = False) -> DataFrame:
     """Gram entries by a Python function of two graphs' rows, over a grid of blocks.
 
@@ -84,12 +120,11 @@ def by_blocks(rows: DataFrame, fn, block: int = BLOCK, prep=None, whole: bool =
     and a task holds two blocks; fn(a, b) gets dicts of the rows' columns, or what `prep` made of each
     of them, once per block. With `whole`, fn gets the lists of both blocks and returns the matrix of their values.
     """
-    n = rows.agg(F.max("ord")).first()[0]
-    if n is None:
+    got = grid(rows, block)
+    if got is None:
         return rows.sparkSession.createDataFrame([], "i int, j int, k double")
-    last = int(n) // block
-    own = F.floor(F.col("ord") / block).cast("int")
-    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(last))))
+    own, _, blocks = got
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     dealt = dealt.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -104,4 +139,4 @@ def by_blocks(rows: DataFrame, fn, block: int = BLOCK, prep=None, whole: bool =
             out = [(i, j, fn(a, b)) for i, _, a in left for j, _, b in right if i <= j]
         return pd.DataFrame(out, columns=["i", "j", "k"]).astype({"i": "int32", "j": "int32", "k": "float64"})
 
-    return dealt.groupBy("p", "q").applyInPandas(run, "i int, j int, k double")
+    return dealt.repartition(tasks_of(rows, blocks), "p", "q").groupBy("p", "q").applyInPandas(run, "i int, j int, k double")

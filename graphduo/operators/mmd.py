@@ -122,7 +122,7 @@ def _null_by_matrix(k: DataFrame, dealt: DataFrame, n: int, of_sums: Callable) -
             yield pd.DataFrame({"b": pdf["b"], "statistic": of_sums(sums)})
 
     side = lambda s: F.collect_list(F.when(F.col("a") == s, F.col("ord")))
-    return dealt.groupBy("b").agg(side(1).alias("first"), side(2).alias("second")).mapInPandas(run, "b int, statistic double")
+    return dealt.groupBy("b").agg(side(1).alias("first"), side(2).alias("second")).repartition(k.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, "b int, statistic double")
 
 
 def p_value(null: DataFrame, observed: DataFrame) -> DataFrame:

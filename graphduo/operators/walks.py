@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import inverse_or_zero
@@ -124,72 +125,139 @@ def top_modes(a: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
     return lam[pick], u[:, pick]
 
 
-def spectral(gs: GraphSet, kind: str, c: float, r: int, use_attr: bool = False, labels: list[str] | None = None, label_mode: str = "exclude") -> DataFrame:
-    """The kernel from each graph's r leading modes, in blocks of graph pairs; decompositions are made once per graph and block."""
-    if r < 1:
-        raise ValueError("r must be 1 or more")
-    gs.validate(label=kind == "RW_ARKL", edge_label=kind == "RW_ARKU_edge", undirected=kind != "RW_ARKU")
+#: A core whose eigenvectors are worse conditioned than this is not diagonalised; the pairs of its graph are solved as they are.
+CONDITION = 1e5
+FACTORS = "ord int, base double, mu array<array<double>>, sigma array<array<double>>"
+CORES = "ord int, base double, k int, channels int, whole boolean, mu array<double>, left array<double>, right array<double>, w array<double>, core array<double>"
+
+
+def labels_of(gs: GraphSet, kind: str, labels: list[str] | None) -> list[str] | None:
+    """The vocabulary of a kernel with labels, given or found."""
     if kind == "RW_ARKU_edge" and not labels:
-        labels = [x[0] for x in gs.edges.select("edge_label").distinct().orderBy("edge_label").collect()]  # a vocabulary
+        return [x[0] for x in gs.edges.select("edge_label").distinct().orderBy("edge_label").collect()]
     if kind == "RW_ARKL" and not labels:
-        labels = [x[0] for x in gs.nodes.select("label").distinct().orderBy("label").collect()]
-
-    def weights(row):
-        return np.array([x["p"] for x in row["nodes"]])
+        return [x[0] for x in gs.nodes.select("label").distinct().orderBy("label").collect()]
+    return labels
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores: a decomposition is work, not bytes."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, "ord")
+
+
+def spectra(gs: GraphSet, kind: str, r: int, use_attr: bool = False, labels: list[str] | None = None, label_mode: str = "exclude") -> DataFrame:
+    """FACTORS of RW_ARKU_plus and RW_ARKU_edge: of each channel (the one adjacency, or a label's) the r leading eigenvalues mu and sigma = mu (p . u)^2. One decomposition per graph and channel."""
+    other = (lambda l: lambda e: e != l) if label_mode == "exclude" else (lambda l: lambda e: e == l)  # noqa: E741
+    keeps = [None] if kind == "RW_ARKU_plus" else [other(l) for l in labels]  # noqa: E741
+
+    def run(it):
+        for pdf in it:
+            out = []
+            for row in pdf.to_dict("records"):
+                p = np.array([x["p"] for x in row["nodes"]])
+                modes = [top_modes(adjacency(row, keep), r) for keep in keeps]
+                out.append((row["ord"], float(p @ p), [lam.tolist() for lam, _ in modes], [(lam * (p @ u) ** 2).tolist() for lam, u in modes]))
+            yield pd.DataFrame(out, columns=["ord", "base", "mu", "sigma"])
+
+    return cut(spread(graph_rows(gs, use_attr)).mapInPandas(run, FACTORS))
+
+
+def from_spectra(s: DataFrame, c: float) -> DataFrame:
+    """pi_i pi_j + c sum over channels and modes a, b of sigma_a sigma_b / (1 - c mu_a mu_b), by array functions on stored spectra."""
+
+    def value(a: str, b: str) -> Column:
+        inner = f"aggregate(arrays_zip(y.m, y.s), 0D, (t, v) -> t + v.s / (1D - {c!r}D * u.m * v.m))"
+        channel = f"aggregate(arrays_zip(x.m, x.s), 0D, (t, u) -> t + u.s * {inner})"
+        zipped = lambda p: f"transform(arrays_zip({p}mu, {p}sigma), z -> named_struct('m', z.{p}mu, 's', z.{p}sigma))"
+        total = f"aggregate(zip_with({zipped(a)}, {zipped(b)}, (x, y) -> {channel}), 0D, (t, x) -> t + x)"
+        return F.expr(f"{a}base * {b}base + {c!r}D * {total}")
+
+    return gram.native_blocks(s, value)
+
+
+def cores(gs: GraphSet, kind: str, r: int, use_attr: bool = False, labels: list[str] | None = None) -> DataFrame:
+    """CORES of RW_ARKU and RW_ARKL: the rank-r factors of each graph, its r x r core diagonalised.
+
+    With X = U diag(w) V' of rank r and M = diag(w) V'U (with labels V'DU), a pair's kernel holds the inverse of
+    I - c M_i x M_j. M = P diag(mu) P^-1 makes that diagonal, so a pair costs r^2 divisions in place of an inverse of r^2 rows. Complex
+    numbers are stored as alternating real and imaginary parts. A core that is (near) defective is kept
+    as it is (whole).
+    """
+
+    def run(it):
+        for pdf in it:
+            out = []
+            for row in pdf.to_dict("records"):
+                a, p = adjacency(row), np.array([x["p"] for x in row["nodes"]])
+                if kind == "RW_ARKU":
+                    d = (a != 0).sum(axis=1) + (0 if row["directed"] else (np.diag(a) != 0))
+                    x, ends, mask = a.T / np.where(d > 0, d, 1)[:, None] * (d > 0)[:, None], p[None, :], np.ones(len(p))
+                else:
+                    is_ = np.array([[v["label"] == l for v in row["nodes"]] for l in labels], float)  # noqa: E741
+                    x, ends, mask = a.T, is_ * p, is_.sum(axis=0)
+                u, w, vt = np.linalg.svd(x)
+                keep = [k for k in range(min(r, len(w))) if w[k] > 1e-12]
+                u, w, vt = u[:, keep], w[keep], vt[keep]
+                left, right, core = ends @ u, ends @ vt.T, vt @ (mask[:, None] * u)
+                mu, vectors = np.linalg.eig(w[:, None] * core)
+                whole = bool(len(keep) and np.linalg.cond(vectors) > CONDITION)
+                if whole:
+                    mu = np.zeros(0, complex)
+                else:
+                    left, right = left @ vectors, np.linalg.solve(vectors, (w * right).T).T if len(keep) else right
+                out.append((row["ord"], float(p @ p), len(keep), len(ends), whole, *(v.astype(complex).ravel().view(float).tolist() for v in (mu, left, right)), w.tolist(), core.ravel().tolist()))
+            yield pd.DataFrame(out, columns=["ord", "base", "k", "channels", "whole", "mu", "left", "right", "w", "core"])
+
+    return cut(spread(graph_rows(gs, use_attr)).mapInPandas(run, CORES))
+
+
+def from_cores(s: DataFrame, c: float) -> DataFrame:
+    """The kernel from stored cores: c sum over a, b of (L_i' L_j)_ab (R_i' R_j)_ab / (1 - c mu_a mu_b) beside pi_i pi_j, a graph against a block at a time."""
+
+    def read(row):
+        shape = (row["channels"], row["k"])
+        number = lambda v, to: np.asarray(v, float).view(complex).reshape(to)
+        return row["base"], row["whole"], number(row["mu"], -1), number(row["left"], shape), number(row["right"], shape), np.asarray(row["w"], float), np.asarray(row["core"], float).reshape(row["k"], row["k"])
+
+    def factors(x):
+        """Left and right of a core as it is: also of one that was diagonalised."""
+        base, whole, mu, left, right, w, core = x
+        return (left, w * right, w[:, None] * core) if whole else (left, right, np.diag(mu))
+
+    def solved(x, y):
+        (l1, r1, m1), (l2, r2, m2) = factors(x), factors(y)
+        if not len(m1) or not len(m2):
+            return 0.0
+        inverse = np.eye(len(m1) * len(m2)) - c * np.kron(m1, m2)
+        return float(((l1.T @ l2).ravel() @ np.linalg.solve(inverse, (r1.T @ r2).ravel())).real)
+
+    def block(xs, ys):
+        widest = max((len(y[2]) for y in ys), default=0)
+        mu, left, right = np.zeros((len(ys), widest), complex), *(np.zeros((len(ys), ys[0][3].shape[0], widest), complex) for _ in range(2))
+        for n, y in enumerate(ys):
+            if not y[1]:
+                mu[n, : len(y[2])], left[n, :, : len(y[2])], right[n, :, : len(y[2])] = y[2], y[3], y[4]
+        out = np.outer([x[0] for x in xs], [y[0] for y in ys])
+        for n, x in enumerate(xs):
+            if not x[1] and len(x[2]) and widest:
+                parts = np.einsum("la,nlb->nab", x[3], left) * np.einsum("la,nlb->nab", x[4], right) / (1 - c * x[2][None, :, None] * mu[:, None, :])
+                out[n] += c * parts.sum(axis=(1, 2)).real
+            for m, y in enumerate(ys):
+                if x[1] or y[1]:
+                    out[n, m] = x[0] * y[0] + c * solved(x, y)
+        return out
+
+    return gram.by_blocks(s, block, prep=read, whole=True)
 
-    def symmetric_part(row, a):
-        p = weights(row)
-        lam, u = top_modes(a, r)
-        s = (p @ u) ** 2
-        return p @ p, lam, s
 
-    def from_modes(x, y):
-        if not len(x[1]) or not len(y[1]):
-            return 0.0
-        prod = np.outer(x[1], y[1])
-        return float((np.outer(x[2], y[2]) * c * prod / (1 - c * prod)).sum())
-
-    def singular(a, p, mask=None):
-        u, w, vt = np.linalg.svd(a)
-        keep = [k for k in range(min(r, len(w))) if w[k] > 1e-12]
-        return u[:, keep], w[keep], vt[keep]
-
-    if kind == "RW_ARKU_plus":
-        prep = lambda row: symmetric_part(row, adjacency(row))
-        pair = lambda x, y: x[0] * y[0] + from_modes(x, y)
-    elif kind == "RW_ARKU_edge":
-        other = (lambda l: lambda e: e != l) if label_mode == "exclude" else (lambda l: lambda e: e == l)  # noqa: E741
-        prep = lambda row: [symmetric_part(row, adjacency(row, other(l))) for l in labels]  # noqa: E731,E741
-        pair = lambda x, y: x[0][0] * y[0][0] + sum(from_modes(a, b) for a, b in zip(x, y, strict=True))
-    elif kind == "RW_ARKU":
-
-        def prep(row):
-            a, p = adjacency(row), weights(row)
-            d = (a != 0).sum(axis=1) + (0 if row["directed"] else (np.diag(a) != 0))
-            x = a.T / np.where(d > 0, d, 1)[:, None] * (d > 0)[:, None]
-            u, w, vt = singular(x, p)
-            return p @ p, p @ u, w, vt @ p, vt @ u
-
-        def pair(x, y):
-            if not len(x[2]) or not len(y[2]):
-                return x[0] * y[0]
-            mid = np.linalg.inv(np.diag(1 / np.kron(x[2], y[2])) - c * np.kron(x[4], y[4]))
-            return float(x[0] * y[0] + c * np.kron(x[1], y[1]) @ mid @ np.kron(x[3], y[3]))
-    elif kind == "RW_ARKL":
-
-        def prep(row):
-            a, p = adjacency(row), weights(row)
-            is_ = np.array([[x["label"] == l for x in row["nodes"]] for l in labels], float)  # noqa: E741
-            u, w, vt = singular(a.T, p)
-            return p @ p, (is_ * p) @ u, w, (is_ * p) @ vt.T, vt @ (is_.sum(axis=0)[:, None] * u)
-
-        def pair(x, y):
-            if not len(x[2]) or not len(y[2]):
-                return x[0] * y[0]
-            mid = np.linalg.inv(np.diag(1 / np.kron(x[2], y[2])) - c * np.kron(x[4], y[4]))
-            left = sum(np.kron(a, b) for a, b in zip(x[1], y[1], strict=True))
-            right = sum(np.kron(a, b) for a, b in zip(x[3], y[3], strict=True))
-            return float(x[0] * y[0] + c * left @ mid @ right)
-    else:
+def spectral(gs: GraphSet, kind: str, c: float, r: int, use_attr: bool = False, labels: list[str] | None = None, label_mode: str = "exclude") -> DataFrame:
+    """The kernel from each graph's r leading modes: each graph is decomposed once, in all tasks, and pairs meet the stored spectra."""
+    if r < 1:
+        raise ValueError("r must be 1 or more")
+    if kind not in KINDS:
         raise ValueError(f"kernel must be one of {KINDS}, not {kind!r}")
-    return gram.by_blocks(graph_rows(gs, use_attr), pair, prep=prep)
+    gs.validate(label=kind == "RW_ARKL", edge_label=kind == "RW_ARKU_edge", undirected=kind != "RW_ARKU")
+    labels = labels_of(gs, kind, labels)
+    if kind in ("RW_ARKU_plus", "RW_ARKU_edge"):
+        return from_spectra(spectra(gs, kind, r, use_attr, labels, label_mode), c)
+    return from_cores(cores(gs, kind, r, use_attr, labels), c)

@@ -102,6 +102,34 @@ def simple_walk(c: float, steps: int, arcs: str) -> list[str]:
     return [START, *walk(steps, "p", arcs), f"feat AS MATERIALIZED ({feat})", *series(c)]
 
 
+LEADING = [
+    POOLED, PAIRS, "modes AS MATERIALIZED (SELECT ord, base, coalesce(mu, 0.0) AS mu, coalesce(sigma, 0.0) AS sigma FROM pooled JOIN (SELECT graph_id, sum(v * v) AS base FROM p GROUP BY 1) USING (graph_id) LEFT JOIN top USING (graph_id))",
+    "gram AS MATERIALIZED (SELECT i, j, a.base * b.base + {c} * a.sigma * b.sigma / (1 - {c} * a.mu * b.mu) AS k FROM pairs JOIN modes a ON a.ord = i JOIN modes b ON b.ord = j)",
+]
+
+
+def leading(c: float) -> list[str]:
+    return [x.replace("{c}", f"CAST({c!r} AS DOUBLE)") for x in LEADING]
+
+
+def leading_eigenvalue(c: float, steps: int = 40) -> list[str]:
+    """The symmetric kernel at rank 1: powers of the adjacency on p leave its leading mode, mu = m81 / m80 and sigma = mu (p . u)^2, where m80 = (p . u)^2 mu^80."""
+    ends = f"SELECT graph_id, sum(a.v * a.v) AS m, sum(a.v * b.v) AS m1 FROM v{steps} a JOIN v{steps + 1} b USING (graph_id, node_id) GROUP BY 1"
+    return [START, "narcs AS MATERIALIZED (SELECT graph_id, src, dst, weight / 16 AS weight FROM arcs)", *walk(steps + 1, "p", "narcs"), f"top AS (SELECT graph_id, 16 * m1 / m AS mu, 16 * m1 / m * m / pow(m1 / m, {2 * steps}) AS sigma FROM ({ends}) WHERE m > 0)", *leading(c)]
+
+
+def leading_singular(c: float, arcs: str, rounds: int = 24) -> list[str]:
+    """The kernel of X (a table arcs) at rank 1: (X'X)^k p leaves v, u = X v / w; mu = w v.u, sigma = w (p.u) (v.p)."""
+    out = [START, f"back AS MATERIALIZED (SELECT graph_id, dst AS src, src AS dst, weight FROM {arcs})", "z0 AS MATERIALIZED (SELECT graph_id, node_id, v FROM p)"]
+    for k in range(1, rounds + 1):
+        for name, source, over in ((f"y{k}", f"z{k - 1}", arcs), (f"x{k}", f"y{k}", "back")):
+            out.append(f"{name} AS MATERIALIZED (SELECT n.graph_id, n.node_id, coalesce(sum(x.weight * m.v), 0.0) AS v FROM nodes n LEFT JOIN {over} x ON x.graph_id = n.graph_id AND x.src = n.node_id LEFT JOIN {source} m ON m.graph_id = x.graph_id AND m.node_id = x.dst GROUP BY ALL)")
+        out.append(f"z{k} AS MATERIALIZED (SELECT graph_id, node_id, v / nullif(sqrt(sum(v * v) OVER (PARTITION BY graph_id)), 0) AS v FROM x{k})")
+    out.append(f"wu AS MATERIALIZED (SELECT n.graph_id, n.node_id, coalesce(sum(x.weight * m.v), 0.0) AS v FROM nodes n LEFT JOIN {arcs} x ON x.graph_id = n.graph_id AND x.src = n.node_id LEFT JOIN z{rounds} m ON m.graph_id = x.graph_id AND m.node_id = x.dst GROUP BY ALL)")
+    out.append(f"top AS (SELECT graph_id, sum(a.v * b.v) AS mu, sum(p.v * a.v) * sum(p.v * b.v) AS sigma FROM wu a JOIN z{rounds} b USING (graph_id, node_id) JOIN p USING (graph_id, node_id) GROUP BY 1)")
+    return [*out, *leading(c)]
+
+
 def edge_walk(c: float, steps: int) -> list[str]:
     feat = "SELECT graph_id, '0' AS feature, 0 AS power, sum(v * v) AS v FROM p GROUP BY 1" + "".join(f" UNION ALL SELECT p.graph_id, '{k}:' || l, {k}, sum(p.v * v{k}.v) FROM p JOIN v{k} ON p.graph_id = v{k}.graph_id AND p.node_id = v{k}.node_id GROUP BY p.graph_id, l" for k in range(1, steps + 1))
     return [
