@@ -411,7 +411,7 @@ def test_keyword_list(spark, sf_dir):
 
 @query()
 def test_median_of_means(spark, sf_dir):
-    return two_sample_test(days(spark, sf_dir), "RW_ARKU", "MONK_EST", B=200, Q=3, r=None, c=1e-4)
+    return two_sample_test(days(spark, sf_dir), "RW_ARKU", "MONK_EST", B=B, Q=3, r=None, c=1e-4)
 
 
 # --- kernels of the adapter ---------------------------------------------------------------------------
@@ -530,4 +530,4 @@ def matrix_graphs(spark, sf_dir):
 @query()
 def matrix_test(spark, sf_dir):
     gs = estimate.estimate_graphs(tables.embedding_matrix(spark, sf_dir), 25, [3e-4, 1e-3, 3e-3], 0.0, set_labels="degree").stored()
-    return two_sample_test(gs, "RW_ARKU_plus", ["MMD_u", "MMD_b"], B=200, r=4, c=1e-7, check_psd=True)
+    return two_sample_test(gs, "RW_ARKU_plus", ["MMD_u", "MMD_b"], B=B, r=4, c=1e-7, check_psd=True)

@@ -10,11 +10,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import gram
+from . import blocked
 
 ESTIMATORS = ("MMD_u", "MMD_b", "MMD_l", "MONK_EST")
-#: Graphs up to which a Gram matrix is sent to the workers whole (32 MB); beyond, resampling goes by joins.
-MATRIX = 2000
+#: Graphs up to which statistics and resamplers that are functions of a whole matrix get one (200 MB).
+WHOLE = 5000
 #: Statistics that differ by less than this share of the largest tie: rounding, not a difference.
 TIE = 1e-9
 
@@ -86,43 +86,38 @@ def bootstraps(pooled: DataFrame, b: int, seed: int) -> DataFrame:
     return slots.select("b", "slot", draw.cast("int").alias("ord"), F.when(F.col("slot") < n1, 1).otherwise(2).alias("a"))
 
 
-def null_distribution(k: DataFrame, pooled: DataFrame, estimator: str, b: int, seed: int, scheme: str = "permutation", compat: bool = False, most: int = MATRIX) -> DataFrame:
-    """(b, statistic): the estimate for each of b resamples, which are dealt by hashes.
-
-    Up to `most` graphs the Gram matrix goes to the workers and a resample costs two products with it; beyond, by
-    joins, with the Gram table read once per resample.
-    """
+def null_sums(k: DataFrame, pooled: DataFrame, b: int, seed: int, scheme: str = "permutation") -> DataFrame:
+    """(b, xx, yy, dx, dy, xy): pair_sums for each of b resamples, which are dealt by hashes."""
     if scheme not in ("permutation", "bootstrap"):
         raise ValueError("scheme must be 'permutation' or 'bootstrap'")
-    n, n1 = pooled.count(), pooled.where("sample = 1").count()
-    n2 = n - n1
     d = permutations(pooled, b, seed) if scheme == "permutation" else bootstraps(pooled, b, seed)
-    if n <= most:
-        return _null_by_matrix(k, d, n, lambda sums: formula(estimator, n1, n2, compat, sums))
-    if scheme == "permutation":
-        one, two = d.select("b", F.col("ord").alias("i"), "a"), d.select("b", F.col("ord").alias("j"), F.col("a").alias("b2"))
-        pairs = k.join(one, "i").join(two, ["b", "j"]).select("b", "k", "a", F.col("b2"), (F.col("i") == F.col("j")).alias("same"))
-    else:
-        one, two = d.select("b", F.col("ord").alias("i"), F.col("slot").alias("s"), "a"), d.select("b", F.col("ord").alias("j"), F.col("slot").alias("t"), F.col("a").alias("b2"))
-        pairs = gram.symmetrised(k).join(one, "i").join(two, ["b", "j"]).where("s <= t").select("b", "k", "a", F.col("b2"), (F.col("s") == F.col("t")).alias("same"))
-    pairs = pairs.withColumnRenamed("b", "round").withColumnRenamed("b2", "b")
-    return pair_sums(pairs, ["round"]).select(F.col("round").alias("b"), formula(estimator, n1, n2, compat).alias("statistic"))
+    return blocked.resample_sums(blocked.tiles(k, pooled.count()), d, b)
 
 
-def _null_by_matrix(k: DataFrame, dealt: DataFrame, n: int, of_sums: Callable) -> DataFrame:
-    """(b, statistic) for draws (b, ord, a): with c the counts of each graph in a sample, sums of pairs are c' K c."""
-    shared = k.sparkSession.sparkContext.broadcast(gram.dense(k))  # n x n, at most MATRIX on a side
+def null_distribution(k: DataFrame, pooled: DataFrame, estimator: str, b: int, seed: int, scheme: str = "permutation", compat: bool = False) -> DataFrame:
+    """(b, statistic): the estimate for each of b resamples. For any number of graphs the matrix stays in tiles, each of which meets the counts of all resamples once."""
+    n, n1 = pooled.count(), pooled.where("sample = 1").count()
+    if estimator == "MMD_l":
+        return null_linear(k, pooled, b, seed, scheme)
+    return null_sums(k, pooled, b, seed, scheme).select("b", formula(estimator, n1, n - n1, compat).alias("statistic"))
 
-    def run(it):
-        kk = shared.value
-        for pdf in it:
-            c1, c2 = (np.stack([np.bincount(x, minlength=n) for x in pdf[c]]).astype(float) for c in ("first", "second"))
-            k1 = c1 @ kk
-            sums = ((k1 * c1).sum(axis=1), ((c2 @ kk) * c2).sum(axis=1), c1 @ np.diag(kk), c2 @ np.diag(kk), (k1 * c2).sum(axis=1))
-            yield pd.DataFrame({"b": pdf["b"], "statistic": of_sums(sums)})
 
-    side = lambda s: F.collect_list(F.when(F.col("a") == s, F.col("ord")))
-    return dealt.groupBy("b").agg(side(1).alias("first"), side(2).alias("second")).repartition(k.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, "b int, statistic double")
+def null_linear(k: DataFrame, pooled: DataFrame, b: int, seed: int, scheme: str = "permutation") -> DataFrame:
+    """(b, statistic) of MMD_l: only the 2n entries that a resample needs, met by a join of the Gram table with the neighbours of all resamples."""
+    n, n1 = pooled.count(), pooled.where("sample = 1").count()
+    if n != 2 * n1:
+        raise ValueError(f"MMD_l needs samples of the same size, not {n1} and {n - n1}")
+    if scheme == "permutation":
+        key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), F.col("graph_id").cast("string")))
+        dealt = pooled.select("ord", "graph_id", F.explode(F.sequence(F.lit(1), F.lit(b))).alias("b"))
+        place = dealt.select("b", "ord", (F.row_number().over(Window.partitionBy("b").orderBy(key, "graph_id")) - 1).alias("slot"))
+    else:
+        place = bootstraps(pooled, b, seed).select("b", "ord", "slot")
+    at = place.select("b", "ord", F.when(F.col("slot") < n1, 1).otherwise(2).alias("a"), (F.col("slot") % n1).alias("pos")).where(F.col("pos") < n1 - n1 % 2)
+    group = at.groupBy("b", F.floor(F.col("pos") / 2).alias("t")).agg(*[F.max(F.when((F.col("a") == s) & (F.col("pos") % 2 == o), F.col("ord"))).alias(f"{name}{o}") for s, name in ((1, "x"), (2, "y")) for o in (0, 1)])
+    pair = lambda u, v, sign: F.struct(F.least(u, v).alias("i"), F.greatest(u, v).alias("j"), F.lit(sign).alias("w"))
+    wanted = group.select("b", F.explode(F.array(pair("x0", "x1", 1.0), pair("y0", "y1", 1.0), pair("x0", "y1", -1.0), pair("x1", "y0", -1.0))).alias("e")).select("b", "e.i", "e.j", "e.w")
+    return wanted.join(k, ["i", "j"]).groupBy("b").agg((F.sum(F.col("w") * F.col("k")) / (n1 // 2)).alias("statistic"))
 
 
 def p_value(null: DataFrame, observed: DataFrame) -> DataFrame:
@@ -163,29 +158,51 @@ def dense_stat(k: np.ndarray, n1: int, estimator: str, compat: bool = False) ->
 
 
 def median_of_means(k: np.ndarray, n1: int, q: int, rng: np.random.Generator, rounds: int = 100, beta: float = 0.001) -> float:
-    """MONK (Lerasle et al. 2019): the median over q blocks of the witness gap, the witness improved by block coordinate steps on the median block."""
-    n2 = len(k) - n1
+    """MONK (Lerasle et al. 2019): the median over q blocks of the witness gap, the witness improved by block coordinate steps on the median block, whose
+    norm is that of the matrix with its negative eigenvalues clipped."""
+    lam, u = np.linalg.eigh(k)
+    return block_descent(blocked.Factor(np.eye(len(k)), k, u * np.sqrt(np.maximum(lam, 0))), np.arange(len(k)), n1, q, rng, rounds, beta)
+
+
+def block_descent(f: blocked.Factor, order: np.ndarray, n1: int, q: int, rng: np.random.Generator, rounds: int = 100, beta: float = 0.001) -> float:
+    """median_of_means of the graphs in an order, the first n1 being sample 1, on a factor: a step costs n x rank."""
+    n2 = len(order) - n1
     if q % 2 == 0:
         raise ValueError("Q must be odd")
     if q < 1 or q > min(n1, n2):
         raise ValueError("Q must be from 1 to the size of the smaller sample")
-    witness = np.ones(n1 + n2)
-    witness /= np.sqrt(max(witness @ k @ witness, 1e-300))
+    basis, plus = f.basis[order], f.plus[order]
+    witness = basis.sum(axis=0)  # the witness is kept by its products with the basis
+    witness /= np.sqrt(max(witness @ f.core @ witness, 1e-300))
     gap = 0.0
     for t in range(rounds):
         first = np.array_split(rng.permutation(n1), q)
         second = first if n1 == n2 else np.array_split(rng.permutation(n2), q)
-        value = k @ witness
+        value = basis @ (f.core @ witness)
         gaps = [value[a].mean() - value[n1 + b].mean() for a, b in zip(first, second, strict=True)]
         mid = int(np.argsort(gaps, kind="stable")[q // 2])
         gap = float(gaps[mid])
-        sign = np.zeros(n1 + n2)
-        sign[first[mid]], sign[n1 + second[mid]] = 1.0, -1.0
-        sign /= np.sqrt(max(sign @ k @ sign, 1e-300))
-        witness += (sign - witness) / (1 + beta * t)
+        a, b = first[mid], n1 + second[mid]
+        norm = np.linalg.norm(plus[a].sum(axis=0) - plus[b].sum(axis=0))
+        witness += ((basis[a].sum(axis=0) - basis[b].sum(axis=0)) / max(norm, 1e-150) - witness) / (1 + beta * t)
     return gap
 
 
+def null_median_of_means(spark, f: blocked.Factor, ids: Sequence, n1: int, q: int, b: int, seed: int, scheme: str = "permutation") -> DataFrame:
+    """(b, statistic): block_descent for each of b resamples, the factor sent to each worker (at most blocked.VECTORS bytes a part)."""
+    sent, ids = spark.sparkContext.broadcast(f), list(ids)
+
+    def run(it):
+        for pdf in it:
+            out = []
+            for r in map(int, pdf["id"]):
+                order = hash_order(seed, r, ids) if scheme == "permutation" else hash_draws(seed, r, len(ids))
+                out.append((r, block_descent(sent.value, order, n1, q, np.random.default_rng([seed, r]))))
+            yield pd.DataFrame(out, columns=["b", "statistic"]).astype({"b": "int32", "statistic": "float64"})
+
+    return spark.range(1, b + 1, 1, min(b, 4 * spark.sparkContext.defaultParallelism)).mapInPandas(run, "b int, statistic double")
+
+
 def hash_order(seed: int, b: int, ids: Sequence) -> np.ndarray:
     """Resample b of `permutations` as an order of the graphs: the first n1 are sample 1."""
     key = [hashlib.md5(f"{seed}|{b}|{i}".encode()).hexdigest() for i in ids]

@@ -7,9 +7,10 @@ from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..model import GraphSet
-from ..operators import external, gram, mmd, tangent, walks, wl
+from ..operators import blocked, external, gram, mmd, tangent, walks, wl
 from ..sources.tables import gram_from_matrix
 from .lineage import cut
 
@@ -96,47 +97,71 @@ def two_sample_test(gs: GraphSet | None, kernel, estimators: str | list[str] | d
     estimators: names of mmd.ESTIMATORS, or a dict of functions f(K, n1, rng). MONK_EST needs an odd Q. bootstrap_method:
     PermutationScheme, BootstrapScheme or a function (n, rng) -> indices. With a precomputed
     matrix and no graphs, n1 tells the size of the first sample. p = share of the null at or above the
-    observed value. The matrix is N x N on the driver and on each worker: N graphs, not the data.
+    observed value. Named estimators on the two schemes work on the Gram table and its tiles; functions of a whole
+    matrix get one, of mmd.WHOLE graphs at most.
     """
     named = [estimators] if isinstance(estimators, str) else estimators
-    stats: dict[str, Callable] = {}
-    for name in named:
-        if isinstance(named, dict):
-            stats[name] = named[name]
-        elif name == "MONK_EST":
-            if Q is None:
-                raise ValueError("MONK_EST needs Q")
-            if Q % 2 == 0:
-                raise ValueError("Q must be odd")
-            stats[name] = lambda k, n, rng: mmd.median_of_means(k, n, Q, rng)
-        elif name in mmd.ESTIMATORS:
-            stats[name] = lambda k, n, rng, e=name: mmd.dense_stat(k, n, e, compat)
-        else:
+    scheme = {"PermutationScheme": "permutation", "BootstrapScheme": "bootstrap"}.get(bootstrap_method, bootstrap_method) if isinstance(bootstrap_method, str) else bootstrap_method
+    if isinstance(scheme, str) and scheme not in ("permutation", "bootstrap"):
+        raise ValueError(f"no resampling scheme {bootstrap_method!r}")
+    for name in named if not isinstance(named, dict) else ():
+        if name not in mmd.ESTIMATORS:
             raise ValueError(f"estimator must be one of {mmd.ESTIMATORS}, not {name!r}")
-    log.info("kernel %s, estimators %s, options %s", kernel if isinstance(kernel, str) else type(kernel).__name__, list(stats), options)
+        if name == "MONK_EST" and Q is None:
+            raise ValueError("MONK_EST needs Q")
+        if name == "MONK_EST" and Q % 2 == 0:
+            raise ValueError("Q must be odd")
+    log.info("kernel %s, estimators %s, options %s", kernel if isinstance(kernel, str) else type(kernel).__name__, list(named), options)
     spark = gs.graphs.sparkSession if gs is not None else SparkSession.active()
     if gs is not None:
         log.info("columns in use: %s", ", ".join(columns_in_use(gs, kernel, options)))
-    scheme = {"PermutationScheme": "permutation", "BootstrapScheme": "bootstrap"}.get(bootstrap_method, bootstrap_method) if isinstance(bootstrap_method, str) else bootstrap_method
-    if isinstance(scheme, str) and scheme not in ("permutation", "bootstrap"):
-        raise ValueError(f"no resampling scheme {bootstrap_method!r}")
+    if check_symmetry and isinstance(kernel, (np.ndarray, tuple)) and not np.allclose(kernel, np.asarray(kernel).T):
+        raise ValueError("the Gram matrix is not symmetric")
     try:  # progress in the UI
         spark.sparkContext.setJobDescription(f"kernel matrix: {kernel if isinstance(kernel, str) else 'given'}")
-        k = gram.dense(kernel_matrix(gs, kernel, **options))
-        ids = None
+        k = cut(kernel_matrix(gs, kernel, **options))
+        n = int(k.agg(F.max("j")).first()[0] or 0) + 1
         if gs is not None:
-            n1, ids = gs.sizes()[0], [r["graph_id"] for r in gs.pooled().orderBy("ord").select("graph_id").collect()]  # N ids, beside the N x N matrix
-        if n1 is None or not 0 < n1 < len(k):
+            n1 = gs.sizes()[0]
+        if n1 is None or not 0 < n1 < n:
             raise ValueError("n1 must tell the size of the first sample")
-        if check_symmetry and not np.allclose(k, k.T):
-            raise ValueError("the Gram matrix is not symmetric")
+        pooled = cut(gs.pooled() if gs is not None else spark.range(n).select(F.col("id").alias("graph_id"), F.when(F.col("id") < n1, 1).otherwise(2).alias("sample"), F.lit(False).alias("directed"), F.col("id").cast("int").alias("ord"), F.when(F.col("id") < n1, F.col("id")).otherwise(F.col("id") - n1).cast("int").alias("pos")))
         spark.sparkContext.setJobDescription(f"null distribution: {B} resamples")
-        observed = {name: float(f(k, n1, np.random.default_rng([seed, 0]))) for name, f in stats.items()}
-        null = mmd.dense_null(spark, k, n1, stats, B, seed, scheme, ids=ids).toPandas()  # B numbers per estimator
+        if isinstance(named, dict) or callable(scheme):
+            found = whole_matrix(spark, k, pooled, n, n1, named, B, seed, scheme, Q, compat)
+        else:
+            found = by_tiles(spark, k, pooled, n, n1, named, B, seed, scheme, Q, compat)
     finally:
         spark.sparkContext.setJobDescription(None)
-    rows = []
-    for name, value in observed.items():
-        p = mmd.share_at_or_above(null.loc[null["estimator"] == name, "statistic"].to_numpy(), value)
-        rows.append((name, value, p, n1, len(k) - n1, B))
+    rows = [(name, value, mmd.share_at_or_above(null, value), n1, n - n1, B) for name, value, null in found]
     return spark.createDataFrame(rows, "estimator string, statistic double, p_value double, n1 int, n2 int, B int")
+
+
+def by_tiles(spark: SparkSession, k: DataFrame, pooled: DataFrame, n: int, n1: int, named: list[str], B: int, seed: int, scheme: str, Q: int | None, compat: bool) -> list[tuple[str, float, np.ndarray]]:
+    """(estimator, statistic, its B values under the null): MMD_u and MMD_b share one pass over the tiles, MMD_l reads the entries it needs, MONK_EST works on a factor."""
+    numbers = lambda df: df.orderBy("b").toPandas()["statistic"].to_numpy()  # noqa: E731  B numbers
+    sums, out = None, []
+    for name in named:
+        if name == "MONK_EST":
+            f = blocked.factor(blocked.tiles(k, n))
+            ids = [r["graph_id"] for r in pooled.orderBy("ord").select("graph_id").collect()]  # n ids, beside n x rank numbers
+            seen = mmd.block_descent(f, np.arange(n), n1, Q, np.random.default_rng([seed, 0]))
+            out.append((name, seen, numbers(mmd.null_median_of_means(spark, f, ids, n1, Q, B, seed, scheme))))
+            continue
+        seen = float(mmd.estimate(k, pooled, name, compat).first()["statistic"])
+        if name == "MMD_l":
+            out.append((name, seen, numbers(mmd.null_linear(k, pooled, B, seed, scheme))))
+            continue
+        sums = cut(mmd.null_sums(k, pooled, B, seed, scheme)) if sums is None else sums
+        out.append((name, seen, numbers(sums.select("b", mmd.formula(name, n1, n - n1, compat).alias("statistic")))))
+    return out
+
+
+def whole_matrix(spark: SparkSession, k: DataFrame, pooled: DataFrame, n: int, n1: int, named, B: int, seed: int, scheme: str | Callable, Q: int | None, compat: bool) -> list[tuple[str, float, np.ndarray]]:
+    """by_tiles for functions of a whole matrix, which goes to the driver and each worker."""
+    if n > mmd.WHOLE:
+        raise ValueError(f"own statistics and resamplers get the whole matrix: at most {mmd.WHOLE} graphs, not {n}")
+    named_ = {name: (lambda m, size, rng: mmd.median_of_means(m, size, Q, rng)) if name == "MONK_EST" else (lambda m, size, rng, e=name: mmd.dense_stat(m, size, e, compat)) for name in named} if not isinstance(named, dict) else named
+    m, ids = gram.dense(k), [r["graph_id"] for r in pooled.orderBy("ord").select("graph_id").collect()]
+    null = mmd.dense_null(spark, m, n1, named_, B, seed, scheme, ids=ids).toPandas()
+    return [(name, float(f(m, n1, np.random.default_rng([seed, 0]))), null.loc[null["estimator"] == name, "statistic"].to_numpy()) for name, f in named_.items()]
