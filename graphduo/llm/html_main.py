@@ -18,9 +18,11 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Containers that hold an article as a whole.
 HOLDS = frozenset(("article", "main"))
 #: Words in class, id or role that name menus, headers, sidebars, notices, adverts, forms and comments (fixed values).
-CHROME = frozenset("ad ads adv advert advertisement advertising alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies dialog disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted recommended related replies reply replylist search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split())
+CHROME = frozenset("ad ads adsbygoogle adsense adslot adv advert advertisement advertising alert banner breadcrumb breadcrumbs comment comments commentform commentlist complementary consent contentinfo cookie cookies dialog disqus doubleclick footer gdpr masthead menu modal nav navbar navigation newsletter notice outbrain pager pagination popup promo promoted recommended related replies reply replylist search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola toolbar widget".split())
 #: Words that stand beside these in a name without a meaning of their own (fixed values).
-BESIDE = frozenset("area article articles bar block body bottom box button buttons card cards center col column container content count desktop down drop dropdown email entry extra feed fixed floating footer form global grid header horizontal icon icons info inner item items large layout leaderboard left level links list lists local mail mailing main media mega message messages meta mobile module network news outer overlay page panel placeholder policy post posts primary reader readers rectangle region right row secondary section site skyscraper slot small sticky stories story sub submenu text thread title toggle tool tools top unit user utility vertical visitor wide widget widgets wrap wrapper".split())
+BESIDE = frozenset("above area article articles bar block body bottom box button buttons card cards center col column container content count desktop down drop dropdown email entry extra feed fixed floating footer form global google grid header horizontal icon icons info inner item items large layout leaderboard left level links list lists local mail mailing main media mega message messages meta mobile module network news outer overlay page panel placeholder policy post posts primary reader readers rectangle region right row secondary section site skyscraper slot small sticky stories story sub submenu text thread title toggle tool tools top unit user utility vertical visitor wide widget widgets wrap wrapper".split())
+#: Of CHROME, what tells that an article of its own is a reader's.
+COMMENT = frozenset("comment comments commentlist disqus replies reply replylist".split())
 SITE_HEADER = frozenset("header pageheader siteheader topbar".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements of running text: next to content in the same element they are content too.
@@ -34,9 +36,9 @@ def parts_of(name: str) -> list[str]:
     return [x.lower() for x in NAME.findall(name)]
 
 
-def names_chrome(value: str) -> bool:
-    """If a whole name in a class, id or role is of CHROME, alone or beside words that add nothing: cookie-notice is, notice-period is not."""
-    return any(parts and not CHROME.isdisjoint(parts) and all(x in CHROME or x in BESIDE for x in parts) for parts in map(parts_of, value.split()))
+def names_chrome(value: str, words: frozenset[str] = CHROME) -> bool:
+    """If a whole name in a class, id or role is of `words`, alone or beside words that add nothing: cookie-notice is, notice-period is not."""
+    return any(parts and not words.isdisjoint(parts) and all(x in CHROME or x in BESIDE for x in parts) for parts in map(parts_of, value.split()))
 
 
 def names_header(value: str) -> bool:
@@ -85,7 +87,9 @@ class Lines(HTMLParser):
             box.held = box
         hides = tag in NEVER or tag == "header" and not box.held or tag == "article" and box.held is not box and box.held.tag == "article"
         for k, v in attrs:
-            if k in ("class", "id", "role") and v and tag not in ("html", "body") and tag not in HOLDS:
+            if k in ("class", "id", "role") and v and tag in HOLDS:  # their names tell the layout, or a reader's comment
+                hides = hides or tag == "article" and names_chrome(v, COMMENT)
+            elif k in ("class", "id", "role") and v and tag not in ("html", "body"):
                 hides = hides or names_chrome(v) or not box.held and names_header(v)
             elif k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and "display:none" in v.replace(" ", "").lower():
                 hides = True

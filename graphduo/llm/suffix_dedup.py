@@ -352,8 +352,8 @@ def repeated_spans(distinct: DataFrame, tied: DataFrame, buckets: int) -> DataFr
                 use = np.flatnonzero((n_one >= near) & (n_one + n_other >= HALF))
                 if not len(use):
                     continue
-                order = use[np.lexsort((pos[use], ids[doc[use]], whole[use]))]
-                _, low, _ = several_docs(whole[order], ids[doc[order]])
+                order = use[np.lexsort((pos[use], ids[doc[use]], key[use], whole[use]))]
+                _, low, _ = several_docs(key[order], ids[doc[order]], whole[order])
                 done = order[ids[doc[order]] > low]
                 # all strings that hold at least `near` bytes of `one`
                 a, b_ = np.minimum(n_one[done], HALF), np.minimum(n_other[done], HALF - near)

@@ -271,6 +271,18 @@ def test_whole_texts_where_there_is_no_container():
     assert html_main.main_text(f"<body>{links}<h1>Head</h1><p class='ad'>Buy</p>{p(long_)}<p>By <b>one</b> hand.</p>{links}</body>") == " ".join(["Head", *long_, "By one hand."])
 
 
+def test_comments_and_adverts_beside_and_inside_the_article():
+    long_ = " ".join(["word"] * 60)
+    said = "".join(f"<article class='{c}'><p>{chr(97 + k) * 4} {long_}</p></article>" for k, c in enumerate(["comment", "comment-body depth-1", "reply", "CommentItem", "disqus-post"]))
+    inside = f"<ol class='commentlist'><li>said {long_}</li></ol><div class='adsbygoogle'>buy {long_}</div><div class='google-ads'>buy {long_}</div><div id='taboola-below-article'>more {long_}</div>"
+    assert html_main.main_text(f"<body><article class='post sidebar-right'><h1>Head</h1><p>{long_}</p>{inside}</article>{said}</body>") == f"Head {long_}"
+    assert html_main.main_text(f"<body>{said}<article class='post comments-open has-comments'><p>one {long_}</p></article></body>") == f"one {long_}"
+    assert html_main.main_text(f"<body><main class='comment'><p>{long_}</p></main></body>") == long_  # a page about one comment
+    assert html_main.main_text(f"<body><article class='comment'><p>{long_}</p></body>") == ""
+    two = f"<article class='part'><p>one {long_}</p></article><article class='part'><p>two {long_}</p></article>"
+    assert html_main.main_text(f"<body>{two}{said}</body>") == f"one {long_} two {long_}"
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 3), (None, None, None, 3), (2, "v", "<article>" + "<p>x y</p>" * 20000, 3), (2, "v", "", 3)], "page_id long, url string, html string, text int")
     got = sorted(html_main.extract(pages).collect(), key=str)
