@@ -274,7 +274,7 @@ def test_whole_texts_where_there_is_no_container():
 def test_comments_and_adverts_beside_and_inside_the_article():
     long_ = " ".join(["word"] * 60)
     said = "".join(f"<article class='{c}'><p>{chr(97 + k) * 4} {long_}</p></article>" for k, c in enumerate(["comment", "comment-body depth-1", "reply", "CommentItem", "disqus-post"]))
-    inside = f"<ol class='commentlist'><li>said {long_}</li></ol><div class='adsbygoogle'>buy {long_}</div><div class='google-ads'>buy {long_}</div><div id='taboola-below-article'>more {long_}</div>"
+    inside = f"<ol class='commentlist'><li>said {long_}</li></ol><div class='adsbygoogle'>buy {long_}</div><div class='google-ads'>buy {long_}</div><div id='taboola-bottom'>more {long_}</div>"
     assert html_main.main_text(f"<body><article class='post sidebar-right'><h1>Head</h1><p>{long_}</p>{inside}</article>{said}</body>") == f"Head {long_}"
     assert html_main.main_text(f"<body>{said}<article class='post comments-open has-comments'><p>one {long_}</p></article></body>") == f"one {long_}"
     assert html_main.main_text(f"<body><main class='comment'><p>{long_}</p></main></body>") == long_  # a page about one comment
