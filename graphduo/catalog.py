@@ -445,9 +445,9 @@ def gram_random_walk(spark, sf_dir):
 # --- kernels that have no SQL -------------------------------------------------------------------------
 
 
-@query()
+@query(gram_sql([*o.EVENTS, *o.refined(2), *o.sinkhorn(2, 0.1)], "exp(-1.0 * CASE WHEN i = j THEN 2 * k ELSE k END)"))
 def gram_wwl_sinkhorn(spark, sf_dir):
-    return wl.wasserstein(days(spark, sf_dir), 1.0, 2, sinkhorn=True, sinkhorn_lambda=0.1)
+    return in_micro(wl.wasserstein(days(spark, sf_dir), 1.0, 2, sinkhorn=True, sinkhorn_lambda=0.1))
 
 
 @query()
@@ -455,9 +455,9 @@ def gram_dk_word2vec(spark, sf_dir):
     return wl.deep_word2vec(brands(spark, sf_dir), "wl", 2, 4, 2, 0)
 
 
-@query()
+@query(gram_sql([*o.CO_PURCHASE, *o.propagation(3, 0.01)], unit="CAST({0} AS BIGINT)", name="k"))
 def gram_propagation(spark, sf_dir):
-    return external.propagation(brands(spark, sf_dir), 3, 0.01, "TV")
+    return external.propagation(brands(spark, sf_dir), 3, 0.01, "TV").select("i", "j", F.col("k").cast("long").alias("k"))
 
 
 @query()

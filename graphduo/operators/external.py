@@ -20,7 +20,7 @@ def propagation(gs: GraphSet, t_max: int = 5, w: float = 0.01, metric: str = "TV
     """Propagation kernel (Neumann et al. 2016): distributions diffuse along transition rows; in each round nodes fall into bins of a random projection, and common bins are counted.
 
     metric 'TV' draws Cauchy directions, 'L1' too, 'L2' and 'H' Gaussian ones ('H' on square roots); the draws are
-    fixed by the seed, the round and the dimension.
+    fixed by the seed, the round and the dimension. A node without neighbours has no distribution after round 0: its bin is that of the shift.
     """
     if metric not in ("TV", "L1", "L2", "H"):
         raise ValueError("metric must be TV, L1, L2 or H")
@@ -38,7 +38,8 @@ def propagation(gs: GraphSet, t_max: int = 5, w: float = 0.01, metric: str = "TV
         draw = F.tan(np.pi * (u - 0.5)) if metric in ("TV", "L1") else F.sqrt(-2 * F.ln(u)) * F.cos(2 * np.pi * u2)
         shift = w * hash_unit(F.lit(str(seed)), F.lit(str(t)), F.lit("shift"))
         value = F.sqrt("v") if metric == "H" else F.col("v")
-        bins = now.groupBy("graph_id", "node_id").agg(F.floor((F.sum(value * draw) + F.max(shift)) / w).alias("bin"))
+        placed = gs.nodes.select("graph_id", "node_id").join(now.groupBy("graph_id", "node_id").agg(F.sum(value * draw).alias("x")), ["graph_id", "node_id"], "left")
+        bins = placed.select("graph_id", F.floor((F.coalesce("x", F.lit(0.0)) + shift) / w).alias("bin"))
         c = bins.groupBy("graph_id", F.concat_ws("+", F.lit(str(t)), F.col("bin").cast("string")).alias("feature")).agg(F.count("*").cast("double").alias("v"))
         counts = c if counts is None else counts.unionAll(c)
         if t < t_max:

@@ -130,6 +130,33 @@ def leading_singular(c: float, arcs: str, rounds: int = 24) -> list[str]:
     return [*out, *leading(c)]
 
 
+def sinkhorn(h: int, reg: float, rounds: int = 50) -> list[str]:
+    """The entropic plan over all node pairs, scalings in turn, from labels wl (graph_id, node_id, it, label)."""
+    out = [
+        POOLED, PAIRS, "seq AS MATERIALIZED (SELECT ord, node_id, it, wl.label FROM wl JOIN pooled USING (graph_id))", "mass AS MATERIALIZED (SELECT ord, count(DISTINCT node_id) AS n FROM seq GROUP BY 1)",
+        f"cells AS MATERIALIZED (SELECT x.ord AS i, y.ord AS j, x.node_id AS a, y.node_id AS b, avg(CASE WHEN x.label = y.label THEN 0.0 ELSE 1.0 END) AS c FROM seq x JOIN seq y ON x.ord <= y.ord AND x.it = y.it GROUP BY ALL)",
+        f"kern AS MATERIALIZED (SELECT i, j, a, b, c, exp(-c / {reg!r}) AS k, p.n AS ni, q.n AS nj FROM cells JOIN mass p ON p.ord = i JOIN mass q ON q.ord = j)", "u0 AS MATERIALIZED (SELECT DISTINCT i, j, a, CAST(1 AS DOUBLE) AS s FROM kern)",
+    ]
+    for r in range(1, rounds + 1):
+        out.append(f"s{r} AS MATERIALIZED (SELECT i, j, b, 1 / (any_value(nj) * sum(k * s)) AS s FROM kern JOIN u{r - 1} USING (i, j, a) GROUP BY ALL)".replace("GROUP BY ALL", "GROUP BY i, j, b"))
+        out.append(f"u{r} AS MATERIALIZED (SELECT i, j, a, 1 / (any_value(ni) * sum(k * s)) AS s FROM kern JOIN s{r} USING (i, j, b) GROUP BY i, j, a)")
+    return [*out, f"gram AS (SELECT i, j, sum(u.s * k * v.s * c) AS k FROM kern JOIN u{rounds} u USING (i, j, a) JOIN s{rounds} v USING (i, j, b) GROUP BY i, j)"]
+
+
+def propagation(t_max: int, w: float, seed: int = 0) -> list[str]:
+    """Bins of diffused label distributions under Cauchy directions drawn by hashes."""
+    unit = lambda *parts: f"((CAST('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 12) AS BIGINT) + 0.5) / {float(1 << 48)!r})"
+    out = ["step AS MATERIALIZED (SELECT graph_id, src, dst, 1.0 / count(*) OVER (PARTITION BY graph_id, src) AS p FROM arcs)", "d0 AS MATERIALIZED (SELECT graph_id, node_id, label AS dim, CAST(1 AS DOUBLE) AS v FROM nodes)"]
+    for t in range(t_max + 1):
+        if t:
+            out.append(f"d{t} AS MATERIALIZED (SELECT s.graph_id, s.src AS node_id, dim, sum(p * v) AS v FROM step s JOIN d{t - 1} d ON d.graph_id = s.graph_id AND d.node_id = s.dst GROUP BY 1, 2, 3)")
+        draw = f"tan(pi() * ({unit(repr(str(seed)), repr(str(t)), 'dim')} - 0.5))"
+        shift = f"({w!r} * {unit(repr(str(seed)), repr(str(t)), repr('shift'))})"
+        out.append(f"b{t} AS MATERIALIZED (SELECT n.graph_id, CAST(floor((coalesce(x, 0.0) + {shift}) / {w!r}) AS BIGINT) AS bin FROM nodes n LEFT JOIN (SELECT graph_id, node_id, sum(v * {draw}) AS x FROM d{t} GROUP BY 1, 2) USING (graph_id, node_id))")
+    bins = " UNION ALL ".join(f"SELECT graph_id, '{t}+' || bin AS feature FROM b{t}" for t in range(t_max + 1))
+    return [*out, f"feat AS MATERIALIZED (SELECT graph_id, feature, CAST(count(*) AS DOUBLE) AS v FROM ({bins}) GROUP BY 1, 2)", *dot()]
+
+
 def edge_walk(c: float, steps: int) -> list[str]:
     feat = "SELECT graph_id, '0' AS feature, 0 AS power, sum(v * v) AS v FROM p GROUP BY 1" + "".join(f" UNION ALL SELECT p.graph_id, '{k}:' || l, {k}, sum(p.v * v{k}.v) FROM p JOIN v{k} ON p.graph_id = v{k}.graph_id AND p.node_id = v{k}.node_id GROUP BY p.graph_id, l" for k in range(1, steps + 1))
     return [

@@ -60,6 +60,28 @@ def test_sinkhorn_comes_near_the_exact_cost(spark):
     assert np.abs(near - exact).max() < 0.05
 
 
+def test_sinkhorn_equals_the_plain_loop_and_does_not_underflow(spark):
+    graphs = random_set(spark, 3, seed=6, nodes=5) + [(1, ["x", "x", "y"], None, [])]
+    gs = graph_set(spark, graphs)
+    order = sorted(range(7), key=lambda k: (graphs[k][0], k))
+    labels = {}
+    for r in wl.refinement(gs, 2).collect():
+        labels.setdefault(r["graph_id"], {}).setdefault(r["node_id"], {})[r["it"]] = r["label"]
+
+    def plain(x, y, reg):
+        c = np.array([[np.mean([x[a][t] != y[b][t] for t in range(3)]) for b in sorted(y)] for a in sorted(x)])
+        k, u = np.exp(-c.astype(np.longdouble) / reg), np.ones(len(x), np.longdouble)  # of a range that holds exp(-10000)
+        for _ in range(50):
+            v = 1 / len(y) / (k.T @ u)
+            u = 1 / len(x) / (k @ v)
+        return (u[:, None] * k * v * c).sum()
+
+    for reg in (0.5, 0.05, 1e-4):
+        got = gram.dense(wl.sinkhorn_distance(gs, 2, reg))
+        assert np.allclose(got, [[float(plain(labels[a], labels[b], reg) if i <= j else plain(labels[b], labels[a], reg)) for j, b in enumerate(order)] for i, a in enumerate(order)], atol=1e-9)
+    assert np.exp(-1 / 1e-4) == 0
+
+
 def test_shortest_paths(spark):
     gs = graph_set(spark, [(1, list("aba"), None, PATH3), (1, list("ab"), None, []), (2, list("aaaa"), None, K4), (2, ["b"], None, [])])
     f = {(r["graph_id"], r["feature"]): r["v"] for r in wl.shortest_path_features(gs).collect()}
