@@ -21,6 +21,8 @@ class GraphSet:
     graphs: DataFrame
     nodes: DataFrame
     edges: DataFrame
+    #: (i, j), i <= j: the entries of the Gram table that are wanted, where not all are.
+    pairs: DataFrame | None = None
 
     def pooled(self) -> DataFrame:
         """graphs with ord, 0 .. N-1 in order of (sample, graph_id), and pos, the place within the sample. N rows, as many as the Gram matrix has."""
@@ -78,4 +80,4 @@ class GraphSet:
         """The three tables computed once and kept in the shared checkpoint folder: kernels read them several times."""
         from .plans.lineage import cut
 
-        return GraphSet(cut(self.graphs), cut(self.nodes), cut(self.edges))
+        return replace(self, graphs=cut(self.graphs), nodes=cut(self.nodes), edges=cut(self.edges))

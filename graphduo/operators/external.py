@@ -44,7 +44,7 @@ def propagation(gs: GraphSet, t_max: int = 5, w: float = 0.01, metric: str = "TV
         counts = c if counts is None else counts.unionAll(c)
         if t < t_max:
             now = cut(step.join(now.withColumnRenamed("node_id", "dst"), ["graph_id", "dst"]).groupBy("graph_id", F.col("src").alias("node_id"), "dim").agg(F.sum(F.col("p") * F.col("v")).alias("v")))
-    return gram.dot(counts, gs.pooled())
+    return gram.dot(counts, gs.pooled(), pairs=gs.pairs)
 
 
 def pyramid_match(gs: GraphSet, levels: int = 4, dims: int = 6, with_labels: bool = True) -> DataFrame:
@@ -71,20 +71,20 @@ def pyramid_match(gs: GraphSet, levels: int = 4, dims: int = 6, with_labels: boo
         same = [sum(min(n, b[c]) for c, n in a.items() if c in b) for a, b in zip(x, y, strict=True)]
         return float(same[-1] + sum((same[k] - same[k + 1]) / 2 ** (levels - 1 - k) for k in range(levels - 1)))
 
-    return gram.by_blocks(walks.graph_rows(gs), pair, prep=prep)
+    return gram.by_blocks(walks.graph_rows(gs), pair, prep=prep, pairs=gs.pairs)
 
 
 def shortest_path(gs: GraphSet, with_labels: bool = True) -> DataFrame:
     """Shortest-path kernel (Borgwardt and Kriegel 2005): inner products of the counts of (label, label, distance) over ordered pairs of different nodes."""
-    own = gs if with_labels else GraphSet(gs.graphs, gs.nodes.withColumn("label", F.lit("")), gs.edges)
+    own = gs if with_labels else GraphSet(gs.graphs, gs.nodes.withColumn("label", F.lit("")), gs.edges, gs.pairs)
     f = wl.shortest_path_counts(own, ordered=True)
-    return gram.dot(f.select("graph_id", "feature", F.col("n").cast("double").alias("v")), gs.pooled())
+    return gram.dot(f.select("graph_id", "feature", F.col("n").cast("double").alias("v")), gs.pooled(), pairs=gs.pairs)
 
 
 def edge_histogram(gs: GraphSet) -> DataFrame:
     """Inner products of the counts of arcs by edge label."""
     f = gs.arcs().groupBy("graph_id", F.coalesce("edge_label", F.lit("-1")).alias("feature")).agg(F.count("*").cast("double").alias("v"))
-    return gram.dot(f, gs.pooled())
+    return gram.dot(f, gs.pooled(), pairs=gs.pairs)
 
 
 def random_walk(gs: GraphSet, lamda: float = 0.1, p: int | None = None) -> DataFrame:
@@ -107,7 +107,7 @@ def random_walk(gs: GraphSet, lamda: float = 0.1, p: int | None = None) -> DataF
             total += s.sum()
         return float(total)
 
-    return gram.by_blocks(walks.graph_rows(gs), pair, prep=prep)
+    return gram.by_blocks(walks.graph_rows(gs), pair, prep=prep, pairs=gs.pairs)
 
 
 def by_name(gs: GraphSet, spec: list[dict]) -> DataFrame:

@@ -37,11 +37,20 @@ def meeting(f: DataFrame, *values: str) -> DataFrame:
     return a.join(b, ["feature", "task"]).where("i <= j")
 
 
-def dot(features: DataFrame, pooled: DataFrame, how=lambda a, b: F.sum(a * b)) -> DataFrame:
-    """Sum over common features of f(v_i, v_j), for features (graph_id, feature, v); pairs without any get 0."""
+def wanted(f: DataFrame, pairs: DataFrame | None, *values: str) -> DataFrame:
+    """meeting, or of these rows only those of the wanted pairs: features meet by graph, and no row of another pair is made."""
+    if pairs is None:
+        return meeting(f, *values)
+    a = f.select(F.col("ord").alias("i"), "feature", F.col("v").alias("a"), *values)
+    b = f.select(F.col("ord").alias("j"), "feature", F.col("v").alias("b"))
+    return pairs.select("i", "j").join(a, "i").join(b, ["j", "feature"])
+
+
+def dot(features: DataFrame, pooled: DataFrame, how=lambda a, b: F.sum(a * b), pairs: DataFrame | None = None) -> DataFrame:
+    """Sum over common features of f(v_i, v_j), for features (graph_id, feature, v), of all pairs or of those wanted; pairs without any get 0."""
     f = features.join(pooled.select("graph_id", "ord"), "graph_id").select("ord", "feature", "v")
-    k = meeting(f).groupBy("i", "j").agg(how(F.col("a"), F.col("b")).alias("k"))
-    return all_pairs(pooled).join(k, ["i", "j"], "left").select("i", "j", F.coalesce("k", F.lit(0.0)).alias("k"))
+    k = wanted(f, pairs).groupBy("i", "j").agg(how(F.col("a"), F.col("b")).alias("k"))
+    return (all_pairs(pooled) if pairs is None else pairs.select("i", "j")).join(k, ["i", "j"], "left").select("i", "j", F.coalesce("k", F.lit(0.0)).alias("k"))
 
 
 def normalised(gram: DataFrame) -> DataFrame:
@@ -98,11 +107,14 @@ def tasks_of(rows: DataFrame, blocks: int) -> int:
     return min(blocks * (blocks + 1) // 2, 32 * rows.sparkSession.sparkContext.defaultParallelism)
 
 
-def native_blocks(rows: DataFrame, value: Callable[[str, str], Column], block: int = BLOCK) -> DataFrame:
+def native_blocks(rows: DataFrame, value: Callable[[str, str], Column], block: int = BLOCK, pairs: DataFrame | None = None) -> DataFrame:
     """Gram entries by an expression value(prefix of the first graph's columns, prefix of the second's), one row (ord, columns...) per graph.
 
-    The pair of blocks is the join key: a row goes to as many tasks as there are blocks, not to every other graph.
+    The pair of blocks is the join key: a row goes to as many tasks as there are blocks, not to every other graph. Wanted pairs meet their two rows alone.
     """
+    if pairs is not None:
+        side = lambda key, at: rows.select(F.col("ord").alias(key), *[F.col(c).alias(at + c) for c in rows.columns if c != "ord"])
+        return pairs.select("i", "j").join(side("i", "a_"), "i").join(side("j", "b_"), "j").select("i", "j", value("a_", "b_").alias("k"))
     got = grid(rows, block)
     if got is None:
         return rows.sparkSession.createDataFrame([], "i int, j int, k double")
@@ -115,17 +127,20 @@ def native_blocks(rows: DataFrame, value: Callable[[str, str], Column], block: i
     return met.select(F.col("a_ord").alias("i"), F.col("b_ord").alias("j"), value("a_", "b_").alias("k"))
 
 
-def by_blocks(rows: DataFrame, fn, block: int = BLOCK, prep=None, whole: bool = False) -> DataFrame:
+def by_blocks(rows: DataFrame, fn, block: int = BLOCK, prep=None, whole: bool = False, pairs: DataFrame | None = None) -> DataFrame:
     """Gram entries by a Python function of two graphs' rows, over a grid of blocks.
 
     rows: (ord, columns...), one row per graph. Every row goes to the pairs of blocks it takes part in,
     and a task holds two blocks; fn(a, b) gets dicts of the rows' columns, or what `prep` made of each
-    of them, once per block. With `whole`, fn gets the lists of both blocks and returns the matrix of their values.
+    of them, once per block. With `whole`, fn gets the lists of both blocks and returns the matrix of their values. Of wanted
+    pairs, only the pairs of blocks that hold some are tasks, with the rows that take part, and only these values are computed.
     """
     got = grid(rows, block)
     if got is None:
         return rows.sparkSession.createDataFrame([], "i int, j int, k double")
-    own, _, blocks = got
+    own, size, blocks = got
+    if pairs is not None:
+        return by_pairs(rows, fn, size, blocks, prep, whole, pairs)
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     dealt = dealt.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other"))
 
@@ -142,3 +157,19 @@ def by_blocks(rows: DataFrame, fn, block: int = BLOCK, prep=None, whole: bool =
         return pd.DataFrame(out, columns=["i", "j", "k"]).astype({"i": "int32", "j": "int32", "k": "float64"})
 
     return dealt.repartition(tasks_of(rows, blocks), "p", "q").groupBy("p", "q").applyInPandas(run, "i int, j int, k double")
+
+
+def by_pairs(rows: DataFrame, fn, size: int, blocks: int, prep, whole: bool, pairs: DataFrame) -> DataFrame:
+    """by_blocks of wanted pairs: a sparse grid."""
+    asked = pairs.select("i", "j", F.floor(F.col("i") / size).cast("int").alias("p"), F.floor(F.col("j") / size).cast("int").alias("q"))
+    taking = asked.select("p", "q", F.explode(F.array("i", "j")).alias("ord")).distinct()
+    n = tasks_of(rows, blocks)
+
+    def run(given: pd.DataFrame, wish: pd.DataFrame) -> pd.DataFrame:
+        made = {r["ord"]: prep(r) if prep else r for r in given.to_dict("records")}
+        out = [(i, j, fn([made[i]], [made[j]])[0, 0] if whole else fn(made[i], made[j])) for i, j in zip(wish["i"], wish["j"], strict=True)]
+        return pd.DataFrame(out, columns=["i", "j", "k"]).astype({"i": "int32", "j": "int32", "k": "float64"})
+
+    left = taking.join(rows, "ord").repartition(n, "p", "q").groupBy("p", "q")
+    wish = asked.select("i", "j", F.col("p").alias("wp"), F.col("q").alias("wq")).repartition(n, "wp", "wq").groupBy("wp", "wq")
+    return left.cogroup(wish).applyInPandas(run, "i int, j int, k double")

@@ -104,6 +104,17 @@ def null_distribution(k: DataFrame, pooled: DataFrame, estimator: str, b: int, s
 
 def null_linear(k: DataFrame, pooled: DataFrame, b: int, seed: int, scheme: str = "permutation") -> DataFrame:
     """(b, statistic) of MMD_l: only the 2n entries that a resample needs, met by a join of the Gram table with the neighbours of all resamples."""
+    return neighbours(pooled, b, seed, scheme).join(k, ["i", "j"]).groupBy("b").agg((F.sum(F.col("w") * F.col("k")) / F.max("m")).alias("statistic"))
+
+
+def wanted_pairs(pooled: DataFrame, b: int, seed: int, scheme: str = "permutation") -> DataFrame:
+    """(i, j): the entries that MMD_l reads, of the samples as they are and of all resamples: some 2n (b + 1) of the n^2 / 2."""
+    near = neighbours(pooled, b, seed, scheme).select("i", "j")
+    return near.unionAll(placed_neighbours(pooled.select(F.lit(0).alias("b"), "ord", F.col("sample").alias("a"), "pos"), pooled.where("sample = 1").count()).select("i", "j")).distinct()
+
+
+def neighbours(pooled: DataFrame, b: int, seed: int, scheme: str) -> DataFrame:
+    """(b, i, j, w, m): pairs of graphs in neighbouring places of each resample, with their sign, and how many places of two there are."""
     n, n1 = pooled.count(), pooled.where("sample = 1").count()
     if n != 2 * n1:
         raise ValueError(f"MMD_l needs samples of the same size, not {n1} and {n - n1}")
@@ -113,11 +124,14 @@ def null_linear(k: DataFrame, pooled: DataFrame, b: int, seed: int, scheme: str
         place = dealt.select("b", "ord", (F.row_number().over(Window.partitionBy("b").orderBy(key, "graph_id")) - 1).alias("slot"))
     else:
         place = bootstraps(pooled, b, seed).select("b", "ord", "slot")
-    at = place.select("b", "ord", F.when(F.col("slot") < n1, 1).otherwise(2).alias("a"), (F.col("slot") % n1).alias("pos")).where(F.col("pos") < n1 - n1 % 2)
-    group = at.groupBy("b", F.floor(F.col("pos") / 2).alias("t")).agg(*[F.max(F.when((F.col("a") == s) & (F.col("pos") % 2 == o), F.col("ord"))).alias(f"{name}{o}") for s, name in ((1, "x"), (2, "y")) for o in (0, 1)])
+    return placed_neighbours(place.select("b", "ord", F.when(F.col("slot") < n1, 1).otherwise(2).alias("a"), (F.col("slot") % n1).alias("pos")), n1)
+
+
+def placed_neighbours(at: DataFrame, n1: int) -> DataFrame:
+    """neighbours of graphs placed as (b, ord, a, pos)."""
+    group = at.where(F.col("pos") < n1 - n1 % 2).groupBy("b", F.floor(F.col("pos") / 2).alias("t")).agg(*[F.max(F.when((F.col("a") == s) & (F.col("pos") % 2 == o), F.col("ord"))).alias(f"{name}{o}") for s, name in ((1, "x"), (2, "y")) for o in (0, 1)])
     pair = lambda u, v, sign: F.struct(F.least(u, v).alias("i"), F.greatest(u, v).alias("j"), F.lit(sign).alias("w"))
-    wanted = group.select("b", F.explode(F.array(pair("x0", "x1", 1.0), pair("y0", "y1", 1.0), pair("x0", "y1", -1.0), pair("x1", "y0", -1.0))).alias("e")).select("b", "e.i", "e.j", "e.w")
-    return wanted.join(k, ["i", "j"]).groupBy("b").agg((F.sum(F.col("w") * F.col("k")) / (n1 // 2)).alias("statistic"))
+    return group.select("b", F.explode(F.array(pair("x0", "x1", 1.0), pair("y0", "y1", 1.0), pair("x0", "y1", -1.0), pair("x1", "y0", -1.0))).alias("e")).select("b", "e.i", "e.j", "e.w", F.lit(n1 // 2).alias("m"))
 
 
 def p_value(null: DataFrame, observed: DataFrame) -> DataFrame:

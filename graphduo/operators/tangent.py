@@ -139,7 +139,7 @@ def deep(gs: GraphSet, num_layers: int, num_mlp_layers: int | None = None, jk: b
                 s, t = gather(s, x, y), gather(t, x, y)
         return 2 * (total if jk else sums(t, x, y))
 
-    return gram.by_blocks(gs_rows, block, block=gram.SMALL_BLOCK, prep=prep, whole=True)
+    return gram.by_blocks(gs_rows, block, block=gram.SMALL_BLOCK, prep=prep, whole=True, pairs=gs.pairs)
 
 
 def kernel(gs: GraphSet, num_layers: int, num_mlp_layers: int | None = None, jk: bool = True, scale: str = "uniform", degree_as_tag: bool = True, use_attr: bool = False) -> DataFrame:

@@ -90,8 +90,8 @@ def series(gs: GraphSet, kind: str, c: float, terms: int = 6, use_attr: bool = F
     scaled = f.select("graph_id", F.concat_ws("|", F.col("power").cast("string"), "feature").alias("feature"), "v", F.pow(F.lit(float(c)), F.col("power")).alias("w"))
     pooled = gs.pooled()
     at = scaled.join(pooled.select("graph_id", "ord"), "graph_id").select("ord", "feature", "v", "w")
-    k = gram.meeting(at, "w").groupBy("i", "j").agg(F.sum(F.col("w") * F.col("a") * F.col("b")).alias("k"))
-    return gram.all_pairs(pooled).join(k, ["i", "j"], "left").select("i", "j", F.coalesce("k", F.lit(0.0)).alias("k"))
+    k = gram.wanted(at, gs.pairs, "w").groupBy("i", "j").agg(F.sum(F.col("w") * F.col("a") * F.col("b")).alias("k"))
+    return (gram.all_pairs(pooled) if gs.pairs is None else gs.pairs).join(k, ["i", "j"], "left").select("i", "j", F.coalesce("k", F.lit(0.0)).alias("k"))
 
 
 def spectral_radius_bound(gs: GraphSet) -> float:
@@ -162,7 +162,7 @@ def spectra(gs: GraphSet, kind: str, r: int, use_attr: bool = False, labels: lis
     return cut(spread(graph_rows(gs, use_attr)).mapInPandas(run, FACTORS))
 
 
-def from_spectra(s: DataFrame, c: float) -> DataFrame:
+def from_spectra(s: DataFrame, c: float, pairs: DataFrame | None = None) -> DataFrame:
     """pi_i pi_j + c sum over channels and modes a, b of sigma_a sigma_b / (1 - c mu_a mu_b), by array functions on stored spectra."""
 
     def value(a: str, b: str) -> Column:
@@ -172,7 +172,7 @@ def from_spectra(s: DataFrame, c: float) -> DataFrame:
         total = f"aggregate(zip_with({zipped(a)}, {zipped(b)}, (x, y) -> {channel}), 0D, (t, x) -> t + x)"
         return F.expr(f"{a}base * {b}base + {c!r}D * {total}")
 
-    return gram.native_blocks(s, value)
+    return gram.native_blocks(s, value, pairs=pairs)
 
 
 def cores(gs: GraphSet, kind: str, r: int, use_attr: bool = False, labels: list[str] | None = None) -> DataFrame:
@@ -211,7 +211,7 @@ def cores(gs: GraphSet, kind: str, r: int, use_attr: bool = False, labels: list[
     return cut(spread(graph_rows(gs, use_attr)).mapInPandas(run, CORES))
 
 
-def from_cores(s: DataFrame, c: float) -> DataFrame:
+def from_cores(s: DataFrame, c: float, pairs: DataFrame | None = None) -> DataFrame:
     """The kernel from stored cores: c sum over a, b of (L_i' L_j)_ab (R_i' R_j)_ab / (1 - c mu_a mu_b) beside pi_i pi_j, a graph against a block at a time."""
 
     def read(row):
@@ -247,7 +247,7 @@ def from_cores(s: DataFrame, c: float) -> DataFrame:
                     out[n, m] = x[0] * y[0] + c * solved(x, y)
         return out
 
-    return gram.by_blocks(s, block, prep=read, whole=True)
+    return gram.by_blocks(s, block, prep=read, whole=True, pairs=pairs)
 
 
 def spectral(gs: GraphSet, kind: str, c: float, r: int, use_attr: bool = False, labels: list[str] | None = None, label_mode: str = "exclude") -> DataFrame:
@@ -259,5 +259,5 @@ def spectral(gs: GraphSet, kind: str, c: float, r: int, use_attr: bool = False,
     gs.validate(label=kind == "RW_ARKL", edge_label=kind == "RW_ARKU_edge", undirected=kind != "RW_ARKU")
     labels = labels_of(gs, kind, labels)
     if kind in ("RW_ARKU_plus", "RW_ARKU_edge"):
-        return from_spectra(spectra(gs, kind, r, use_attr, labels, label_mode), c)
-    return from_cores(cores(gs, kind, r, use_attr, labels), c)
+        return from_spectra(spectra(gs, kind, r, use_attr, labels, label_mode), c, gs.pairs)
+    return from_cores(cores(gs, kind, r, use_attr, labels), c, gs.pairs)

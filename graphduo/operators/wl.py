@@ -45,18 +45,18 @@ def frequencies(gs: GraphSet, h: int, per_iteration: bool = False) -> DataFrame:
 
 def deep_wl(gs: GraphSet, h: int = 2) -> DataFrame:
     """Inner products of label frequencies over iterations 0 .. h."""
-    return gram.dot(frequencies(gs, h), gs.pooled())
+    return gram.dot(frequencies(gs, h), gs.pooled(), pairs=gs.pairs)
 
 
 def vertex_histogram(gs: GraphSet, h: int = 2) -> DataFrame:
     """Inner products of label counts over iterations 0 .. h."""
     f = label_counts(gs, h).select("graph_id", F.concat_ws("+", F.col("it").cast("string"), "label").alias("feature"), F.col("n").cast("double").alias("v"))
-    return gram.dot(f, gs.pooled())
+    return gram.dot(f, gs.pooled(), pairs=gs.pairs)
 
 
 def wasserstein_distance(gs: GraphSet, h: int) -> DataFrame:
     """(i, j, k = distance): labels refine each other, so the ground cost is a tree metric and optimal transport is one minus the mean overlap of histograms."""
-    overlap = gram.dot(frequencies(gs, h, per_iteration=True), gs.pooled(), how=lambda a, b: F.sum(F.least(a, b)))
+    overlap = gram.dot(frequencies(gs, h, per_iteration=True), gs.pooled(), how=lambda a, b: F.sum(F.least(a, b)), pairs=gs.pairs)
     return overlap.select("i", "j", (1.0 - F.col("k") / (h + 1)).alias("k"))
 
 
@@ -113,7 +113,7 @@ def sinkhorn_distance(gs: GraphSet, h: int, reg: float) -> DataFrame:
             out[k] = entropic_costs(cost, n / n.sum(), mass, n, reg)
         return out
 
-    return gram.by_blocks(rows, block, block=gram.SMALL_BLOCK, whole=True)
+    return gram.by_blocks(rows, block, block=gram.SMALL_BLOCK, whole=True, pairs=gs.pairs)
 
 
 def shortest_path_counts(gs: GraphSet, max_rounds: int = 10_000, ordered: bool = False) -> DataFrame:
@@ -148,7 +148,7 @@ def shortest_path_features(gs: GraphSet, max_rounds: int = 10_000) -> DataFrame:
 
 
 def deep_sp(gs: GraphSet) -> DataFrame:
-    return gram.dot(shortest_path_features(gs), gs.pooled())
+    return gram.dot(shortest_path_features(gs), gs.pooled(), pairs=gs.pairs)
 
 
 def deep_word2vec(gs: GraphSet, kind: str = "wl", wl_it: int = 2, vector_size: int = 2, window: int = 2, min_count: int = 0, seed: int = 1, parts: int = 1) -> DataFrame:
@@ -166,7 +166,7 @@ def deep_word2vec(gs: GraphSet, kind: str = "wl", wl_it: int = 2, vector_size: i
     total = c.groupBy("graph_id").agg(F.sum("n").alias("all"))
     vec = model.getVectors().select(F.col("word").alias("feature"), F.posexplode(vector_to_array("vector")).alias("dim", "x"))
     place = c.join(total, "graph_id").join(vec, "feature").groupBy("graph_id", F.col("dim").cast("string").alias("feature")).agg(F.sum(F.col("n") / F.col("all") * F.col("x")).alias("v"))
-    return gram.dot(place, gs.pooled())
+    return gram.dot(place, gs.pooled(), pairs=gs.pairs)
 
 
 def counts(gs: GraphSet, kind: str, wl_it: int = 2) -> DataFrame:
@@ -180,4 +180,4 @@ def counts(gs: GraphSet, kind: str, wl_it: int = 2) -> DataFrame:
 
 def optimal_assignment(gs: GraphSet, h: int = 2) -> DataFrame:
     """The overlap of label histograms over iterations 0 .. h: the best assignment of nodes in the hierarchy of their labels."""
-    return gram.dot(counts(gs, "wl", h).select("graph_id", "feature", F.col("n").cast("double").alias("v")), gs.pooled(), lambda a, b: F.sum(F.least(a, b)))
+    return gram.dot(counts(gs, "wl", h).select("graph_id", "feature", F.col("n").cast("double").alias("v")), gs.pooled(), lambda a, b: F.sum(F.least(a, b)), pairs=gs.pairs)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -97,7 +98,8 @@ def two_sample_test(gs: GraphSet | None, kernel, estimators: str | list[str] | d
     estimators: names of mmd.ESTIMATORS, or a dict of functions f(K, n1, rng). MONK_EST needs an odd Q. bootstrap_method:
     PermutationScheme, BootstrapScheme or a function (n, rng) -> indices. With a precomputed
     matrix and no graphs, n1 tells the size of the first sample. p = share of the null at or above the
-    observed value. Named estimators on the two schemes work on the Gram table and its tiles; functions of a whole
+    observed value. MMD_l by itself has the kernel computed for the pairs of graphs that it reads, not for all; the
+    eigenvalue check, which needs all, is left out then. Named estimators on the two schemes work on the Gram table and its tiles; functions of a whole
     matrix get one, of mmd.WHOLE graphs at most.
     """
     named = [estimators] if isinstance(estimators, str) else estimators
@@ -119,10 +121,17 @@ def two_sample_test(gs: GraphSet | None, kernel, estimators: str | list[str] | d
         raise ValueError("the Gram matrix is not symmetric")
     try:  # progress in the UI
         spark.sparkContext.setJobDescription(f"kernel matrix: {kernel if isinstance(kernel, str) else 'given'}")
-        k = cut(kernel_matrix(gs, kernel, **options))
-        n = int(k.agg(F.max("j")).first()[0] or 0) + 1
         if gs is not None:
             n1 = gs.sizes()[0]
+        if list(named) == ["MMD_l"] and gs is not None and isinstance(kernel, (str, list)) and isinstance(scheme, str):
+            if gs.sizes()[1] != n1:
+                raise ValueError(f"MMD_l needs samples of the same size, not {n1} and {gs.sizes()[1]}")
+            near = mmd.wanted_pairs(cut(gs.pooled()), B, seed, scheme)
+            if options.get("normalize", False):
+                near = near.unionAll(gs.pooled().select(F.col("ord").alias("i"), F.col("ord").alias("j"))).distinct()
+            gs, options = replace(gs, pairs=cut(near)), {"check_psd": False, **options}
+        k = cut(kernel_matrix(gs, kernel, **options))
+        n = sum(gs.sizes()) if gs is not None else int(k.agg(F.max("j")).first()[0] or 0) + 1
         if n1 is None or not 0 < n1 < n:
             raise ValueError("n1 must tell the size of the first sample")
         pooled = cut(gs.pooled() if gs is not None else spark.range(n).select(F.col("id").alias("graph_id"), F.when(F.col("id") < n1, 1).otherwise(2).alias("sample"), F.lit(False).alias("directed"), F.col("id").cast("int").alias("ord"), F.when(F.col("id") < n1, F.col("id")).otherwise(F.col("id") - n1).cast("int").alias("pos")))
