@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions.exprs import micro, milli, nano
 from .model import GraphSet
-from .operators import estimate, external, gram, mmd, tangent, walks, wl
+from .operators import embedding, estimate, external, gram, mmd, tangent, walks, wl
 from .plans import oracles as o
 from .plans.lineage import cut
 from .plans.two_sample import two_sample_test
@@ -450,6 +450,18 @@ def gram_wwl_sinkhorn(spark, sf_dir):
     return in_micro(wl.wasserstein(days(spark, sf_dir), 1.0, 2, sinkhorn=True, sinkhorn_lambda=0.1))
 
 
+WORDS = [
+    *o.CO_PURCHASE, *o.refined(2, "substr(label, 7, 1)"), "said AS (SELECT graph_id, concat_ws('+', CAST(it AS VARCHAR), label) AS feature, unnest(generate_series(1, CAST(n AS BIGINT))) AS k FROM wc)",
+    "words AS MATERIALIZED (SELECT graph_id, feature, row_number() OVER (PARTITION BY graph_id ORDER BY feature) AS p FROM said)",
+    "near AS (SELECT graph_id, feature, p + unnest([-2, -1, 1, 2]) AS p FROM words)",
+]
+
+
+@query(o.sql(WORDS, "SELECT a.feature, b.feature AS context, count(*) AS n FROM near a JOIN words b USING (graph_id, p) GROUP BY ALL"))
+def dk_cooccurrence(spark, sf_dir):
+    return embedding.cooccurrence(wl.counts(first_digit(brands(spark, sf_dir)), "wl", 2), 2)
+
+
 @query()
 def gram_dk_word2vec(spark, sf_dir):
     return wl.deep_word2vec(brands(spark, sf_dir), "wl", 2, 4, 2, 0)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..model import GraphSet
 from ..plans.lineage import cut
-from . import gram
+from . import embedding, gram
 
 
 def refinement(gs: GraphSet, h: int, missing: str = "-1") -> DataFrame:
@@ -116,28 +116,41 @@ def sinkhorn_distance(gs: GraphSet, h: int, reg: float) -> DataFrame:
     return gram.by_blocks(rows, block, block=gram.SMALL_BLOCK, whole=True, pairs=gs.pairs)
 
 
-def shortest_path_counts(gs: GraphSet, max_rounds: int = 10_000, ordered: bool = False) -> DataFrame:
-    """(graph_id, feature, n): how many ordered reachable pairs have (smaller label, larger label, distance), each node with itself at 0.
+#: The word and the bit of a node as the source of a search: 64 searches run in one long.
+WORD, BIT = "cast(floor(node_id / 64) as long)", "shiftleft(1L, cast(pmod(node_id, 64) as int))"
+
 
-    Breadth-first frontiers by neighbour joins; a round's frontier is what was not reached before, and
-    rounds stop when there is none; a path longer than max_rounds is an error. `ordered` keeps the labels in the pair's order and leaves distance 0 out.
+def searches(gs: GraphSet, max_rounds: int = 10_000) -> DataFrame:
+    """(graph_id, node_id, word, bits, dist): the sources of a word whose shortest path to the node has dist steps, as bits.
+
+    64 breadth-first searches go side by side: a round moves the bits that nodes won in the last one
+    along the arcs, ors them by target and word, and keeps those the target has not seen. What a round shuffles is a row
+    per arc and word of sources, not per arc and source. Rounds end when no node wins a bit; a path longer than max_rounds is an error.
     """
-    arcs = gs.arcs().select("graph_id", "src", "dst").distinct()
-    seen = cut(gs.nodes.select("graph_id", F.col("node_id").alias("a"), F.col("node_id").alias("b"), F.lit(0).alias("dist")))
-    front = seen
+    key = ["graph_id", "node_id", "word"]
+    arcs = gs.arcs().select("graph_id", F.col("src").alias("node_id"), "dst").distinct()
+    front = cut(gs.nodes.select("graph_id", "node_id", F.expr(WORD).alias("word"), F.expr(BIT).alias("bits"), F.lit(0).alias("dist")))
+    found, seen = front, front.select(*key, F.col("bits").alias("had"))
     for r in range(1, max_rounds + 1):
-        step = front.join(arcs, (front["graph_id"] == arcs["graph_id"]) & (front["b"] == arcs["src"])).select(front["graph_id"], "a", F.col("dst").alias("b")).distinct()
-        front = cut(step.join(seen, ["graph_id", "a", "b"], "left_anti").withColumn("dist", F.lit(r)))
+        come = front.join(arcs, ["graph_id", "node_id"]).groupBy("graph_id", F.col("dst").alias("node_id"), "word").agg(F.bit_or("bits").alias("come"))
+        state = cut(seen.join(come, key, "full").select(*key, F.coalesce("had", F.lit(0)).alias("had"), F.coalesce("come", F.lit(0)).alias("come")))
+        front = state.select(*key, F.expr("come & ~had").alias("bits"), F.lit(r).alias("dist")).where("bits != 0")
         if not front.limit(1).count():
-            break
-        seen = seen.unionAll(front)
-    else:
-        raise RuntimeError(f"paths are longer than {max_rounds}")
-    lab = gs.nodes.select("graph_id", F.col("node_id").alias("a"), F.col("label").alias("la"))
-    lab2 = gs.nodes.select("graph_id", F.col("node_id").alias("b"), F.col("label").alias("lb"))
+            return found
+        found, seen = found.unionAll(front), state.select(*key, F.expr("had | come").alias("had"))
+    raise RuntimeError(f"paths are longer than {max_rounds}")
+
+
+def shortest_path_counts(gs: GraphSet, max_rounds: int = 10_000, ordered: bool = False) -> DataFrame:
+    """(graph_id, feature, n): how many ordered reachable pairs have (smaller label, larger label, distance), each node with itself at 0.
+
+    The bits of a search are counted against the mask of each label among its 64 sources. `ordered` keeps the labels in the pair's order and leaves distance 0 out.
+    """
+    masks = gs.nodes.groupBy("graph_id", F.expr(WORD).alias("word"), F.col("label").alias("la")).agg(F.bit_or(F.expr(BIT)).alias("mask"))
+    ends = gs.nodes.select("graph_id", "node_id", F.col("label").alias("lb"))
     pair = ("la", "lb") if ordered else (F.least("la", "lb"), F.greatest("la", "lb"))
-    f = seen.where("dist > 0" if ordered else "true").join(lab, ["graph_id", "a"]).join(lab2, ["graph_id", "b"]).select("graph_id", F.concat_ws("_", *pair, F.col("dist").cast("string")).alias("feature"))
-    return f.groupBy("graph_id", "feature").agg(F.count("*").alias("n"))
+    met = searches(gs, max_rounds).where("dist > 0" if ordered else "true").join(masks, ["graph_id", "word"]).withColumn("n", F.expr("bit_count(bits & mask)")).where("n > 0")
+    return met.join(ends, ["graph_id", "node_id"]).groupBy("graph_id", F.concat_ws("_", *pair, F.col("dist").cast("string")).alias("feature")).agg(F.sum("n").alias("n"))
 
 
 def shortest_path_features(gs: GraphSet, max_rounds: int = 10_000) -> DataFrame:
@@ -151,21 +164,16 @@ def deep_sp(gs: GraphSet) -> DataFrame:
     return gram.dot(shortest_path_features(gs), gs.pooled(), pairs=gs.pairs)
 
 
-def deep_word2vec(gs: GraphSet, kind: str = "wl", wl_it: int = 2, vector_size: int = 2, window: int = 2, min_count: int = 0, seed: int = 1, parts: int = 1) -> DataFrame:
+def deep_word2vec(gs: GraphSet, kind: str = "wl", wl_it: int = 2, vector_size: int = 2, window: int = 2, min_count: int = 0, seed: int = 1) -> DataFrame:
     """P M P' with M = V V' for vectors of the features: each graph's frequency-weighted sum of its features' vectors, dotted; the |features| squared matrix is never formed.
 
-    A graph is a sentence of its features, each as often as it counts, in order of name. parts: partitions of the training;
-    with one, the vectors are the same in every run.
+    Vectors are those of embedding.vectors: of the features' positive mutual information within sentences, a graph being the sentence of its features.
     """
-    from pyspark.ml.feature import Word2Vec
-    from pyspark.ml.functions import vector_to_array
-
     c = cut(counts(gs, kind, wl_it))
-    corpus = c.groupBy("graph_id").agg(F.flatten(F.array_sort(F.collect_list(F.array_repeat("feature", F.col("n").cast("int"))))).alias("words"))
-    model = Word2Vec(vectorSize=vector_size, windowSize=window, minCount=min_count, seed=seed, numPartitions=parts, inputCol="words", outputCol="v").fit(corpus)
+    v = embedding.vectors(embedding.cooccurrence(c, window, min_count), vector_size, seed=seed)
     total = c.groupBy("graph_id").agg(F.sum("n").alias("all"))
-    vec = model.getVectors().select(F.col("word").alias("feature"), F.posexplode(vector_to_array("vector")).alias("dim", "x"))
-    place = c.join(total, "graph_id").join(vec, "feature").groupBy("graph_id", F.col("dim").cast("string").alias("feature")).agg(F.sum(F.col("n") / F.col("all") * F.col("x")).alias("v"))
+    long = v.select("feature", F.posexplode("v").alias("dim", "x"))
+    place = c.join(total, "graph_id").join(long, "feature").groupBy("graph_id", F.col("dim").cast("string").alias("feature")).agg(F.sum(F.col("n") / F.col("all") * F.col("x")).alias("v"))
     return gram.dot(place, gs.pooled(), pairs=gs.pairs)
 
 

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from graphduo.model import GraphSet
+from graphduo.model import EDGES, GRAPHS, NODES, GraphSet
 from graphduo.operators import external, gram, tangent, walks, wl
 
 from .helpers import CYCLE5, K4, PATH3, STAR4, adjacency, graph_set, plain, random_set
@@ -91,6 +91,38 @@ def test_shortest_paths(spark):
     assert gram.dense(wl.deep_sp(gs)).shape == (4, 4)
 
 
+@pytest.mark.parametrize("directed", [False, True])
+def test_searches_over_several_words_of_sources(spark, directed):
+    """Graphs of more than 64 nodes, ids that are negative or have gaps, loops, parts that do not meet, missing labels: against a search from every node."""
+    rng = np.random.default_rng(4)
+    graphs, nodes, edges = [(0, 1, directed), (1, 2, directed)], [], []
+    want = {}
+    for g, n in ((0, 150), (1, 70)):
+        ids = [int(v) for v in rng.choice(np.arange(-200, 900), n, replace=False)]
+        label = {v: [None, "a", "b", "c"][int(rng.integers(4))] for v in ids}
+        arcs = {(ids[int(a)], ids[int(b)]) for a, b in rng.integers(0, n, (int(1.3 * n), 2))}
+        nodes += [(g, v, label[v], None) for v in ids]
+        edges += [(g, a, b, 1.0, "S") for a, b in arcs]
+        out = {v: set() for v in ids}
+        for a, b in arcs:
+            out[a].add(b)
+            if not directed:
+                out[b].add(a)
+        for s in ids:
+            dist, front = {s: 0}, {s}
+            while front:
+                front = {b for a in front for b in out[a]} - dist.keys()
+                dist |= dict.fromkeys(front, max(dist.values()) + 1)
+            for b, d in dist.items():
+                known = sorted(x for x in (label[s], label[b]) if x is not None)
+                name = "_".join([*(known * 2 if len(known) == 1 else known), str(d)])
+                want[g, name] = want.get((g, name), 0) + 1
+    gs = GraphSet(spark.createDataFrame(graphs, GRAPHS), spark.createDataFrame(nodes, NODES), spark.createDataFrame(edges, EDGES))
+    assert {(r["graph_id"], r["feature"]): r["n"] for r in wl.shortest_path_counts(gs).collect()} == want
+    with pytest.raises(RuntimeError):
+        wl.shortest_path_counts(gs, 2)
+
+
 @pytest.mark.parametrize("kind", ["RW_ARKU_plus", "RW_ARKU", "RW_ARKU_edge", "RW_ARKL"])
 def test_walk_series_equals_spectra_and_inverse(spark, kind):
     directed = kind == "RW_ARKU"
