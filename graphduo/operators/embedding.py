@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
 
-#: Directions followed beyond those asked for, most rounds of the subspace iteration, and the change of an eigenvalue, of the largest, at which it ends.
-SPARE, ROUNDS, SETTLED = 24, 100, 1e-9
+#: Directions followed beyond those asked for, blocks of directions kept before they are cut back to one, most rounds, and the change of an eigenvalue, of the largest, at which rounds end.
+SPARE, DEPTH, ROUNDS, SETTLED = 8, 8, 100, 1e-6
 #: Eigenvalues below this share of the largest count as zero.
 NOTHING = 1e-12
 
@@ -51,33 +51,46 @@ def mutual_information(met: DataFrame) -> DataFrame:
     return x.select("feature", "context", F.log(F.col("n").cast("double") * float(whole) / F.col("f") / F.col("g")).alias("x")).where("x > 0")
 
 
-def vectors(met: DataFrame, size: int, spare: int = SPARE, rounds: int = ROUNDS, settled: float = SETTLED, seed: int = 1) -> DataFrame:
+def vectors(met: DataFrame, size: int, spare: int = SPARE, depth: int = DEPTH, rounds: int = ROUNDS, settled: float = SETTLED, seed: int = 1) -> DataFrame:
     """(feature, v array<double>) for every feature of the counts: U sqrt|L| of the `size` eigenpairs of the mutual information that are largest by value; zeros beyond its rank.
 
-    Randomised subspace iteration from hashed starts: a round is a join of the table with one row of size + spare numbers per
-    feature and a sum by feature. The driver sees only products of these columns with each other, 4 (size + spare)^2 numbers,
-    and gives back the matrix that makes them orthonormal; rounds end when the eigenvalues rest, and a warning tells if they do not.
+    Randomised block Krylov iteration from hashed starts: a round is a join of the table with one row of size + spare numbers per
+    feature and a sum by feature; what is new in the result is the next block. Eigenpairs are sought in the span of all blocks.
+    The driver sees only products of the blocks' columns with each other, ((depth + 1) (size + spare))^2 numbers at most,
+    and gives back the small matrices that combine them; rounds end when the eigenvalues rest, and a warning tells if they do not. Vectors are as near
+    as the root of what an eigenvalue may still change; with that at 1e-13 they are the same to 1e-6 at any partitioning.
     Signs are those of a hashed sum. Sums in another order change the last digits only.
     """
     width = size + spare
-    y, z = [f"y{k}" for k in range(width)], [f"z{k}" for k in range(width)]
+    block = lambda k: [f"b{k}_{i}" for i in range(width)]
     info, names = cut(mutual_information(met)), cut(met.select("feature").distinct())
-    now, last = names.select("feature", *[hashed(seed + k).alias(c) for k, c in enumerate(y)]), None
+    now, held, ours, last = names.select("feature", *[hashed(seed + i).alias(c) for i, c in enumerate(block(0))]), block(0), np.zeros((0, 0)), None
     for _ in range(rounds):
-        both = cut(product(info, now, y, z))
-        g = inner(both, y + z)
-        base = basis(g[:width, :width])
-        lam, u = np.linalg.eigh(base.T @ g[:width, width:] @ base)
-        best = np.argsort(-np.abs(lam), kind="stable")[:size]
+        new = [f"z{i}" for i in range(width)]
+        both = cut(product(info, now, held, held[-width:], new))
+        g, n = inner(both, held + new), len(held)
+        ours = np.pad(ours, (0, n - len(ours)))  # held' A held: the last block's columns are known only now
+        ours[:, -width:], ours[-width:] = g[:n, n:], g[:n, n:].T
+        base = basis(g[:n, :n])
+        lam, u = np.linalg.eigh(base.T @ ours @ base)
+        order = np.argsort(-np.abs(lam), kind="stable")
+        best = order[:size]
         if last is not None and np.abs(np.abs(lam[best]) - last).max() <= settled * np.abs(lam).max():
             break
         last = np.abs(lam[best])
-        now = turned(both, z, basis(g[width:, width:]), y)
+        if n < depth * width:
+            rest = np.vstack([-base @ base.T @ g[:n, n:], np.eye(width)])  # what the product adds to the span
+            step = np.hstack([np.eye(n + width)[:, :n], rest @ basis(rest.T @ g @ rest)])
+            held = held + block(n // width)
+        else:
+            step = np.vstack([base @ u[:, order[:width]], np.zeros((width, width))])
+            ours, held, last = np.zeros((0, 0)), block(0), None  # the eigenvalues of the next round are these once more
+        now = turned(both, both.columns[1:], step, held)
     else:
         warnings.warn(f"eigenvalues still change after {rounds} rounds", stacklevel=2)
-    v = turned(both, y, base @ u[:, best] * np.sqrt(np.abs(lam[best])), y[:size])
-    sums = v.agg(*[F.sum(F.col(c) * hashed(seed)) for c in y[:size]]).first()
-    return v.select("feature", F.array(*[-F.col(c) if (t or 0.0) < 0 else F.col(c) for c, t in zip(y[:size], sums, strict=True)]).alias("v"))
+    v = turned(both, held, base @ u[:, best] * np.sqrt(np.abs(lam[best])), block(0)[:size])
+    sums = v.agg(*[F.sum(F.col(c) * hashed(seed)) for c in block(0)[:size]]).first()
+    return v.select("feature", F.array(*[-F.col(c) if (t or 0.0) < 0 else F.col(c) for c, t in zip(block(0)[:size], sums, strict=True)]).alias("v"))
 
 
 def hashed(seed: int) -> Column:
@@ -85,10 +98,10 @@ def hashed(seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), "feature"), F.lit(2_000_003)) / 1_000_001 - 1
 
 
-def product(info: DataFrame, now: DataFrame, y: list[str], z: list[str]) -> DataFrame:
-    """The columns y, and as z the matrix times them; features without an entry get zeros."""
-    sums = info.join(now.withColumnRenamed("feature", "context"), "context").groupBy("feature").agg(*[F.sum(F.col("x") * F.col(c)).alias(t) for c, t in zip(y, z, strict=True)])
-    return now.join(sums, "feature", "left").select("feature", *y, *[F.coalesce(t, F.lit(0.0)).alias(t) for t in z])
+def product(info: DataFrame, now: DataFrame, held: list[str], y: list[str], z: list[str]) -> DataFrame:
+    """(feature, held, z): the columns held, and as z the matrix times the columns y among them; features without an entry get zeros."""
+    sums = info.join(now.select(F.col("feature").alias("context"), *y), "context").groupBy("feature").agg(*[F.sum(F.col("x") * F.col(c)).alias(t) for c, t in zip(y, z, strict=True)])
+    return now.join(sums, "feature", "left").select("feature", *held, *[F.coalesce(t, F.lit(0.0)).alias(t) for t in z])
 
 
 def inner(rows: DataFrame, cols: list[str]) -> np.ndarray:
