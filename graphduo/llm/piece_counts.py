@@ -1,34 +1,109 @@
-"""Token counts without ids: pieces are counted once per distinct pre-token and summed over each document's pre-tokens."""
+"""Token counts without ids: pieces are counted once per distinct pre-token, joined to each document's pre-token frequencies, and summed.
+
+Three tables, each spread over all tasks:
+
+1. texts are cut into pre-tokens once. A group of about 16 MB of texts numbers its distinct pre-tokens, and a
+   document's frequencies are pairs (number, times), so that a pre-token is spelt once per group and not per document;
+2. the distinct pre-tokens of the whole corpus (an aggregation with map-side combine) get their piece counts from the
+   library, and the join by spelling brings these to (group, number);
+3. each group's documents meet its piece counts and sum times * pieces.
+
+A pre-token, however frequent, has at most one row per group in the join, and a group's tables are bounded by its texts.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import pieces
-from .common import texts
+from .common import cut, texts
 
+#: A row is a document of a group (at, times), or a pre-token of it (number, part).
+FREQUENCIES = "group long, doc_id long, n_bytes long, at binary, times binary, number int, part string"
 
-def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit), n_parts (pre-token occurrences).
 
-    tokenizer: path of a .json file of the tokenizers library; special strings inside a text
-    count as that library reads them. Every group of about 16 MB of texts has its table "distinct
-    pre-token -> pieces", which is joined by index to the documents' pre-tokens; a table for
-    all of the corpus would need a shuffle larger than the texts. No exchange at all: cost
-    is linear, a lost executor repeats its own tasks only. A null text counts as empty: 0 tokens.
-    A null doc_id stays null. Repeated rows each give a row; an empty table gives none.
-    """
+def groups_of(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
+    """(doc_id, text, bytes of each text) of successive groups of about `most` bytes, or of one longer text."""
+    ids, text, sizes, held = [], [], [], 0
+    for batch in batches:
+        n_bytes = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64)
+        for lo, hi in pieces.runs(n_bytes, most):
+            ids.append(batch.column("doc_id").slice(lo, hi - lo))
+            text.append(batch.column("text").slice(lo, hi - lo))
+            sizes.append(n_bytes[lo:hi])
+            held += int(n_bytes[lo:hi].sum())
+            if held >= most:
+                yield pa.concat_arrays(ids), pa.concat_arrays(text), np.concatenate(sizes)
+                ids, text, sizes, held = [], [], [], 0
+    if ids:
+        yield pa.concat_arrays(ids), pa.concat_arrays(text), np.concatenate(sizes)
+
+
+def packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Unsigned 32-bit integers as binary rows that end at `ends`."""
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.append(0, 4 * ends).astype("<i4").tobytes()), pa.py_buffer(values.astype("<u4").tobytes())])
+
+
+def frequencies(docs: DataFrame, tokenizer: str, group_bytes: int = pieces.GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Pre-token frequencies of documents (FREQUENCIES), a row per document and a row per distinct pre-token of a group."""
+
+    def run(it):
+        table = pieces.loaded(tokenizer)
+        for k, (ids, text, n_bytes) in enumerate(groups_of(it, group_bytes)):
+            group = (TaskContext.get().partitionId() << 32) + k
+            parts, at, times, ends = table.frequencies(text)
+            n, m = len(ids), len(parts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, group)), ids, pa.array(n_bytes), packed(at, ends), packed(times, ends), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], names=NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, group)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.array(np.arange(m, dtype=np.int32)), parts], names=NAMES)
+
+    return texts(docs, id_col, text_col).mapInArrow(run, FREQUENCIES)
+
+
+NAMES = [c.split()[0] for c in FREQUENCIES.split(", ")]
+
+
+def piece_table(parts: DataFrame, tokenizer: str) -> DataFrame:
+    """(part, n_pieces) of distinct pre-tokens (part string): the library encodes each once."""
 
     def run(it):
         table = pieces.loaded(tokenizer)
         for batch in it:
-            ids, text = batch.column("doc_id"), batch.column("text")
-            n_bytes = pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64)
-            for lo, hi in pieces.runs(n_bytes):
-                _, n, parts = table.encode(text.slice(lo, hi - lo), counts_only=True)
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(n_bytes[lo:hi]), pa.array(n), pa.array(n > limit), pa.array(np.where(n_bytes[lo:hi] > 0, parts, 0))], names=["doc_id", "n_bytes", "n_tokens", "over_limit", "n_parts"])
+            part = batch.column("part")
+            yield pa.RecordBatch.from_arrays([part, pa.array(table.sizes(part))], names=["part", "n_pieces"])
+
+    return parts.select("part").distinct().mapInArrow(run, "part string, n_pieces long")
+
+
+def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 512, group_bytes: int = pieces.GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit), n_parts (pre-token occurrences).
+
+    tokenizer: path of a .json file of the tokenizers library; special strings inside a text
+    count as that library reads them. A null text counts as empty: 0 tokens. A null doc_id stays
+    null. Repeated rows each give a row; an empty table gives none; a text of any length is one
+    document of one group. The frequencies are written once to the shared folder, so that what
+    follows neither cuts a text again nor loses the groups' numbers with an executor.
+    """
+    held = cut(frequencies(docs, tokenizer, group_bytes, id_col, text_col), "frequencies")
+    parts = held.where("part is not null").select("group", "number", "part")
+    known = parts.join(piece_table(parts, tokenizer), "part").select(F.col("group").alias("of"), "number", "n_pieces")
+    rows = held.where("part is null").select("group", "doc_id", "n_bytes", "at", "times")
+
+    def run(own: pa.Table, pieces_of: pa.Table) -> pa.Table:
+        number = pieces_of.column("number").to_numpy()
+        size = np.zeros(len(number), np.int64)
+        size[number] = pieces_of.column("n_pieces").to_numpy()
+        n, m = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+        for k, (at, times) in enumerate(zip(own.column("at").to_pylist(), own.column("times").to_pylist(), strict=True)):
+            times = np.frombuffer(times, "<u4").astype(np.int64)
+            n[k], m[k] = size[np.frombuffer(at, "<u4")] @ times, times.sum()
+        n_bytes = own.column("n_bytes").to_numpy()
+        return pa.table([own.column("doc_id"), n_bytes, n, n > limit, np.where(n_bytes > 0, m, 0)], names=["doc_id", "n_bytes", "n_tokens", "over_limit", "n_parts"])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, n_parts long")
+    return rows.groupBy("group").cogroup(known.groupBy("of")).applyInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, n_parts long")

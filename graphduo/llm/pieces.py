@@ -112,6 +112,36 @@ class Pieces:
         ids = np.concatenate(ids)
         return (ids, start, size) if again is None else (ids, start[again], size[again])
 
+    def cut_up(self, texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """(the texts' parts in order, coded; where each text's parts start and end). No text has the cut mark in it."""
+        for pattern, to in CUTS:
+            texts = pc.replace_substring_regex(texts, pattern, to)
+        split = pc.split_pattern(texts, MARK)
+        return split.flatten().dictionary_encode(), split.offsets.to_numpy()
+
+    def frequencies(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct parts, at, times, ends): text k has the parts at[ends[k - 1] : ends[k]], each so many times. A text with the cut mark in it is one part."""
+        marked = pc.match_substring(texts, MARK).to_numpy(zero_copy_only=False).astype(bool)
+        coded, offsets = self.cut_up(pc.if_else(pa.array(marked), "", texts))
+        offsets = offsets.astype(np.int64) - offsets[0]
+        parts, at = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        if marked.any():
+            whole = texts.filter(pa.array(marked)).dictionary_encode()
+            at[offsets[:-1][marked]] = len(parts) + whole.indices.to_numpy(zero_copy_only=False)
+            parts = pa.concat_arrays([parts, whole.dictionary])
+        key, times = np.unique(np.repeat(np.arange(len(texts)), np.diff(offsets)) * max(len(parts), 1) + at, return_counts=True)
+        text, at = np.divmod(key, max(len(parts), 1))
+        return parts, at, times, np.searchsorted(text, np.arange(len(texts)), side="right")
+
+    def sizes(self, parts: pa.Array) -> np.ndarray:
+        """How many pieces each distinct part has."""
+        out = np.zeros(len(parts), np.int64)
+        marked = pc.match_substring(parts, MARK).to_numpy(zero_copy_only=False).astype(bool)
+        for own, ask in ((~marked, lambda some: self.distinct(some)[2]), (marked, lambda some: self.of_others(some.to_pylist())[1])):
+            if own.any():
+                out[own] = ask(parts.filter(pa.array(own)))
+        return out
+
     def encode(self, texts: pa.Array, counts_only: bool = False) -> tuple[np.ndarray | None, np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, how many each has, pre-token occurrences of each). With counts_only no text's ids are formed."""
         if len(texts) == 0:
@@ -119,11 +149,8 @@ class Pieces:
         marked = pc.match_substring(texts, MARK).to_numpy(zero_copy_only=False).astype(bool)
         if marked.any():
             return self._with_whole(texts, marked, counts_only)
-        for pattern, to in CUTS:
-            texts = pc.replace_substring_regex(texts, pattern, to)
-        split = pc.split_pattern(texts, MARK)
-        coded = split.flatten().dictionary_encode()
-        at, offsets = coded.indices.to_numpy(zero_copy_only=False), split.offsets.to_numpy()
+        coded, offsets = self.cut_up(texts)
+        at = coded.indices.to_numpy(zero_copy_only=False)
         ids, start, size = self.distinct(coded.dictionary)
         each = size[at]
         total = np.append(0, np.cumsum(each))

@@ -73,6 +73,35 @@ def test_counts(spark):
     assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in twice) == [("1", 2), ("1", 2), ("None", 1)]
 
 
+def test_counts_join_a_table_of_the_corpus(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["the", "river", "Été", "x9", "don't", "a\x00b", "end."]) for _ in range(rng.randint(0, 900))) for _ in range(60)] + [None, "", "\x00", "the " * 9000]
+    docs = documents(spark, texts).repartition(5)
+    tok = pieces.load(BYTE)
+    got = piece_counts.count_tokens(docs, BYTE, limit=100, group_bytes=3000)
+    want = [len(tok.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    assert [(r["n_tokens"], r["over_limit"]) for r in got.orderBy("doc_id").collect()] == [(n, n > 100) for n in want]
+    held = piece_counts.frequencies(docs, BYTE, 3000).cache()
+    assert held.select("group").distinct().count() > 20
+    table = piece_counts.piece_table(held.where("part is not null"), BYTE).collect()
+    assert len({r["part"] for r in table}) == len(table) and all(r["n_pieces"] == len(tok.encode(r["part"], add_special_tokens=False).ids) for r in table)
+    times = sum(int(np.frombuffer(r["times"], "<u4").sum()) for r in held.where("part is null and n_bytes > 0").collect())
+    assert times == got.agg({"n_parts": "sum"}).first()[0]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "FlatMapCoGroupsInArrow" in plan and "CartesianProduct" not in plan
+
+
+def test_frequencies_tell_documents_apart():
+    mine = pieces.Pieces(BYTE)
+    parts, at, times, ends = mine.frequencies(pa.array(["a b a", "", "b\x00a", "b a", ""]))
+    names, got, lo = parts.to_pylist(), [], 0
+    for hi in ends.tolist():
+        got.append({names[k]: int(n) for k, n in zip(at[lo:hi], times[lo:hi], strict=True)})
+        lo = hi
+    assert got == [{"a": 1, " b": 1, " a": 1}, {"": 1}, {"b\x00a": 1}, {"b": 1, " a": 1}, {"": 1}]
+    assert mine.frequencies(pa.array([], pa.string()))[3].tolist() == []
+
+
 def test_chunks_end_with_the_document_that_fills_them():
     for lens, held in (([4, 4, 4, 30, 1], 0), ([10], 0), ([2, 3], 5), ([3], 0), ([], 4), ([5, 5, 5, 5], 0)):
         want, n = [], held
