@@ -73,7 +73,7 @@ def test_counts(spark):
     assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in twice) == [("1", 2), ("1", 2), ("None", 1)]
 
 
-def test_counts_join_a_table_of_the_corpus(spark):
+def test_counts_meet_over_groups(spark):
     rng = random.Random(8)
     texts = [" ".join(rng.choice(["the", "river", "Été", "x9", "don't", "a\x00b", "end."]) for _ in range(rng.randint(0, 900))) for _ in range(60)] + [None, "", "\x00", "the " * 9000]
     docs = documents(spark, texts).repartition(5)
@@ -81,14 +81,30 @@ def test_counts_join_a_table_of_the_corpus(spark):
     got = piece_counts.count_tokens(docs, BYTE, limit=100, group_bytes=3000)
     want = [len(tok.encode(t or "", add_special_tokens=False).ids) for t in texts]
     assert [(r["n_tokens"], r["over_limit"]) for r in got.orderBy("doc_id").collect()] == [(n, n > 100) for n in want]
-    held = piece_counts.frequencies(docs, BYTE, 3000).cache()
-    assert held.select("group").distinct().count() > 20
-    table = piece_counts.piece_table(held.where("part is not null"), BYTE).collect()
-    assert len({r["part"] for r in table}) == len(table) and all(r["n_pieces"] == len(tok.encode(r["part"], add_special_tokens=False).ids) for r in table)
-    times = sum(int(np.frombuffer(r["times"], "<u4").sum()) for r in held.where("part is null and n_bytes > 0").collect())
+    held, parts = piece_counts.frequencies(docs, BYTE, 3000), piece_counts.distinct_parts(docs, BYTE, 3000)
+    groups = {r["group"] for r in held.collect()}
+    assert len(groups) > 20 and groups == {r["of"] for r in parts.collect()}
+    times = sum(int(piece_counts.of_planes(r["times"]).sum()) for r in held.where("n_bytes > 0").collect())
     assert times == got.agg({"n_parts": "sum"}).first()[0]
     plan = got._jdf.queryExecution().executedPlan().toString()
-    assert "Join" in plan and "FlatMapCoGroupsInArrow" in plan and "CartesianProduct" not in plan
+    assert "FlatMapCoGroupsInArrow" in plan and "hashpartitioning(part" in plan and "CartesianProduct" not in plan
+
+
+def test_a_pre_token_is_encoded_once_for_all_groups(spark):
+    rows = [(g, k, p) for g in range(9) for k, p in enumerate([" river", "the", "12", "b\x00a", "", " Été"])]
+    parts = spark.createDataFrame(rows, "of long, number int, part string").repartition(3)
+    tok = pieces.load(BYTE)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # runs of one pre-token go over batches
+    try:
+        got = {(r["of"], r["number"]): r["n_pieces"] for r in piece_counts.counted(parts, BYTE).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {(g, k): len(tok.encode(p, add_special_tokens=False).ids) for g, k, p in rows}
+
+
+def test_planes_round_trip():
+    for values in ([], [0], [1, 255, 256, 70_000, 2**32 - 1]):
+        assert piece_counts.of_planes(piece_counts.planes(np.array(values, np.int64))).tolist() == values
 
 
 def test_frequencies_tell_documents_apart():
