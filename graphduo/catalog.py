@@ -472,6 +472,14 @@ def gram_propagation(spark, sf_dir):
     return external.propagation(brands(spark, sf_dir), 3, 0.01, "TV").select("i", "j", F.col("k").cast("long").alias("k"))
 
 
+@query(gram_sql([*o.CO_PURCHASE, *o.pyramid(10)]))
+def gram_pyramid_match_attributes(spark, sf_dir):
+    """Labelled nodes as points by their mean discount; rounded, as a mean may lie on the edge of a cell."""
+    gs = brands(spark, sf_dir)
+    rounded = gs.nodes.withColumn("attr", F.transform("attr", lambda x: F.round(x, 9)))
+    return in_micro(external.by_name(GraphSet(gs.graphs, rounded, gs.edges), [{"name": "pyramid_match", "L": 10, "use_attr": True}]))
+
+
 @query()
 def gram_pyramid_match(spark, sf_dir):
     return external.pyramid_match(days(spark, sf_dir).unweighted(), 6, 6, False)

@@ -157,6 +157,16 @@ def propagation(t_max: int, w: float, seed: int = 0) -> list[str]:
     return [*out, f"feat AS MATERIALIZED (SELECT graph_id, feature, CAST(count(*) AS DOUBLE) AS v FROM ({bins}) GROUP BY 1, 2)", *dot()]
 
 
+def pyramid(levels: int) -> list[str]:
+    """Points from the attribute d, rounded to 9 places; levels as the sums of their definition, without the weights."""
+    out = [POOLED, PAIRS, "points AS (SELECT p.ord, n.label, round(n.d, 9) AS x FROM nodes n JOIN pooled p USING (graph_id))"]
+    out.append(f"cells AS MATERIALIZED (SELECT ord, l, label, least(floor(x * pow(2, l)), pow(2, l) - 1) AS cell, count(*) AS n FROM points CROSS JOIN (SELECT unnest(range({levels})) AS l) GROUP BY ALL)")
+    out.append("met AS (SELECT a.ord AS i, b.ord AS j, a.l, sum(least(a.n, b.n)) AS same FROM cells a JOIN cells b ON a.l = b.l AND a.label = b.label AND a.cell = b.cell AND a.ord <= b.ord GROUP BY ALL)")
+    out.append(f"graded AS (SELECT i, j, l, coalesce(same, 0) AS same, lead(coalesce(same, 0)) OVER (PARTITION BY i, j ORDER BY l) AS finer FROM pairs CROSS JOIN (SELECT unnest(range({levels})) AS l) LEFT JOIN met USING (i, j, l))")
+    out.append(f"gram AS (SELECT i, j, sum(CASE WHEN finer IS NULL THEN same ELSE (same - finer) / pow(2, {levels - 1} - l) END) AS k FROM graded GROUP BY i, j)")
+    return out
+
+
 def edge_walk(c: float, steps: int) -> list[str]:
     feat = "SELECT graph_id, '0' AS feature, 0 AS power, sum(v * v) AS v FROM p GROUP BY 1" + "".join(f" UNION ALL SELECT p.graph_id, '{k}:' || l, {k}, sum(p.v * v{k}.v) FROM p JOIN v{k} ON p.graph_id = v{k}.graph_id AND p.node_id = v{k}.node_id GROUP BY p.graph_id, l" for k in range(1, steps + 1))
     return [

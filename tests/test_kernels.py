@@ -255,6 +255,42 @@ def test_other_kernels_are_symmetric_and_separate(spark):
         external.by_name(gs, [{"name": "unknown"}])
 
 
+def plain_pyramid(points, labels, levels):
+    """points: one array (nodes, dims) a graph."""
+    k = np.zeros((len(points), len(points)))
+    for i, j in np.ndindex(k.shape):
+        same = []
+        for level in range(levels):
+            n = 2**level
+            one, two = (Counter((lab, d, min(int(x * n), n - 1)) for row, lab in zip(points[g], labels[g], strict=True) for d, x in enumerate(row)) for g in (i, j))
+            same.append(sum((one & two).values()))
+        k[i, j] = same[-1] + sum((same[t] - same[t + 1]) / 2 ** (levels - 1 - t) for t in range(levels - 1))
+    return k
+
+
+@pytest.mark.parametrize(("levels", "dims", "with_labels"), [(1, 2, True), (4, 3, True), (5, 7, False)])
+def test_pyramid_match_equals_a_plain_loop(spark, levels, dims, with_labels):
+    graphs = [*random_set(spark, 3, seed=4, nodes=6, weights=True), (2, ["x"], [[0.5, 0.5]], [])]
+    gs = graph_set(spark, graphs)
+    points = []
+    for g in graphs:
+        lam, u = np.linalg.eigh(adjacency(g))
+        x = np.zeros((len(lam), dims))
+        pick = np.argsort(-np.abs(lam), kind="stable")[:dims]
+        x[:, : len(pick)] = np.abs(u[:, pick])
+        points.append(x)
+    labels = [g[1] if with_labels else [None] * len(g[1]) for g in graphs]
+    assert np.allclose(gram.dense(external.pyramid_match(gs, levels, dims, with_labels)), plain_pyramid(points, labels, levels), rtol=0, atol=1e-12)
+    held = [np.clip(np.array(g[2]), 0, 1) for g in graphs]
+    assert np.allclose(gram.dense(external.pyramid_match(gs, levels, dims, with_labels, use_attr=True)), plain_pyramid(held, labels, levels), rtol=0, atol=1e-12)
+
+
+def test_pyramid_match_of_nodes_without_labels_or_attributes(spark):
+    gs = graph_set(spark, [(1, [None, "a"], [[0.2], [0.9]], PATH3[:1]), (2, [None, None], None, PATH3[:1])])
+    assert gram.dense(external.pyramid_match(gs, 2, use_attr=True)).tolist() == [[2, 0], [0, 0]]
+    assert gram.dense(external.pyramid_match(gs, 1, 1)).tolist() == [[2, 1], [1, 2]]
+
+
 def test_symmetry_check(spark):
     k = spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0), (1, 0, 2.5), (1, 1, 1.0)], "i int, j int, k double")
     assert gram.asymmetric(k).count() == 2
