@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Graphs in a block of the pair grid; for kernels that hold all node pairs of two blocks at a time, fewer.
 BLOCK, SMALL_BLOCK = 64, 16
+#: Rounding of the entries of a Gram table, as a share of the largest: it moves an eigenvalue by up to n times that.
+ROUNDING = 16 * float(np.finfo(float).eps)
 #: Graphs of one feature on the left side of a task.
 TOGETHER = 256
 
@@ -82,11 +84,17 @@ def dense(gram: DataFrame) -> np.ndarray:
 
 
 def check_psd(gram: DataFrame, least: float = -1e-11) -> DataFrame:
-    """gram, or ValueError if an eigenvalue is below `least`: by block Lanczos on the tiles of the matrix, which no machine holds whole."""
+    """gram, or ValueError if an eigenvalue is below `least`: by block Lanczos on the tiles of the matrix, which no machine holds whole.
+
+    Where the entries are so large that their rounding alone reaches beyond `least`, the bound is what rounding can do.
+    """
     from . import blocked
 
-    n = gram.agg(F.max("j")).first()[0]
-    if n is not None and blocked.least_eigenvalue(blocked.tiles(gram, int(n) + 1), abs(least), least) < least:
+    n, top = gram.agg(F.max("j"), F.max(F.abs("k"))).first()
+    if n is None:
+        return gram
+    bound = min(least, -ROUNDING * (int(n) + 1) * (top or 0.0))
+    if blocked.least_eigenvalue(blocked.tiles(gram, int(n) + 1), abs(bound), bound) < bound:
         raise ValueError("the Gram matrix is not positive semidefinite; try a lower c")
     return gram
 

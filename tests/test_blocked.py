@@ -83,3 +83,11 @@ def test_own_functions_are_told_the_bound(spark, monkeypatch):
     monkeypatch.setattr(mmd, "WHOLE", 5)
     with pytest.raises(ValueError, match="at most 5"):
         two_sample_test(None, symmetric(8), {"mine": lambda m, n, rng: 0.0}, B=5, n1=4)
+
+
+def test_rounding_of_large_entries_is_no_negative_eigenvalue(spark):
+    k = 1e12 * symmetric(24, 6, 3)
+    assert np.linalg.eigvalsh(k)[0] < -1e-11
+    assert gram.check_psd(gram_from_matrix(spark, k)).count() == 300
+    with pytest.raises(ValueError, match="positive semidefinite"):
+        gram.check_psd(gram_from_matrix(spark, k - 1e6 * np.eye(24)))
