@@ -32,7 +32,7 @@ def kernel_matrix(gs: GraphSet | None, kernel, **o) -> DataFrame:
 
     kernel: one of KERNELS, a list of settings (operators.external), a table (i, j, k) or a square array.
     Random walks: c, and r for rank r (r=None: the series of `terms` steps at full rank), normalize, check_psd=True, use_attr;
-    RW_ARKU_edge: unique_edge_labels, label_mode; RW_ARKL: unique_node_labels. GNTK: num_layers, jk, scale,
+    RW_ARKU_edge: unique_edge_labels, label_mode; RW_ARKL: unique_node_labels (None: those found). GNTK: num_layers, jk, scale,
     num_mlp_layers, degree_as_tag, use_attr. WWL: discount, h, sinkhorn, sinkhorn_lambda. DK: type, wl_it, opt_type ('word2vec'),
     vector_size, window, min_count. All: normalize.
     """
