@@ -17,6 +17,8 @@ ESTIMATORS = ("MMD_u", "MMD_b", "MMD_l", "MONK_EST")
 WHOLE = 5000
 #: Statistics that differ by less than this share of the largest tie: rounding, not a difference.
 TIE = 1e-9
+#: Statistics are differences of means of entries: by this share of the largest entry, rounding may tell them apart.
+NOISE = 1e-12
 
 
 def pair_sums(pairs: DataFrame, by: list[str]) -> DataFrame:
@@ -134,20 +136,25 @@ def placed_neighbours(at: DataFrame, n1: int) -> DataFrame:
     return group.select("b", F.explode(F.array(pair("x0", "x1", 1.0), pair("y0", "y1", 1.0), pair("x0", "y1", -1.0), pair("x1", "y0", -1.0))).alias("e")).select("b", "e.i", "e.j", "e.w", F.lit(n1 // 2).alias("m"))
 
 
-def p_value(null: DataFrame, observed: DataFrame) -> DataFrame:
+def largest_entry(k: DataFrame) -> float:
+    return float(k.agg(F.max(F.abs("k"))).first()[0] or 0.0)
+
+
+def p_value(null: DataFrame, observed: DataFrame, top: float = 0.0) -> DataFrame:
     """(p_value): the share of the null at or above the observed value.
 
     A resample that repeats the split must tie though its sums were added in another order: values within TIE of the largest
-    absolute value do. The bound goes with the scale of the kernel, so p does not depend on that.
+    absolute value do, and those within NOISE of `top`, the kernel's largest entry, as of a kernel that does not tell the graphs
+    apart all statistics are rounding. Both bounds go with the scale of the kernel, so p does not depend on that.
     """
     at = observed.select(F.col("statistic").alias("o"))
-    least = null.agg(F.max(F.abs("statistic")).alias("top")).join(F.broadcast(at)).select((F.col("o") - TIE * F.greatest(F.abs("o"), F.coalesce("top", F.lit(0.0)))).alias("least"))  # one row each
+    least = null.agg(F.max(F.abs("statistic")).alias("top")).join(F.broadcast(at)).select((F.col("o") - F.greatest(TIE * F.greatest(F.abs("o"), F.coalesce("top", F.lit(0.0))), F.lit(NOISE * top))).alias("least"))  # one row each
     return null.select("statistic").join(F.broadcast(least)).agg(F.avg((F.col("statistic") >= F.col("least")).cast("double")).alias("p_value"))
 
 
-def share_at_or_above(null: np.ndarray, observed: float) -> float:
+def share_at_or_above(null: np.ndarray, observed: float, top: float = 0.0) -> float:
     """p_value of arrays."""
-    return float((null >= observed - TIE * max(abs(observed), np.abs(null).max(initial=0.0))).mean())
+    return float((null >= observed - max(TIE * max(abs(observed), np.abs(null).max(initial=0.0)), NOISE * top)).mean())
 
 
 # --- the same on a dense matrix: one matmul per batch of resamples -----------------------------------

@@ -122,3 +122,14 @@ def test_precomputed_matrix_and_custom_parts(spark):
     assert got["estimator"] == "mine" and got["p_value"] < 0.05
     with pytest.raises(ValueError):
         two_sample_test(None, k + np.triu(np.ones((20, 20)), 1), "MMD_u", n1=None)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e9])
+def test_statistics_that_are_rounding_tie(spark, scale):
+    """A kernel that does not tell the graphs apart, but for its rounding: every resample is as far out as the samples."""
+    noise = np.random.default_rng(3).normal(size=(20, 20)) * 1e-16
+    k = scale * (0.3 + noise + noise.T + 0.7 * np.eye(20))
+    assert [r["p_value"] for r in two_sample_test(None, k, ["MMD_u", "MMD_b", "MMD_l"], B=40, n1=10, seed=1).collect()] == [1.0] * 3
+    gram, pooled = gram_from_matrix(spark, k), spark.range(20).selectExpr("id as graph_id", "if(id < 10, 1, 2) as sample", "int(id) as ord", "int(id % 10) as pos")
+    seen = mmd.estimate(gram, pooled, "MMD_u")
+    assert mmd.p_value(mmd.null_distribution(gram, pooled, "MMD_u", 40, 1), seen, mmd.largest_entry(gram)).first()[0] == 1.0
