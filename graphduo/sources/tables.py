@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import EDGES, GRAPHS, NODES, OBS, GraphSet
+from ..plans.lineage import cut
 
 FORMATS = ("parquet", "orc", "json", "csv")
+#: Items of orders in a task, where a core has more than that: joins, sets and pairs of a stage take some 2 KB of its memory for each.
+ITEMS = 250_000
 
 
 def read(spark: SparkSession, path: str, fmt: str = "parquet") -> GraphSet:
@@ -71,12 +75,17 @@ def co_purchase(spark: SparkSession, sf_dir: str) -> GraphSet:
     weight = orders, edge label = S if a pair of its items was returned alike, else D; node attribute = mean discount.
     """
     t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
-    orders = t("orders").join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    lines, n = t("lineitem").select("l_orderkey", "l_partkey", "l_returnflag", "l_discount"), item_tasks(t("lineitem"))
+    # the tables grow together: where they are large, tasks by the number of items, and no side is sent whole to every task
+    dealt = lambda df, key: df.repartition(n, key).hint("merge") if n else df
+    orders = dealt(t("orders").select("o_orderkey", "o_custkey", "o_orderpriority"), "o_custkey").join(dealt(t("customer").select("c_custkey", "c_nationkey"), "c_custkey"), F.col("o_custkey") == F.col("c_custkey"))
     graph = F.col("c_nationkey").cast("long") * 10 + F.substring("o_orderpriority", 1, 1).cast("int")
-    items = t("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t("part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    items = dealt(lines, "l_partkey").join(dealt(t("part").select("p_partkey", "p_brand"), "p_partkey"), F.col("l_partkey") == F.col("p_partkey"))
+    items = dealt(items.drop("l_partkey", "p_partkey"), "l_orderkey").join(dealt(orders.drop("o_custkey", "c_custkey"), "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     items = items.select(graph.alias("graph_id"), "l_orderkey", "p_brand", "l_returnflag", "l_discount")
     rank = F.dense_rank().over(Window.partitionBy("graph_id").orderBy("p_brand")) - 1
     brands = items.groupBy("graph_id", "p_brand").agg(F.avg("l_discount").alias("d")).select("graph_id", rank.alias("node_id"), F.col("p_brand").alias("label"), F.array("d").alias("attr"))
+    brands = cut(brands)  # a row per graph and brand, which graphs, nodes and edges all start from
     # one row per order: its items; pairs are formed inside the row
     baskets = items.groupBy("graph_id", "l_orderkey").agg(F.collect_set(F.struct("p_brand", "l_returnflag")).alias("b"))
     one = baskets.select("graph_id", "l_orderkey", "b", F.explode("b").alias("x")).select("graph_id", "l_orderkey", "x", F.explode("b").alias("y")).where("x.p_brand < y.p_brand")
@@ -89,6 +98,12 @@ def co_purchase(spark: SparkSession, sf_dir: str) -> GraphSet:
     return GraphSet(graphs, brands, edges.select("graph_id", "src", "dst", "weight", "edge_label"))
 
 
+def item_tasks(lines: DataFrame) -> int:
+    """Tasks for the items of orders, by their number: by bytes, several million would come together, as shuffles pack them well. 0 where there is no more than a task for each core."""
+    n = math.ceil(lines.count() / ITEMS)
+    return n if n > lines.sparkSession.sparkContext.defaultParallelism else 0
+
+
 def event_transitions(spark: SparkSession, sf_dir: str) -> GraphSet:
     """Directed graphs of event types, one for each day: edges lead to the same user's next event of that day, weight = how often. Sample 2 from the 16th on."""
     ev = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("day", F.to_date("ts"))

@@ -5,6 +5,7 @@ from graphduo.operators import estimate
 from graphduo.sources import tables
 from graphduo.streaming.windows import estimate_stream
 
+from .conftest import SF
 from .helpers import CYCLE5, PATH3, graph_set, random_set
 
 
@@ -163,3 +164,17 @@ def test_queries_read_every_column(spark, tmp_path):
         theta = estimate.fit_window(x[25 * k : 25 * k + 25], [float(a) for a in np.exp(np.linspace(-9, -6, 8))], 0.0, True)[0]
         got = graphs[2 * k + k % 2]  # graph_id = 2 win + sample - 1
         assert got == {(int(i), int(j)): pytest.approx(theta[i, j], rel=1e-6) for i, j in np.argwhere(np.triu(theta, 1) != 0)} and max(j for _, j in got) == 8
+
+
+def test_items_are_dealt_by_number(spark, monkeypatch):
+    """Where a core has more items than ITEMS, joins are of that many tasks and broadcast nothing; the graphs stay the same."""
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet")
+    few = tables.co_purchase(spark, SF)
+    assert tables.item_tasks(lines) == 0
+    monkeypatch.setattr(tables, "ITEMS", lines.count() // 9)
+    many = tables.co_purchase(spark, SF)
+    assert tables.item_tasks(lines) in (9, 10)
+    plan = many.edges._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(l_orderkey#" in plan and f", {tables.item_tasks(lines)})" in plan and "REPARTITION_BY_NUM" in plan
+    for a, b in ((few.edges, many.edges), (few.graphs, many.graphs), (few.nodes.drop("attr"), many.nodes.drop("attr"))):
+        assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
