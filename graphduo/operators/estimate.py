@@ -192,11 +192,11 @@ def solved(row, alphas: list[float], beta: float, solver: dict) -> list[tuple]:
     out = [None] * len(alphas)
     for k, cov, theta in lasso.path(s, alphas, **solver):
         at = np.argwhere(np.triu(np.abs(theta) >= ZERO, 1))
-        edges = [{"src": int(c[i]), "dst": int(c[j]), "weight": float(theta[i, j])} for i, j in at]
-        out[k] = (row.graph_id, row.part, row.n, row.p, k, part_likelihood(cov, moment, row.n, row.least), len(at), edges)
+        out[k] = (row.graph_id, row.part, row.n, row.p, k, part_likelihood(cov, moment, row.n, row.least), len(at), (at, theta))
     if row.lone:
         out = [min(out, key=lambda r: (criterion(r[5], r[2], r[3], r[6], beta), r[4]))]
-    return out
+    edges = lambda at, theta: [{"src": i, "dst": j, "weight": v} for i, j, v in zip(*c[at.T].tolist(), theta[at[:, 0], at[:, 1]].tolist(), strict=True)]
+    return [(*r[:-1], edges(*r[-1])) for r in out]
 
 
 def two_column_precision(obs: DataFrame, size: int, alpha: float) -> DataFrame:

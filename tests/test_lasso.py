@@ -135,3 +135,25 @@ def test_windows_fill_the_cores(spark):
     dealt = estimate.windows(obs, 10, n).groupBy("sample", "win").count()
     assert dealt.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert sum(1 for k in dealt.rdd.glom().map(len).collect() if k) >= spark.sparkContext.defaultParallelism
+
+
+def test_a_wide_window_is_newton_steps_and_few(monkeypatch):
+    """64 columns, 25 rows, 8 penalties: no descent over rows, which takes thousands of systems of equations, and the optimum all the same."""
+    x = np.random.default_rng(3).normal(size=(25, 64)) / 8
+    s, alphas = np.cov(x.T, bias=True), [float(a) for a in np.exp(np.linspace(-9, -6, 8))]
+    calls, products = [], []
+    monkeypatch.setattr(lasso, "row", lambda *a, **k: calls.append(1))
+    conjugate = lasso.conjugate
+    monkeypatch.setattr(lasso, "conjugate", lambda *a: products.append(1) or conjugate(*a))
+    got = {k: (w, t) for k, w, t in lasso.path(s, alphas)}
+    assert not calls and len(products) < 100
+    assert max(kkt(s, w, t, alphas[k]) for k, (w, t) in got.items()) < 1e-9
+
+
+def test_descent_over_rows_where_newton_steps_do_not_settle(monkeypatch):
+    s = np.cov(blocks(6, 40).T, bias=True)
+    alphas = [0.5, 0.1, 0.02]
+    want = [(w, t) for _, w, t in lasso.path(s, alphas, tol=1e-12)]
+    monkeypatch.setattr(lasso, "newton", lambda *a: None)
+    for (w, t), (_, v, u) in zip(want, lasso.path(s, alphas, max_iter=500, tol=1e-12), strict=True):
+        assert np.allclose(w, v, atol=1e-8) and np.allclose(t, u, atol=1e-6)
