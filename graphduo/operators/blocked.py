@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -24,15 +25,17 @@ class Tiles:
         self.rows, self.n, self.edge = rows, n, edge
         self.blocks = (n + edge - 1) // edge if n else 0
 
+    def tasks(self) -> int:
+        return max(1, min(self.blocks * (self.blocks + 1) // 2, 32 * self.rows.sparkSession.sparkContext.defaultParallelism))
+
     def span(self, p: int) -> tuple[int, int]:
         return p * self.edge, min(self.n, (p + 1) * self.edge)
 
 
 def tiles(gram: DataFrame, n: int, edge: int | None = None) -> Tiles:
     """A Gram table (i <= j) in tiles, stored; edge: so that the tiles fill the cores four times, at most TILE. Missing entries are 0."""
-    cores = gram.sparkSession.sparkContext.defaultParallelism
-    edge = edge or max(1, min(TILE, math.ceil(n / math.ceil(math.sqrt(8 * cores)))))
-    shape = Tiles(gram, n, edge)
+    shape = shaped(gram, n, edge)
+    edge = shape.edge
 
     def run(key, pdf):
         (a, b), (c, d) = shape_span(n, edge, key[0]), shape_span(n, edge, key[1])
@@ -43,8 +46,50 @@ def tiles(gram: DataFrame, n: int, edge: int | None = None) -> Tiles:
         return pd.DataFrame([(key[0], key[1], tile.tobytes())], columns=["p", "q", "tile"])
 
     placed = gram.select("i", "j", "k", F.floor(F.col("i") / edge).cast("int").alias("p"), F.floor(F.col("j") / edge).cast("int").alias("q"))
-    parts = max(1, min(shape.blocks * (shape.blocks + 1) // 2, 32 * cores))
-    return Tiles(cut(placed.repartition(parts, "p", "q").groupBy("p", "q").applyInPandas(run, "p int, q int, tile binary")), n, edge)
+    return Tiles(cut(placed.repartition(shape.tasks(), "p", "q").groupBy("p", "q").applyInPandas(run, "p int, q int, tile binary")), n, edge)
+
+
+def shaped(rows: DataFrame, n: int, edge: int | None = None) -> Tiles:
+    wanted = math.ceil(math.sqrt(8 * rows.sparkSession.sparkContext.defaultParallelism))
+    return Tiles(rows, n, edge or max(1, min(TILE, math.ceil(n / wanted))))
+
+
+def computed(rows: DataFrame, n: int, pack: Callable[[pd.DataFrame], np.ndarray], value: Callable[[np.ndarray, np.ndarray], np.ndarray], edge: int | None = None) -> Tiles:
+    """Tiles from what their entries are made of, stored; no entry is ever a row, of which there would be n^2 / 2.
+
+    rows: (ord, columns...), one for each graph, ord 0 .. n-1. pack: a block's rows, in order of ord, to an array with a row per graph.
+    value: the arrays of two blocks to the matrix of their entries.
+    """
+    shape = shaped(rows, n, edge)
+    edge, blocks = shape.edge, shape.blocks
+
+    def packed(key, pdf):
+        return pd.DataFrame([(key[0], np.ascontiguousarray(pack(pdf.sort_values("ord")), float).tobytes())], columns=["block", "data"])
+
+    def run(it):
+        for pdf in it:
+            out = []
+            for p, q, left, right in zip(pdf["p"], pdf["q"], pdf["a"], pdf["b"], strict=True):
+                (a, b), (c, d) = shape_span(n, edge, p), shape_span(n, edge, q)
+                tile = value(np.frombuffer(left).reshape(b - a, -1), np.frombuffer(right).reshape(d - c, -1))
+                out.append((p, q, (np.triu(tile) + np.triu(tile, 1).T if p == q else tile).tobytes()))
+            yield pd.DataFrame(out, columns=["p", "q", "tile"])
+
+    block = cut(rows.withColumn("block", F.floor(F.col("ord") / edge).cast("int")).groupBy("block").applyInPandas(packed, "block int, data binary"))
+    left = block.select(F.col("block").alias("p"), F.explode(F.sequence(F.col("block"), F.lit(blocks - 1))).alias("q"), F.col("data").alias("a"))
+    right = block.select(F.explode(F.sequence(F.lit(0), F.col("block"))).alias("p"), F.col("block").alias("q"), F.col("data").alias("b"))
+    met = left.repartition(shape.tasks(), "p", "q").join(right.repartition(shape.tasks(), "p", "q").hint("shuffle_hash"), ["p", "q"])
+    return Tiles(cut(met.select("p", "q", "a", "b").mapInPandas(run, "p int, q int, tile binary")), n, edge)
+
+
+def largest(t: Tiles) -> float:
+    """The largest absolute entry."""
+
+    def run(it):
+        for pdf in it:
+            yield pd.DataFrame({"top": [max((float(np.abs(np.frombuffer(x)).max(initial=0.0)) for x in pdf["tile"]), default=0.0)]})
+
+    return float(t.rows.select("tile").mapInPandas(run, "top double").agg(F.max("top")).first()[0] or 0.0)
 
 
 def shape_span(n: int, edge: int, p: int) -> tuple[int, int]:
@@ -181,6 +226,5 @@ def resample_sums(t: Tiles, draws: DataFrame, b: int) -> DataFrame:
             sums = (2 * (p1 * k1).sum(0), 2 * (p2 * k2).sum(0), zero, zero, (p2 * k1).sum(0) + (p1 * k2).sum(0))
         return pd.DataFrame(dict(zip(names, (np.arange(1, b + 1, dtype=np.int32), *sums), strict=True)))
 
-    parts = max(1, min(blocks * (blocks + 1) // 2, 32 * t.rows.sparkSession.sparkContext.defaultParallelism))
-    each = met.repartition(parts, "p", "q").groupBy("p", "q").applyInPandas(run, "b int, xx double, yy double, dx double, dy double, xy double")
+    each = met.repartition(t.tasks(), "p", "q").groupBy("p", "q").applyInPandas(run, "b int, xx double, yy double, dx double, dy double, xy double")
     return each.groupBy("b").agg(*[F.sum(c).alias(c) for c in ("xx", "yy", "dx", "dy", "xy")])

@@ -93,12 +93,19 @@ def check_psd(gram: DataFrame, least: float = -1e-11) -> DataFrame:
     n, top = gram.agg(F.max("j"), F.max(F.abs("k"))).first()
     if n is None:
         return gram
-    bound = min(least, -ROUNDING * (int(n) + 1) * (top or 0.0))
-    if blocked.least_eigenvalue(blocked.tiles(gram, int(n) + 1), abs(bound), bound) < bound:
-        raise ValueError("the Gram matrix is not positive semidefinite; try a lower c")
+    check_tiles(blocked.tiles(gram, int(n) + 1), top or 0.0, least)
     return gram
 
 
+def check_tiles(t, top: float, least: float = -1e-11) -> None:
+    """check_psd of a matrix in tiles whose largest entry is top."""
+    from . import blocked
+
+    bound = min(least, -ROUNDING * t.n * top)
+    if blocked.least_eigenvalue(t, abs(bound), bound) < bound:
+        raise ValueError("the Gram matrix is not positive semidefinite; try a lower c")
+
+
 def grid(rows: DataFrame, block: int) -> tuple[DataFrame, int, int] | None:
     """(rows with own, their block; block size; blocks), None without rows. Blocks are of `block` graphs or fewer: as small as it takes for the pairs of blocks to fill the cores four times."""
     n = rows.agg(F.max("ord")).first()[0]

@@ -88,12 +88,12 @@ def bootstraps(pooled: DataFrame, b: int, seed: int) -> DataFrame:
     return slots.select("b", "slot", draw.cast("int").alias("ord"), F.when(F.col("slot") < n1, 1).otherwise(2).alias("a"))
 
 
-def null_sums(k: DataFrame, pooled: DataFrame, b: int, seed: int, scheme: str = "permutation") -> DataFrame:
+def null_sums(k: DataFrame | blocked.Tiles, pooled: DataFrame, b: int, seed: int, scheme: str = "permutation") -> DataFrame:
     """(b, xx, yy, dx, dy, xy): pair_sums for each of b resamples, which are dealt by hashes."""
     if scheme not in ("permutation", "bootstrap"):
         raise ValueError("scheme must be 'permutation' or 'bootstrap'")
     d = permutations(pooled, b, seed) if scheme == "permutation" else bootstraps(pooled, b, seed)
-    return blocked.resample_sums(blocked.tiles(k, pooled.count()), d, b)
+    return blocked.resample_sums(k if isinstance(k, blocked.Tiles) else blocked.tiles(k, pooled.count()), d, b)
 
 
 def null_distribution(k: DataFrame, pooled: DataFrame, estimator: str, b: int, seed: int, scheme: str = "permutation", compat: bool = False) -> DataFrame:
@@ -136,8 +136,8 @@ def placed_neighbours(at: DataFrame, n1: int) -> DataFrame:
     return group.select("b", F.explode(F.array(pair("x0", "x1", 1.0), pair("y0", "y1", 1.0), pair("x0", "y1", -1.0), pair("x1", "y0", -1.0))).alias("e")).select("b", "e.i", "e.j", "e.w", F.lit(n1 // 2).alias("m"))
 
 
-def largest_entry(k: DataFrame) -> float:
-    return float(k.agg(F.max(F.abs("k"))).first()[0] or 0.0)
+def largest_entry(k: DataFrame | blocked.Tiles) -> float:
+    return blocked.largest(k) if isinstance(k, blocked.Tiles) else float(k.agg(F.max(F.abs("k"))).first()[0] or 0.0)
 
 
 def p_value(null: DataFrame, observed: DataFrame, top: float = 0.0) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import inverse_or_zero
 from ..model import GraphSet
 from ..plans.lineage import cut
-from . import gram
+from . import blocked, gram
 
 #: Edge labels for which the arcs are repeated.
 VOCABULARY = 1000
@@ -175,6 +175,35 @@ def from_spectra(s: DataFrame, c: float, pairs: DataFrame | None = None) -> Data
     return gram.native_blocks(s, value, pairs=pairs)
 
 
+def tiles_from_spectra(s: DataFrame, n: int, c: float, r: int, channels: int) -> blocked.Tiles:
+    """from_spectra in tiles: the same sums in the same order, a mode of a block of graphs against one of another block at a time."""
+    wide = channels * r
+
+    def pack(pdf: pd.DataFrame) -> np.ndarray:
+        out = np.zeros((len(pdf), 1 + 2 * wide))  # missing modes add 0
+        for k, (base, mu, sigma) in enumerate(zip(pdf["base"], pdf["mu"], pdf["sigma"], strict=True)):
+            out[k, 0] = base
+            for ch in range(channels):
+                at = 1 + ch * r
+                out[k, at : at + len(mu[ch])], out[k, at + wide : at + wide + len(mu[ch])] = mu[ch], sigma[ch]
+        return out
+
+    def value(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        total = np.zeros((len(a), len(b)))
+        for ch in range(channels):
+            modes = range(1 + ch * r, 1 + ch * r + r)
+            channel = np.zeros_like(total)
+            for u in modes:
+                inner = np.zeros_like(total)
+                for v in modes:
+                    inner += b[None, :, v + wide] / (1 - (c * a[:, u])[:, None] * b[None, :, v])
+                channel += a[:, u + wide][:, None] * inner
+            total += channel
+        return np.outer(a[:, 0], b[:, 0]) + c * total
+
+    return blocked.computed(s, n, pack, value)
+
+
 def cores(gs: GraphSet, kind: str, r: int, use_attr: bool = False, labels: list[str] | None = None) -> DataFrame:
     """CORES of RW_ARKU and RW_ARKL: the rank-r factors of each graph, its r x r core diagonalised.
 
@@ -250,14 +279,26 @@ def from_cores(s: DataFrame, c: float, pairs: DataFrame | None = None) -> DataFr
     return gram.by_blocks(s, block, prep=read, whole=True, pairs=pairs)
 
 
-def spectral(gs: GraphSet, kind: str, c: float, r: int, use_attr: bool = False, labels: list[str] | None = None, label_mode: str = "exclude") -> DataFrame:
-    """The kernel from each graph's r leading modes: each graph is decomposed once, in all tasks, and pairs meet the stored spectra."""
+def checked(gs: GraphSet, kind: str, r: int, labels: list[str] | None) -> list[str] | None:
+    """labels_of, or ValueError."""
     if r < 1:
         raise ValueError("r must be 1 or more")
     if kind not in KINDS:
         raise ValueError(f"kernel must be one of {KINDS}, not {kind!r}")
     gs.validate(label=kind == "RW_ARKL", edge_label=kind == "RW_ARKU_edge", undirected=kind != "RW_ARKU")
-    labels = labels_of(gs, kind, labels)
+    return labels_of(gs, kind, labels)
+
+
+def spectral_tiles(gs: GraphSet, kind: str, c: float, r: int, use_attr: bool = False, labels: list[str] | None = None, label_mode: str = "exclude") -> blocked.Tiles:
+    """spectral of RW_ARKU_plus and RW_ARKU_edge, all pairs, in tiles."""
+    labels = checked(gs, kind, r, labels)
+    s = spectra(gs, kind, r, use_attr, labels, label_mode)
+    return tiles_from_spectra(s, s.count(), c, r, 1 if kind == "RW_ARKU_plus" else len(labels))
+
+
+def spectral(gs: GraphSet, kind: str, c: float, r: int, use_attr: bool = False, labels: list[str] | None = None, label_mode: str = "exclude") -> DataFrame:
+    """The kernel from each graph's r leading modes: each graph is decomposed once, in all tasks, and pairs meet the stored spectra."""
+    labels = checked(gs, kind, r, labels)
     if kind in ("RW_ARKU_plus", "RW_ARKU_edge"):
         return from_spectra(spectra(gs, kind, r, use_attr, labels, label_mode), c, gs.pairs)
     return from_cores(cores(gs, kind, r, use_attr, labels), c, gs.pairs)

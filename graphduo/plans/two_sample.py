@@ -17,6 +17,8 @@ from .lineage import cut
 
 log = logging.getLogger("graphduo")
 RANDOM_WALKS = ("RW_ARKU_plus", "RW_ARKU", "RW_ARKU_edge", "RW_ARKL")
+#: Walks whose Gram matrix is made in tiles where all that is asked of it works on tiles.
+TILED = ("RW_ARKU_plus", "RW_ARKU_edge")
 KERNELS = (*RANDOM_WALKS, "GNTK", "WWL", "DK")
 
 
@@ -44,14 +46,7 @@ def kernel_matrix(gs: GraphSet | None, kernel, **o) -> DataFrame:
     if isinstance(kernel, list):
         k = external.by_name(gs, kernel)
     elif kernel in RANDOM_WALKS:
-        c, r = _need(o, "c", "r")
-        if o.get("edge_attr", "weight") is None:
-            gs = gs.unweighted()
-        labels, mode = None, o.get("label_mode", "exclude")
-        if kernel == "RW_ARKU_edge":
-            (labels,) = _need(o, "unique_edge_labels")
-        if kernel == "RW_ARKL":
-            (labels,) = _need(o, "unique_node_labels")
+        gs, c, r, labels, mode = _walk(gs, kernel, o)
         if r is None:
             k = walks.series(gs, kernel, c, o.get("terms", 6), o.get("use_attr", False), labels, mode)
         else:
@@ -81,6 +76,28 @@ def kernel_matrix(gs: GraphSet | None, kernel, **o) -> DataFrame:
     return k
 
 
+def _walk(gs: GraphSet, kernel: str, o: dict) -> tuple[GraphSet, float, int | None, list[str] | None, str]:
+    c, r = _need(o, "c", "r")
+    if o.get("edge_attr", "weight") is None:
+        gs = gs.unweighted()
+    labels = None
+    if kernel == "RW_ARKU_edge":
+        (labels,) = _need(o, "unique_edge_labels")
+    if kernel == "RW_ARKL":
+        (labels,) = _need(o, "unique_node_labels")
+    return gs, c, r, labels, o.get("label_mode", "exclude")
+
+
+def kernel_tiles(gs: GraphSet, kernel: str, **o) -> blocked.Tiles:
+    """kernel_matrix of a walk of TILED at rank r, in tiles."""
+    gs.validate()
+    gs, c, r, labels, mode = _walk(gs, kernel, o)
+    t = walks.spectral_tiles(gs, kernel, c, r, o.get("use_attr", False), labels, mode)
+    if o.get("check_psd", True):
+        gram.check_tiles(t, blocked.largest(t))
+    return t
+
+
 def columns_in_use(gs: GraphSet, kernel, options: dict) -> list[str]:
     """Of edges and nodes, the columns that a kernel's values depend on."""
     walk = kernel in RANDOM_WALKS if isinstance(kernel, str) else False
@@ -130,7 +147,8 @@ def two_sample_test(gs: GraphSet | None, kernel, estimators: str | list[str] | d
             if options.get("normalize", False):
                 near = near.unionAll(gs.pooled().select(F.col("ord").alias("i"), F.col("ord").alias("j"))).distinct()
             gs, options = replace(gs, pairs=cut(near)), {"check_psd": False, **options}
-        k = cut(kernel_matrix(gs, kernel, **options))
+        tiled = gs is not None and gs.pairs is None and isinstance(kernel, str) and kernel in TILED and options.get("r") is not None and not options.get("normalize", False) and isinstance(scheme, str) and not isinstance(named, dict) and "MMD_l" not in named
+        k = kernel_tiles(gs, kernel, **options) if tiled else cut(kernel_matrix(gs, kernel, **options))
         n = sum(gs.sizes()) if gs is not None else int(k.agg(F.max("j")).first()[0] or 0) + 1
         if n1 is None or not 0 < n1 < n:
             raise ValueError("n1 must tell the size of the first sample")
@@ -147,18 +165,22 @@ def two_sample_test(gs: GraphSet | None, kernel, estimators: str | list[str] | d
     return spark.createDataFrame(rows, "estimator string, statistic double, p_value double, n1 int, n2 int, B int")
 
 
-def by_tiles(spark: SparkSession, k: DataFrame, pooled: DataFrame, n: int, n1: int, named: list[str], B: int, seed: int, scheme: str, Q: int | None, compat: bool) -> list[tuple[str, float, np.ndarray]]:
+def by_tiles(spark: SparkSession, k: DataFrame | blocked.Tiles, pooled: DataFrame, n: int, n1: int, named: list[str], B: int, seed: int, scheme: str, Q: int | None, compat: bool) -> list[tuple[str, float, np.ndarray]]:
     """(estimator, statistic, its B values under the null): MMD_u and MMD_b share one pass over the tiles, MMD_l reads the entries it needs, MONK_EST works on a factor."""
     numbers = lambda df: df.orderBy("b").toPandas()["statistic"].to_numpy()  # noqa: E731  B numbers
-    sums, out = None, []
+    sums, own, out = None, None, []
     for name in named:
         if name == "MONK_EST":
-            f = blocked.factor(blocked.tiles(k, n))
+            f = blocked.factor(k if isinstance(k, blocked.Tiles) else blocked.tiles(k, n))
             ids = [r["graph_id"] for r in pooled.orderBy("ord").select("graph_id").collect()]  # n ids, beside n x rank numbers
             seen = mmd.block_descent(f, np.arange(n), n1, Q, np.random.default_rng([seed, 0]))
             out.append((name, seen, numbers(mmd.null_median_of_means(spark, f, ids, n1, Q, B, seed, scheme))))
             continue
-        seen = float(mmd.estimate(k, pooled, name, compat).first()["statistic"])
+        if isinstance(k, blocked.Tiles):
+            own = cut(blocked.resample_sums(k, pooled.select(F.lit(1).alias("b"), "ord", F.col("sample").alias("a")), 1)) if own is None else own
+            seen = float(own.select(mmd.formula(name, n1, n - n1, compat).alias("statistic")).first()["statistic"])
+        else:
+            seen = float(mmd.estimate(k, pooled, name, compat).first()["statistic"])
         if name == "MMD_l":
             out.append((name, seen, numbers(mmd.null_linear(k, pooled, B, seed, scheme))))
             continue

@@ -1,8 +1,9 @@
 import numpy as np
 import pytest
 
-from graphduo.operators import gram, mmd, wl
-from graphduo.plans.two_sample import kernel_matrix, two_sample_test
+from graphduo.operators import blocked, gram, mmd, wl
+from graphduo.plans.lineage import cut
+from graphduo.plans.two_sample import kernel_matrix, kernel_tiles, two_sample_test
 from graphduo.sources.tables import gram_from_matrix
 
 from .helpers import graph_set, random_set
@@ -133,3 +134,24 @@ def test_statistics_that_are_rounding_tie(spark, scale):
     gram, pooled = gram_from_matrix(spark, k), spark.range(20).selectExpr("id as graph_id", "if(id < 10, 1, 2) as sample", "int(id) as ord", "int(id % 10) as pos")
     seen = mmd.estimate(gram, pooled, "MMD_u")
     assert mmd.p_value(mmd.null_distribution(gram, pooled, "MMD_u", 40, 1), seen, mmd.largest_entry(gram)).first()[0] == 1.0
+
+
+@pytest.mark.parametrize("kernel", ["RW_ARKU_plus", "RW_ARKU_edge"])
+def test_walks_at_a_rank_are_tested_in_tiles(spark, monkeypatch, kernel):
+    """No entry of the Gram matrix becomes a row, and the results are those of the table of rows."""
+    gs = graph_set(spark, random_set(spark, n=9, weights=True)).stored()
+    options = {"B": 50, "seed": 3, "c": 1e-2, "r": 3, "unique_edge_labels": None, "check_psd": False}
+    k = cut(kernel_matrix(gs, kernel, **options))
+    rows = two_sample_test(None, k, ["MMD_u", "MMD_b"], B=50, seed=3, n1=9)
+    t = kernel_tiles(gs, kernel, **options)
+    want, got = gram.dense(k), np.zeros((18, 18))
+    for r in t.rows.collect():
+        (a, b), (c, d) = t.span(r["p"]), t.span(r["q"])
+        got[a:b, c:d] = np.frombuffer(r["tile"]).reshape(b - a, d - c)
+    got = np.triu(got) + np.triu(got, 1).T
+    assert np.abs(got - want).max() <= 1e-15 * np.abs(want).max() and blocked.largest(t) == np.abs(got).max()
+    monkeypatch.setattr("graphduo.plans.two_sample.kernel_matrix", None)
+    monkeypatch.setattr("graphduo.operators.blocked.tiles", None)
+    seen = two_sample_test(gs, kernel, ["MMD_u", "MMD_b"], **options | {"check_psd": True})
+    for x, y in zip(seen.collect(), rows.collect(), strict=True):
+        assert x["statistic"] == pytest.approx(y["statistic"], rel=1e-9, abs=1e-15) and x["p_value"] == y["p_value"] and (x["n1"], x["n2"]) == (9, 9)
