@@ -71,10 +71,15 @@ def linear(k: DataFrame, pooled: DataFrame, n1: int, n2: int) -> DataFrame:
     return near.agg(total.alias("s")).select(F.lit("MMD_l").alias("estimator"), (F.col("s") / (even / 2)).alias("statistic"), F.lit(n1).alias("n1"), F.lit(n2).alias("n2"))
 
 
+def over_cores(pooled: DataFrame) -> DataFrame:
+    """pooled, which its numbering leaves in one partition, dealt to all cores before each graph is repeated for every resample."""
+    return pooled.repartition(4 * pooled.sparkSession.sparkContext.defaultParallelism, "ord")
+
+
 def permutations(pooled: DataFrame, b: int, seed: int) -> DataFrame:
     """(b, ord, a): samples dealt anew without replacement, in the order of md5(seed | b | graph_id)."""
     n1 = pooled.where("sample = 1").count()
-    rows = pooled.select("ord", "graph_id", F.explode(F.sequence(F.lit(1), F.lit(b))).alias("b"))
+    rows = over_cores(pooled).select("ord", "graph_id", F.explode(F.sequence(F.lit(1), F.lit(b))).alias("b"))
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), F.col("graph_id").cast("string")))
     place = F.row_number().over(Window.partitionBy("b").orderBy(key, "graph_id"))
     return rows.select("b", "ord", F.when(place <= n1, 1).otherwise(2).alias("a"))
@@ -83,7 +88,7 @@ def permutations(pooled: DataFrame, b: int, seed: int) -> DataFrame:
 def bootstraps(pooled: DataFrame, b: int, seed: int) -> DataFrame:
     """(b, slot, ord, a): n slots, each a graph drawn with replacement by a hash; the first n1 slots are sample 1."""
     n, n1 = pooled.count(), pooled.where("sample = 1").count()
-    slots = pooled.select(F.col("ord").alias("slot"), F.explode(F.sequence(F.lit(1), F.lit(b))).alias("b"))
+    slots = over_cores(pooled).select(F.col("ord").alias("slot"), F.explode(F.sequence(F.lit(1), F.lit(b))).alias("b"))
     draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}"), F.col("b").cast("string"), F.col("slot").cast("string"))), 1, 8), 16, 10).cast("long") % n
     return slots.select("b", "slot", draw.cast("int").alias("ord"), F.when(F.col("slot") < n1, 1).otherwise(2).alias("a"))
 

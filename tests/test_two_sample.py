@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graphduo.operators import blocked, gram, mmd, wl
 from graphduo.plans.lineage import cut
@@ -155,3 +156,13 @@ def test_walks_at_a_rank_are_tested_in_tiles(spark, monkeypatch, kernel):
     seen = two_sample_test(gs, kernel, ["MMD_u", "MMD_b"], **options | {"check_psd": True})
     for x, y in zip(seen.collect(), rows.collect(), strict=True):
         assert x["statistic"] == pytest.approx(y["statistic"], rel=1e-9, abs=1e-15) and x["p_value"] == y["p_value"] and (x["n1"], x["n2"]) == (9, 9)
+
+
+def test_graphs_are_dealt_to_the_cores_before_they_are_repeated(spark):
+    pooled = cut(spark.range(40).select(F.col("id").alias("graph_id"), F.when(F.col("id") < 20, 1).otherwise(2).alias("sample"), F.col("id").cast("int").alias("ord")).coalesce(1))
+    assert pooled.rdd.getNumPartitions() == 1 and mmd.over_cores(pooled).rdd.getNumPartitions() > 1
+    got = {(r["b"], r["ord"]): r["a"] for r in mmd.permutations(pooled, 3, 7).collect()}
+    for b in (1, 2, 3):
+        first = set(mmd.hash_order(7, b, range(40))[:20].tolist())
+        assert {k for k in range(40) if got[b, k] == 1} == first
+    assert mmd.bootstraps(pooled, 3, 7).count() == 120
