@@ -86,11 +86,12 @@ def co_purchase(spark: SparkSession, sf_dir: str) -> GraphSet:
     rank = F.dense_rank().over(Window.partitionBy("graph_id").orderBy("p_brand")) - 1
     brands = items.groupBy("graph_id", "p_brand").agg(F.avg("l_discount").alias("d")).select("graph_id", rank.alias("node_id"), F.col("p_brand").alias("label"), F.array("d").alias("attr"))
     brands = cut(brands)  # a row per graph and brand, which graphs, nodes and edges all start from
-    # one row per order: its items; pairs are formed inside the row
-    baskets = items.groupBy("graph_id", "l_orderkey").agg(F.collect_set(F.struct("p_brand", "l_returnflag")).alias("b"))
-    one = baskets.select("graph_id", "l_orderkey", "b", F.explode("b").alias("x")).select("graph_id", "l_orderkey", "x", F.explode("b").alias("y")).where("x.p_brand < y.p_brand")
-    pairs = one.groupBy("graph_id", F.col("x.p_brand").alias("a"), F.col("y.p_brand").alias("b"), "l_orderkey").agg(F.max(F.col("x.l_returnflag") == F.col("y.l_returnflag")).alias("same"))
-    pairs = pairs.groupBy("graph_id", "a", "b").agg(F.count("*").cast("double").alias("weight"), F.when(F.max("same"), "S").otherwise("D").alias("edge_label"))
+    # one row per order: its items; pairs are formed inside the row. Sorted, a brand's first entry stands for it, so each pair of an order counts once and no row is kept for it
+    baskets = items.groupBy("graph_id", "l_orderkey").agg(F.sort_array(F.collect_set(F.struct("p_brand", "l_returnflag"))).alias("b"))
+    first = lambda k: (F.col(k) == 0) | ~F.get("b", F.col(k) - 1)["p_brand"].eqNullSafe(F.get("b", F.col(k))["p_brand"])
+    one = baskets.select("graph_id", "b", F.posexplode("b").alias("i", "x")).select("graph_id", "b", "i", "x", F.posexplode("b").alias("j", "y")).where("x.p_brand < y.p_brand")
+    one = one.select("graph_id", F.col("x.p_brand").alias("a"), F.col("y.p_brand").alias("b"), (first("i") & first("j")).cast("long").alias("n"), (F.col("x.l_returnflag") == F.col("y.l_returnflag")).alias("same"))
+    pairs = one.groupBy("graph_id", "a", "b").agg(F.sum("n").cast("double").alias("weight"), F.when(F.max("same"), "S").otherwise("D").alias("edge_label"))
     pairs = pairs.withColumn("mean", F.avg("weight").over(Window.partitionBy("graph_id"))).where("weight > mean")
     at = brands.select("graph_id", "label", "node_id")
     edges = pairs.join(at.select("graph_id", F.col("label").alias("a"), F.col("node_id").alias("src")), ["graph_id", "a"]).join(at.select("graph_id", F.col("label").alias("b"), F.col("node_id").alias("dst")), ["graph_id", "b"])
@@ -100,8 +101,9 @@ def co_purchase(spark: SparkSession, sf_dir: str) -> GraphSet:
 
 def item_tasks(lines: DataFrame) -> int:
     """Tasks for the items of orders, by their number: by bytes, several million would come together, as shuffles pack them well. 0 where there is no more than a task for each core."""
-    n = math.ceil(lines.count() / ITEMS)
-    return n if n > lines.sparkSession.sparkContext.defaultParallelism else 0
+    n, spark = math.ceil(lines.count() / ITEMS), lines.sparkSession
+    # fewer than the session's own number would be dealt anew, to that number, before each join
+    return max(n, int(spark.conf.get("spark.sql.shuffle.partitions"))) if n > spark.sparkContext.defaultParallelism else 0
 
 
 def event_transitions(spark: SparkSession, sf_dir: str) -> GraphSet:

@@ -178,3 +178,47 @@ def test_items_are_dealt_by_number(spark, monkeypatch):
     assert "hashpartitioning(l_orderkey#" in plan and f", {tables.item_tasks(lines)})" in plan and "REPARTITION_BY_NUM" in plan
     for a, b in ((few.edges, many.edges), (few.graphs, many.graphs), (few.nodes.drop("attr"), many.nodes.drop("attr"))):
         assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+
+
+def test_items_meet_their_orders_in_one_shuffle(spark, monkeypatch):
+    """Tasks are no fewer than the session's shuffle partitions: fewer would be dealt once more before the join. No row is kept for a pair of an order."""
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet")
+    monkeypatch.setattr(tables, "ITEMS", lines.count() // 9)
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        assert tables.item_tasks(lines) == 24
+        edges = tables.co_purchase(spark, SF).edges
+        edges.collect()
+        plan = edges._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert plan.count("Exchange hashpartitioning(l_orderkey#") == 1
+    assert not [x for x in plan.splitlines() if " HashAggregate(" in x and "l_orderkey#" in x]
+
+
+def test_pairs_of_an_order_count_once(spark, tmp_path):
+    """Against a plain loop: brands held several times in an order, alike or not, flags and brands that are null."""
+    rng = np.random.default_rng(3)
+    brand = [None, *[f"Brand#{k}" for k in range(1, 6)]]
+    part = [(k, brand[k % 6]) for k in range(24)]
+    orders = [(k, int(rng.integers(6)), f"{rng.integers(1, 3)}-X") for k in range(60)]
+    lines = [(int(rng.integers(60)), int(rng.integers(24)), [None, "A", "N", "R"][rng.integers(4)], float(rng.integers(10)) / 100) for _ in range(400)]
+    for name, rows, ddl in (("part", part, "p_partkey long, p_brand string"), ("orders", orders, "o_orderkey long, o_custkey long, o_orderpriority string"), ("customer", [(k, k % 2) for k in range(6)], "c_custkey long, c_nationkey int"), ("lineitem", lines, "l_orderkey long, l_partkey long, l_returnflag string, l_discount double")):
+        spark.createDataFrame(rows, ddl).write.parquet(str(tmp_path / f"{name}.parquet"))
+    baskets, counted = {}, {}
+    for o, p, flag, _ in lines:
+        baskets.setdefault((orders[o][1] % 2 * 10 + int(orders[o][2][0]), o), set()).add((part[p][1], flag))
+    for (g, _), b in baskets.items():
+        of = {}
+        for x, flag in b:
+            of.setdefault(x, set()).add(flag)
+        for x in of:
+            for y in of:
+                if x and y and x < y:
+                    counted.setdefault((g, x, y), []).append(bool((of[x] & of[y]) - {None}))
+    means = {g: np.mean([len(v) for (h, _, _), v in counted.items() if h == g]) for g, _, _ in counted}
+    want = {(*k, float(len(v)), "S" if any(v) else "D") for k, v in counted.items() if len(v) > means[k[0]]}
+    gs = tables.co_purchase(spark, str(tmp_path))
+    label = {(r["graph_id"], r["node_id"]): r["label"] for r in gs.nodes.collect()}
+    got = [(r["graph_id"], label[r["graph_id"], r["src"]], label[r["graph_id"], r["dst"]], r["weight"], r["edge_label"]) for r in gs.edges.collect()]
+    assert set(got) == want and len(got) == len(want) > 0
