@@ -16,6 +16,8 @@ BLOCK, SMALL_BLOCK = 64, 16
 ROUNDING = 16 * float(np.finfo(float).eps)
 #: Graphs of one feature on the left side of a task.
 TOGETHER = 256
+#: Binary digits of a double, less one that the rounding of many terms may carry into; the least and the largest unit that terms are cut at.
+DIGITS, UNITS = 52, (2.0**-1000, 2.0**972)
 
 
 def all_pairs(pooled: DataFrame) -> DataFrame:
@@ -39,6 +41,16 @@ def meeting(f: DataFrame, *values: str) -> DataFrame:
     return a.join(b, ["feature", "task"]).where("i <= j")
 
 
+def steady_sum(x: Column, bound: Column) -> Column:
+    """The sum of x, rounded about once and not at every term, in whatever order the terms come; the absolute values of a group add up to `bound` at most.
+
+    Each term is cut at the last digit of the bound: the multiples of that unit add up exactly, what is left is added up by itself.
+    """
+    unit = F.least(F.greatest(F.pow(F.lit(2.0), F.ceil(F.log2(bound)) - DIGITS), F.lit(UNITS[0])), F.lit(UNITS[1]))  # a bound of 0 has no logarithm
+    whole = F.rint(x / unit) * unit
+    return F.sum(whole) + F.sum(F.when(x == whole, 0.0).otherwise(x - whole))
+
+
 def wanted(f: DataFrame, pairs: DataFrame | None, *values: str) -> DataFrame:
     """meeting, or of these rows only those of the wanted pairs: features meet by graph, and no row of another pair is made."""
     if pairs is None:

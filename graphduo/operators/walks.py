@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import inverse_or_zero
@@ -89,8 +89,9 @@ def series(gs: GraphSet, kind: str, c: float, terms: int = 6, use_attr: bool = F
     f = moments(gs, kind, terms, use_attr, labels, label_mode)
     scaled = f.select("graph_id", F.concat_ws("|", F.col("power").cast("string"), "feature").alias("feature"), "v", F.pow(F.lit(float(c)), F.col("power")).alias("w"))
     pooled = gs.pooled()
-    at = scaled.join(pooled.select("graph_id", "ord"), "graph_id").select("ord", "feature", "v", "w")
-    k = gram.wanted(at, gs.pairs, "w").groupBy("i", "j").agg(F.sum(F.col("w") * F.col("a") * F.col("b")).alias("k"))
+    size = F.sum(F.sqrt(F.abs("w")) * F.abs("v")).over(Window.partitionBy("ord"))  # the terms of a pair add up to the product of its sizes at most
+    at = scaled.join(pooled.select("graph_id", "ord"), "graph_id").select("ord", "feature", F.struct("v", size.alias("size")).alias("v"), "w")
+    k = gram.wanted(at, gs.pairs, "w").groupBy("i", "j").agg(gram.steady_sum(F.col("w") * F.col("a.v") * F.col("b.v"), F.col("a.size") * F.col("b.size")).alias("k"))
     return (gram.all_pairs(pooled) if gs.pairs is None else gs.pairs).join(k, ["i", "j"], "left").select("i", "j", F.coalesce("k", F.lit(0.0)).alias("k"))
 
 

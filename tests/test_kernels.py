@@ -1,9 +1,11 @@
 import itertools
 import math
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graphduo.model import EDGES, GRAPHS, NODES, GraphSet
 from graphduo.operators import external, gram, tangent, walks, wl
@@ -123,6 +125,35 @@ def test_searches_over_several_words_of_sources(spark, directed):
         wl.shortest_path_counts(gs, 2)
 
 
+def test_walk_series_is_rounded_about_once(spark):
+    """Moments of whole weights by whole numbers: a pair adds up 8 x 8 products of labels for each length, and rounding at each of them would show."""
+    rng, labels, c = np.random.default_rng(3), [str(v % 8) for v in range(16)], 2.0**-10
+    sets = [(s, labels, None, [(a, b, float(rng.integers(1, 1000)), "S") for a, b in itertools.combinations(range(16), 2)]) for s in (1, 2) for _ in range(6)]
+    walked = []
+    for g in sets:
+        a, m = adjacency(g).astype(int).astype(object), []
+        v = np.array([[int(x == y) for y in "01234567"] for x in labels], dtype=object)
+        ends = v.T
+        for _ in range(2):
+            v = a.dot(v)
+            m.append(ends.dot(v).ravel())
+        walked.append(m)
+    off = []
+    for r in walks.series(graph_set(spark, sets), "RW_ARKL", c, 2).collect():
+        want = Fraction(1, 16**2) + sum(Fraction(c) ** k * int(x.dot(y)) / 16**4 for k, (x, y) in enumerate(zip(walked[r["i"]], walked[r["j"]]), 1))
+        off.append(float((Fraction(r["k"]) - want) / want))
+    assert len(off) == 78 and np.sqrt(np.mean(np.square(off))) < 2e-16
+
+
+def test_steady_sum_does_not_depend_on_order_and_keeps_small_terms(spark):
+    one = [1.0, 2.0**-53, 2.0**-53, 2.0**-53, 2.0**-53]
+    for terms in (one, one[::-1]):
+        got = spark.createDataFrame([(x,) for x in terms], "x double").coalesce(1).agg(gram.steady_sum(F.col("x"), F.lit(2.0)).alias("s")).first()["s"]
+        assert got == 1.0 + 2.0**-51
+    ends = spark.createDataFrame([(0.0, 0.0), (math.inf, math.inf), (math.nan, math.nan)], "x double, b double").groupBy("b").agg(gram.steady_sum(F.col("x"), F.col("b")).alias("s")).collect()
+    assert sorted(str(r["s"]) for r in ends) == ["0.0", "inf", "nan"]
+
+
 @pytest.mark.parametrize("kind", ["RW_ARKU_plus", "RW_ARKU", "RW_ARKU_edge", "RW_ARKL"])
 def test_walk_series_equals_spectra_and_inverse(spark, kind):
     directed = kind == "RW_ARKU"
